@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: list = []
+from tickloom.plans import conversations, tables, texts, timeseries
+
+_MODULES = (timeseries, texts, conversations, tables)
 
 
 def queries() -> dict:
@@ -13,5 +15,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: q for m in _MODULES for k, q in m.ORACLES.items()}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = timeseries.flagship
