@@ -3,36 +3,53 @@
 Both tokenizers cut texts at white space before they merge anything, so that ids of a text are
 the ids of its words in order. Words repeat; a worker encodes each once while its cache lasts.
 ``LEAD`` is for byte-level files whose words take the one space before them along; ``DROP`` for
-files that drop white space. The vocabulary's place is a parameter.
+files that drop white space and case. Texts with unusual white space or, for ``DROP``, with
+characters whose case or composition depends on their neighbours go through the tokenizer whole.
+The vocabulary's place is a parameter.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from array import array
 
+import numpy as np
+
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
 
 LEAD, DROP = "lead", "drop"
 #: Words a worker remembers; more, and it starts anew.
-CACHE = 600_000
-#: Characters of texts that are encoded together.
+CACHE = 1_000_000
+#: Characters of texts that are looked up together.
 TOGETHER = 1 << 16
-#: The byte-level spelling of a space.
-_SPACE = "\u0120"
-_SPELLING: dict[int, str] = {}
-_ODD = re.compile(r" (?:\s|\Z)")
-MARKS = {".", ",", b".", b","}
-_loaded: dict[str, "Words"] = {}
+#: Marks that both tokenizers cut off the letter before them.
+STOPS = ".,"
+_SPACE, _END = "Ġ", "</w>"
+#: White space other than one space or line end between words.
+_ODD_LEAD = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+#: Characters whose case or composition may depend on others, and white space that bytes do not split at.
+_ODD_DROP = re.compile("[\x1c-\x1f\x85\xa0İɐ-‏ -\U0010ffff]")
+_loaded: dict[tuple[str, str], "Words"] = {}
+
+
+def _spelling() -> dict[int, str]:
+    """How byte-level files spell the byte values: printing Latin-1 as itself, the others from 256 on.
+    Line ends stay, to part the words that are spelt together."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown) if b != 10}
+
+
+_TABLE = _spelling()
 
 
 class Words:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    Words of ASCII letters alone need no normaliser or pre-tokenizer of the file: they go
-    straight to its merges, many at a time. Everything else takes the whole tokenizer.
+    A word of letters needs no normaliser or pre-tokenizer of the file: many at a time go
+    straight to its merges, and the lengths of the tokens tell where each word's ids end.
     """
 
     def __init__(self, path: str, kind: str):
@@ -41,9 +58,14 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merges = Tokenizer(self.tokenizer.model)
-        (self.mark,) = self.merges.encode("!", add_special_tokens=False).ids
         self.lead = kind == LEAD
-        self.ids: dict = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.lengths[k] = len(token.removesuffix(_END))
+        self.line_end = self._whole(["\n"])[0]
+        self.stops = dict(zip(STOPS, self._whole(list(STOPS))))
+        self.ids: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -58,95 +80,75 @@ class Words:
                 some, size = [], 0
         return out + self._some(some)
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        if self.lead:
-            parts = list(map(_lead, texts))
-            heads, pieces = self._whole([x for x, _ in parts]), [x for _, x in parts]
-        else:
-            heads, pieces = [b""] * len(texts), [t.encode("utf-8").split() for t in texts]
-        get = self.ids.get
-        found = [list(map(get, p)) for p in pieces]
-        missing = {p for ps, xs in zip(pieces, found) if None in xs for p, x in zip(ps, xs) if x is None}
-        if missing:
-            if len(self.ids) + 2 * len(missing) > CACHE:
-                self.ids.clear()
-                missing = {p for ps in pieces for p in ps}
-            self._learn(missing)
-            found = [list(map(get, ps)) if None in xs else xs for ps, xs in zip(pieces, found)]
-        return [h + b"".join(xs) for h, xs in zip(heads, found)]
-
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, piece) -> str | None:
-        """piece as the merges spell it, if it is a word of letters that nothing else changes."""
-        word = piece if self.lead else piece.decode("utf-8")
-        if not word.isalpha() or not self.lead and max(word) >= "\u0250":
-            return None
+    def _pieces(self, text: str) -> list[str] | None:
+        """Keys of the words of text: a leading line end or tab marks a word after a line end, or the
+        first one; None for a text that must be encoded whole."""
         if not self.lead:
-            word = word.lower()
-            if not word.isalpha():
-                return None
-        if not word.isascii():
-            word = word.encode("utf-8").decode("latin-1").translate(_SPELLING)
-        return _SPACE + word if self.lead else word
-
-    def _learn(self, new: set) -> None:
-        known = self.ids
-        split = {p: (p[:-1], p[-1:]) for p in new if _stops(p)}
-        missing = {x for p in new for x in split.get(p, (p,)) if x not in known}
-        spelt = {p: w for p in missing if (w := self._plain(p))}
-        if spelt:
-            # A mark after each word, which no word of letters contains, shows where its ids end.
-            spaced = [x for w in spelt.values() for x in (w, "!")]
-            ids = array("I", self.merges.encode_batch_fast([spaced], is_pretokenized=True, add_special_tokens=False)[0].ids)
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(spelt, (k for k, x in enumerate(ids) if x == self.mark)):
-                known[p] = raw[4 * at : 4 * end]
-                at = end + 1
-        other = [p for p in missing if p not in spelt]
-        known.update(zip(other, self._whole([" " + p for p in other] if self.lead else [p.decode("utf-8") for p in other])))
-        # A stop that is cut off a word has no space before it; a word that is a stop has.
-        stops = list({b for _, b in split.values()})
-        bare = dict(zip(stops, self._whole([p if self.lead else p.decode("ascii") for p in stops])))
-        for p, (a, b) in split.items():
-            known[p] = known[a] + bare[b]
-
+            return None if _ODD_DROP.search(text) else text.lower().split()
+        if not text:
+            return []
+        return None if (text[0] + text[-1]).strip() != text[0] + text[-1] or any(map(text.__contains__, _ODD_LEAD)) else ("\t" + text.replace("\n", " \n")).split(" ")
 
-def _spelling() -> dict[int, str]:
-    """How byte-level files spell the byte values: printing Latin-1 as itself, the others from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-
-
-def _stops(piece) -> bool:
-    """Whether piece ends with one mark that both tokenizers cut off the letter before it."""
-    return len(piece) > 2 and piece[-1:] in MARKS and piece[-2:-1].isalpha()
-
-
-def _lead(text: str) -> tuple[str, list[str]]:
-    """The text before the first space that a printing character follows, and the words after
-    such spaces, without them; a word may have white space in or after it."""
-    first, *rest = text.split(" ")
-    if not _ODD.search(text):
-        return first, rest
-    out = [first]
-    for p in rest:
-        if p and not p[0].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out[0], out[1:]
+    def _some(self, texts: list[str]) -> list[bytes]:
+        pieces = list(map(self._pieces, texts))
+        get = self.ids.get
+        found = [list(map(get, p)) if p is not None else None for p in pieces]
+        gaps = [(ps, xs, at) for ps, xs in zip(pieces, found) if xs and (at := [k for k, x in enumerate(xs) if x is None])]
+        missing = {ps[k] for ps, _, at in gaps for k in at}
+        if missing:
+            if len(self.ids) + len(missing) > CACHE:
+                self.ids.clear()
+            self._learn(list(missing))
+            for ps, xs, at in gaps:
+                for k in at:
+                    xs[k] = self.ids[ps[k]]
+        odd = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
+        return [next(odd) if xs is None else b"".join(xs) for xs in found]
+
+    def _learn(self, new: list[str]) -> None:
+        plain: tuple[list, list] = ([], [])  # words of letters without, with a space before them
+        other: tuple[list, list] = ([], [])
+        for key in new:
+            mark = key[0] if key[0] in "\n\t" else ""
+            word = key[1:] if mark else key
+            stop = word[-1:]
+            if stop in self.stops and word[-2:-1].isalpha():
+                word = word[:-1]
+            else:
+                stop = ""
+            kind = 0 if mark or not self.lead else 1
+            (plain if word.isalpha() else other)[kind].append((key, word, mark, stop))
+        for kind in (0, 1):
+            for rows, ids in ((plain[kind], self._letters), (other[kind], self._others)):
+                if rows:
+                    for (key, _, mark, stop), own in zip(rows, ids([r[1] for r in rows], kind)):
+                        if mark == "\n":
+                            own = self.line_end + own
+                        self.ids[key] = own + self.stops[stop] if stop else own
+
+    def _others(self, words: list[str], spaced: int) -> list[bytes]:
+        return self._whole([" " + w for w in words] if spaced else words)
+
+    def _letters(self, words: list[str], spaced: int) -> list[bytes]:
+        together = "\n".join(words)
+        if not together.isascii():
+            together = together.encode("utf-8").decode("latin-1").translate(_TABLE)
+        spelt = (_SPACE + together.replace("\n", "\n" + _SPACE) if spaced else together).split("\n")
+        ids = array("I", self.merges.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids)
+        covered = np.cumsum(self.lengths[np.frombuffer(ids, np.uint32)])
+        ends = np.searchsorted(covered, np.cumsum([len(w) for w in spelt])) + 1
+        if covered[-1] != sum(map(len, spelt)):
+            raise AssertionError("tokens do not spell the words")
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
 def words(path: str, kind: str) -> Words:
-    """One per worker process and file; small executors have few workers."""
-    import os
-
+    """One per worker process and file; an executor has few workers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _loaded:
-        _loaded[path] = Words(path, kind)
-    return _loaded[path]
-
-
-_SPELLING.update(_spelling())
+    if (path, kind) not in _loaded:
+        _loaded[path, kind] = Words(path, kind)
+    return _loaded[path, kind]
