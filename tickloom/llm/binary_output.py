@@ -26,7 +26,7 @@ from . import idcoder, tokens
 from .common import prepare, shared_dir
 
 END = 2
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 FILE = "part int, block int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 

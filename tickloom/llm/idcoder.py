@@ -35,9 +35,11 @@ MOST = WHOLE - (WHOLE >> 4)
 #: Order-0 counts are halved when they pass this, which is below WHOLE - MOST.
 COUNTED = 1 << 17
 STEP = 32
+#: Order 0 learns after each of the first steps of a block, then after every so many.
+EARLY, EVERY = 8, 4
 TABLE = 18
 TRUST = 8
-LANE_IDS, MOST_LANES = 64, 4096
+LANE_IDS, MOST_LANES = 64, 8192
 
 
 def lanes_for(n: int) -> int:
@@ -47,65 +49,71 @@ def lanes_for(n: int) -> int:
 class Model:
     """What encoder and decoder know alike before each step of all lanes."""
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: int, lanes: int, decoding: bool = False):
+        self.vocabulary, self.decoding = vocabulary, decoding
         self.guess1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.uint8)
         self.guess2, self.sure2 = np.zeros(1 << TABLE, np.int32), np.zeros(1 << TABLE, np.uint8)
         self.seen = np.ones(vocabulary, np.int64)
-        self.right = np.ones((TRUST * TRUST, 3), np.float64)
-        self.right[:, 2] = 6
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.below = np.zeros(vocabulary + 1, np.int64)
+        self.right = np.ones((TRUST * TRUST, 4), np.float64)
+        self.right[:, 0] = 6
+        self.right[:, 3] = 0
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.fresh: list[np.ndarray] = []
+        self._count()
+
+    def _count(self) -> None:
+        """Let order 0 and the shares learn from the steps since the last time."""
+        if self.fresh:
+            self.seen += STEP * np.bincount(np.concatenate(self.fresh), minlength=self.vocabulary)
+            self.fresh = []
+            while self.seen.sum() > COUNTED:
+                self.seen = (self.seen >> 1) | 1
+        np.cumsum(self.seen, out=self.below[1:])
+        self.total = int(self.below[-1])
+        if self.decoding:
+            self.place = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.seen)
+        shares = self.right[:, :3] / self.right[:, :3].sum(axis=1, keepdims=True) * MOST
+        self.share1, self.share2 = shares[:, 1].astype(np.int64), shares[:, 2].astype(np.int64)
+        self.share1[0::TRUST] = 0  # no trust in order 1
+        self.share2[:TRUST] = 0  # no trust in order 2
 
     def predict(self) -> None:
         last = self.last
-        self.slot = ((last * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 7) & ((1 << TABLE) - 1)
+        self.slot = ((last * np.int64(0x9E3779B1) + self.before * np.int64(0x85EBCA6B)) >> 7) & ((1 << TABLE) - 1)
         self.p1, self.p2 = self.guess1[last], self.guess2[self.slot]
         self.c1, self.c2 = self.sure1[last], self.sure2[self.slot]
-        self.mix = self.c2.astype(np.int64) * TRUST + self.c1
-        shares = self.right / self.right.sum(axis=1, keepdims=True)
-        self.f2 = (shares[:, 1] * MOST).astype(np.int64)[self.mix]
-        self.f1 = (shares[:, 0] * MOST).astype(np.int64)[self.mix]
-        self.f1[(self.p1 == self.p2) | (self.c1 == 0)] = 0
-        self.f2[self.c2 == 0] = 0
-        self.below = np.empty(self.vocabulary + 1, np.int64)
-        self.below[0] = 0
-        np.cumsum(self.seen, out=self.below[1:])
-        self.total = int(self.below[-1])
+        self.mix = self.c2 * np.uint8(TRUST) + self.c1
+        self.f2, self.f1 = self.share2[self.mix], self.share1[self.mix]
+        self.f1[self.p1 == self.p2] = 0
         self.head = self.f1 + self.f2
         self.rest = WHOLE - self.head
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, width) of each lane's id."""
         lo = self.below[ids] * self.rest // self.total
-        start, width = self.head + lo, self.below[ids + 1] * self.rest // self.total - lo
-        one = (ids == self.p1) & (self.f1 > 0)
-        start[one], width[one] = self.f2[one], self.f1[one]
-        two = (ids == self.p2) & (self.f2 > 0)
-        start[two], width[two] = 0, self.f2[two]
-        return start, width
+        start, width = self.head + lo, self.below[1:][ids] * self.rest // self.total - lo
+        self.one, self.two = (ids == self.p1) & (self.f1 > 0), (ids == self.p2) & (self.f2 > 0)
+        start, width = np.where(self.one, self.f2, start), np.where(self.one, self.f1, width)
+        return np.where(self.two, 0, start), np.where(self.two, self.f2, width)
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The id whose span holds each lane's place."""
         down = np.maximum(at - self.head, 0)
-        ids = np.searchsorted(self.below, ((down + 1) * self.total - 1) // self.rest, "right") - 1
-        return np.where(at < self.f2, self.p2, np.where(at < self.head, self.p1, ids)).astype(np.int64)
-
-    def learn(self, ids: np.ndarray) -> None:
-        two = (ids == self.p2) & (self.c2 > 0)
-        one = (ids == self.p1) & (self.c1 > 0) & ~two
-        n = TRUST * TRUST
-        self.right[:, 1] += np.bincount(self.mix, two, n)
-        self.right[:, 0] += np.bincount(self.mix, one, n)
-        self.right[:, 2] += np.bincount(self.mix, ~(one | two), n)
-        np.add.at(self.seen, ids, STEP)
-        if self.total + STEP * len(ids) > COUNTED:
-            while self.seen.sum() > COUNTED:
-                self.seen = (self.seen >> 1) | 1
+        ids = self.place[np.minimum(((down + 1) * self.total - 1) // self.rest, self.total - 1)]
+        return np.where(at < self.f2, self.p2, np.where(at < self.head, self.p1, ids))
+
+    def learn(self, ids: np.ndarray, step: int) -> None:
+        event = np.where(self.two, 2, np.where(self.one, 1, 0))
+        self.right += np.bincount(self.mix * np.int64(4) + event, minlength=4 * TRUST * TRUST).reshape(-1, 4)
+        self.fresh.append(ids)
+        if step < EARLY or step % EVERY == EVERY - 1:
+            self._count()
         for guess, sure, at, was, trust in ((self.guess1, self.sure1, self.last, self.p1, self.c1), (self.guess2, self.sure2, self.slot, self.p2, self.c2)):
             hit = (was == ids) & (trust > 0)
-            fresh = trust <= 1
-            sure[at] = np.where(hit, np.minimum(trust + 1, TRUST - 1), np.where(fresh, 1, trust - 1)).astype(np.uint8)
-            guess[at] = np.where(hit | fresh, ids, was)
+            weak = trust <= 1
+            sure[at] = np.where(hit, np.minimum(trust + np.uint8(1), np.uint8(TRUST - 1)), np.where(weak, np.uint8(1), trust - np.uint8(1)))
+            guess[at] = np.where(hit | weak, ids, was)
         self.before, self.last = self.last, ids
 
 
@@ -124,11 +132,11 @@ def _settle(low: np.ndarray, span: np.ndarray):
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """One block. ids: integers below vocabulary, any number of them."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids, np.int32)
     n = len(ids)
     lanes = lanes_for(n)
     steps = -(-n // lanes) if n else 0
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
     table = padded.reshape(lanes, steps)
     model = Model(vocabulary, lanes)
@@ -145,7 +153,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
             sent.append((k, (low[k] >> TOP_SHIFT).astype(np.uint16)))
             low[k] <<= SHIFT
             span[k] <<= SHIFT
-        model.learn(now)
+        model.learn(now, t)
     if steps:
         everyone = np.arange(lanes)
         for _ in range(4):
@@ -170,17 +178,17 @@ def decode(block: bytes) -> np.ndarray:
     bits = np.concatenate([np.frombuffer(block, "<u2", total, HEAD.size + 4 * lanes), np.zeros(8, "<u2")]).astype(U)
     at = np.cumsum(sizes) - sizes
     steps = -(-n // lanes) if n else 0
-    model = Model(vocabulary, lanes)
+    model = Model(vocabulary, lanes, decoding=True)
     low, span, code = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U)
     for _ in range(4):
         code = (code << SHIFT) | bits[np.minimum(at, len(bits) - 1)]
         at = at + 1
-    out = np.empty((steps, lanes), np.int64)
+    out = np.empty((steps, lanes), np.int32)
     for t in range(steps):
         model.predict()
         unit = span >> U(SCALE)
         place = np.minimum((code - low) // unit, U(WHOLE - 1)).astype(np.int64)
-        now = np.clip(model.find(place), 0, vocabulary - 1)
+        now = model.find(place)
         start, width = model.span(now)
         low += start.astype(U) * unit
         span = np.maximum(width, 1).astype(U) * unit
@@ -189,7 +197,7 @@ def decode(block: bytes) -> np.ndarray:
             at[k] += 1
             low[k] <<= SHIFT
             span[k] <<= SHIFT
-        model.learn(now)
+        model.learn(now, t)
         out[t] = now
     ids = np.ascontiguousarray(out.T).reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
