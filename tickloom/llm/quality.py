@@ -1,7 +1,7 @@
 """Quality rules over documents and over the lines of whole hosts, in DataFrame operations only.
 
-A document's host is its source. Lines are normalised (white space collapsed and trimmed, A-Z
-lower-cased) and hashed; for each host and line, documents with different texts are counted, so
+A document's host is its source. Lines are normalised (white space collapsed and trimmed, all
+lower case) and hashed; for each host and line, documents with different texts are counted, so
 that exact copies, which dedup removes later, do not condemn their own lines. Lines in more
 documents than the host's limit are removed; a document that loses more than ``depleted`` of its
 words to this is rejected, and so is one that fails the base rules.
@@ -74,11 +74,12 @@ def base(text: Column, limits: Limits = Limits()) -> Column:
 
 
 def frequent_lines(docs: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
-    """(one row per document and different line; lines above their host's limit)."""
+    """(one row per document and line that is not blank; lines above their host's limit)."""
     host = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", host.alias("host"), F.xxhash64(text).alias("doc"), text.alias("_t"))
-    lines = rows.select("doc_id", "host", "doc", F.explode(F.array_distinct(F.transform(F.split("_t", "\n"), _line))).alias("_l")).where("_l <> ''").select("doc_id", "host", "doc", F.xxhash64("_l").alias("line"))
+    lines = rows.select("doc_id", "host", "doc", F.posexplode(F.transform(F.split("_t", "\n"), _line)).alias("at", "_l")).where("_l <> ''")
+    lines = lines.select("doc_id", "host", "doc", "at", F.xxhash64("_l").alias("line"), F.size(F.split("_l", " ")).alias("words"))
     many = lines.groupBy("host", "line").agg(F.countDistinct("doc").alias("docs"))
     hosts = rows.groupBy("host").agg(F.countDistinct("doc").alias("all_docs"))
     # Only lines above the absolute limit, a small part, meet the hosts' sizes.
@@ -90,25 +91,23 @@ def judge(docs: DataFrame, limits: Limits = Limits(), lines_removed: bool = Fals
     """docs with the base facts, n_removed (words in removed lines), rule and kept.
 
     lines_removed: text loses the lines above the limit.
-    Texts are not shuffled for the counts; only line hashes are. Documents without a frequent
-    line, nearly all, meet only the short table of those that have one.
+    For the counts only hashes of lines are shuffled; texts move only if the caller keeps them.
+    Documents without a frequent line, nearly all, meet the short table of those that have one.
     """
     lines, over = frequent_lines(docs, limits)
-    hit = lines.join(over.drop("docs"), ["host", "line"]).groupBy("doc_id", "host", "doc").agg(F.collect_set("line").alias("_bad"))
+    hit = lines.join(over.drop("docs"), ["host", "line"]).groupBy("doc_id", "host", "doc").agg(F.collect_set(F.struct("at", "words")).alias("_bad"))
     hit = hit.withColumnsRenamed({"doc_id": "_id", "host": "_host", "doc": "_doc"})
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({"_b": base(F.col("text"), limits), "_key": F.xxhash64(text), "_on": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
     rows = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_on") == F.col("_host")) & (F.col("_key") == F.col("_doc")), "left")
-    gone = lambda raw: F.array_contains(F.col("_bad"), F.xxhash64(_line(raw)))
-    split = F.split(text, "\n")
-    lost = F.when(F.col("_bad").isNull(), 0).otherwise(F.aggregate(F.filter(split, gone), F.lit(0), lambda a, x: a + F.size(words(x))))
+    lost = F.when(F.col("_bad").isNull(), 0).otherwise(F.aggregate("_bad", F.lit(0), lambda a, x: a + x["words"]))
     rows = rows.withColumn("n_removed", lost.cast("long"))
     depleted = F.col("n_removed") > F.col("_b")["n_words"] * F.lit(limits.depleted)
     facts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     rule = F.when(F.col("_b")["base_failed"], "base").when(depleted, "depleted")
     out = rows.withColumn("_rule", rule)
     if lines_removed:
-        out = out.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x: ~gone(x)), "\n")))
+        out = out.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(F.col("_bad.at"), k)), "\n")))
     clash = {*facts, "n_removed", "rule", "kept"}
     own = [c for c in docs.columns if c not in clash]
     return out.select(*own, *[F.col("_b")[k].alias(k) for k in facts], "n_removed", F.col("_rule").alias("rule"), F.col("_rule").isNull().alias("kept"))
