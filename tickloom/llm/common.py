@@ -40,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns renamed, so that none clashes with a helper column, and the new names."""
+    names = {c: f"_own{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut
+from .common import BLANKS, aside, back, cut
 
 
 def normalised(text: Column) -> Column:
@@ -32,24 +32,26 @@ def classes(docs: DataFrame) -> DataFrame:
     copied = groups.where("n > 1").select("h")
     whole = text.select("doc_id", F.md5(F.col("_t").cast("binary")).alias("h"), "_t").join(copied, "h", "left_semi")
     # Equal bytes, not equal hashes, make a class.
-    real = cut(whole.groupBy("h", "_t").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).select("h", F.sha2(F.col("_t").cast("binary"), 256).alias("text_sha256"), F.md5(F.reverse("_t").cast("binary")).alias("_r"), "n", "first"))
-    mixed = real.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h")
-    sole = groups.where("n = 1").select("h", "n", "first").unionByName(real.join(mixed, "h", "left_anti").select("h", "n", "first"))
+    bytewise = lambda rows: rows.groupBy("h", "_t").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    real = cut(bytewise(whole).groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min("first").alias("first")))
+    sole = groups.where("n = 1").select("h", "n", "first").unionByName(real.where("texts = 1").select("h", "n", "first"))
     out = slim.join(sole, "h")
+    mixed = real.where("texts > 1").select("h")
     if not mixed.isEmpty():
-        told = text.select("doc_id", F.md5(F.col("_t").cast("binary")).alias("h"), F.sha2(F.col("_t").cast("binary"), 256).alias("text_sha256"), F.md5(F.reverse("_t").cast("binary")).alias("_r")).join(mixed, "h", "left_semi")
-        out = out.unionByName(told.join(real, ["h", "text_sha256", "_r"]).select(*out.columns))
+        told = whole.join(mixed, "h", "left_semi")
+        told = told.withColumn("text_sha256", F.sha2(F.col("_t").cast("binary"), 256)).join(bytewise(told), ["h", "_t"])
+        out = out.unionByName(told.select(*out.columns))
     return out.select("doc_id", F.col("first").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("first")).alias("kept"), "text_sha256", "h")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without later copies, with all their columns."""
-    found = cut(classes(docs))
-    clash = found.where("kept").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("_n"))
-    stay = clash.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_n")
-    hashed = docs.withColumn("_hash", F.md5(normalised(F.col("text")).cast("binary")))
-    rows = hashed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    once = rows.where("_n = 1").select(*docs.columns)
-    if stay.where("_n > 1").isEmpty():
+    stay = cut(classes(docs).where("kept").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies")))
+    own, names = aside(docs)
+    own = own.withColumn("hash", F.md5(normalised(F.col(names["text"])).cast("binary")))
+    rows = own.join(stay, F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("h")))
+    once = back(rows.where("copies = 1"), names)
+    if stay.where("copies > 1").isEmpty():
         return once
-    return once.unionByName(rows.where("_n > 1").dropDuplicates(["_id", "_h"]).select(*docs.columns))
+    # Of rows that repeat the id and text of the row that stays, one.
+    return once.unionByName(back(rows.where("copies > 1").withColumn("t", normalised(F.col(names["text"]))).dropDuplicates(["doc_id", "t"]), names))

@@ -13,8 +13,8 @@ alone.
 Coder. Carry-less range coding with 64-bit state that gives out 16 bits at a time: before each
 symbol the range is 2**32 at least, and the model divides it into 2**SCALE parts.
 
-Block: magic, vocabulary size, ids, lanes, CRC-32 of the ids, words of each lane, the lanes'
-words. A wrong checksum or a short block raises ValueError.
+Block: magic, vocabulary size, ids, lanes, CRC-32 of the ids, all words; words of each lane, the
+lanes' words; CRC-32 of all before it. A wrong checksum or a short block raises ValueError.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 
 MAGIC = b"TLC1"
 HEAD = struct.Struct("<4sIIIII")
+SUM = struct.Struct("<I")
 U = np.uint64
 SCALE = 22
 WHOLE = 1 << SCALE
@@ -164,16 +165,19 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     order = np.argsort(lane, kind="stable")
     sizes = np.bincount(lane, minlength=lanes).astype("<u4")
     head = HEAD.pack(MAGIC, vocabulary, n, lanes, zlib.crc32(ids.astype("<u4").tobytes()), len(bits))
-    return head + sizes.tobytes() + bits[order].astype("<u2").tobytes()
+    block = head + sizes.tobytes() + bits[order].astype("<u2").tobytes()
+    return block + SUM.pack(zlib.crc32(block))
 
 
 def decode(block: bytes) -> np.ndarray:
     """The ids of one block, checked."""
-    if len(block) < HEAD.size:
+    if len(block) < HEAD.size + SUM.size:
         raise ValueError("block is too short")
     magic, vocabulary, n, lanes, crc, total = HEAD.unpack_from(block)
-    if magic != MAGIC or len(block) != HEAD.size + 4 * lanes + 2 * total:
+    if magic != MAGIC or len(block) != HEAD.size + 4 * lanes + 2 * total + SUM.size:
         raise ValueError("not a block of token ids, or cut short")
+    if SUM.unpack_from(block, len(block) - SUM.size)[0] != zlib.crc32(memoryview(block)[: -SUM.size]):
+        raise ValueError("checksum of a block differs")
     sizes = np.frombuffer(block, "<u4", lanes, HEAD.size).astype(np.int64)
     bits = np.concatenate([np.frombuffer(block, "<u2", total, HEAD.size + 4 * lanes), np.zeros(8, "<u2")]).astype(U)
     at = np.cumsum(sizes) - sizes

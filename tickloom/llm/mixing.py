@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, prefix_sums, words
+from .common import aside, back, cut, let, prefix_sums, words
 
 #: Ranges of keys that a source is cut into; each is sorted on its own.
 RANGES = 1024
@@ -73,17 +73,17 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     budget cuts ends after its last word in the budget. Documents that the mix leaves out go.
     """
     dealt = cut(plan(docs, weights, share, most, seed).where("taken > 0"))
-    dealt = dealt.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
-    own = docs.withColumn("_n", size_of(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    if not dealt.groupBy("_id", "_source", "_size").count().where("count > 1").isEmpty():
+    own, names = aside(docs)
+    doc, source, text = (F.col(names[c]) for c in ("doc_id", "source", "text"))
+    own = own.withColumn("words", size_of(text))
+    same = doc.eqNullSafe(F.col("doc_id")) & source.eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    if not dealt.groupBy("doc_id", "source", "size").count().where("count > 1").isEmpty():
         # Rows with one id, source and size may be dealt different words; which gets which is free.
-        dealt = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.desc("taken"))))
-        own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("text")))
-        same = same & (F.col("_copy") == F.col("_at"))
+        dealt = dealt.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken"))))
+        own = own.withColumn("copy", F.row_number().over(Window.partitionBy(doc, source, "words").orderBy(text)))
+        same = same & (F.col("copy") == F.col("at"))
     rows = own.join(dealt, same)
-    whole, part = F.floor(F.col("taken") / F.col("_n")).cast("int"), (F.col("taken") % F.col("_n")).cast("int")
-    rows = rows.withColumn("_w", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    first = let(words(F.col("text")), lambda w: F.slice(w, 1, F.col("_w")))
-    text = F.when(F.col("_w") == 0, F.col("text")).otherwise(F.array_join(first, " "))
-    return rows.withColumn("text", text).select(*docs.columns)
+    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    rows = rows.withColumn("cut", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
+    first = let(words(text), lambda w: F.slice(w, 1, F.col("cut")))
+    return back(rows.withColumn(names["text"], F.when(F.col("cut") == 0, text).otherwise(F.array_join(first, " "))), names)

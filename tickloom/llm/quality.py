@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, let, words
+from .common import BLANKS, aside, back, cut, let, words
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -87,34 +87,39 @@ def frequent_lines(docs: DataFrame, limits: Limits) -> tuple[DataFrame, DataFram
     return lines, cut(over.select("host", "line", "docs"))
 
 
-def judge(docs: DataFrame, limits: Limits = Limits(), lines_removed: bool = False) -> DataFrame:
-    """docs with the base facts, n_removed (words in removed lines), rule and kept.
+FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _judged(docs: DataFrame, limits: Limits) -> tuple[DataFrame, dict[str, str]]:
+    """docs with new names, and base, bad (struct at, words of each line to remove), n_removed, rule.
 
-    lines_removed: text loses the lines above the limit.
     For the counts only hashes of lines are shuffled; texts move only if the caller keeps them.
     Documents without a frequent line, nearly all, meet the short table of those that have one.
     """
     lines, over = frequent_lines(docs, limits)
-    hit = lines.join(over.drop("docs"), ["host", "line"]).groupBy("doc_id", "host", "doc").agg(F.collect_set(F.struct("at", "words")).alias("_bad"))
-    hit = hit.withColumnsRenamed({"doc_id": "_id", "host": "_host", "doc": "_doc"})
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"_b": base(F.col("text"), limits), "_key": F.xxhash64(text), "_on": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
-    rows = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_on") == F.col("_host")) & (F.col("_key") == F.col("_doc")), "left")
-    lost = F.when(F.col("_bad").isNull(), 0).otherwise(F.aggregate("_bad", F.lit(0), lambda a, x: a + x["words"]))
+    hit = lines.join(over.drop("docs"), ["host", "line"]).groupBy("doc_id", "host", "doc").agg(F.collect_set(F.struct("at", "words")).alias("bad"))
+    own, names = aside(docs)
+    text, source = F.col(names["text"]), F.col(names["source"])
+    rows = own.withColumns({"base": base(text, limits), "key": F.xxhash64(F.coalesce(text, F.lit(""))), "on": F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))})
+    rows = rows.join(hit, F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.col("on") == F.col("host")) & (F.col("key") == F.col("doc")), "left")
+    lost = F.when(F.col("bad").isNull(), 0).otherwise(F.aggregate("bad", F.lit(0), lambda a, x: a + x["words"]))
     rows = rows.withColumn("n_removed", lost.cast("long"))
-    depleted = F.col("n_removed") > F.col("_b")["n_words"] * F.lit(limits.depleted)
-    facts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rule = F.when(F.col("_b")["base_failed"], "base").when(depleted, "depleted")
-    out = rows.withColumn("_rule", rule)
-    if lines_removed:
-        out = out.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(F.col("_bad.at"), k)), "\n")))
-    clash = {*facts, "n_removed", "rule", "kept"}
-    own = [c for c in docs.columns if c not in clash]
-    return out.select(*own, *[F.col("_b")[k].alias(k) for k in facts], "n_removed", F.col("_rule").alias("rule"), F.col("_rule").isNull().alias("kept"))
+    depleted = F.col("n_removed") > F.col("base.n_words") * F.lit(limits.depleted)
+    return rows.withColumn("rule", F.when(F.col("base.base_failed"), "base").when(depleted, "depleted")), names
+
+
+def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """docs with the base facts, n_removed (words in removed lines), rule and kept, which take the
+    place of columns of these names."""
+    rows, names = _judged(docs, limits)
+    new = [*[F.col(f"base.{k}").alias(k) for k in FACTS], "n_removed", "rule", F.col("rule").isNull().alias("kept")]
+    own = [F.col(n).alias(c) for c, n in names.items() if c not in {*FACTS, "n_removed", "rule", "kept"}]
+    return rows.select(*own, *new)
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, without lines above the limit, with their own columns."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "rule", "kept"}}
-    out = judge(docs.withColumnsRenamed(clash), limits, lines_removed=True).where("kept")
-    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    rows, names = _judged(docs, limits)
+    text = F.col(names["text"])
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(F.col("bad.at"), k)), "\n")
+    return back(rows.where("rule is null").withColumn(names["text"], F.when(F.col("bad").isNull(), text).otherwise(left)), names)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import aside, back, cut, prepare
 from .components import components
 
 SHINGLE = 3
@@ -143,10 +143,11 @@ def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Where rows repeat that id, the one with the smallest text stays; rows without an id stay.
     """
-    stay = cut(near_duplicates(docs, radius).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")))
-    rows = docs.join(stay, F.col("doc_id") == F.col("_id"))
-    once = rows.where("_n = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-    if stay.where("_n > 1").isEmpty():
+    stay = cut(near_duplicates(docs, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
+    own, names = aside(docs)
+    rows = own.join(stay, F.col(names["doc_id"]) == F.col("doc_id"))
+    once = back(rows.where("copies = 1"), names).unionByName(docs.where("doc_id is null"))
+    if stay.where("copies > 1").isEmpty():
         return once
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.coalesce("text", F.lit(""))))
-    return once.unionByName(rows.where("_n > 1").withColumn("_at", first).where("_at = 1").select(*docs.columns))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.col(names["text"]), F.lit(""))))
+    return once.unionByName(back(rows.where("copies > 1").withColumn("at", first).where("at = 1"), names))

@@ -22,9 +22,9 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 
 LEAD, DROP = "lead", "drop"
 #: Words a worker remembers; more, and it starts anew.
-CACHE = 1_000_000
+CACHE = 1_500_000
 #: Characters of texts that are looked up together.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 18
 #: Marks that both tokenizers cut off the letter before them.
 STOPS = ".,"
 _SPACE, _END = "Ġ", "</w>"
