@@ -1,5 +1,6 @@
 """Streaming twins give what the batch forms give."""
 
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -21,10 +22,14 @@ def run(spark, tmp_path):
         for k in range(0, n, step):
             spark.createDataFrame(rows[k : k + step], df.schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-        q = transform(stream).writeStream.outputMode(mode).format("memory").queryName("out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None
-        return spark.table("out").collect()
+        name = f"out_{uuid.uuid4().hex}"
+        q = transform(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            assert q.awaitTermination(120)
+            assert q.exception() is None
+            return spark.table(name).collect()
+        finally:
+            q.stop()
 
     return go
 

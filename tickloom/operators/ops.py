@@ -61,13 +61,15 @@ def trace_summary(calls: DataFrame, request: str = "request_id") -> DataFrame:
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
     """runs, mean, p50 (the upper median) and max by key, to three decimals.
 
-    The median is picked by rank in a window, which spills, not from a collected array.
+    Equal values are counted first, on the map side too, so that a busy key reaches the window
+    as its different values only; the median is the first whose running count passes the middle.
     """
-    w = Window.partitionBy(key).orderBy(value)
-    ranked = rows.select(key, value).withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    mid = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col(value)))
-    mean = F.sum(F.floor(F.col(value) * 1000 + 0.5).cast("long")) / F.count(F.lit(1)) / 1000
-    return ranked.groupBy(key).agg(F.count(F.lit(1)).alias("runs"), half_up(mean, 3).alias("mean"), half_up(mid, 3).alias("p50"), half_up(F.max(value), 3).alias("max"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_r", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(Window.partitionBy(key)))
+    mid = F.min(F.when(F.col("_r") > F.floor(F.col("_n") / 2), F.col(value)))
+    mean = F.sum(F.floor(F.col(value) * 1000 + 0.5).cast("long") * F.col("_c")) / F.sum("_c") / 1000
+    return ranked.groupBy(key).agg(F.sum("_c").alias("runs"), half_up(mean, 3).alias("mean"), half_up(mid, 3).alias("p50"), half_up(F.max(value), 3).alias("max"))
 
 
 #: Seconds that entries of a cache live, by what they hold.

@@ -81,11 +81,16 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, most_queries
     return top(found.withColumn("score", half_up(F.col("score"), 6)), k, "score")
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, dl for corpus(chunk_id, content): an index to be written by term."""
+def postings(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf, dl for corpus(chunk_id, content): an index to be written by term.
+
+    only(term): other terms go before anything is shuffled or counted.
+    """
     own = terms(F.col("content"))
     rows = corpus.where("chunk_id is not null and content is not null").select("chunk_id", own.alias("_t"))
     rows = rows.select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -99,7 +104,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, fusion: Fusion
     lengths = corpus.where("chunk_id is not null and content is not null").select(F.size(terms(F.col("content"))).alias("dl"))
     n, words = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     mean = words / n if n else 1.0
-    index = postings(corpus).join(asked.select("term").distinct(), "term")
+    index = postings(corpus, asked.select("term").distinct())
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + fusion.k1 * (1 - fusion.b + fusion.b * F.col("dl") / F.lit(float(mean or 1.0))))
