@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import text as X
-from tickloom.functions.numeric import half_up  # noqa: F401  (part of the SQL below in words)
 from tickloom.operators import memory as M
 from tickloom.operators import monitor, ops
 from tickloom.session import table, workers_import
