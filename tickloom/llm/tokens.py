@@ -22,16 +22,16 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 
 LEAD, DROP = "lead", "drop"
 #: Words a worker remembers; more, and it starts anew.
-CACHE = 1_500_000
+CACHE = 1_200_000
 #: Characters of texts that are looked up together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 14
 #: Marks that both tokenizers cut off the letter before them.
 STOPS = ".,"
-_SPACE, _END = "Ġ", "</w>"
+_SPACE, _END = "\u0120", "</w>"
 #: White space other than one space or line end between words.
 _ODD_LEAD = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 #: Characters whose case or composition may depend on others, and white space that bytes do not split at.
-_ODD_DROP = re.compile("[\x1c-\x1f\x85\xa0İɐ-‏ -\U0010ffff]")
+_ODD_DROP = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\u200f\u2028-\U0010ffff]")
 _loaded: dict[tuple[str, str], "Words"] = {}
 
 
@@ -96,7 +96,7 @@ class Words:
         pieces = list(map(self._pieces, texts))
         get = self.ids.get
         found = [list(map(get, p)) if p is not None else None for p in pieces]
-        gaps = [(ps, xs, at) for ps, xs in zip(pieces, found) if xs and (at := [k for k, x in enumerate(xs) if x is None])]
+        gaps = [(ps, xs, _gaps(xs)) for ps, xs in zip(pieces, found) if xs and None in xs]
         missing = {ps[k] for ps, _, at in gaps for k in at}
         if missing:
             if len(self.ids) + len(missing) > CACHE:
@@ -146,6 +146,16 @@ class Words:
         return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
+def _gaps(found: list) -> list[int]:
+    """Places of None, of which there are few."""
+    out, k = [], -1
+    try:
+        while True:
+            out.append(k := found.index(None, k + 1))
+    except ValueError:
+        return out
+
+
 def words(path: str, kind: str) -> Words:
     """One per worker process and file; an executor has few workers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
