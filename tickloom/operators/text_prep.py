@@ -33,7 +33,8 @@ def fingerprint(text: str | None) -> int:
     units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
     if len(units) < 2:
         return 0
-    pairs, times = np.unique(np.stack([units[:-1], units[1:]], 1), axis=0, return_counts=True)
+    codes, times = np.unique(units[:-1].astype(np.uint32) << 16 | units[1:], return_counts=True)
+    pairs = np.stack([codes >> 16, codes & 0xFFFF], 1)
     bits = np.unpackbits(_mix(pairs).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     votes = times @ (2 * bits.astype(np.int64) - 1)
     return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
