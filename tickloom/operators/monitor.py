@@ -48,7 +48,8 @@ def cycles(ticks: DataFrame, width: str = "30 minutes") -> DataFrame:
     """Polls in trading time: cycle, symbol, last price and ticks of each tumbling window."""
     rows = ticks.where(trading_time(F.col("ts")))
     at = F.struct("ts", "event_id")
-    return rows.groupBy(F.window("ts", width).start.alias("cycle"), F.col("event_type").alias("symbol")).agg(F.max_by("value", at).alias("price"), F.count(F.lit(1)).alias("ticks"))
+    rows = rows.groupBy(F.window("ts", width), F.col("event_type").alias("symbol")).agg(F.max_by("value", at).alias("price"), F.count(F.lit(1)).alias("ticks"))
+    return rows.select(F.col("window.start").alias("cycle"), "symbol", "price", "ticks")
 
 
 def suppress(times: list[int], within: int) -> list[int]:
