@@ -176,6 +176,44 @@ def test_line_dedup(spark):
     assert line_dedup.runs(docs(spark, [])).count() == 0
 
 
+def maximal(rows, least):
+    """(doc, line) of every maximal run of least words or more that stands earlier too, pair by pair."""
+    lines = [(d, k, tuple(x.lower().split())) for d, t in sorted(rows) for k, x in enumerate(t.split("\n")) if x.split()]
+    gone = set()
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines)):
+            a, b = lines[i], lines[j]
+            p, q = (lines[i - 1] if i else None), lines[j - 1]
+            if a[2] != b[2] or (p and p[0] == a[0] and q[0] == b[0] and p[2] == q[2]):
+                continue  # not where a run starts
+            k = 0
+            while j + k < len(lines) and lines[i + k][0] == a[0] and lines[j + k][0] == b[0] and lines[i + k][2] == lines[j + k][2]:
+                k += 1
+            if sum(len(x[2]) for x in lines[j : j + k]) >= least:
+                gone |= {x[:2] for x in lines[j : j + k]}
+    return gone
+
+
+def test_extended_runs_are_maximal(spark):
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    shared = words("p", 80) + "\n\n" + words("q", 30)
+    rows = [(1, f"{words('a', 9)}\n{shared}\n{words('b', 9)}"), (2, f"{words('c', 9)}\n{shared}\n{words('d', 9)}"), (3, words("q", 30))]
+    got = [tuple(r) for r in line_dedup.runs(docs(spark, []).unionByName(spark.createDataFrame(rows, "doc_id long, text string")), extend=True).drop("own").collect()]
+    assert got == [(2, 1, 3, 1, 1)]
+    rng = random.Random(8)
+    pool = [words(f"l{k}_", rng.choice([1, 2, 3, 9, 14])) for k in range(5)]
+    rows += [(10 + i, "\n".join(rng.choice(pool) if rng.random() < 0.92 else words(f"o{rng.random()}", 3) for _ in range(rng.randrange(12)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (6, 12, 20):
+        found = line_dedup.runs(df, least, extend=True).collect()
+        full = {(d, k) for d, t in rows for k, x in enumerate(t.split("\n")) if x.split()}
+        got = {(r["doc_id"], k) for r in found for k in range(r["first_line"], r["last_line"] + 1)} & full
+        want = maximal(rows, least)
+        assert got == want and len(want) > 10
+        left = {r["doc_id"]: len([x for x in r["text"].split("\n") if x.split()]) for r in line_dedup.dedup(df, least, extend=True).collect()}
+        assert all(left[d] == sum(e == d for e, _ in full - want) for d, _ in rows)
+
+
 # Licenses ---------------------------------------------------------------------------------
 
 

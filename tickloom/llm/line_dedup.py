@@ -6,7 +6,13 @@ The line of the smallest hash in a window (the last of equals) is its fingerprin
 MIN_WORDS words or more that two places share has a fingerprint in both. Only fingerprints that
 the corpus has twice or more are followed: their positions are joined by what stands around
 them (the window's whole content), the first place in (doc_id, line) order stays, and later
-ones are extended both ways by joining the windows that overlap. Lines in such runs go.
+ones are joined where they overlap. Lines in such runs go.
+
+The last lines of a repeated run, under MIN_WORDS words together, may follow a line too long for a
+window to end with them. With ``extend`` windows are also cut at every such line, up to where the
+next window ends (no more rows in all than there are lines), so that runs are maximal at both ends:
+what goes is every line of a run of MIN_WORDS words or more that stands at an earlier place, too.
+Without it, as OP3 in ``oracles`` has it, only the shortest windows count.
 
 Fewer words than MIN_WORDS never make a run. Null and empty texts have no lines. Rows without a
 doc_id come before others. Rows that repeat a doc_id and a text count as one place; rows that
@@ -28,10 +34,11 @@ from .common import aside, back, cut, prepare
 MIN_WORDS = 50
 
 
-def windows(text: str, min_words: int = MIN_WORDS):
-    """For each window: first line, lines, fingerprint line, its hash, a 128-bit key of it all.
+def windows(text: str, min_words: int = MIN_WORDS, extend: bool = False):
+    """For each window: first line, last line, fingerprint line, its hash, a 128-bit key of it all.
 
-    Line numbers count every line of the text, blank ones too; lines, those that are not blank.
+    Line numbers count every line of the text, blank ones too. With extend, a window is followed
+    by longer ones of its fingerprint, whose lines after the first hold less than min_words.
     """
     lines = []
     for at, raw in enumerate(text.split("\n")):
@@ -53,44 +60,52 @@ def windows(text: str, min_words: int = MIN_WORDS):
             if hashes[seen] <= hashes[best]:
                 best = seen
             seen += 1
-        raw = struct.pack(f"<{end - first}Q", *hashes[first:end])
-        hi, lo = struct.unpack("<qq", hashlib.blake2b(raw, digest_size=16).digest())
-        yield lines[first][0], lines[end - 1][0], best - first, hashes[best], hi, lo
         held -= lines[first][1]
-
-
-def _windows(min_words: int):
+        stop, more = end, held
+        while True:
+            raw = struct.pack(f"<{stop - first}Q", *hashes[first:stop])
+            hi, lo = struct.unpack("<qq", hashlib.blake2b(raw, digest_size=16).digest())
+            yield lines[first][0], lines[stop - 1][0], lines[best][0], hashes[best], hi, lo
+            if not extend or stop == len(lines) or more + lines[stop][1] >= min_words:
+                break
+            more += lines[stop][1]
+            stop += 1
+
+
+def _windows(min_words: int, extend: bool):
     def run(batches):
         for b in batches:
             cols = [[] for _ in range(8)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py() or ""
                 own = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(text.encode("utf-8"), 42)))[0]  # as F.xxhash64
-                for first, last, _, print_, hi, lo in windows(text, min_words):
-                    for c, x in zip(cols, (doc, own, first, last, print_ - (1 << 63), hi, lo)):
+                for first, last, at, print_, hi, lo in windows(text, min_words, extend):
+                    for c, x in zip(cols, (doc, own, first, last, at, print_ - (1 << 63), hi, lo)):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]], ["doc_id", "own", "first", "last", "print", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "own", "first", "last", "at", "print", "hi", "lo"])
 
     return run
 
 
-def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def runs(docs: DataFrame, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """Runs to delete: doc_id, own (hash of the text), first_line, last_line, and source_doc_id,
     source_line: where the run's first window stands for the first time. Both ends count."""
     prepare(docs.sparkSession)
-    found = cut(docs.select("doc_id", "text").mapInArrow(_windows(min_words), "doc_id long, own long, first long, last long, print long, hi long, lo long"))
-    shared = found.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    found = cut(docs.select("doc_id", "text").mapInArrow(_windows(min_words, extend), "doc_id long, own long, first long, last long, at long, print long, hi long, lo long"))
+    # A fingerprint is shared if it stands at two places, not if two windows of a text have it.
+    spot = F.xxhash64("doc_id", "own", "at")
+    shared = found.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print")
     place = F.struct("doc_id", "own", "first")
     near = found.join(shared, "print", "left_semi").withColumn("place", place)
     origin = near.groupBy("hi", "lo").agg(F.min("place").alias("from"), F.max("place").alias("to")).where("from <> to").select("hi", "lo", "from")
     later = near.join(origin, ["hi", "lo"]).where(F.col("place") > F.col("from"))
-    doc = Window.partitionBy("doc_id", "own").orderBy("first")
+    doc = Window.partitionBy("doc_id", "own").orderBy("first", "last")
     reach = F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     # Windows that overlap or touch make one run.
     later = later.select("doc_id", "own", "first", "last", "from").distinct()
     later = later.withColumn("new", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1)))
     later = later.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = later.groupBy("doc_id", "own", "run").agg(F.min("first").alias("first_line"), F.max("last").alias("last_line"), F.min_by("from", "first").alias("f"))
+    out = later.groupBy("doc_id", "own", "run").agg(F.min("first").alias("first_line"), F.max("last").alias("last_line"), F.min_by("from", F.struct("first", "last")).alias("f"))
     return out.select("doc_id", "own", "first_line", "last_line", F.col("f.doc_id").alias("source_doc_id"), F.col("f.first").alias("source_line"))
 
 
@@ -110,9 +125,9 @@ def _without(names: dict[str, str]):
     return run
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """docs with later repeated runs of lines deleted from text; all columns and rows stay."""
-    spans = runs(docs, min_words).groupBy("doc_id", "own").agg(F.collect_list(F.struct("first_line", "last_line")).alias("spans"))
+    spans = runs(docs, min_words, extend).groupBy("doc_id", "own").agg(F.collect_list(F.struct("first_line", "last_line")).alias("spans"))
     own, names = aside(docs)
     both = own.join(spans, F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.xxhash64(names["text"]) == F.col("own")), "left")
     return back(both.select(*names.values(), "spans").mapInArrow(_without(names), own.schema), names)
