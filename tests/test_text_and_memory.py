@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -189,3 +190,12 @@ def test_large_registries_match_by_words(spark, monkeypatch):
     want = {(r["id"], r["code"]) for r in relational.names_in_texts(texts, names).collect()}
     monkeypatch.setattr(relational, "SMALL", 0)
     assert {(r["id"], r["code"]) for r in relational.names_in_texts(texts, names).collect()} == want == {(1, "c1"), (1, "c2")}
+
+
+def test_near_dup_pairs_reach_the_whole_radius(spark, sf_dir):
+    from tickloom.plans import texts as plans
+
+    fps = sorted({r["fp"] for r in plans.simhash(spark, sf_dir).collect()} - {0})
+    want = Counter(d for i, a in enumerate(fps) for b in fps[i + 1 :] if (d := ((a ^ b) & (2**64 - 1)).bit_count()) <= 22)
+    got = Counter(r["distance"] for r in plans.near_dup_pairs(spark, sf_dir).collect())
+    assert got == want and max(got) == 22
