@@ -192,6 +192,15 @@ def test_large_registries_match_by_words(spark, monkeypatch):
     assert {(r["id"], r["code"]) for r in relational.names_in_texts(texts, names).collect()} == want == {(1, "c1"), (1, "c2")}
 
 
+def test_names_inside_words_at_every_registry_size(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "At last Haanth. It"), (2, "preHaanthic, (Big Corp)"), (3, "corp"), (4, None), (5, "")], "id long, text string")
+    names = spark.createDataFrame([("Haanth", "c1"), ("Big Corp", "c2"), ("g C", "c3"), ("absent", "c4"), (None, "c5")], "name string, code string")
+    for small in (10, 2, 1):
+        monkeypatch.setattr(relational, "SMALL", small)
+        found = relational.names_in_texts(texts, names)
+        assert sorted(map(tuple, found.collect())) == [(1, "Haanth", "c1"), (2, "Big Corp", "c2"), (2, "Haanth", "c1"), (2, "g C", "c3")]
+
+
 def test_near_dup_pairs_reach_the_whole_radius(spark, sf_dir):
     from tickloom.plans import texts as plans
 

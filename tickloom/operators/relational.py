@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Registries up to this many rows are sent to every task when names are sought in texts.
+#: Registries up to this many rows are sent to every task when names are sought in texts; larger ones go in blocks.
 SMALL = 10_000
 
 
@@ -37,14 +37,12 @@ def names_in_texts(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """texts(id, text) with the name and code of each registry name that text contains.
 
     The registry is sent to every task when it has SMALL rows at most, by count. A larger one is
-    met by words: pairs that share a name's first word, and then the whole name is looked for;
-    names inside a word are then not found.
+    dealt into blocks of about SMALL rows, and every partition of texts meets every block. Both
+    ways compare all names with all texts and find the same.
     """
-    if registry.limit(SMALL + 1).count() <= SMALL:
-        return texts.join(F.broadcast(registry), F.col("text").contains(F.col("name"))).select("id", "name", "code")
-    word = lambda c: F.regexp_extract(c, r"^\S+", 0)
-    tokens = texts.select("id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("_w"))
-    return tokens.join(registry.withColumn("_w", word(F.col("name"))), "_w").where(F.col("text").contains(F.col("name"))).select("id", "name", "code")
+    rows = registry.count()
+    names = F.broadcast(registry) if rows <= SMALL else registry.repartition(-(-rows // max(1, SMALL))).hint("shuffle_replicate_nl")
+    return texts.join(names, F.col("text").contains(F.col("name"))).select("id", "name", "code")
 
 
 def resolve(names: DataFrame, registry: DataFrame, fallback_registry: DataFrame) -> DataFrame:
