@@ -226,6 +226,16 @@ def test_quality(spark):
     assert {r["rule"] for r in out.select("rule").collect()} == {"own"}
 
 
+def test_a_share_of_a_host_is_judged_alike_at_every_size(spark):
+    """By the default limits: a line in 13 % of 60 or 800 texts goes, as does one in all of 20; one in 5 stays."""
+    own = lambda h, k: " ".join(f"{h}{k}w{j}" for j in range(60))
+    rows = []
+    for host, n, have in (("small", 60, 8), ("large", 800, 104), ("all", 20, 20), ("few", 20, 5), ("rare", 800, 16)):
+        rows += [(len(rows) + k, ("share this page\n" if k < have else "") + own(host, k), host) for k in range(n)]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("n_removed > 0")
+    assert {r["source"]: r["count"] for r in found.groupBy("source").count().collect()} == {"small": 8, "large": 104, "all": 20}
+
+
 def test_prefix_sums(spark):
     rows = [(k % 7, k, float(k)) for k in range(500)]
     df = spark.createDataFrame(rows, "a int, b int, c double").repartition(6)

@@ -26,8 +26,9 @@ SYMBOLS = "[#*$%&|<>]"
 class Limits:
     min_words: int = 50
     repeat_percent: int = 50
-    #: A line may be in so many documents of a host, or in this share of them if that is more.
-    line_docs: int = 100
+    #: A line may be in this share of a host's documents, and in so many of them anyhow: a few, that
+    #: hosts of a handful of pages are not judged by chance.
+    line_docs: int = 5
     line_share: float = 0.02
     depleted: float = 0.5
 
@@ -82,7 +83,7 @@ def frequent_lines(docs: DataFrame, limits: Limits) -> tuple[DataFrame, DataFram
     lines = lines.select("doc_id", "host", "doc", "at", F.xxhash64("_l").alias("line"), F.size(F.split("_l", " ")).alias("words"))
     many = lines.groupBy("host", "line").agg(F.countDistinct("doc").alias("docs"))
     hosts = rows.groupBy("host").agg(F.countDistinct("doc").alias("all_docs"))
-    # Only lines above the absolute limit, a small part, meet the hosts' sizes.
+    # Only lines above the floor, a small part, meet the hosts' sizes.
     over = many.where(F.col("docs") > limits.line_docs).join(hosts, "host").where(F.col("docs") > F.col("all_docs") * F.lit(limits.line_share))
     return lines, cut(over.select("host", "line", "docs"))
 
