@@ -241,6 +241,22 @@ def test_alignment_is_a_common_subsequence():
     assert len(licenses.align(["the"] * 9 + cut + ["the"], words)) == 55
 
 
+def test_licenses_stated_twice_in_mid_text():
+    """Two statements close together, whole, with words between and with some of their own words lost."""
+    all_ = licenses.prepared()
+    filler = " ".join(f"f{k}" for k in range(60))
+    for name, variants in licenses.TEMPLATES.items():
+        for t in variants:
+            for times in (2, 3, 5):
+                for between in (" ", " Acme. ", " x y z "):
+                    found = {x[0]: x for x in licenses.scan(f"{filler} {between.join([t] * times)} {filler}", all_)}
+                    assert name in found, (t, times, between)
+                    assert found[name][1] == 1.0 and 60 <= found[name][2] <= found[name][3]
+    long = licenses.TEMPLATES["GPL-3.0"][1].split()
+    worn = " ".join(w for k, w in enumerate(long) if k % 10)
+    assert "GPL-3.0" in {x[0] for x in licenses.scan(f"{filler} {worn} {worn} {filler}", all_)}
+
+
 def test_licenses(spark):
     filler = " ".join(f"f{k}" for k in range(400))
     apache = licenses.TEMPLATES["Apache-2.0"][1]

@@ -8,7 +8,10 @@ repeated words count too. Coverage is the share of the template's words that are
 A text may state a license anywhere and more than once, so each alignment is over a window of
 the text: around every place of the template's words that are rarest in this text, so many of
 them that any match of the wanted coverage has one. Windows that overlap are aligned as one if no
-longer than two templates. The best window counts, the first of equals.
+longer than two templates. The best window counts, the first of equals. Where such a window holds
+a word more often than the template and is not aligned whole, as of statements close together, in
+which no word is unique, windows of one template's length and of a quarter more are aligned, too,
+from every place where a statement can start by a rare word's place.
 
 Null and empty texts match nothing. Every row is scanned, repeats too. Rows keep no other columns.
 """
@@ -100,6 +103,13 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def narrow(at: list[int], lo: int, hi: int, template: list[str], rare: list[str]) -> list[tuple[int, int]]:
+    """Windows of one template's length and of 1.25, each with a rare word at a place it has in the template."""
+    size = len(template)
+    starts = sorted({k - j for k in at for j, w in enumerate(template) if w in rare})
+    return sorted({(max(lo, a), min(hi, a + n)) for a in starts for n in (size, size + size // 4) if a + size > lo and a < hi})
+
+
 def best(text: list[str], places: dict[str, list[int]], template: list[str], coverage: float) -> tuple[int, int, int] | None:
     """(words aligned, first word, last word) of the best window, if it covers enough."""
     need = -(-len(template) * coverage // 1)
@@ -115,16 +125,23 @@ def best(text: list[str], places: dict[str, list[int]], template: list[str], cov
     reach = 2 * len(template)
     found = None
     spans: list[list[int]] = []
-    for at in sorted({k for w in rare for k in places.get(w, ())}):
+    places_of = sorted({k for w in rare for k in places.get(w, ())})
+    for at in places_of:
         lo, hi = max(0, at - reach), min(len(text), at + reach + 1)
         if spans and hi - spans[-1][0] <= 2 * reach + 2 * len(template):
             spans[-1][1] = hi
         else:
             spans.append([lo, hi])
     for lo, hi in spans:
-        got = align(text[lo:hi], template)
-        if len(got) >= need and (found is None or len(got) > found[0]):
-            found = len(got), lo + got[0][0], lo + got[-1][0]
+        tries = [(lo, hi)]
+        for a, b in tries:
+            got = align(text[a:b], template)
+            if (a, b) == (lo, hi) and len(tries) == 1 and len(got) < len(template):
+                own = Counter(text[lo:hi])
+                if any(own[w] > n for w, n in Counter(template).items()):
+                    tries += narrow(places_of[bisect_left(places_of, lo) : bisect_left(places_of, hi)], lo, hi, template, rare)
+            if len(got) >= need and (found is None or len(got) > found[0]):
+                found = len(got), a + got[0][0], a + got[-1][0]
     return found
 
 
