@@ -15,25 +15,42 @@ BLANK_CHARS = " \t\n\x0b\f\r"
 REPO = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows of a table of keys that every task may get; measured by count before each broadcast.
+SMALL = 100_000
+#: A key is heavy with more than a share of 1 in so many of all rows, so that no more keys than this are.
+HEAVY = 10_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and keep Arrow batches of long texts small."""
+    """Let Python workers import this package and, unless the user set it, keep Arrow batches of long texts small."""
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if spark.conf.get(_BATCH, "10000") == "10000":  # Spark's default
+        spark.conf.set(_BATCH, "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, a temporary one
+    if driver and executors are one process; anything else is an error, for they share no local disk."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of an intermediate table, wherever it is stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: no lineage, stable partitions and rows."""
     shared_dir(df.sparkSession)
@@ -50,6 +67,23 @@ def back(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with groups by key, where groups has one row a key and, in size, its number of rows.
+
+    Heavy keys, HEAVY of them at most by their share of all rows, are sent to every task, so that
+    their rows stay where they are; the others meet by a shuffle. Both tables are read twice: give
+    checkpoints. Keys that are null match nothing.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    limit = max(1000, total // HEAVY)
+    heavy = groups.where(F.col(size) > limit)
+    if heavy.isEmpty():
+        return rows.join(groups, key)
+    fast = rows.join(F.broadcast(heavy), key)
+    slow = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.where(F.col(size) <= limit), key)
+    return fast.unionByName(slow.select(*fast.columns))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
