@@ -19,18 +19,22 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{BLANKS}', ' ', 'g
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
+# Equal lines of two places, the later one second, make diagonals; their stretches without a gap are the
+# maximal runs. In one document a run and its source may not overlap, so runs of at most d lines count there.
 OP3 = r"""
 WITH raw AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 norm AS (SELECT doc_id, pos, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw),
 l AS (SELECT *, row_number() OVER o AS k, sum(n) OVER o AS total FROM norm WHERE n > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-e AS (SELECT a.doc_id, a.k, a.pos, a.total - a.n + 50 AS need FROM l a),
-w AS (SELECT e.doc_id, e.k, e.pos AS first, b.k AS last_k, b.pos AS last FROM e ASOF JOIN l b ON e.doc_id = b.doc_id AND b.total >= e.need),
-v AS (SELECT doc_id, array_agg(line ORDER BY k) AS lines FROM l GROUP BY doc_id),
-x AS (SELECT w.doc_id, first, last, array_to_string(v.lines[w.k:w.last_k], chr(10)) AS content FROM w JOIN v USING (doc_id)),
-f AS (SELECT *, first_value(struct_pack(d := doc_id, l := first)) OVER (PARTITION BY content ORDER BY doc_id, first) AS origin FROM x),
-r AS (SELECT *, coalesce(first > 1 + max(last) OVER (PARTITION BY doc_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM f WHERE origin.d <> doc_id OR origin.l <> first),
-g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY first) AS run FROM r)
-SELECT doc_id, min(first)::BIGINT AS first_line, max(last)::BIGINT AS last_line, min_by(origin.d, first)::BIGINT AS source_doc_id, min_by(origin.l, first)::BIGINT AS source_line FROM g GROUP BY doc_id, run
+p AS (SELECT a.doc_id AS d, a.pos AS src, b.doc_id, b.k, b.k - a.k AS shift, b.pos, b.n, b.total FROM l a JOIN l b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.k < b.k)),
+i AS (SELECT *, k - row_number() OVER (PARTITION BY d, doc_id, shift ORDER BY k) AS island FROM p),
+m AS (SELECT *, count(*) OVER w AS len, row_number() OVER (w ORDER BY k) AS nth FROM i WINDOW w AS (PARTITION BY d, doc_id, shift, island)),
+s AS (SELECT a.doc_id, a.k, a.pos AS first, b.pos AS last FROM m a JOIN m b ON a.d = b.d AND a.doc_id = b.doc_id AND a.shift = b.shift AND a.island = b.island AND b.nth = a.nth + (CASE WHEN a.d = a.doc_id THEN least(a.len, a.shift) ELSE a.len END) - 1 WHERE b.total - a.total + a.n >= 50),
+r AS (SELECT *, coalesce(first > 1 + max(last) OVER (PARTITION BY doc_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS run FROM r),
+u AS (SELECT doc_id, min(first) AS first_line, max(last) AS last_line, min(k) AS k FROM g GROUP BY doc_id, run),
+e AS (SELECT u.*, (SELECT min(b.k) FROM l b WHERE b.doc_id = u.doc_id AND b.k >= u.k AND b.total >= a.total - a.n + 50) AS until FROM u JOIN l a ON a.doc_id = u.doc_id AND a.k = u.k)
+SELECT e.doc_id, first_line::BIGINT AS first_line, last_line::BIGINT AS last_line, min(m.d)::BIGINT AS source_doc_id, min_by(m.src, (m.d, m.src))::BIGINT AS source_line
+FROM e JOIN m ON m.doc_id = e.doc_id AND m.k = e.k AND m.len - m.nth >= e.until - e.k GROUP BY e.doc_id, first_line, last_line
 """
 
 OP4 = r"""
@@ -59,7 +63,7 @@ l AS (SELECT doc_id, host, t, unnest(ls) AS raw FROM b),
 n AS (SELECT *, lower(array_to_string(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), ' ')) AS line, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS k FROM l),
 f AS (SELECT host, line, count(DISTINCT t) AS docs FROM n WHERE line <> '' GROUP BY host, line),
 h AS (SELECT host, count(DISTINCT t) AS all_docs FROM d GROUP BY host),
-o AS (SELECT host, line FROM f JOIN h USING (host) WHERE docs > 100 AND docs > 0.02 * all_docs),
+o AS (SELECT host, line FROM f JOIN h USING (host) WHERE docs > 5 AND docs > 0.02 * all_docs),
 x AS (SELECT doc_id, sum(k) AS removed FROM n JOIN o USING (host, line) GROUP BY doc_id),
 z AS (SELECT b.*, coalesce(removed, 0) AS removed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b LEFT JOIN x ON x.doc_id = b.doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND removed <= 0.5 * n_words AS kept FROM z
