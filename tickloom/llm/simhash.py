@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import aside, back, cut, prepare
+from .common import SMALL, aside, back, cut, join_groups, prepare
 from .components import components
 
 SHINGLE = 3
@@ -113,41 +114,75 @@ def offsets(parts: int, radius: int) -> list[tuple[int, ...]]:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile: int = TILE) -> DataFrame:
-    """distinct(fp), no repeats → (src, dst) that connect what links within the radius connect."""
+    """distinct(fp), no repeats → (src, dst) that connect what links within the radius connect.
+
+    Pairs of tiles are made from the cells' numbers of tiles alone, so that the pairs of a crowded
+    cell are dealt evenly over all tasks before any fingerprints meet them. Then each side is
+    fetched by (cell, tile), a key that no more pairs share than near cells have tiles.
+    """
     width = 64 // parts
     mask = (1 << width) - 1
     counts = [F.bit_count(F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit(mask))) for k in range(parts)]
     number = sum((c * 65**k for k, c in enumerate(counts)), F.lit(0).cast("long"))
-    cells = distinct.select("fp", number.alias("cell"))
-    many = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    tiles = cells.join(many, "cell").groupBy("cell", F.pmod(F.xxhash64("fp"), "tiles").alias("tile")).agg(F.collect_list("fp").alias("fps"))
-    tiles = cut(tiles)
+    cells = cut(distinct.select("fp", number.alias("cell")))
+    # One row a cell: there are (width + 1) ** parts of them at most.
+    many = cut(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles")))
+    dealt = cells.join(F.broadcast(many), "cell") if (width + 1) ** parts <= SMALL else cells.join(many, "cell")
+    tiles = cut(dealt.groupBy("cell", F.pmod(F.xxhash64("fp"), "tiles").alias("tile")).agg(F.collect_list("fp").alias("fps")))
     steps = F.array(*[F.lit(sum(x * 65**k for k, x in enumerate(d))).cast("long") for d in offsets(parts, radius)])
-    left = tiles.select(F.explode(F.transform(steps, lambda s: F.col("cell") + s)).alias("to"), F.col("cell").alias("from"), F.col("tile").alias("own"), F.col("fps").alias("left"))
-    pairs = left.join(tiles.select(F.col("cell").alias("to"), "tile", F.col("fps").alias("right")), "to").where("from <> to or own <= tile")
+    near = many.select(F.explode(F.transform(steps, lambda s: F.col("cell") + s)).alias("to"), "cell", "tiles")
+    near = near.join(many.select(F.col("cell").alias("to"), F.col("tiles").alias("others")), "to")
+    near = near.select("cell", "to", "others", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
+    n = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = near.repartition(n, F.xxhash64("cell", "to", "tile"))
+    pairs = near.select("cell", "tile", "to", F.explode(F.sequence(F.when(F.col("cell") == F.col("to"), F.col("tile")).otherwise(F.lit(0)).cast("long"), F.col("others") - 1)).alias("other"))
+    left, right = tiles.withColumnRenamed("fps", "left"), tiles.select(F.col("cell").alias("to"), F.col("tile").alias("other"), F.col("fps").alias("right"))
+    pairs = pairs.join(left, ["cell", "tile"]).join(right, ["to", "other"])
     return pairs.select("left", "right").mapInArrow(_compare(radius), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links reach, one row per document."""
     own = cut(fingerprints(docs))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = cut(components(links(distinct.select("fp"), radius)))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(distinct.select("fp"), radius))
+    placed = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")))
+    ids = cut(join_groups(placed, least, "root", "fps").select("fp", "n", "component_id"))
+    return join_groups(own, ids, "fp", "n").select("doc_id", "fp", "component_id")
+
+
+def _printed(at: int):
+    """Batches with the fingerprint of column ``at`` as a last column."""
+
+    def run(batches):
+        for b in batches:
+            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(at)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "fp"])
+
+    return run
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with all its columns.
 
-    Where rows repeat that id, the one with the smallest text stays; rows without an id stay.
+    What goes is told by doc_id and sent to every task while short, so that texts stay where they
+    are. Rows that repeat a doc_id are told apart by their fingerprints: each goes or stays with
+    its own component, and of those in one component the one with the smallest text stays. Rows
+    without a doc_id stay.
     """
-    stay = cut(near_duplicates(docs, radius).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
+    told = near_duplicates(docs, radius).where("doc_id is not null")
+    told = cut(told.groupBy("doc_id", "fp", "component_id").agg(F.count(F.lit(1)).alias("copies")))
     own, names = aside(docs)
-    rows = own.join(stay, F.col(names["doc_id"]) == F.col("doc_id"))
-    once = back(rows.where("copies = 1"), names).unionByName(docs.where("doc_id is null"))
-    if stay.where("copies > 1").isEmpty():
+    doc, text = F.col(names["doc_id"]), F.col(names["text"])
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= small else ids
+    twice = cut(told.groupBy("doc_id").agg(F.sum("copies").alias("rows")).where("rows > 1").select("doc_id"))
+    gone = cut(told.where("doc_id <> component_id").select("doc_id").unionByName(twice).distinct())
+    once = back(own.join(sent(gone), doc == F.col("doc_id"), "left_anti"), names)
+    if twice.isEmpty():
         return once
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.col(names["text"]), F.lit(""))))
-    return once.unionByName(back(rows.where("copies > 1").withColumn("at", first).where("at = 1"), names))
+    rows = own.join(sent(twice), doc == F.col("doc_id"), "left_semi")
+    rows = rows.mapInArrow(_printed(list(names).index("text")), T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))
+    rows = rows.join(told.where("doc_id = component_id").drop("copies"), (doc == F.col("doc_id")) & (rows["fp"] == told["fp"]))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(text, F.lit(""))))
+    return once.unionByName(back(rows.withColumn("at", first).where("at = 1"), names))
