@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,30 +25,43 @@ from . import idcoder, tokens
 from .common import prepare, shared_dir
 
 END = 2
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 FILE = "part int, block int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
+def _gathered(batches, size: int):
+    """(doc_ids, texts) of batches, joined until they have so many bytes."""
+    docs, texts, held = [], [], 0
+    for b in batches:
+        docs.append(b.column(0))
+        texts.append(b.column(1))
+        held += b.column(1).nbytes
+        if held >= size:
+            yield pa.concat_arrays(docs), pa.concat_arrays(texts)
+            docs, texts, held = [], [], 0
+    if docs:
+        yield pa.concat_arrays(docs), pa.concat_arrays(texts)
+
+
 def _blocks(path: str, end: int, vocabulary: int, most: int):
-    tail = array("I", [end]).tobytes()
+    tail = np.array([end], np.uint32)
 
     def run(batches):
         from pyspark import TaskContext
 
-        coder, part, block = tokens.words(path, tokens.DROP), TaskContext.get().partitionId(), 0
+        coder, part, block = tokens.words(path), TaskContext.get().partitionId(), 0
         docs, sizes, held, n = [], [], [], 0
 
         def row():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            cells = [[part], [block], [n], [docs], [sizes], [idcoder.encode(ids, vocabulary)]]
+            cells = [[part], [block], [n], [docs], [sizes], [idcoder.encode(np.concatenate(held), vocabulary)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["part", "block", "n_ids", "doc_ids", "lengths", "payload"])
 
-        for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode_all(b.column(1).to_pylist())):
+        for ids_of, texts in _gathered(batches, tokens.TOGETHER):
+            for doc, ids in zip(ids_of.to_pylist(), coder.encode_all(texts)):
                 docs.append(doc)
-                held.append(ids + tail)
-                sizes.append(len(held[-1]) // 4)
+                held += [ids, tail]
+                sizes.append(len(ids) + 1)
                 n += sizes[-1]
                 if n >= most:
                     yield row()

@@ -6,7 +6,8 @@ longest; a tournament tree over the free room of the group's bins finds the firs
 room in a logarithmic number of steps. Groups are independent tasks of bounded size.
 
 Null text is an empty document: its end id alone. Every row is a document of its own, so rows
-that repeat a doc_id are packed again; ``copy`` tells them apart. A null doc_id is carried along. An empty table
+that repeat a doc_id are packed again; ``copy`` tells them apart: 0, or the place among them by
+ids and, of equal ones, by where they were read. A null doc_id is carried along. An empty table
 gives an empty result.
 """
 
@@ -15,7 +16,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,9 @@ LENGTH = 2048
 END = 1
 #: Documents in a group, on average.
 GROUP = 4096
+#: Columns of a piece as it is cut: _row is where its document was read, _crc the CRC-32 of all its ids.
+PIECE = ("doc_id", "_row", "_crc", "start", "length", "ids_crc32", "doc_tokens")
+KEPT = ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 class Bins:
@@ -62,47 +65,49 @@ def _pieces(path: str, length: int, end: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        coder = tokens.words(path, tokens.LEAD)
+        coder = tokens.ranks(path)
         for b in batches:
-            rows = [[], [], [], [], [], []]
-            for doc, copy, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), coder.encode_all(b.column(2).to_pylist())):
-                ids = body + tail
+            rows = [[] for _ in PIECE]
+            for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                ids = coder.encode(text.as_py()) + tail
+                whole = zlib.crc32(ids)
                 for at in range(0, len(ids), 4 * length):
                     part = ids[at : at + 4 * length]
-                    for out, x in zip(rows, (doc, copy, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)):
+                    for out, x in zip(rows, (doc, row, whole, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4)):
                         out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], list(PIECE))
 
     return run
 
 
 def _pack(length: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "copy", "start"], ascending=[False, True, True, True], kind="stable")
-        placed = first_fit(pdf["length"].tolist(), length)
-        pdf["sequence_id"] = (int(key[0]) << 32) + np.array([x for x, _ in placed], np.int64)
-        pdf["offset"] = np.array([x for _, x in placed], np.int64)
-        return pdf.drop(columns="group")
+    def run(key: tuple, pieces: pa.Table) -> pa.Table:
+        pieces = pieces.select(KEPT).sort_by([("length", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("start", "ascending")])
+        placed = np.array(first_fit(pieces["length"].to_pylist(), length), np.int64)
+        sequence = (key[0].as_py() << 32) + placed[:, 0]
+        return pieces.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(placed[:, 1]))
 
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text with copy: 0, or the place among rows that repeat a doc_id."""
-    own = docs.select("doc_id", "text")
-    twice = cut(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")))
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces with copy in place of _row: 0, or the place among rows that repeat a doc_id."""
+    heads = pieces.where("start = 0").select("doc_id", "_row", "_crc", "doc_tokens")
+    twice = cut(heads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")))
+    plain = [c for c in pieces.columns if c not in ("_row", "_crc")]
     if twice.isEmpty():
-        return own.select("doc_id", F.lit(0).cast("long").alias("copy"), "text")
-    both = own.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rest = own.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    copy = (F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1).cast("long")
-    return rest.select("doc_id", F.lit(0).cast("long").alias("copy"), "text").unionByName(both.select("doc_id", copy.alias("copy"), "text"))
+        return pieces.select(F.lit(0).cast("long").alias("copy"), *plain)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_crc", "doc_tokens", "_row")) - 1
+    copies = heads.join(twice, same, "left_semi").select(F.col("_row").alias("_at"), place.cast("long").alias("copy"))
+    return pieces.join(copies, F.col("_row") == F.col("_at"), "left").select(F.coalesce("copy", F.lit(0)).cast("long").alias("copy"), *plain)
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, group: int = GROUP, seed: int = 5) -> DataFrame:
     """One row per piece: doc_id, copy, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     prepare(docs.sparkSession)
-    pieces = cut(numbered(docs).mapInArrow(_pieces(path, length, end), "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), "text")
+    pieces = cut(rows.mapInArrow(_pieces(path, length, end), ", ".join(f"{c} long" for c in PIECE)))
     groups = max(1, -(-pieces.where("start = 0").count() // group))
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(groups)))
-    return pieces.groupBy("group").applyInPandas(_pack(length), "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    pieces = numbered(pieces).withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.lit(groups)))
+    return pieces.groupBy("group").applyInArrow(_pack(length), ", ".join(f"{c} long" for c in (*KEPT, "sequence_id", "offset")))

@@ -1,164 +1,239 @@
-"""Token ids of whole texts by public tokenizer files, with a cache of word ids.
-
-Both tokenizers cut texts at white space before they merge anything, so that ids of a text are
-the ids of its words in order. Words repeat; a worker encodes each once while its cache lasts.
-``LEAD`` is for byte-level files whose words take the one space before them along; ``DROP`` for
-files that drop white space and case. Texts with unusual white space or, for ``DROP``, with
-characters whose case or composition depends on their neighbours go through the tokenizer whole.
-The vocabulary's place is a parameter.
+"""Token ids of whole texts by public tokenizer files.
+
+``ranks`` is for byte-level files whose ids are ranks of merges: whole texts go through tiktoken
+with the file's own vocabulary, which gives the ids of the tokenizers library at a fraction of the
+time and keeps nothing between texts.
+
+``words`` is for files that drop white space and case and cut texts at white space before they
+merge anything, so that ids of a text are the ids of its words in order. Words repeat; a worker
+encodes each once while its cache lasts. Texts of a batch are split and numbered by word in
+Arrow, and only different words reach Python. Texts with unusual white space or with characters
+whose case or composition depends on their neighbours go through the tokenizer whole.
+
+Vocabularies' places are parameters. Nulls are empty texts and have no ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
 
-LEAD, DROP = "lead", "drop"
-#: Words a worker remembers; more, and it starts anew.
-CACHE = 1_200_000
-#: Characters of texts that are looked up together.
-TOGETHER = 1 << 14
-#: Marks that both tokenizers cut off the letter before them.
+#: Words that a cache may hold, of some 40 bytes each; more, and it starts anew.
+WORDS = 1_500_000
+#: Bytes of texts that are best looked up together.
+TOGETHER = 1 << 24
+#: Marks that the tokenizer cuts off the letter before them.
 STOPS = ".,"
-_SPACE, _END = "\u0120", "</w>"
-#: White space other than one space or line end between words.
-_ODD_LEAD = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+_END = "</w>"
 #: Characters whose case or composition may depend on others, and white space that bytes do not split at.
-_ODD_DROP = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\u200f\u2028-\U0010ffff]")
-_loaded: dict[tuple[str, str], "Words"] = {}
+_ODD = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{130}\x{250}-\x{10ffff}]"
+#: Fixed value: how byte-level files cut texts before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PROBE = "It's  a \n probe of 12,345 cafés… <|endoftext|> 中文\U0001f600.  "
+_loaded: dict[tuple[type, str], object] = {}
 
 
 def _spelling() -> dict[int, str]:
-    """How byte-level files spell the byte values: printing Latin-1 as itself, the others from 256 on.
-    Line ends stay, to part the words that are spelt together."""
+    """How byte-level files spell the byte values: printing Latin-1 as itself, the others from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown) if b != 10}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
 
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+class Ranks:
+    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte_of = {c: b for b, c in _spelling().items()}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        own = [*byte_of, *merged]
+        at = [model["vocab"][t] for t in own]
+        if model.get("end_of_word_suffix") or sorted(at) != list(range(len(at))) or at[256:] != sorted(at[256:]):
+            raise ValueError(f"{path}: not a byte-level file whose ids are ranks of merges")
+        ranks = {bytes(byte_of[c] for c in t): k for t, k in zip(own, at)}
+        self.coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if self.coder.encode_ordinary(_PROBE) != _library(path).encode(_PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: texts are cut in another way")
+
+    def encode(self, text: str | None) -> bytes:
+        return array("I", self.coder.encode_ordinary(text)).tobytes() if text else b""
 
-_TABLE = _spelling()
+
+def ranks(path: str) -> Ranks:
+    """One per worker process and file; it keeps no more than the vocabulary."""
+    if (Ranks, path) not in _loaded:
+        _loaded[Ranks, path] = Ranks(path)
+    return _loaded[Ranks, path]
 
 
 class Words:
-    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers.
+    """Ids of texts, by a cache of words.
 
     A word of letters needs no normaliser or pre-tokenizer of the file: many at a time go
-    straight to its merges, and the lengths of the tokens tell where each word's ids end.
+    straight to its merges. Tokens spell the words' bytes, so that their lengths tell where each
+    word's ids end. The cache is a column of words, and the ids of all of them one after the other.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, most: int = WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = _library(path)
         self.merges = Tokenizer(self.tokenizer.model)
-        self.lead = kind == LEAD
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.lengths[k] = len(token.removesuffix(_END))
-        self.line_end = self._whole(["\n"])[0]
-        self.stops = dict(zip(STOPS, self._whole(list(STOPS))))
-        self.ids: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        out, some, size = [], [], 0
-        for t in texts:
-            some.append(t or "")
-            size += len(some[-1])
-            if size > TOGETHER:
-                out += self._some(some)
-                some, size = [], 0
-        return out + self._some(some)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Keys of the words of text: a leading line end or tab marks a word after a line end, or the
-        first one; None for a text that must be encoded whole."""
-        if not self.lead:
-            return None if _ODD_DROP.search(text) else text.lower().split()
-        if not text:
+        # A word's byte-level spelling differs from its letters outside ASCII only.
+        self.table = {b: c for b, c in _spelling().items() if b != 10}
+        self.stops = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(STOPS), add_special_tokens=False)]
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([""], pa.string())
+        self.ends = np.zeros(2, np.int32)  # the k-th word's ids are self.flat[self.ends[k] : self.ends[k + 1]]
+        self.flat = np.zeros(0, np.uint32)
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, uint32. Best for texts of some million characters together."""
+        if not len(texts):
             return []
-        return None if (text[0] + text[-1]).strip() != text[0] + text[-1] or any(map(text.__contains__, _ODD_LEAD)) else ("\t" + text.replace("\n", " \n")).split(" ")
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        pieces = list(map(self._pieces, texts))
-        get = self.ids.get
-        found = [list(map(get, p)) if p is not None else None for p in pieces]
-        gaps = [(ps, xs, _gaps(xs)) for ps, xs in zip(pieces, found) if xs and None in xs]
-        missing = {ps[k] for ps, _, at in gaps for k in at}
-        if missing:
-            if len(self.ids) + len(missing) > CACHE:
-                self.ids.clear()
-            self._learn(list(missing))
-            for ps, xs, at in gaps:
-                for k in at:
-                    xs[k] = self.ids[ps[k]]
-        odd = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
-        return [next(odd) if xs is None else b"".join(xs) for xs in found]
-
-    def _learn(self, new: list[str]) -> None:
-        plain: tuple[list, list] = ([], [])  # words of letters without, with a space before them
-        other: tuple[list, list] = ([], [])
-        for key in new:
-            mark = key[0] if key[0] in "\n\t" else ""
-            word = key[1:] if mark else key
-            stop = word[-1:]
-            if stop in self.stops and word[-2:-1].isalpha():
-                word = word[:-1]
-            else:
-                stop = ""
-            kind = 0 if mark or not self.lead else 1
-            (plain if word.isalpha() else other)[kind].append((key, word, mark, stop))
-        for kind in (0, 1):
-            for rows, ids in ((plain[kind], self._letters), (other[kind], self._others)):
-                if rows:
-                    for (key, _, mark, stop), own in zip(rows, ids([r[1] for r in rows], kind)):
-                        if mark == "\n":
-                            own = self.line_end + own
-                        self.ids[key] = own + self.stops[stop] if stop else own
-
-    def _others(self, words: list[str], spaced: int) -> list[bytes]:
-        return self._whole([" " + w for w in words] if spaced else words)
-
-    def _letters(self, words: list[str], spaced: int) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        pieces = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        coded = pieces.flatten().dictionary_encode()
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        ids, ends = self._gather(at)
+        bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            for k, e in zip(whole, self.tokenizer.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)):
+                out[k] = np.array(e.ids, np.uint32)
+        return out
+
+    def _places(self, different: pa.Array) -> np.ndarray:
+        """Where different words stand in the cache, which learns those that it lacks.
+
+        A stop after a letter comes apart in any case, so such a word's ids are those of the rest,
+        which may be known, and the stop's. Looking up is dear for the cache's size: it is done once.
+        """
+        stopped = pc.match_substring_regex(different, rf"\p{{L}}[{STOPS}]$")
+        ended = different.filter(stopped)
+        both = pa.concat_arrays([different, pc.utf8_slice_codeunits(ended, 0, -1)])
+        found = pc.index_in(both, value_set=self.words)
+        lacking = found.slice(0, len(different)).null_count
+        if lacking and len(self.words) + 2 * lacking > self.most:
+            self.clear()
+            found = pc.index_in(both, value_set=self.words)
+        at = pc.fill_null(found, -1).to_numpy().copy()
+        at, rest = at[: len(different)], at[len(different) :]
+        if not lacking:
+            return at
+        stopped = stopped.to_numpy(zero_copy_only=False)
+        plain, late = (at < 0) & ~stopped, at[stopped] < 0
+        bare = both.slice(len(different)).filter(pa.array(late))
+        rest = rest[late]
+        fresh = self._learn(pc.unique(pa.concat_arrays([different.filter(pa.array(plain)), bare.filter(pa.array(rest < 0))])))
+        known = len(self.words) - len(fresh)
+        at[plain] = known + pc.index_in(different.filter(pa.array(plain)), value_set=fresh).to_numpy()
+        if len(bare):
+            rest[rest < 0] = known + pc.index_in(bare.filter(pa.array(rest < 0)), value_set=fresh).to_numpy()
+            marks = ended.filter(pa.array(late))
+            at[np.flatnonzero(stopped)[late]] = len(self.words) + np.arange(len(marks))
+            self._add(marks, *self._with_stops(rest, marks))
+        return at
+
+    def _with_stops(self, at: np.ndarray, marks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places with the ids of the stops that marks end with."""
+        body, ends = self._gather(at)
+        sizes, which = np.diff(ends, prepend=0), np.zeros(len(marks), np.int64)
+        for k, mark in enumerate(STOPS):
+            which[pc.ends_with(marks, mark).to_numpy(zero_copy_only=False)] = k
+        tails = np.array([len(x) for x in self.stops])[which]
+        last = np.cumsum(sizes + tails)
+        flat = np.empty(last[-1], np.uint32)
+        flat[_ranges(last - tails - sizes, sizes)] = body
+        for k, ids in enumerate(self.stops):
+            for j, x in enumerate(ids):
+                flat[(last - tails + j)[which == k]] = x
+        return flat, last
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, and where each word's end."""
+        first = self.ends[at]
+        sizes = self.ends[at + 1] - first
+        ends = np.cumsum(sizes, dtype=np.int32)
+        from_ = np.repeat(first - (ends - sizes), sizes)
+        from_ += np.arange(len(from_), dtype=np.int32)
+        return self.flat[from_], ends
+
+    def _learn(self, fresh: pa.Array) -> pa.Array:
+        """Put words and their ids at the end of the cache; the words as they stand there."""
+        plain = pc.utf8_is_alpha(fresh)
+        parts = [fresh.filter(plain), fresh.filter(pc.invert(plain))]
+        for some, ids in zip(parts, (self._letters, self._others)):
+            if len(some):
+                self._add(some, *ids(some.to_pylist()))
+        return pa.concat_arrays(parts)
+
+    def _add(self, words: pa.Array, flat: np.ndarray, ends: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ends = np.concatenate([self.ends, (ends + len(self.flat)).astype(np.int32)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By the whole tokenizer, which never joins what white space parts."""
+        found = self.tokenizer.encode_batch_fast([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)], add_special_tokens=False)
+        return self._parted(np.array([k for e in found for k in e.ids], np.uint32), [len(w.encode("utf-8")) for w in words])
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         together = "\n".join(words)
         if not together.isascii():
-            together = together.encode("utf-8").decode("latin-1").translate(_TABLE)
-        spelt = (_SPACE + together.replace("\n", "\n" + _SPACE) if spaced else together).split("\n")
-        ids = array("I", self.merges.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids)
-        covered = np.cumsum(self.lengths[np.frombuffer(ids, np.uint32)])
-        ends = np.searchsorted(covered, np.cumsum([len(w) for w in spelt])) + 1
-        if covered[-1] != sum(map(len, spelt)):
+            together = together.encode("utf-8").decode("latin-1").translate(self.table)
+        spelt = together.split("\n")
+        ids = self.merges.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids
+        return self._parted(np.array(ids, np.uint32), list(map(len, spelt)))
+
+    def _parted(self, ids: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """ids, and where those of each word end, by the words' bytes."""
+        covered, bounds = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
+        ends = np.searchsorted(covered, bounds) + 1
+        if (covered[ends - 1] != bounds).any() or ends[-1] != len(ids):
             raise AssertionError("tokens do not spell the words")
-        raw, cuts = ids.tobytes(), (4 * ends).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        return ids, ends
 
 
-def _gaps(found: list) -> list[int]:
-    """Places of None, of which there are few."""
-    out, k = [], -1
-    try:
-        while True:
-            out.append(k := found.index(None, k + 1))
-    except ValueError:
-        return out
+def words(path: str) -> Words:
+    """One per worker process and file; an executor has few workers, and its cache is bounded."""
+    if (Words, path) not in _loaded:
+        _loaded[Words, path] = Words(path)
+    return _loaded[Words, path]
 
 
-def words(path: str, kind: str) -> Words:
-    """One per worker process and file; an executor has few workers."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, kind) not in _loaded:
-        _loaded[path, kind] = Words(path, kind)
-    return _loaded[path, kind]
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, … for each size."""
+    total = np.cumsum(sizes)
+    return np.repeat(first - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
