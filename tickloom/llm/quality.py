@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, aside, back, cut, let, words
+from .common import BLANKS, SMALL, aside, back, cut, let, words
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -43,14 +43,18 @@ def repeated(w: Column) -> Column:
     Windows are hashed and sorted with their places; equal neighbours are the repeated ones.
     """
     n = F.size(w)
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def places(s: Column) -> Column:
         twice = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
         return F.transform(F.filter(s, lambda x, k: F.coalesce(twice(x, k), F.lit(False))), lambda x: x["i"])
 
-    covered = let(let(F.sort_array(hashes), places), lambda p: F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2))))
-    return F.when(n < 3, 0).otherwise(F.size(covered))
+    def covered(h: Column) -> Column:
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        words = let(let(F.sort_array(placed), places), lambda p: F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2))))
+        return F.when(F.size(F.array_distinct(h)) == n - 2, 0).otherwise(F.size(words))  # most texts repeat none
+
+    return F.when(n < 3, 0).otherwise(let(hashes, covered))
 
 
 def base(text: Column, limits: Limits = Limits()) -> Column:
@@ -91,36 +95,67 @@ def frequent_lines(docs: DataFrame, limits: Limits) -> tuple[DataFrame, DataFram
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def _judged(docs: DataFrame, limits: Limits) -> tuple[DataFrame, dict[str, str]]:
-    """docs with new names, and base, bad (struct at, words of each line to remove), n_removed, rule.
+def _bad(text: Column, listed: Column) -> Column:
+    """Structs (at, words) of the lines of text whose hash is in listed; null if listed is."""
+    found = F.transform(F.split(text, "\n"), lambda raw, k: let(_line(raw), lambda x: F.struct(k.alias("at"), F.size(F.split(x, " ")).alias("words"), F.xxhash64(x).alias("line"))))
+    return F.when(listed.isNotNull(), F.filter(found, lambda x: F.array_contains(listed, x["line"])))
+
+
+def _facts(text: Column, bad: Column, limits: Limits) -> Column:
+    """Struct of the base facts, n_removed, rule, and bad; to be evaluated once per row."""
+
+    def judged(b: Column, x: Column) -> Column:
+        lost = F.coalesce(F.aggregate(x, F.lit(0), lambda a, e: a + e["words"]), F.lit(0)).cast("long")
+        depleted = lost > b["n_words"] * F.lit(limits.depleted)
+        rule = F.when(b["base_failed"], "base").when(depleted, "depleted")
+        return F.struct(*[b[k].alias(k) for k in FACTS], lost.alias("n_removed"), rule.alias("rule"), x.alias("bad"))
+
+    return let(base(text, limits), lambda b: let(bad, lambda x: judged(b, x)))
+
 
-    For the counts only hashes of lines are shuffled; texts move only if the caller keeps them.
-    Documents without a frequent line, nearly all, meet the short table of those that have one.
+def _judged(docs: DataFrame, limits: Limits, small: int) -> tuple[DataFrame, dict[str, str], Column]:
+    """(docs with new names, these names, the struct of ``_facts``).
+
+    For the counts only hashes of lines are shuffled. A host has few lines above a share of its
+    documents (the lines of a document over the share, at most), so their table is small unless
+    there are very many hosts: up to ``small`` lines by count they are sent to every task, a list
+    a host, and texts stay where they are. Beyond that, documents with such lines are found by a
+    join of line hashes and meet their documents by id, host and text hash; both ways agree.
     """
     lines, over = frequent_lines(docs, limits)
-    hit = lines.join(over.drop("docs"), ["host", "line"]).groupBy("doc_id", "host", "doc").agg(F.collect_set(F.struct("at", "words")).alias("bad"))
     own, names = aside(docs)
     text, source = F.col(names["text"]), F.col(names["source"])
-    rows = own.withColumns({"base": base(text, limits), "key": F.xxhash64(F.coalesce(text, F.lit(""))), "on": F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))})
+    rows = own.withColumn("on", F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))
+    if over.count() <= small:
+        listed = over.groupBy("host").agg(F.collect_list("line").alias("listed"))
+        rows = rows.join(F.broadcast(listed), F.col("on") == F.col("host"), "left")
+        return rows, names, _facts(text, _bad(text, F.col("listed")), limits)
+    hit = lines.join(over.drop("docs"), ["host", "line"]).groupBy("doc_id", "host", "doc").agg(F.collect_set(F.struct("at", "words")).alias("bad"))
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce(text, F.lit(""))))
     rows = rows.join(hit, F.col(names["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.col("on") == F.col("host")) & (F.col("key") == F.col("doc")), "left")
-    lost = F.when(F.col("bad").isNull(), 0).otherwise(F.aggregate("bad", F.lit(0), lambda a, x: a + x["words"]))
-    rows = rows.withColumn("n_removed", lost.cast("long"))
-    depleted = F.col("n_removed") > F.col("base.n_words") * F.lit(limits.depleted)
-    return rows.withColumn("rule", F.when(F.col("base.base_failed"), "base").when(depleted, "depleted")), names
+    return rows, names, _facts(text, F.col("bad"), limits)
 
 
-def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def judge(docs: DataFrame, limits: Limits = Limits(), small: int = SMALL) -> DataFrame:
     """docs with the base facts, n_removed (words in removed lines), rule and kept, which take the
     place of columns of these names."""
-    rows, names = _judged(docs, limits)
-    new = [*[F.col(f"base.{k}").alias(k) for k in FACTS], "n_removed", "rule", F.col("rule").isNull().alias("kept")]
-    own = [F.col(n).alias(c) for c, n in names.items() if c not in {*FACTS, "n_removed", "rule", "kept"}]
-    return rows.select(*own, *new)
+    rows, names, facts = _judged(docs, limits, small)
+    new = [*FACTS, "n_removed", "rule"]
+    own = {c: n for c, n in names.items() if c not in {*new, "kept"}}
+    # A generator's input is computed once per row; a projection may be merged into each use of it.
+    rows = rows.select(*own.values(), F.inline(F.array(facts)))
+    return rows.select(*[F.col(n).alias(c) for c, n in own.items()], *new, F.col("rule").isNull().alias("kept"))
 
 
-def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def clean(docs: DataFrame, limits: Limits = Limits(), small: int = SMALL) -> DataFrame:
     """The documents that pass, without lines above the limit, with their own columns."""
-    rows, names = _judged(docs, limits)
+    rows, names, facts = _judged(docs, limits, small)
     text = F.col(names["text"])
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(F.col("bad.at"), k)), "\n")
-    return back(rows.where("rule is null").withColumn(names["text"], F.when(F.col("bad").isNull(), text).otherwise(left)), names)
+
+    def left(f: Column) -> Column:
+        gone = F.transform(f["bad"], lambda x: x["at"])
+        some = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
+        return F.when(f["rule"].isNull(), F.array(F.when(f["n_removed"] > 0, some).otherwise(text)))
+
+    rows = rows.select(*[n for c, n in names.items() if c != "text"], F.explode(let(facts, left)).alias(names["text"]))
+    return back(rows, names)
