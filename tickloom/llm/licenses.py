@@ -11,15 +11,23 @@ them that any match of the wanted coverage has one. Windows that overlap are ali
 longer than two templates. The best window counts, the first of equals. Where such a window holds
 a word more often than the template and is not aligned whole, as of statements close together, in
 which no word is unique, windows of one template's length and of a quarter more are aligned, too,
-from every place where a statement can start by a rare word's place.
+from every place where a statement can start by a rare word's place; if none of them matches,
+windows of four lengths from each of the template's words on.
 
-Null and empty texts match nothing. Every row is scanned, repeats too. Rows keep no other columns.
+Licenses share wording. A template matches only with one of the words, if it has any, that no
+other license of the pack has; and of licenses whose matches overlap those with most words
+aligned stand, of these those with most coverage. Equal ones all stand.
+
+Null and empty texts match nothing, and an empty table gives no rows. Every row is scanned,
+repeats too; a null doc_id is carried along. Rows keep no other columns, whatever their names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from dataclasses import dataclass
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +37,7 @@ from .common import prepare
 COVERAGE = 0.8
 MARKS = ".,;:!?\"'()[]{}<>*"
 
-#: Customary wordings of license statements and the openings of license texts.
+#: Customary wordings of license statements and of the terms of short licenses.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -38,16 +46,31 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC0-1.0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
 
@@ -110,67 +133,108 @@ def narrow(at: list[int], lo: int, hi: int, template: list[str], rare: list[str]
     return sorted({(max(lo, a), min(hi, a + n)) for a in starts for n in (size, size + size // 4) if a + size > lo and a < hi})
 
 
-def best(text: list[str], places: dict[str, list[int]], template: list[str], coverage: float) -> tuple[int, int, int] | None:
+@dataclass(frozen=True)
+class Template:
+    license: str
+    words: list[str]
+    counts: Counter
+    need: int  # words to be aligned
+    own: frozenset[str]  # words that no other license has
+
+
+@dataclass(frozen=True)
+class Pack:
+    templates: list[Template]
+    known: frozenset[str]
+
+
+def prepared(templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE) -> Pack:
+    every = {k: [words(t) for t in ts] for k, ts in (templates or TEMPLATES).items()}
+    holders = Counter(w for ts in every.values() for w in set().union(*ts))
+    found = [Template(k, t, Counter(t), max(1, ceil(len(t) * coverage - 1e-9)), frozenset(w for w in t if holders[w] == 1)) for k, ts in every.items() for t in ts if t]
+    return Pack(found, frozenset(holders))
+
+
+def every(text: list[str], lo: int, hi: int, t: Template) -> list[tuple[int, int]]:
+    """Windows of 0.8 to 1.5 templates' lengths from each of the template's words on that hold enough of them."""
+    n, found = len(t.words), []
+    for a in range(lo, hi):
+        if text[a] in t.counts:
+            for size in sorted({t.need, n, n + n // 4, n + n // 2}):
+                b = min(hi, a + size)
+                inside = Counter(w for w in text[a:b] if w in t.counts)
+                if sum(min(c, inside[w]) for w, c in t.counts.items()) >= t.need:
+                    found.append((a, b))
+    return found
+
+
+def _most(text: list[str], windows: list[tuple[int, int]], t: Template) -> tuple[int, int, int] | None:
+    """(words aligned, first word, last word) of the first of the windows with most, if enough."""
+    found = None
+    for a, b in windows:
+        got = align(text[a:b], t.words)
+        if len(got) >= t.need and (found is None or len(got) > found[0]) and (not t.own or any(t.words[y] in t.own for _, y in got)):
+            found = len(got), a + got[0][0], a + got[-1][0]
+    return found
+
+
+def best(text: list[str], places: dict[str, list[int]], t: Template) -> tuple[int, int, int] | None:
     """(words aligned, first word, last word) of the best window, if it covers enough."""
-    need = -(-len(template) * coverage // 1)
-    if sum(min(n, len(places.get(w, ()))) for w, n in Counter(template).items()) < need:
+    if sum(min(n, len(places.get(w, ()))) for w, n in t.counts.items()) < t.need or t.own and not any(w in places for w in t.own):
         return None
-    spare = len(template) - int(need)
+    spare = len(t.words) - t.need
     rare, dropped = [], 0
-    for w, n in sorted(Counter(template).items(), key=lambda x: (len(places.get(x[0], ())), x[0])):
+    for w, n in sorted(t.counts.items(), key=lambda x: (len(places.get(x[0], ())), x[0])):
         rare.append(w)
         dropped += n
         if dropped > spare:
             break
-    reach = 2 * len(template)
+    reach = 2 * len(t.words)
     found = None
     spans: list[list[int]] = []
     places_of = sorted({k for w in rare for k in places.get(w, ())})
     for at in places_of:
         lo, hi = max(0, at - reach), min(len(text), at + reach + 1)
-        if spans and hi - spans[-1][0] <= 2 * reach + 2 * len(template):
+        if spans and hi - spans[-1][0] <= 2 * reach + 2 * len(t.words):
             spans[-1][1] = hi
         else:
             spans.append([lo, hi])
     for lo, hi in spans:
-        tries = [(lo, hi)]
-        for a, b in tries:
-            got = align(text[a:b], template)
-            if (a, b) == (lo, hi) and len(tries) == 1 and len(got) < len(template):
-                own = Counter(text[lo:hi])
-                if any(own[w] > n for w, n in Counter(template).items()):
-                    tries += narrow(places_of[bisect_left(places_of, lo) : bisect_left(places_of, hi)], lo, hi, template, rare)
-            if len(got) >= need and (found is None or len(got) > found[0]):
-                found = len(got), a + got[0][0], a + got[-1][0]
+        inside = Counter(w for w in text[lo:hi] if w in t.counts)
+        repeats = any(inside[w] > n for w, n in t.counts.items())
+        here = _most(text, [(lo, hi)], t)
+        if repeats and (here is None or here[0] < len(t.words)):
+            here = max(filter(None, (here, _most(text, narrow(places_of[bisect_left(places_of, lo) : bisect_left(places_of, hi)], lo, hi, t.words, rare), t))), key=lambda x: x[0], default=None)
+            here = here or _most(text, every(text, lo, hi, t), t)
+        if here and (found is None or here[0] > found[0]):
+            found = here
     return found
 
 
-def scan(text: str | None, templates: dict[str, list[list[str]]], coverage: float = COVERAGE):
+def scan(text: str | None, pack: Pack):
     """(license, coverage, first word, last word) for each license that text states."""
     own = words(text or "")
-    known = set().union(*(t for ts in templates.values() for t in ts))
     places: dict[str, list[int]] = defaultdict(list)
-    if len(known.intersection(own)) < 2:
-        return
     for k, w in enumerate(own):
-        if w in known:
+        if w in pack.known:
             places[w].append(k)
-    for name, variants in templates.items():
-        got = [(x[0] / len(t), x[1], x[2]) for t in variants if (x := best(own, places, t, coverage))]
-        if got:
-            yield (name, *max(got, key=lambda x: (x[0], -x[1])))
-
-
-def prepared(templates=None) -> dict[str, list[list[str]]]:
-    return {k: [words(t) for t in ts] for k, ts in (templates or TEMPLATES).items()}
+    if not places:
+        return
+    hits = [((x[0], x[0] / len(t.words)), t.license, x[1], x[2]) for t in pack.templates if (x := best(own, places, t))]
+    stand: dict[str, tuple] = {}
+    for score, name, first, last in sorted(hits, key=lambda x: (-x[0][0], -x[0][1], *x[1:])):
+        if name not in stand and not any(first <= b and a <= last and other > score for other, a, b in stand.values()):
+            stand[name] = (score, first, last)
+    for name, (score, first, last) in sorted(stand.items()):
+        yield name, score[1], first, last
 
 
-def _scan(templates, coverage):
+def _scan(pack: Pack):
     def run(batches):
         for b in batches:
             doc, name, cover, first, last = [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                for x in scan(t.as_py(), templates, coverage):
+                for x in scan(t.as_py(), pack):
                     for out, v in zip((doc, name, cover, first, last), (d, *x)):
                         out.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(name, pa.string()), pa.array(cover, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["doc_id", "license", "coverage", "first_word", "last_word"])
@@ -181,4 +245,4 @@ def _scan(templates, coverage):
 def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, first_word, last_word: a row for each license a text states."""
     prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_scan(prepared(templates), coverage), "doc_id long, license string, coverage double, first_word long, last_word long")
+    return docs.select("doc_id", "text").mapInArrow(_scan(prepared(templates, coverage)), "doc_id long, license string, coverage double, first_word long, last_word long")
