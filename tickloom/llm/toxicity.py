@@ -8,15 +8,20 @@ output. Trained by Adam on batches of equally many toxic and clean texts. In sco
 embedding and filters are folded into one table per place in a filter, so that a text costs a
 few table rows a word, at any length.
 
-Training takes a bounded sample of the labelled rows, SAMPLE of each class by hash order of
-their ids; rows whose crc32(doc_id as text) mod 5 is 0 are held out. The score depends on the
-text alone. Thresholds for ``flagged`` are calibrated by language on labelled rows that are not
-held out, from the language guessed from the text (its most telling letters and short words); a
-language with too few rows takes the common threshold.
+Labelled rows whose crc32(doc_id as text) mod 5 is 0 are held out. Of the others a fifth (that
+number, divided by 5, mod 5 is 0) sets thresholds and never trains. Training takes a bounded
+sample of the rest: SAMPLE of each class by hash order of their ids, of texts of TRAIN_BYTES at
+most; scores are of whole texts of any length. A score depends on the text alone.
+
+Thresholds are calibrated by language, guessed from the text's short words, on all rows that set
+them, by counts of scores that executors make; the threshold is that of the best F1. A language
+with fewer than FEWEST toxic or clean rows takes the common one. A score is the network's moved
+so that its language's threshold is at 0.5: ``predicted`` is score >= 0.5, in any language.
 
 Null and empty texts have the score of a text without words. A sample without one of the
 classes gives every text the share of toxic rows in it (0.0 for no rows). Null labels and ids do
-not train. Repeated rows score alike; repeated labels count once, by their largest value.
+not train. Repeated rows score alike; repeated labels count once, by their largest value; of
+rows that repeat a doc_id the smallest text trains. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,11 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import SMALL, cut, prepare
 
 SIZE, WIDTHS, FILTERS, MIN_DOCS = 12, (1, 2, 3), 8, 2
 #: Labelled rows of each class that may train.
 SAMPLE = 1500
+#: Bytes of the longest text that may train, so that a sample's size is bounded at the driver.
+TRAIN_BYTES = 1 << 16
+#: Rows of either class that a language needs for a threshold of its own.
+FEWEST = 50
+#: Network outputs are counted in steps so wide, from -LIMIT to LIMIT.
+LIMIT, WIDE = 40.0, 0.05
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 #: Words a worker remembers the rows of.
 REMEMBERED = 400_000
@@ -129,17 +140,57 @@ class Scorer:
             places.append(at)
         return np.concatenate(values), places
 
-    def score(self, text: str | None) -> float:
+    def logit(self, text: str | None) -> float:
         z = float(self.pooled(self.vocabulary.of(text))[0] @ self.out) + self.out_bias
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return min(max(z, -LIMIT), LIMIT)
 
 
 @dataclass
 class Constant:
     value: float
 
-    def score(self, text: str | None) -> float:
-        return self.value
+
+def gradients(net: Network, texts: list[np.ndarray], y: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray, float]:
+    """(loss, (rows, gradients of these rows), of filters, of bias, of out, of out_bias) of a batch:
+    texts as rows of the embedding, laid end to end, and the mean logistic loss."""
+    full = [x if len(x) else np.zeros(1, np.int64) for x in texts]
+    sizes = np.array([len(x) for x in full])
+    x, text_of = np.concatenate(full), np.repeat(np.arange(len(full)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    left = starts[text_of] + np.array([len(t) for t in texts])[text_of] - np.arange(len(x))  # words from here on
+    own = net.embed[x]
+    pooled, places = [], []
+    for f, bias in zip(net.filters, net.bias):
+        act = own @ f[0]
+        for k in range(1, len(f)):
+            act[:-k] += own[k:] @ f[k]
+        act[left < len(f)] = -np.inf  # the filter would reach beyond the text
+        most = np.maximum.reduceat(act, starts, axis=0)
+        at = np.where(act == most[text_of], np.arange(len(x))[:, None], len(x))
+        places.append(np.where(np.isfinite(most), np.minimum.reduceat(at, starts, axis=0), -1))
+        pooled.append(np.maximum(most + bias, 0))
+    value = np.concatenate(pooled, axis=1)
+    z = np.clip(value @ net.out + net.out_bias, -LIMIT, LIMIT)
+    p = 1 / (1 + np.exp(-z))
+    loss = float(np.mean(np.logaddexp(0, z) - y * z))
+    err = ((p - y) / len(y)).astype(value.dtype)
+    back = np.where(value > 0, err[:, None] * net.out[None, :], 0)
+    of_filters, of_bias, rows, changes = [], [], [], []
+    for i, f in enumerate(net.filters):
+        own_back = np.where(places[i] >= 0, back[:, i * FILTERS : (i + 1) * FILTERS], 0)
+        at = np.maximum(places[i], 0)
+        of_bias.append(own_back.sum(axis=0))
+        parts = []
+        for k in range(len(f)):
+            hit = np.minimum(at + k, len(x) - 1)
+            parts.append(np.einsum("bfs,bf->sf", own[hit], own_back))
+            rows.append(x[hit].ravel())
+            changes.append((own_back[:, :, None] * f[k].T[None]).reshape(-1, f.shape[1]))
+        of_filters.append(np.stack(parts))
+    touched, place = np.unique(np.concatenate(rows), return_inverse=True)
+    of_rows = np.zeros((len(touched), net.embed.shape[1]), value.dtype)
+    np.add.at(of_rows, place, np.concatenate(changes))
+    return loss, (touched, of_rows), of_filters, of_bias, err @ value, float(err.sum())
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 3) -> Scorer | Constant:
@@ -158,79 +209,88 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     net, rng = Network.fresh((lean / max(1.0, np.abs(lean).max()) * 3).astype(np.float32), seed), np.random.default_rng(seed)
     ids = [vocabulary.of(t) for t in texts]
     groups = [np.flatnonzero(y == v) for v in (0, 1)]
-    params = [net.embed, *net.filters, *net.bias, net.out]
+    params = [*net.filters, *net.bias, net.out]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step, steps = 0, epochs * max(1, 2 * max(map(len, groups)) // BATCH)
+    own_first, own_second = np.zeros_like(net.embed), np.zeros_like(net.embed)
+    steps = epochs * max(1, 2 * max(map(len, groups)) // BATCH)
     for step in range(1, steps + 1):
         batch = np.concatenate([rng.choice(g, BATCH // 2) for g in groups])
-        used = np.unique(np.concatenate([ids[k] for k in batch]))
-        grads = [np.zeros_like(p) for p in params[1:]]
-        at_words = np.zeros((len(used), SIZE), np.float32)
-        drift = 0.0
-        own = net.embed[used]
-        live = Scorer(None, [[own @ f[k] for k in range(len(f))] for f in net.filters], net.bias, net.out, net.out_bias)
-        for k in batch:
-            x = np.searchsorted(used, ids[k])
-            value, places = live.pooled(x)
-            err = (1 / (1 + np.exp(-np.clip(float(value @ net.out) + net.out_bias, -40, 40))) - y[k]) / BATCH
-            grads[-1] += err * value
-            drift += err
-            for i, f in enumerate(net.filters):
-                back = np.where(value[i * FILTERS : (i + 1) * FILTERS] > 0, err * net.out[i * FILTERS : (i + 1) * FILTERS], 0)
-                if places[i][0] < 0:
-                    continue
-                grads[len(WIDTHS) + i] += back
-                for j in range(len(f)):
-                    at = x[places[i] + j]
-                    grads[i][j] += (own[at] * back[:, None]).T
-                    np.add.at(at_words, at, f[j].T * back[:, None])
+        _, (used, at_words), of_filters, of_bias, of_out, drift = gradients(net, [ids[k] for k in batch], y[batch])
         rate = RATE * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-        for p, g, m, v in zip(params[1:], grads, first[1:], second[1:]):
+        for p, g, m, v in zip(params, [*of_filters, *of_bias, of_out], first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * m / (np.sqrt(v) + 1e-7)
-        m, v = first[0], second[0]
-        m[used] += 0.1 * (at_words - m[used])
-        v[used] += 0.001 * (at_words**2 - v[used])
-        net.embed[used] -= rate * m[used] / (np.sqrt(v[used]) + 1e-7)
+        own_first[used] += 0.1 * (at_words - own_first[used])
+        own_second[used] += 0.001 * (at_words**2 - own_second[used])
+        net.embed[used] -= rate * own_first[used] / (np.sqrt(own_second[used]) + 1e-7)
         net.out_bias -= RATE * drift
     return net.folded(vocabulary)
 
 
-def cutoff(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The threshold of the best F1, in the middle of the gap below it."""
-    order = np.argsort(-scores)
-    hits = np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + toxic.sum())
-    k = int(f1.argmax())
-    below = scores[order[k + 1]] if k + 1 < len(order) else 0.0
-    return float((scores[order[k]] + below) / 2)
+def cutoff(steps: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The output of the best F1 as threshold, in the middle of the gap below it. steps: rising
+    numbers of steps of WIDE, with rows of either class."""
+    hits, all_ = np.cumsum(toxic[::-1]), np.cumsum((clean + toxic)[::-1])
+    k = len(steps) - 1 - int((2 * hits / (all_ + toxic.sum())).argmax())
+    below = steps[k - 1] + 1 if k else steps[k] - 1
+    return float((steps[k] + below) / 2 * WIDE)
 
 
 @dataclass
 class Model:
     scorer: Scorer | Constant
-    common: float
-    by_language: dict[str, float]
+    common: float = 0.0
+    by_language: dict[str, float] | None = None
+
+    def score(self, text: str | None) -> float:
+        if isinstance(self.scorer, Constant):
+            return self.scorer.value
+        z = self.scorer.logit(text) - (self.by_language or {}).get(language(text), self.common)
+        return float(1 / (1 + np.exp(-z)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trained at the driver on 2 * sample labelled texts at most."""
+def _outputs(shared):
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            steps = [int(np.floor(shared.value.logit(t) / WIDE)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([language(t) for t in texts]), pa.array(steps, pa.int32())], ["toxic", "lang", "step"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Trained at the driver on 2 * sample labelled texts of train_bytes at most; thresholds by
+    counts of the outputs of all rows that set them, of which the driver gets a few thousand sums."""
+    spark = docs.sparkSession
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = own.where(~held_out(F.col("doc_id")))
+    own = own.where(~held_out(F.col("doc_id"))).withColumnRenamed("doc_id", "_id")
+    sets = F.floor(F.crc32(F.col("_id").cast("string").cast("binary")) / 5) % 5 == 0
+    texts = docs.select("doc_id", "text")
+    short = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= train_bytes)
     # The same number of either class, the first by hash: a bounded pick that reruns repeat.
-    pick = [own.where(F.col("toxic").isin(v)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
-    ids = cut(pick[0].unionByName(pick[1])).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # 2 * sample ids at most
+    able = own.where(~sets).join(short.select("doc_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+    pick = [able.where(F.col("toxic").isin(v)).orderBy(F.xxhash64("_id"), "_id").limit(sample) for v in (0, 1)]
+    ids = cut(pick[0].unionByName(pick[1]))
+    rows = short.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # 2 * sample ids at most
     rows = rows.groupBy("_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("_id"), "_id").collect()
-    texts, y = [r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows]
-    scorer = train(texts, y)
-    scores, truth = np.array([scorer.score(t) for t in texts]), np.array(y)
-    if not len(y) or truth.min() == truth.max():
-        return Model(scorer, 0.5, {})
-    lang = np.array([language(t) for t in texts])
-    by = {k: cutoff(scores[lang == k], truth[lang == k]) for k in set(lang) if 50 <= truth[lang == k].sum() < (lang == k).sum()}
-    return Model(scorer, cutoff(scores, truth), by)
+    scorer = train([r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows])
+    if isinstance(scorer, Constant):
+        return Model(scorer)
+    judges = own.where(sets & F.col("toxic").isin(0, 1))
+    judges = F.broadcast(judges) if judges.count() <= SMALL else judges
+    rated = texts.join(judges, F.col("doc_id") == F.col("_id")).select("toxic", "text")
+    rated = rated.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_outputs(spark.sparkContext.broadcast(scorer)), "toxic int, lang string, step int")
+    counts = rated.groupBy("lang", "step").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).orderBy("lang", "step").toPandas()
+    by, enough = {}, lambda c, n: min(c["clean"].sum(), c["toxic"].sum()) >= n
+    for lang, c in counts.groupby("lang"):
+        if enough(c, FEWEST):
+            by[lang] = cutoff(c["step"].to_numpy(), c["clean"].to_numpy(), c["toxic"].to_numpy())
+    common = counts.groupby("step", as_index=False)[["clean", "toxic"]].sum()
+    if not enough(common, 1):
+        return Model(scorer, 0.0, by)
+    return Model(scorer, cutoff(common["step"].to_numpy(), common["clean"].to_numpy(), common["toxic"].to_numpy()), by)
 
 
 def held_out(doc_id):
@@ -239,20 +299,17 @@ def held_out(doc_id):
 
 def _score(shared):
     def run(batches):
-        model = shared.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            scores = [model.scorer.score(t) for t in texts]
-            flags = [s >= model.by_language.get(language(t), model.common) for s, t in zip(scores, texts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], ["doc_id", "score", "flagged"])
+            scores = [shared.value.score(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.5), flagged (by its language's threshold)."""
+    """doc_id, held_out, score, predicted: score >= 0.5, which is its language's threshold."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(fit(docs, labels, sample))  # tables of fixed size
-    rows = docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double, flagged boolean")
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")
+    rows = docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
