@@ -44,9 +44,21 @@ def trading_time(ts: Column) -> Column:
     return (F.weekday(ts) < 5) & (minute.between(570, 690) | minute.between(780, 900))
 
 
-def cycles(ticks: DataFrame, width: str = "30 minutes") -> DataFrame:
-    """Polls in trading time: cycle, symbol, last price and ticks of each tumbling window."""
-    rows = ticks.where(trading_time(F.col("ts")))
+#: Symbols that one poll looks at.
+POLLED = 20
+
+
+def watched(ticks: DataFrame, watchlist: DataFrame, most: int = POLLED) -> DataFrame:
+    """ticks of the first most rows of watchlist(symbol, pos) by pos, whose symbol is not null."""
+    first = watchlist.orderBy("pos", "symbol").limit(most).where("symbol is not null").select(F.col("symbol").alias("_s")).distinct()
+    return ticks.join(F.broadcast(first), F.col("event_type") == F.col("_s"), "left_semi")  # most rows
+
+
+def cycles(ticks: DataFrame, width: str = "30 minutes", watchlist: DataFrame | None = None, most: int = POLLED) -> DataFrame:
+    """Polls in trading time: cycle, symbol, last price and ticks of each tumbling window; with a
+    watchlist, of its first symbols only."""
+    rows = ticks if watchlist is None else watched(ticks, watchlist, most)
+    rows = rows.where(trading_time(F.col("ts")))
     at = F.struct("ts", "event_id")
     rows = rows.groupBy(F.window("ts", width), F.col("event_type").alias("symbol")).agg(F.max_by("value", at).alias("price"), F.count(F.lit(1)).alias("ticks"))
     return rows.select(F.col("window.start").alias("cycle"), "symbol", "price", "ticks")

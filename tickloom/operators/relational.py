@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Registries up to this many rows are sent to every task when names are sought in texts; larger ones go in blocks.
-SMALL = 10_000
+from tickloom.operators.search import contained
 
 
 def fallback(primary: DataFrame, secondary: DataFrame, key: str) -> DataFrame:
@@ -34,29 +33,26 @@ def sync(table: DataFrame, desired: DataFrame, key: str) -> tuple[DataFrame, Dat
 
 
 def names_in_texts(texts: DataFrame, registry: DataFrame) -> DataFrame:
-    """texts(id, text) with the name and code of each registry name that text contains.
-
-    The registry is sent to every task when it has SMALL rows at most, by count. A larger one is
-    dealt into blocks of about SMALL rows, and every partition of texts meets every block. Both
-    ways compare all names with all texts and find the same.
-    """
-    rows = registry.count()
-    names = F.broadcast(registry) if rows <= SMALL else registry.repartition(-(-rows // max(1, SMALL))).hint("shuffle_replicate_nl")
-    return texts.join(names, F.col("text").contains(F.col("name"))).select("id", "name", "code")
+    """texts(id, text) with the name and code of each registry name that text contains, also inside
+    a word. Names without a character are in no text."""
+    hits = contained(texts, registry.select(F.col("name").alias("needle")))
+    return hits.withColumnRenamed("needle", "name").join(registry.select("name", "code"), "name").select("id", "name", "code")
 
 
 def resolve(names: DataFrame, registry: DataFrame, fallback_registry: DataFrame) -> DataFrame:
     """names(name) with code: an equal registry name, else one that contains it or is contained
     (the first by name), else the same in the second registry; null if none."""
-    def within(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
-        r = right.select(F.col("name").alias("r_name"), "code")
-        if right.limit(SMALL + 1).count() <= SMALL:
-            r = F.broadcast(r)
-        hit = left.join(r, F.col("name").contains(F.col("r_name")) | F.col("r_name").contains(F.col("name")))
-        return hit.select("name", F.struct(F.lit(step).alias("step"), (F.col("name") != F.col("r_name")).cast("int").alias("loose"), F.col("r_name"), F.col("code")).alias("hit"))
-
     own = names.select("name").distinct()
-    hits = within(own, registry, 1).unionByName(within(own, fallback_registry, 2))
+
+    def within(other: DataFrame, step: int) -> DataFrame:
+        known = other.select(F.col("name").alias("r_name"), "code").where("r_name is not null")
+        inside = contained(own.select(F.col("name").alias("id"), F.col("name").alias("text")), known.select(F.col("r_name").alias("needle")))
+        around = contained(known.select(F.col("r_name").alias("id"), F.col("r_name").alias("text")), own.select(F.col("name").alias("needle")))
+        pairs = inside.select(F.col("id").alias("name"), F.col("needle").alias("r_name")).union(around.select("needle", "id")).distinct()
+        loose = (F.col("name") != F.col("r_name")).cast("int")
+        return pairs.join(known, "r_name").select("name", F.struct(F.lit(step).alias("step"), loose.alias("loose"), F.col("r_name"), F.col("code")).alias("hit"))
+
+    hits = within(registry, 1).unionByName(within(fallback_registry, 2))
     best = hits.groupBy("name").agg(F.min("hit").alias("hit"))
     return own.join(best, "name", "left").select("name", F.col("hit.code").alias("code"), F.col("hit.r_name").alias("matched"))
 
@@ -76,13 +72,17 @@ def evidence(claims: DataFrame, hits: DataFrame) -> DataFrame:
     """claims(claim_id, ref_no, fragment) with chunk_id: hits(chunk_id, rank, content) of that
     rank, else the best ranked that contains the fragment; null if none or the fragment is blank."""
     direct = claims.join(hits.select(F.col("rank").alias("ref_no"), F.col("chunk_id").alias("direct")), "ref_no", "left")
-    open_ = direct.where("direct is null and trim(fragment) <> ''")
-    found = open_.join(hits, F.col("content").contains(F.trim("fragment"))).groupBy("claim_id").agg(F.min_by("chunk_id", F.struct("rank", "chunk_id")).alias("by_text"))
-    return direct.join(found, "claim_id", "left").select("claim_id", F.coalesce("direct", "by_text").alias("chunk_id"))
+    fragment = F.trim("fragment")
+    open_ = direct.where(F.col("direct").isNull() & (fragment != "")).select("claim_id", fragment.alias("needle"))
+    found = contained(hits.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), open_)
+    ranked = found.join(hits.select(F.col("chunk_id").alias("id"), "rank"), "id").groupBy("needle").agg(F.min_by("id", F.struct("rank", "id")).alias("by_text"))
+    by_text = open_.join(ranked, "needle").select("claim_id", "by_text")
+    return direct.join(by_text, "claim_id", "left").select("claim_id", F.coalesce("direct", "by_text").alias("chunk_id"))
 
 
 def suggestions(outputs: DataFrame) -> DataFrame:
     """id, no, block, basis, evidence, ref_id: numbered blocks of a text and their fields."""
+    # How the output that is read here names its parts.
     head = "建议\\s*\\d+\\s*[:：]"
     blocks = F.regexp_extract_all("text", F.lit(f"(?ms)({head}.*?)(?=(?:\\n\\s*{head})|\\z)"), 1)
     rows = outputs.select("id", F.posexplode(blocks).alias("pos", "block"))

@@ -6,6 +6,7 @@ followed by the chunk id as tie-break, so that results do not depend on the orde
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,49 +37,50 @@ def top(rows: DataFrame, k: int, by: str, group: str = "query_id", tie: str = "c
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def _similar(blocks, k: int):
-    ids = [b[0] for b in blocks]
-    unit = np.array([b[1] for b in blocks], np.float64)
+#: Vectors in a block of queries and in a tile of the corpus: a task holds their products, 32 MB.
+QUERIES, TILE = 1024, 4096
+
+
+def _blocks(rows: DataFrame, ident: str, size: int, name: str) -> DataFrame:
+    """(size of the vectors, number of the block, array of structs of ident and vector)."""
+    spark, own = rows.sparkSession, rows.where("vector is not null").select(ident, "vector")
+    n = F.lit(max(1, -(-own.count() // size)))
+    return own.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64(ident), n).alias(f"{name}_no")).agg(F.collect_list(F.struct(F.col(ident).alias("id"), "vector")).alias(name))
+
+
+def _similar(k: int):
+    def unit(cells) -> tuple[np.ndarray, np.ndarray]:
+        v = np.array([c["vector"] for c in cells], np.float64)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.array([c["id"] for c in cells]), v / np.where(norm == 0, 1, norm)
 
     def run(batches):
         for pdf in batches:
-            own = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(own, axis=1, keepdims=True)
-            score = (own / np.where(norm == 0, 1, norm)) @ unit.T
-            score = (score + 1) / 2
-            keep = min(k, len(pdf))
-            at = np.argpartition(-score, keep - 1, axis=0)[:keep]
-            floor = np.take_along_axis(score, at, 0).min(axis=0)
-            row, q = np.nonzero(score >= floor)  # ties at the edge stay; the exact cut follows
-            yield pd.DataFrame({"query_id": np.array(ids)[q], "chunk_id": pdf["chunk_id"].to_numpy()[row], "score": score[row, q]})
+            for r in pdf.itertuples(index=False):
+                (asked, q), (ids, own) = unit(r.asked), unit(r.corpus)
+                order = np.argsort(ids, kind="stable")  # of equal scores the smaller id comes first
+                ids, own = ids[order], own[order]
+                score = np.floor((q @ own.T + 1) / 2 * 1e6 + 0.5)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(asked, best.shape[1]), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel() / 1e6})
 
     return run
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, most_queries: int = 4096) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
     """query_id, chunk_id, score ((cosine + 1) / 2, to 6 decimals), rank.
 
-    queries(query_id, vector), corpus(chunk_id, vector). Queries are gathered in blocks of at
-    most most_queries, each block a constant of one matrix product over the corpus; a task
-    returns its own k best for each query, so that the shuffle does not see the corpus. Null
-    vectors and those of another length than the query's match nothing.
+    queries(query_id, vector), corpus(chunk_id, vector). Blocks of queries meet tiles of the
+    corpus, each pair a row dealt to some task, which returns the k best of the tile for each
+    query by the rounded score and the chunk id; the k best of these follow. No vector reaches
+    the driver. Null vectors and those of another length than the query's match nothing.
     """
-    total = queries.where("vector is not null").count()
-    blocks = max(1, -(-total // most_queries))
-    found = None
-    for block in range(blocks):
-        some = queries.where("vector is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
-        by_size: dict[int, list] = {}
-        for r in some:
-            v = np.array(r["vector"], np.float64)
-            by_size.setdefault(len(v), []).append((r["query_id"], v / (np.linalg.norm(v) or 1)))
-        for size, group in by_size.items():
-            rows = corpus.where(F.size("vector") == size).select("chunk_id", "vector")
-            part = rows.mapInPandas(_similar(group, k), "query_id long, chunk_id long, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    return top(found.withColumn("score", half_up(F.col("score"), 6)), k, "score")
+    asked, tiles = _blocks(queries, "query_id", QUERIES, "asked"), _blocks(corpus, "chunk_id", TILE, "corpus")
+    width = max(1, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbers = asked.select("dim", "asked_no").join(tiles.select("dim", "corpus_no"), "dim").repartition(width, F.xxhash64("dim", "asked_no", "corpus_no"))
+    pairs = numbers.join(asked, ["dim", "asked_no"]).join(tiles, ["dim", "corpus_no"])
+    found = pairs.select("asked", "corpus").mapInPandas(_similar(k), "query_id long, chunk_id long, score double")
+    return top(found, k, "score")
 
 
 def postings(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -100,11 +102,18 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, fusion: Fusion
     Repeated query terms add up; blank queries match nothing. Postings are cut to the queries'
     terms before anything is aggregated over terms; corpus sizes are two numbers.
     """
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = _asked(queries)
     lengths = corpus.where("chunk_id is not null and content is not null").select(F.size(terms(F.col("content"))).alias("dl"))
     n, words = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return _scored(asked, postings(corpus, asked.select("term").distinct()), n, words, k, fusion)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _scored(asked: DataFrame, index: DataFrame, n: int, words: int, k: int, fusion: Fusion) -> DataFrame:
     mean = words / n if n else 1.0
-    index = postings(corpus, asked.select("term").distinct())
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + fusion.k1 * (1 - fusion.b + fusion.b * F.col("dl") / F.lit(float(mean or 1.0))))
@@ -114,6 +123,31 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, fusion: Fusion
     return top(scores.withColumn("score", half_up(F.col("score"), 6)), k, "score")
 
 
+#: Folders that an index is cut into by a hash of the term.
+SHARDS = 64
+
+
+def shard(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+
+
+def index_search(queries: DataFrame, path: str, k: int = 20, fusion: Fusion = Fusion()) -> DataFrame:
+    """The same as ``bm25_topk`` from an index that ``sinks.write_index`` has written.
+
+    Reads the folders of the asked terms, and the number and length of all chunks from the table
+    beside it. A chunk that was added again counts as it was added last.
+    """
+    spark, asked = queries.sparkSession, _asked(queries)
+    folders = [r[0] for r in asked.select(shard(F.col("term"))).distinct().collect()]  # SHARDS at most
+    chunks = spark.read.parquet(f"{path}-chunks")
+    last = chunks.groupBy("chunk_id").agg(F.max("added").alias("added"), F.max_by("dl", "added").alias("dl"))
+    n, words = last.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    index = spark.read.parquet(path).where(F.col("shard").isin(folders)).join(asked.select("term").distinct(), "term", "left_semi")
+    if last.count() < chunks.count():
+        index = index.join(last.select("chunk_id", "added"), ["chunk_id", "added"], "left_semi")
+    return _scored(asked, index.select("term", "chunk_id", "tf", "dl"), n, words, k, fusion)
+
+
 def _weighted(hits: DataFrame, weight: float, name: str) -> DataFrame:
     """(total - place) / total * weight over each query's whole hit list."""
     total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
@@ -137,14 +171,41 @@ def rerank(hits: DataFrame, scorer: Column | None = None, k: int = 5) -> DataFra
     return top(by, k if k > 0 else 5, "final_score", rank="final_rank")
 
 
+def rerank_with(hits: DataFrame, scorer: Callable[[str, list[str], int], list[tuple[int, float]]], k: int = 5) -> DataFrame:
+    """query_id, chunk_id, final_score, final_rank of hits(query_id, query, chunk_id, content, final_score)
+    by an external function: (query, texts, n) to (place, score) of the n best.
+
+    Where it raises, names nothing, or the query is blank, the fused order stands.
+    """
+    n = k if k > 0 else 5
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["final_score", "chunk_id"], ascending=[False, True]).reset_index(drop=True)
+        try:
+            query = pdf["query"].iloc[0]
+            found = scorer(query, pdf["content"].tolist(), n) if query and query.strip() else []
+            found = sorted(((p, s) for p, s in found if 0 <= p < len(pdf)), key=lambda x: -x[1])
+        except Exception:  # whatever the function raises, its answer is missing
+            found = []
+        if found:
+            pdf = pdf.iloc[[p for p, _ in found]].assign(final_score=[float(s) for _, s in found])
+        pdf = pdf.head(n)
+        return pdf.assign(final_rank=np.arange(1, len(pdf) + 1, dtype=np.int32))[["query_id", "chunk_id", "final_score", "final_rank"]]
+
+    own = hits.select("query_id", "query", "chunk_id", "content", F.col("final_score").cast("double").alias("final_score"))
+    kind = dict(own.dtypes)
+    return own.groupBy("query_id").applyInPandas(run, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, final_score double, final_rank int")
+
+
 def retrieve(vector: DataFrame, bm25: DataFrame, entries: DataFrame, as_of: Column, code: str | None = None, target_code: str | None = None, target_name: str | None = None, fusion: Fusion = Fusion(), k: int = 30) -> DataFrame:
     """Knowledge search over entries(chunk_id, stock_code, stock_name, content, created_at).
 
+    Hits without an entry stay, at the weight of unknown age and without a text to compare.
     Ranks and totals are those of the whole hit lists; the code filter comes after them, on a
     column that the windows do not partition by, so that it stays there. Then boosts, recency,
     the near-duplicate penalty, and the best k.
     """
-    hits = fuse(vector, bm25, fusion).join(entries, "chunk_id")
+    hits = fuse(vector, bm25, fusion).join(entries, "chunk_id", "left")
     if code is not None:
         hits = hits.where(F.col("stock_code") == code)
     score = F.col("final_score")
@@ -176,3 +237,57 @@ def context(hits: DataFrame, entries: DataFrame, label: str = "ref") -> DataFram
     line = F.format_string(f"[{label} %d] %s(%s) | %s", F.col("rank"), F.col("stock_name"), F.col("stock_code"), F.col("content"))
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     return rows.groupBy("query_id").agg(lines.alias("l")).select("query_id", F.array_join(F.col("l.line"), "\n").alias("context"))
+
+
+#: The code that general rules are filed under, and how a context names its parts.
+GENERAL = "GENERAL"
+GENERAL_HEAD, GENERAL_LINE = "【通用规则】", "[通用%d] %s"
+KNOWN_HEAD, KNOWN_LINE = "【参考知识】", "[引用%d] %s(%s) | 类别:%s | 来源:%s | %s"
+
+
+def _listed(hits: DataFrame, entries: DataFrame, head: str, line: Column) -> DataFrame:
+    rows = hits.join(entries, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_l"))
+    return rows.select("query_id", F.concat(F.lit(head + "\n"), F.array_join(F.col("_l.line"), "\n"), F.lit("\n")).alias("part"))
+
+
+def knowledge_context(rules: DataFrame, known: DataFrame, entries: DataFrame) -> DataFrame:
+    """query_id, context: general rules first, a blank line, then entries of the instrument.
+
+    rules and known are ranked hits(query_id, chunk_id, rank); entries(chunk_id, stock_code,
+    stock_name, content, category, source). A part without hits is left out; a query with hits
+    in neither list has no row.
+    """
+    c, blank = F.col, lambda k: F.coalesce(F.col(k), F.lit(""))
+    first = _listed(rules, entries, GENERAL_HEAD, F.format_string(GENERAL_LINE, c("rank"), blank("content")))
+    then = _listed(known, entries, KNOWN_HEAD, F.format_string(KNOWN_LINE, c("rank"), *map(blank, ("stock_name", "stock_code", "category", "source", "content"))))
+    both = first.withColumnRenamed("part", "_a").join(then.withColumnRenamed("part", "_b"), "query_id", "full_outer")
+    return both.select("query_id", F.concat(F.coalesce(F.concat("_a", F.lit("\n")), F.lit("")), F.coalesce("_b", F.lit(""))).alias("context"))
+
+
+def retriever_rows(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """query_id, ref_id (REF-1 and on by rank), chunk_id, source, token_count, final_score, text for
+    hits(query_id, chunk_id, final_score, final_rank); what an entry lacks is empty."""
+    rows = hits.join(entries, "chunk_id", "left").withColumn("ref_id", F.concat(F.lit("REF-"), F.col("final_rank")))
+    source, content = F.coalesce("source", F.lit("")), F.coalesce("content", F.lit(""))
+    text = F.format_string("[%s]\nchunk_id: %s\nsource: %s\ntext: %s", F.col("ref_id"), F.col("chunk_id").cast("string"), source, content)
+    return rows.select("query_id", "ref_id", "chunk_id", source.alias("source"), F.coalesce("token_count", F.lit(0)).alias("token_count"), "final_score", text.alias("text"))
+
+
+def general_rules(entries: DataFrame, code: str = GENERAL) -> DataFrame:
+    return entries.where(F.col("stock_code") == code)
+
+
+def delete_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """entries without those of ids(chunk_id), whatever they are filed under."""
+    return entries.join(ids.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "content") -> DataFrame:
+    """chunks with vector: what embed makes of the texts of a batch; null for null texts."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        vectors = iter(embed(texts.dropna().tolist()))
+        return pd.Series([None if t is None else next(vectors) for t in texts], dtype=object)
+
+    return chunks.withColumn("vector", run(text))

@@ -49,31 +49,72 @@ def simhash(text: Column | str) -> Column:
     return _simhash(text)
 
 
+#: Fingerprints in a tile.
+TILE = 2048
+
+
+def _tile_pairs(rows: DataFrame, column: str) -> DataFrame:
+    """(left, right, same) for each two tiles of rows(column, ...): arrays of structs of the rows.
+
+    Pairs are dealt to tasks by their numbers alone before any fingerprints meet them.
+    """
+    spark = rows.sparkSession
+    n = max(1, -(-rows.count() // TILE))
+    tile = F.pmod(F.xxhash64(column), F.lit(n)).alias("tile")
+    tiles = rows.groupBy(tile).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(n - 1).cast("long"))).alias("j")).repartition(width, F.xxhash64("i", "j"))
+    left, right = (tiles.select(F.col("tile").alias(k), F.col("rows").alias(name)) for k, name in (("i", "left"), ("j", "right")))
+    return pairs.join(left, "i").join(right, "j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+
+
+def _side(cells, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.array([c[n] for c in cells], np.int64) for n in names]
+
+
 def near_pairs(rows: DataFrame, most: int = NEAR) -> DataFrame:
     """id_a < id_b, distance for rows(id, fp) at most most bits apart; zero never matches.
 
     By pigeonhole, fingerprints at most ``most`` bits apart agree on all but that many of
-    ``most + 1`` bands, and bands of 2 or 3 bits prune nothing; so blocks of fingerprints are
-    compared whole, block against block, each pair of blocks one task row. Use it for candidate
-    sets; the work is quadratic.
+    ``most + 1`` bands, and bands of 2 or 3 bits prune nothing; so tiles are compared whole, each
+    pair of tiles one task row. Use it for candidate sets: both the work and the result are
+    quadratic. ``near_links`` counts instead.
     """
-    size = 2048
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows.count() // size))))
-    blocks = rows.where("fp <> 0").groupBy(block.alias("k")).agg(F.collect_list("id").alias("ids"), F.collect_list("fp").alias("fps"))
-    other = blocks.select(F.col("k").alias("k2"), F.col("ids").alias("ids2"), F.col("fps").alias("fps2"))
-    pairs = blocks.join(other, F.col("k") <= F.col("k2"))
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                a, b = np.array(r.fps, np.int64).view(np.uint64), np.array(r.fps2, np.int64).view(np.uint64)
-                far = np.bitwise_count(a[:, None] ^ b[None, :])
+                (ids, a), (ids2, b) = _side(r.left, ("id", "fp")), _side(r.right, ("id", "fp"))
+                far = np.bitwise_count(a.view(_U)[:, None] ^ b.view(_U)[None, :])
                 i, j = np.nonzero(far <= most)
-                x, y = np.array(r.ids, np.int64)[i], np.array(r.ids2, np.int64)[j]
-                keep = (x < y) if r.k == r.k2 else (x != y)
+                x, y = ids[i], ids2[j]
+                keep = (x < y) if r.same else (x != y)
                 yield pd.DataFrame({"id_a": np.minimum(x, y)[keep], "id_b": np.maximum(x, y)[keep], "distance": far[i, j][keep].astype(np.int32)})
 
-    return pairs.mapInPandas(run, "id_a long, id_b long, distance int")
+    return _tile_pairs(rows.where("fp <> 0").select("id", "fp"), "id").mapInPandas(run, "id_a long, id_b long, distance int")
+
+
+def near_links(rows: DataFrame, most: int = NEAR) -> DataFrame:
+    """One row for each of rows(id, fp): id, fp, class_id (the smallest id of this fingerprint), copies
+    (rows that have it) and links: how many other fingerprints are at most most bits from it.
+
+    No link between different fingerprints is lost, and the result has as many rows as the
+    input, however dense the groups are. A zero fingerprint and a null one have no links.
+    """
+    own = rows.groupBy("fp").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                (a,), (b,) = _side(r.left, ("fp",)), _side(r.right, ("fp",))
+                near = np.bitwise_count(a.view(_U)[:, None] ^ b.view(_U)[None, :]) <= most
+                yield pd.DataFrame({"fp": a, "n": near.sum(axis=1) - (1 if r.same else 0)})
+                if not r.same:
+                    yield pd.DataFrame({"fp": b, "n": near.sum(axis=0)})
+
+    found = _tile_pairs(own.where("fp <> 0").select("fp"), "fp").mapInPandas(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("links"))
+    classes = own.join(found, "fp", "left").select(F.col("fp").alias("_fp"), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.select("id", "fp").join(classes, F.col("fp").eqNullSafe(F.col("_fp"))).drop("_fp")
 
 
 def split_sentences(text: str) -> list[str]:
@@ -87,33 +128,29 @@ def approximate_tokens(text: str) -> int:
 def chunks(text: str | None, size: int = 400, overlap: float = 0.20, count=approximate_tokens) -> list[tuple[str, int]]:
     """(content, tokens): sentences are gathered until size is reached, so a chunk may pass it by
     a sentence; the next one starts so many sentences back that overlap is reached, and one
-    sentence on at least."""
+    sentence on at least.
+
+    Both ends of the chunk from every sentence on are looked up in the running sums of tokens.
+    """
     parts = split_sentences(text or "")
-    costs = [count(p) for p in parts]
-    back = max(0, int(np.floor(size * overlap + 0.5)))
-    out, start = [], 0
-    while start < len(parts):
-        end, held = start, 0
-        while end < len(parts) and held < size:
-            held += costs[end]
-            end += 1
-        out.append(("".join(parts[start:end]), held))
-        if end == len(parts):
-            break
-        again, behind = end, 0
-        while again > start and behind < back:
-            again -= 1
-            behind += costs[again]
-        start = max(again, start + 1)
-    return out
-
-
-def chunk_documents(docs: DataFrame, size: int = 400, overlap: float = 0.20) -> DataFrame:
-    """doc_id, chunk_no (from 1), chunk_id, content, tokens for docs(doc_id, text)."""
+    if not parts:
+        return []
+    upto = np.concatenate([[0], np.cumsum([count(p) for p in parts])])
+    on = np.arange(1, len(parts) + 1)
+    until = np.clip(np.searchsorted(upto, upto[:-1] + size), on, len(parts))
+    after = np.maximum(on, np.searchsorted(upto, upto[until] - max(0, int(np.floor(size * overlap + 0.5))), "right") - 1)
+    found = [0]
+    while until[found[-1]] < len(parts):
+        found.append(after[found[-1]])
+    return [("".join(parts[k : until[k]]), int(upto[until[k]] - upto[k])) for k in found]
+
+
+def chunk_documents(docs: DataFrame, size: int = 400, overlap: float = 0.20, count=approximate_tokens) -> DataFrame:
+    """doc_id, chunk_no (from 1), chunk_id, content, tokens for docs(doc_id, text). count: tokens of a string."""
 
     @F.pandas_udf("array<struct<content: string, tokens: int>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"content": c, "tokens": n} for c, n in chunks(t, size, overlap)])
+        return texts.map(lambda t: [{"content": c, "tokens": n} for c, n in chunks(t, size, overlap, count)])
 
     rows = docs.select("doc_id", F.posexplode(cut("text")).alias("pos", "c"))
     name = F.concat(F.lit("chunk-"), F.substring(F.sha2(F.concat_ws("/", F.col("doc_id"), F.col("pos") + 1), 256), 1, 16))

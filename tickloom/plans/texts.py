@@ -59,11 +59,9 @@ def simhash(spark, sf_dir):
 
 
 def near_dup_pairs(spark, sf_dir):
-    """Different fingerprints within NEAR (22) of 64 bits, and how many documents have each."""
-    own = simhash(spark, sf_dir).groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    pairs = P.near_pairs(own.select("id", "fp"), P.NEAR)
-    n = lambda k: own.select(F.col("id").alias(f"id_{k}"), F.col("copies").alias(f"copies_{k}"))
-    return pairs.join(n("a"), "id_a").join(n("b"), "id_b")
+    """Each document with its class of equal fingerprints and how many others are within NEAR (22) of 64 bits."""
+    rows = P.near_links(simhash(spark, sf_dir).select(F.col("doc_id").alias("id"), "fp"))
+    return rows.select(F.col("id").alias("doc_id"), "fp", "class_id", "copies", "links")
 
 
 def _vector_hits(spark, sf_dir, k):

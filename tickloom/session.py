@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,5 +28,16 @@ def workers_import(spark: SparkSession) -> None:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate files, under spark.checkpoint.dir; a temporary one where that is
+    unset and driver and executors are one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='tickloom-')}/files"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

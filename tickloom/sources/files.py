@@ -8,7 +8,7 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,29 @@ def docx_text(raw: bytes) -> str:
     return html.unescape(re.sub(r"<[^>]+>", "", xml))
 
 
+def in_reading_order(pieces: list[tuple[float, float, str]]) -> str:
+    """Text of pieces (x, y, text), y growing upwards: from the top line down, each from the left.
+
+    Pieces less than half a unit apart in height stand in one line."""
+    lines: dict[int, list[tuple[float, str]]] = {}
+    for x, y, text in pieces:
+        if text.strip():
+            lines.setdefault(round(-2 * y), []).append((x, text.strip("\n")))
+    return "\n".join("".join(t for _, t in sorted(lines[k], key=lambda p: p[0])) for k in sorted(lines))
+
+
 def pdf_text(raw: bytes) -> str:
-    """By whichever public PDF reader is installed."""
+    """By whichever public PDF reader is installed; pieces of a page sorted by their position."""
     try:
         from pypdf import PdfReader
     except ImportError as e:
         raise NotImplementedError("PDF files need the pypdf package") from e
-    return "\n".join(p.extract_text() for p in PdfReader(io.BytesIO(raw)).pages)
+    pages = []
+    for page in PdfReader(io.BytesIO(raw)).pages:
+        pieces: list[tuple[float, float, str]] = []
+        page.extract_text(visitor_text=lambda text, cm, tm, *_: pieces.append((tm[4], tm[5], text)))
+        pages.append(in_reading_order(pieces))
+    return "\n".join(pages)
 
 
 def document_text(path: str, raw: bytes) -> str:
@@ -52,14 +68,14 @@ def document_text(path: str, raw: bytes) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _texts(paths: pd.Series, raw: pd.Series) -> pd.Series:
+def texts(paths: pd.Series, raw: pd.Series) -> pd.Series:
     return pd.Series([document_text(p, r) for p, r in zip(paths, raw)])
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, text of txt, docx and pdf files; any other format is an error when read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), _texts("path", "content").alias("text"))
+    return files.select("path", F.col("length").alias("bytes"), texts("path", "content").alias("text"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -112,13 +128,14 @@ def csv_rows(lines: DataFrame) -> DataFrame:
         return s.map(lambda x: [f.strip() for f in split_csv(x or "")])
 
     line = F.regexp_replace(F.coalesce("line", F.lit("")), "^\\uFEFF", "")
-    rows = lines.select("line_no", line.alias("line")).withColumn("_f", cut("line"))
+    kept = [c for c in lines.columns if c == "file"]
+    rows = lines.select(*kept, "line_no", line.alias("line")).withColumn("_f", cut("line"))
     part = lambda k, other: F.coalesce(F.get("_f", F.lit(k)), F.lit(other))
     fields = [part(k, "general" if n == "category" else "").alias(n) for k, n in enumerate(CSV_COLUMNS)]
     blank = (F.trim("line") == "") | F.trim("line").startswith("#")
-    out = rows.select("line_no", "line", F.size("_f").alias("_n"), *fields)
+    out = rows.select(*kept, "line_no", "line", F.size("_f").alias("_n"), *fields)
     status = F.when(blank, "skipped").when(F.col("_n") < 4, "short").when((F.col("stock_code") == "") | (F.col("content") == ""), "missing").otherwise("ok")
-    return out.select("line_no", status.alias("status"), *CSV_COLUMNS)
+    return out.select(*kept, "line_no", status.alias("status"), *CSV_COLUMNS)
 
 
 def csv_stats(rows: DataFrame) -> DataFrame:
@@ -126,7 +143,14 @@ def csv_stats(rows: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """csv_rows of a file; every line is a record, and the first line of each file is its header."""
-    lines = spark.read.text(path, wholetext=True)
-    each = lines.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where("pos > 0")
-    return csv_rows(each.select((F.col("pos") + 1).alias("line_no"), "line"))
+    """csv_rows of files, and file; every line is a record, and the first line of each file is its header.
+
+    Files are read by lines, in as many parts as their size asks for. A line's number is its
+    place among those of its file, by where its part and it begin.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("k"))
+    sizes = rows.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("least"))
+    ahead = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "part", "least", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    lines = rows.join(starts, ["file", "part"]).select("file", (F.col("ahead") + F.col("k") - F.col("least") + 1).alias("line_no"), F.col("value").alias("line"))
+    return csv_rows(lines.where("line_no > 1"))
