@@ -146,6 +146,7 @@ class Tiers:
         self.entries, self.most = entries, most * 1_000_000
         self.first: OrderedDict[str, int] = OrderedDict()  # key, until when
         self.second: dict[str, int] = {}
+        self.swept = 4 * entries
 
     def ask(self, key: str, at: int, ttl: int) -> tuple[str, int]:
         """(L1, L2 or miss; entries that had to go) of a request at this time."""
@@ -162,9 +163,14 @@ class Tiers:
             self.first.popitem(last=False)
         return tier, gone
 
+    def sweep(self, at: int) -> None:
+        """Forget what has died in the second tier; the next time when there is twice as much."""
+        self.second = {k: until for k, until in self.second.items() if until > at}
+        self.swept = max(4 * self.entries, 2 * len(self.second))
+
 
 def tier_replay(requests: DataFrame, ttl_seconds: Column, entries: int = L1_ENTRIES, most: int = L1_SECONDS) -> DataFrame:
-    """shard, id, tier (L1, L2 or miss), evicted, size of requests(shard, key, ts, id).
+    """shard, id, at (microseconds), tier (L1, L2 or miss), evicted, size of requests(shard, key, ts, id).
 
     Each shard, as an instance of the service, has tiers of its own and streams through one task
     in time order; a task holds the first tier and the keys of the second that are still alive.
@@ -177,26 +183,22 @@ def tier_replay(requests: DataFrame, ttl_seconds: Column, entries: int = L1_ENTR
             for r in pdf.itertuples(index=False):
                 if r.shard != shard:
                     shard, tiers = r.shard, Tiers(entries, most)
-                tier, gone = tiers.ask(r.key, r._t, r._ttl)
-                out.append((r.shard, r.id, tier, gone, len(tiers.first)))
-                if len(tiers.second) > 4 * entries and not r.id % 1024:
-                    tiers.second = {k: u for k, u in tiers.second.items() if u > r._t}
-            yield pd.DataFrame(out, columns=["shard", "id", "tier", "evicted", "size"])
-
-    rows = requests.select("shard", F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), (ttl_seconds * 1_000_000).cast("long").alias("_ttl"))
-    renamed = rows.withColumnsRenamed({"_t": "t_", "_ttl": "ttl_"})  # tuples of rows take no leading mark
-    ordered = renamed.repartition("shard").sortWithinPartitions("shard", "t_", "id")
-
-    def renamed_run(batches):
-        return run(pdf.rename(columns={"t_": "_t", "ttl_": "_ttl"}) for pdf in batches)
+                tier, gone = tiers.ask(r.key, r.at, r.ttl)
+                out.append((r.shard, r.id, r.at, tier, gone, len(tiers.first)))
+                if len(tiers.second) > tiers.swept:
+                    tiers.sweep(r.at)
+            yield pd.DataFrame(out, columns=["shard", "id", "at", "tier", "evicted", "size"])
 
-    return ordered.mapInPandas(renamed_run, "shard long, id long, tier string, evicted long, size long")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = requests.select("shard", F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "id", at, (ttl_seconds.cast("long") * 1_000_000).alias("ttl"))
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "at", "id")
+    return ordered.mapInPandas(run, "shard long, id long, at long, tier string, evicted long, size long")
 
 
 def tier_stats(replayed: DataFrame) -> DataFrame:
     """shard, hits and misses of the first tier, hit rate (four decimals), evictions, size at the end."""
     hits = F.count_if(F.col("tier") == "L1")
-    return replayed.groupBy("shard").agg(hits.alias("hits"), (F.count(F.lit(1)) - hits).alias("misses"), half_up(hits / F.count(F.lit(1)), 4).alias("rate"), F.sum("evicted").alias("evictions"), F.max_by("size", "id").alias("size"))
+    return replayed.groupBy("shard").agg(hits.alias("hits"), (F.count(F.lit(1)) - hits).alias("misses"), half_up(hits / F.count(F.lit(1)), 4).alias("rate"), F.sum("evicted").alias("evictions"), F.max_by("size", F.struct("at", "id")).alias("size"))
 
 
 def retry_summary(attempts: DataFrame, most: int = 3) -> DataFrame:

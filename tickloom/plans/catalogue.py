@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import conversations, tables, texts, timeseries
+from tickloom.plans import conversations, services, tables, texts, timeseries
 
-_MODULES = (timeseries, texts, conversations, tables)
+_MODULES = (timeseries, texts, conversations, tables, services)
 
 
 def queries() -> dict:

@@ -13,11 +13,6 @@ from tickloom.sources import files, pages
 AS_OF = "TIMESTAMP '2024-06-01 00:00:00'"
 
 
-def doc_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("lines"))
-
-
 def text_clean(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     c = X.clean(F.col("text"), compatibility=False)
@@ -130,7 +125,7 @@ def csv_import_stats(spark, sf_dir):
     return files.csv_stats(files.csv_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), line.alias("line"))))
 
 
-QUERIES = {f.__name__: f for f in (doc_scan, text_clean, sentence_split, text_truncate, contains_any, token_count, ingest_stats, chunk_documents, simhash, near_dup_pairs, vector_topk, bm25_topk, hybrid_fusion, rerank_topk, kb_retrieve, recency_weight, context_render, kb_stats, page_links, csv_import_stats)}
+QUERIES = {f.__name__: f for f in (text_clean, sentence_split, text_truncate, contains_any, token_count, ingest_stats, chunk_documents, simhash, near_dup_pairs, vector_topk, bm25_topk, hybrid_fusion, rerank_topk, kb_retrieve, recency_weight, context_render, kb_stats, page_links, csv_import_stats)}
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '\r', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '(\n\s*){2,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"""
 _VECTOR = """vq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
@@ -146,8 +141,19 @@ w2 AS (SELECT query_id, chunk_id, rank, (count(*) OVER (PARTITION BY query_id) -
 fu AS (SELECT coalesce(w1.query_id, w2.query_id) AS query_id, coalesce(w1.chunk_id, w2.chunk_id) AS chunk_id, w1.rank AS vector_rank, w2.rank AS bm25_rank, floor((coalesce(w1.w, 0) + coalesce(w2.w, 0)) * 1e9 + 0.5) / 1e9 AS final_score FROM w1 FULL JOIN w2 ON w1.query_id = w2.query_id AND w1.chunk_id = w2.chunk_id)"""
 _TITLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"
 
+#: The bigram fingerprint: FNV-1a over two code units and the splitmix64 finaliser, in 128 bits, and a
+#: majority of each bit. Code units are code points here: the texts have none beyond 16 bits.
+_M = "18446744073709551615::UHUGEINT"
+_MIXED = f"""fu AS (SELECT doc_id, unnest(string_split(text, '')[1:-2]) AS a, unnest(string_split(text, '')[2:]) AS b FROM documents WHERE trim(text) <> ''),
+fg AS (SELECT doc_id, unicode(a)::UHUGEINT AS a, unicode(b)::UHUGEINT AS b, count(*) AS n FROM fu GROUP BY ALL), fd AS (SELECT DISTINCT a, b FROM fg),
+f1 AS (SELECT a, b, (xor(((xor(14695981039346656037::UHUGEINT, a)) * 1099511628211::UHUGEINT) & {_M}, b) * 1099511628211::UHUGEINT) & {_M} AS h FROM fd),
+f2 AS (SELECT a, b, (xor(h, h >> 30) * 13787848793156543929::UHUGEINT) & {_M} AS h FROM f1), f3 AS (SELECT a, b, (xor(h, h >> 27) * 10723151780598845931::UHUGEINT) & {_M} AS h FROM f2), f4 AS (SELECT a, b, xor(h, h >> 31) AS h FROM f3)"""
+_BITS = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {k}) & 1 = 1 THEN n ELSE -n END) > 0 THEN {'-' if k == 63 else ''}{1 << k}::HUGEINT ELSE 0 END" for k in range(64))
+_PRINTS = f"{_MIXED}, fs AS (SELECT doc_id, {_BITS} AS fp FROM fg JOIN f4 USING (a, b) GROUP BY doc_id), fp AS (SELECT doc_id, coalesce(fp, 0)::BIGINT AS fp FROM documents LEFT JOIN fs USING (doc_id))"
+
 ORACLES = {
-    "doc_scan": "SELECT doc_id, length(text)::INT AS chars, len(string_split(text, chr(10)))::INT AS lines FROM documents",
+    "simhash": f"WITH {_PRINTS} SELECT doc_id, fp FROM fp",
+    "near_dup_pairs": f"WITH {_PRINTS}, fc AS (SELECT fp, min(doc_id) AS class_id, count(*) AS copies FROM fp GROUP BY fp), fl AS (SELECT a.fp, count(*) FILTER (WHERE b.fp <> 0 AND b.fp <> a.fp AND bit_count(xor(a.fp, b.fp)) <= 22 AND a.fp <> 0) AS links FROM fc a, fc b GROUP BY a.fp) SELECT doc_id, fp, class_id, copies, links FROM fp JOIN fc USING (fp) JOIN fl USING (fp)",
     "text_clean": f"WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents) SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM c",
     "sentence_split": r"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?。；！？]*[.!?。；！？]|[^.!?。；！？]+$'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS s FROM documents) SELECT doc_id, len(s)::INT AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::INT AS longest FROM s",
     "text_truncate": "SELECT doc_id, CASE WHEN length(trim(text)) <= 240 THEN trim(text) ELSE substr(trim(text), 1, 240) || '...' END AS short FROM documents",
