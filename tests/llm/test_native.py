@@ -78,9 +78,12 @@ def test_mix_rows(spark):
     plan = mixing.plan(df)
     out = mixing.mix(df)
     assert out.columns == df.columns
-    words = Counter()
+    words, texts = Counter(), defaultdict(list)
+    for i, t, _, s, _ in rows:
+        texts[i, s].append(t)
     for r in out.collect():
         words[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+        assert any(t.startswith(r["text"]) for t in texts[r["doc_id"], r["source"]] if t)  # a cut text ends after a word
     want = Counter()
     for r in plan.collect():
         if r["taken"]:
@@ -162,6 +165,9 @@ def test_url_filter(spark):
         (12, "https://d.org/", None),
         (13, "ftp://u.net?x://y/z", None),
         (14, "https://e.org/1", None),
+        (15, "https://f.org", link("HTTPS://Evil.Example.NET/q#top")),  # the same address as 11's target
+        (16, "HTTPS://F.org/", None),
+        (17, "https://f.org/?a", None),
     ]
     df = spark.createDataFrame(pages, PAGES).withColumn("host", F.lit("own")).withColumn("verdict", F.lit(1))
     got = defaultdict(list)
@@ -177,9 +183,22 @@ def test_url_filter(spark):
     assert got[10] == [("badnet", "/", None, "allow")]
     assert got[11][0][3] == "block" and got[12] == [("d.org", "/", None, "block")] * 2
     assert got[13] == [("u.net", "", None, "allow")] and got[14][0][3] == "block"
+    assert got[15][0][3] == "block" and got[16][0][3] == "block" and got[17][0][3] == "allow"
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_url_filter_hubs_and_chains(spark):
+    """A blocked hub of many aliases, long chains of redirects, and islands, by a redirect table."""
+    hub = [("https://bad.net/", f"https://a{k}.org/x") for k in range(20_000)]
+    chain = [(f"https://c.org/{k}", f"https://c.org/{k + 1}") for k in range(500)] + [("https://c.org/500", "https://x.net/")]
+    free = [(f"https://d.org/{k}", f"https://d.org/{k + 1}") for k in range(500)]
+    urls = [u for _, u in hub] + [u for u, _ in chain] + [u for u, _ in free] + ["https://a7.org/fr/x"]
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], PAGES)
+    redirects = spark.createDataFrame(hub + chain + free + [("https://bad.net/", "https://a7.org/fr/x")], "src string, dst string")
+    found = url_filter.judge(pages, redirects=redirects).groupBy("rule", "verdict").count().collect()
+    assert {(r["rule"], r["verdict"]): r["count"] for r in found} == {(None, "block"): 20_501, (None, "allow"): 500, ("org/fr/", "allow"): 1}
+
+
 def plain_base(t):
     t = t or ""
     w = WORD.findall(t)

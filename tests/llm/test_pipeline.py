@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_native import WORD, plain_base
 from tests.llm.test_python import classes, plain_fingerprint
@@ -57,3 +58,25 @@ def test_run_is_the_stages(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()[cols]
     key = ["doc_id", "copy", "start"]
     assert got.sort_values(key).reset_index(drop=True).equals(stages[-1].sort_values(key).reset_index(drop=True))
+
+
+def test_odd_rows(spark):
+    """Nulls, empty texts, repeats, repeated ids and clashing columns through all stages; and no rows."""
+    from tests.llm.test_native import DOCS, fixture
+
+    rows = [(i, t, l, s, n) for i, t, l, s, n in fixture(3, 40)]
+    own = " ".join(f"w{k}" for k in range(80))
+    rows += [(900, own, "en", "a", 1), (900, own, "en", "a", 1), (900, own.replace("w", "v"), "en", "a", 1), (None, own.replace("w", "u"), None, None, None), (901, own + "\n", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in ("h", "kept", "fp", "copy", "rule", "taken", "_row")})
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, None)
+        assert kept.columns == docs.columns, name
+        kept = spark.createDataFrame(kept.collect(), docs.schema)
+        if name == "simhash near-dedup":
+            assert Counter(r["doc_id"] for r in kept.collect())[900] == 2 and 901 not in {r["doc_id"] for r in kept.collect()}
+            assert any(r["doc_id"] is None for r in kept.collect())
+    assert corpus_pipeline.STAGES[4][1](spark, kept, None).count() >= kept.count() > 3
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, None).count() == 0

@@ -6,8 +6,8 @@ document the words before it; the source's exact budget cuts there. A budget of
 pass takes every document once per whole pass and the rest in key order.
 
 Null text has size 0 and is never taken. A null source is a source of its own, last in order.
-Nulls and repeats among ids only share a key; every row is a document of its own. A source
-without words gets target 0. An empty table gives an empty result.
+Rows without an id take their key from their text; repeated ids share one, but every row is a
+document of its own. A source without words gets target 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,19 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, back, cut, let, prefix_sums, words
+from .common import aside, back, cut, prefix_sums, words
 
-#: Ranges of keys that a source is cut into; each is sorted on its own.
-RANGES = 1024
+#: Rows of a range of keys, about, where one source has them all; each range is sorted on its own.
+IN_RANGE = 1 << 17
+#: Bits of a key, and those that tell its range, at least.
+BITS, LEAST = 60, 10
 
 
 def size_of(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def key_of(doc_id: Column, seed: int) -> Column:
-    """60 random bits from the id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+def key_of(doc_id: Column, text: Column, seed: int) -> Column:
+    """BITS random bits from the id, or from the text where there is none."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(totals: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -51,8 +54,10 @@ def targets(totals: DataFrame, weights: list[float], share: float, most: float)
 
 def plan(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
-    slim = docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), seed).alias("key"))
-    slim = cut(slim.withColumn("range", F.shiftright("key", 60 - RANGES.bit_length() + 1).cast("int")))
+    slim = docs.select("doc_id", F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), size_of(F.col("text")).alias("size"), key_of(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    slim = cut(slim)
+    bits = max(LEAST, (slim.count() // IN_RANGE).bit_length())
+    slim = slim.withColumn("range", F.shiftright("key", BITS - bits))
     by = ["no_source", "source"]
     ranges = slim.groupBy(*by, "range").agg(F.sum("size").alias("in_range"))
     totals = ranges.groupBy(*by).agg(F.sum("in_range").alias("source_size"))
@@ -85,5 +90,6 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     rows = own.join(dealt, same)
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     rows = rows.withColumn("cut", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))))
-    first = let(words(text), lambda w: F.slice(w, 1, F.col("cut")))
-    return back(rows.withColumn(names["text"], F.when(F.col("cut") == 0, text).otherwise(F.array_join(first, " "))), names)
+    # Each word with the white space before it, so that what is left of a text is as it was.
+    spaced = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    return back(rows.withColumn(names["text"], F.when(F.col("cut") == 0, text).otherwise(F.array_join(F.slice(spaced, 1, F.col("cut")), ""))), names)

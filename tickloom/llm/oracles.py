@@ -4,7 +4,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 r AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS k FROM s),
 c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, 1.5 * sum(source_size) OVER () AS total, sum(w) OVER () AS ws FROM r),
@@ -37,19 +37,27 @@ SELECT e.doc_id, first_line::BIGINT AS first_line, last_line::BIGINT AS last_lin
 FROM e JOIN m ON m.doc_id = e.doc_id AND m.k = e.k AND m.len - m.nth >= e.until - e.k GROUP BY e.doc_id, first_line, last_line
 """
 
-OP4 = r"""
+def _node(url: str) -> str:
+    """A url's node: without fragment, scheme and host in small letters, / for an empty path."""
+    head = f"coalesce(regexp_extract(split_part({url}, '#', 1), '^(?s:.*?)://[^/?#]*'), '')"
+    rest = f"substr(split_part({url}, '#', 1), length({head}) + 1)"
+    return f"CASE WHEN {head} = '' THEN split_part({url}, '#', 1) ELSE translate({head}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE WHEN {rest} = '' OR starts_with({rest}, '?') THEN '/' ELSE '' END || {rest} END"
+
+
+_LINK = "CASE WHEN t LIKE '/%' THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*') || t ELSE t END"
+OP4 = rf"""
 WITH RECURSIVE u AS (SELECT page_id, url, html, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(h, p, verdict)),
 link AS (SELECT url, regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM u WHERE html ILIKE '%canonical%'
   UNION ALL SELECT url, regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)url\s*=\s*["'']?([^"''\s>]+)', 1) FROM u WHERE html ILIKE '%refresh%'),
-e AS (SELECT split_part(url, '#', 1) AS a, split_part(CASE WHEN t LIKE '/%' THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*') || t ELSE t END, '#', 1) AS b FROM link WHERE t <> ''),
+e AS (SELECT {_node("url")} AS a, {_node(_LINK)} AS b FROM link WHERE t <> ''),
 twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS n, a AS r FROM twoway UNION SELECT twoway.b, reach.r FROM reach JOIN twoway ON twoway.a = reach.n),
 bad AS (SELECT DISTINCT n FROM (SELECT n, r, translate(regexp_extract(r, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(r, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS p FROM reach) q
   WHERE 'block' = (SELECT max_by(verdict, length(rules.h) * 1000 + length(rules.p)) FROM rules WHERE (q.h = rules.h OR ends_with(q.h, '.' || rules.h)) AND starts_with(q.p, rules.p))),
 m AS (SELECT u.page_id, u.url, u.host, u.path, max_by(rules.h || rules.p, length(rules.h) * 1000 + length(rules.p)) AS rule, max_by(rules.verdict, length(rules.h) * 1000 + length(rules.p)) AS v
   FROM u LEFT JOIN rules ON (u.host = rules.h OR ends_with(u.host, '.' || rules.h)) AND starts_with(u.path, rules.p) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN split_part(url, '#', 1) IN (SELECT n FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM m
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN {_node("url")} IN (SELECT n FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM m
 """
 
 OP8 = rf"""

@@ -142,14 +142,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile: i
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links reach, one row per document."""
+    """(doc_id, fp, component_id, root), one row per document: the smallest doc_id that links reach,
+    and the fingerprint that stands for the component, as components of repeated ids may share the first."""
     own = cut(fingerprints(docs))
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(distinct.select("fp"), radius))
     placed = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
     least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")))
-    ids = cut(join_groups(placed, least, "root", "fps").select("fp", "n", "component_id"))
-    return join_groups(own, ids, "fp", "n").select("doc_id", "fp", "component_id")
+    ids = cut(join_groups(placed, least, "root", "fps").select("fp", "n", "component_id", "root"))
+    return join_groups(own, ids, "fp", "n").select("doc_id", "fp", "component_id", "root")
 
 
 def _printed(at: int):
@@ -172,7 +173,7 @@ def dedup(docs: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFram
     without a doc_id stay.
     """
     told = near_duplicates(docs, radius).where("doc_id is not null")
-    told = cut(told.groupBy("doc_id", "fp", "component_id").agg(F.count(F.lit(1)).alias("copies")))
+    told = cut(told.groupBy("doc_id", "fp", "component_id", "root").agg(F.count(F.lit(1)).alias("copies")))
     own, names = aside(docs)
     doc, text = F.col(names["doc_id"]), F.col(names["text"])
     sent = lambda ids: F.broadcast(ids) if ids.count() <= small else ids
@@ -184,5 +185,5 @@ def dedup(docs: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFram
     rows = own.join(sent(twice), doc == F.col("doc_id"), "left_semi")
     rows = rows.mapInArrow(_printed(list(names).index("text")), T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())]))
     rows = rows.join(told.where("doc_id = component_id").drop("copies"), (doc == F.col("doc_id")) & (rows["fp"] == told["fp"]))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(text, F.lit(""))))
+    first = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy(F.coalesce(text, F.lit(""))))
     return once.unionByName(back(rows.withColumn("at", first).where("at = 1"), names))

@@ -6,7 +6,8 @@ block on any alias, page or mere link target, blocks them. An explicit allow rul
 over a block that comes from an alias. Otherwise pages are allowed.
 
 Edges are ``<link rel=canonical href>``, ``<meta http-equiv=refresh content="..;url=..">`` and
-rows of an optional redirects(src, dst) table. Nodes are urls without their fragment.
+rows of an optional redirects(src, dst) table. Nodes are urls without their fragment, with scheme
+and host in small letters and / for an empty path, so that ways to write one address are one node.
 Null urls have no host, no edges and are allowed; null html has no edges. Repeated rows are
 judged alike. Empty tables give an empty result.
 """
@@ -53,7 +54,11 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _node(url: Column) -> Column:
-    return F.regexp_replace(url, "(?s)#.*$", "")
+    """url without its fragment, scheme and host in small letters, and with / for an empty path."""
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
+    rest = F.substr(bare, F.length(head) + 1)
+    return F.when(head == "", bare).otherwise(F.concat(F.translate(head, CAPITALS, SMALL), F.when((rest == "") | rest.startswith("?"), "/").otherwise(""), rest))
 
 
 def _absolute(link: Column, url: Column) -> Column:
