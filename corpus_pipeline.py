@@ -3,6 +3,12 @@
 Quality rules, exact dedup, SimHash near-dedup, mixing sources to target weights, packing. All
 stages but the last return the columns of documents. Each is written as Parquet in the shared
 folder and read again as the next one's docs.
+
+Null and empty texts fail the quality rules and go with it; a null source is a source of its own.
+Of rows that repeat a document one stays; rows that repeat an id with different texts are told
+apart, and rows without an id are kept, except as exact copies. Empty tables give empty results.
+Other columns are carried along as they are, whatever their names, up to packing, whose pieces
+keep doc_id alone.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 import uuid
 
 from tickloom.llm import exact_dedup, mixing, packing, quality, simhash
-from tickloom.llm.common import shared_dir
+from tickloom.llm.common import remove, shared_dir
 from tickloom.llm.queries import tokenizer
 
 
@@ -54,11 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Each stage's files go when the next one's are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
