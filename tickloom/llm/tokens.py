@@ -19,6 +19,7 @@ import json
 import os
 import sys
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,15 +99,17 @@ class Words:
 
     def __init__(self, path: str, most: int = WORDS):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = _library(path)
         self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.lengths[k] = len(token.removesuffix(_END))
         # A word's byte-level spelling differs from its letters outside ASCII only.
-        self.table = {b: c for b, c in _spelling().items() if b != 10}
+        self.table = {b: c for b, c in _spelling().items() if b != 32}
         self.stops = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(STOPS), add_special_tokens=False)]
         self.most = most
         self.clear()
@@ -207,15 +210,14 @@ class Words:
     def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By the whole tokenizer, which never joins what white space parts."""
         found = self.tokenizer.encode_batch_fast([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)], add_special_tokens=False)
-        return self._parted(np.array([k for e in found for k in e.ids], np.uint32), [len(w.encode("utf-8")) for w in words])
+        return self._parted(np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32), [len(w.encode("utf-8")) for w in words])
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        together = "\n".join(words)
-        if not together.isascii():
-            together = together.encode("utf-8").decode("latin-1").translate(self.table)
-        spelt = together.split("\n")
-        ids = self.merges.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids
-        return self._parted(np.array(ids, np.uint32), list(map(len, spelt)))
+        lots = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+        spelt = [s if s.isascii() else s.encode("utf-8").decode("latin-1").translate(self.table) for s in lots]
+        found = self.merges.encode_batch_fast(spelt, add_special_tokens=False)
+        sizes = [len(w) for s in spelt for w in s.split(" ")]
+        return self._parted(np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32), sizes)
 
     def _parted(self, ids: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """ids, and where those of each word end, by the words' bytes."""
