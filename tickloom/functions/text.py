@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Blanks inside a line, and marks that end a sentence.
 SPACES = "[ \\t\\x0B\\f\\u00A0\\u2000-\\u200A\\u202F\\u205F\\u3000]+"
 SENTENCE_ENDS = "。；！？.!?"
 
