@@ -25,7 +25,7 @@ from . import idcoder, tokens
 from .common import prepare, shared_dir
 
 END = 2
-BLOCK = 1 << 22
+BLOCK = 1 << 23
 FILE = "part int, block int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -53,7 +53,9 @@ def _blocks(path: str, end: int, vocabulary: int, most: int):
         docs, sizes, held, n = [], [], [], 0
 
         def row():
-            cells = [[part], [block], [n], [docs], [sizes], [idcoder.encode(np.concatenate(held), vocabulary)]]
+            ids = np.concatenate(held)
+            held.clear()
+            cells = [[part], [block], [n], [docs], [sizes], [idcoder.encode(ids, vocabulary)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], ["part", "block", "n_ids", "doc_ids", "lengths", "payload"])
 

@@ -41,7 +41,7 @@ ONE, ZERO = 14, 16
 PARTS = 8
 TRUST, SEEN = 8, 16
 TABLE = 18
-LANE_IDS, MOST_LANES = 256, 8192
+LANE_IDS, MOST_LANES = 256, 16384
 _LOW, _TOP = np.uint64((1 << 32) - 1), 1 << 48
 
 
@@ -256,7 +256,7 @@ class _Out:
         self.span[lanes] = width.astype(np.uint64) * unit
         k = np.flatnonzero(self.span <= _LOW)
         while len(k):
-            self.sent.append((k, (self.low[k] >> np.uint64(32)).astype(np.int64)))
+            self.sent.append((k.astype(np.uint16), (self.low[k] >> np.uint64(32)).astype(np.int32)))
             self.low[k] = (self.low[k] & _LOW) << np.uint64(16)
             self.span[k] <<= np.uint64(16)
             k = k[self.span[k] <= _LOW]
@@ -264,9 +264,10 @@ class _Out:
     def words(self, lanes: int) -> tuple[np.ndarray, np.ndarray]:
         """(number of 16-bit words of each lane, all words)."""
         # One more word tells a value inside the last range; the decoder goes on with zeros.
-        self.sent.append((np.arange(lanes), ((self.low + _LOW) >> np.uint64(32)).astype(np.int64)))
+        self.sent.append((np.arange(lanes, dtype=np.uint16), ((self.low + _LOW) >> np.uint64(32)).astype(np.int32)))
         lane, word = (np.concatenate(x) for x in zip(*self.sent))
-        order = np.argsort(lane.astype(np.uint16), kind="stable")  # of 16 bits: a radix sort
+        self.sent = []
+        order = np.argsort(lane, kind="stable")  # of 16 bits: a radix sort
         word = word[order]
         over = np.flatnonzero(word >> 16)
         while len(over):  # carries go to the word before, of the same lane, as a value is below its lane's first range

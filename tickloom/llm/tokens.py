@@ -32,11 +32,12 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 WORDS = 1_500_000
 #: Bytes of texts that are best looked up together.
 TOGETHER = 1 << 24
-#: Marks that the tokenizer cuts off the letter before them.
-STOPS = ".,"
 _END = "</w>"
 #: Characters whose case or composition may depend on others, and white space that bytes do not split at.
 _ODD = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{130}\x{250}-\x{10ffff}]"
+#: Letters, and what is neither letter nor number, of texts without such characters.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+_MARKS = "".join(c for c in map(chr, range(0x250)) if not c.isalnum())
 #: Fixed value: how byte-level files cut texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBE = "It's  a \n probe of 12,345 cafés… <|endoftext|> 中文\U0001f600.  "
@@ -110,7 +111,6 @@ class Words:
             self.lengths[k] = len(token.removesuffix(_END))
         # A word's byte-level spelling differs from its letters outside ASCII only.
         self.table = {b: c for b, c in _spelling().items() if b != 32}
-        self.stops = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(STOPS), add_special_tokens=False)]
         self.most = most
         self.clear()
 
@@ -140,50 +140,39 @@ class Words:
     def _places(self, different: pa.Array) -> np.ndarray:
         """Where different words stand in the cache, which learns those that it lacks.
 
-        A stop after a letter comes apart in any case, so such a word's ids are those of the rest,
-        which may be known, and the stop's. Looking up is dear for the cache's size: it is done once.
+        Letters and the marks at their end come apart in any case, so such a word's ids are those
+        of its two parts, which may be known. Looking up is dear for the cache's size: it is done once.
         """
-        stopped = pc.match_substring_regex(different, rf"\p{{L}}[{STOPS}]$")
-        ended = different.filter(stopped)
-        both = pa.concat_arrays([different, pc.utf8_slice_codeunits(ended, 0, -1)])
+        letters, marks = pc.utf8_rtrim(different, _MARKS), pc.utf8_ltrim(different, _LETTERS)
+        whole = pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(marks)), pc.binary_length(different))
+        marked = pc.and_(pc.and_(whole, pc.utf8_is_alpha(letters)), pc.not_equal(marks, ""))
+        parts = [letters.filter(marked), marks.filter(marked)]
+        both = pa.concat_arrays([different, *parts])
         found = pc.index_in(both, value_set=self.words)
         lacking = found.slice(0, len(different)).null_count
         if lacking and len(self.words) + 2 * lacking > self.most:
             self.clear()
             found = pc.index_in(both, value_set=self.words)
         at = pc.fill_null(found, -1).to_numpy().copy()
-        at, rest = at[: len(different)], at[len(different) :]
+        at, first, second = np.split(at, [len(different), len(different) + len(parts[0])])
         if not lacking:
             return at
-        stopped = stopped.to_numpy(zero_copy_only=False)
-        plain, late = (at < 0) & ~stopped, at[stopped] < 0
-        bare = both.slice(len(different)).filter(pa.array(late))
-        rest = rest[late]
-        fresh = self._learn(pc.unique(pa.concat_arrays([different.filter(pa.array(plain)), bare.filter(pa.array(rest < 0))])))
-        known = len(self.words) - len(fresh)
-        at[plain] = known + pc.index_in(different.filter(pa.array(plain)), value_set=fresh).to_numpy()
-        if len(bare):
-            rest[rest < 0] = known + pc.index_in(bare.filter(pa.array(rest < 0)), value_set=fresh).to_numpy()
-            marks = ended.filter(pa.array(late))
-            at[np.flatnonzero(stopped)[late]] = len(self.words) + np.arange(len(marks))
-            self._add(marks, *self._with_stops(rest, marks))
+        marked = marked.to_numpy(zero_copy_only=False)
+        plain, late = (at < 0) & ~marked, at[marked] < 0
+        known = len(self.words)
+        wanted = [(at, plain, different)] + [(own, own < 0, some) for own, some in ((first, parts[0]), (second, parts[1]))]
+        wanted[1:] = [(own, lost & late, some) for own, lost, some in wanted[1:]]
+        fresh = self._learn(pc.unique(pa.concat_arrays([some.filter(pa.array(lost)) for _, lost, some in wanted])))
+        for own, lost, some in wanted:
+            if lost.any():
+                own[lost] = known + pc.index_in(some.filter(pa.array(lost)), value_set=fresh).to_numpy()
+        if late.any():
+            pairs = np.stack([first[late], second[late]], axis=1).ravel()
+            ids, ends = self._gather(pairs)
+            at[np.flatnonzero(marked)[late]] = len(self.words) + np.arange(len(pairs) // 2)
+            self._add(different.filter(pa.array(marked)).filter(pa.array(late)), ids, ends[1::2])
         return at
 
-    def _with_stops(self, at: np.ndarray, marks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words at these places with the ids of the stops that marks end with."""
-        body, ends = self._gather(at)
-        sizes, which = np.diff(ends, prepend=0), np.zeros(len(marks), np.int64)
-        for k, mark in enumerate(STOPS):
-            which[pc.ends_with(marks, mark).to_numpy(zero_copy_only=False)] = k
-        tails = np.array([len(x) for x in self.stops])[which]
-        last = np.cumsum(sizes + tails)
-        flat = np.empty(last[-1], np.uint32)
-        flat[_ranges(last - tails - sizes, sizes)] = body
-        for k, ids in enumerate(self.stops):
-            for j, x in enumerate(ids):
-                flat[(last - tails + j)[which == k]] = x
-        return flat, last
-
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words at these places, and where each word's end."""
         first = self.ends[at]
@@ -233,9 +222,3 @@ def words(path: str) -> Words:
     if (Words, path) not in _loaded:
         _loaded[Words, path] = Words(path)
     return _loaded[Words, path]
-
-
-def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, … for each size."""
-    total = np.cumsum(sizes)
-    return np.repeat(first - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
