@@ -172,7 +172,28 @@ def _candidate_sql() -> str:
     return f"WITH {_T}, u AS (SELECT * FROM t WHERE role = 'user') " + " UNION ALL ".join(parts)
 
 
+#: One event after the other: settling a waiting change, then each stated value. v is what is known of the
+#: two open keys, w when it was written, p the waiting change; closed keys allow none of the texts' values.
+_EVENTS = f"""q AS ({_candidate_sql()}),
+e0 AS (SELECT conv_id % 50 AS user_id, id, epoch(tm) AS tm, text, 0 AS part, NULL::VARCHAR AS key, NULL::VARCHAR AS value FROM t WHERE role = 'user' UNION ALL SELECT conv_id % 50, t.id, epoch(tm), text, CASE key WHEN 'invest_style' THEN 1 WHEN 'risk_preference' THEN 2 WHEN 'holding_horizon' THEN 3 WHEN 'focus_sectors' THEN 4 ELSE 5 END, key, trim(value) FROM q JOIN t USING (id)),
+e AS (SELECT *, contains(text, 'the ') AS yea, contains(text, 'que ') AS nay, row_number() OVER (PARTITION BY user_id ORDER BY tm, id, part) AS n FROM e0),
+z AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::VARCHAR AS v4, NULL::VARCHAR AS v5, NULL::DOUBLE AS w, NULL::VARCHAR AS pk, NULL::VARCHAR AS pv, NULL::DOUBLE AS pa, NULL::BIGINT AS id, NULL::VARCHAR AS event, NULL::VARCHAR AS key, NULL::VARCHAR AS value FROM e
+UNION ALL SELECT user_id, n, CASE WHEN pk = 'focus_sectors' AND event = 'confirmed' THEN pv WHEN event = 'set' AND key = 'focus_sectors' THEN value ELSE v4 END, CASE WHEN pk = 'custom_rules' AND event = 'confirmed' THEN pv WHEN event = 'set' AND key = 'custom_rules' THEN value ELSE v5 END,
+CASE WHEN event IN ('set', 'confirmed') THEN tm ELSE w END, CASE event WHEN 'conflict' THEN key WHEN 'confirmed' THEN NULL WHEN 'rejected' THEN NULL ELSE pk END, CASE event WHEN 'conflict' THEN value WHEN 'confirmed' THEN NULL WHEN 'rejected' THEN NULL ELSE pv END, CASE event WHEN 'conflict' THEN tm WHEN 'confirmed' THEN NULL WHEN 'rejected' THEN NULL ELSE pa END, id, event, coalesce(key, pk), coalesce(value, pv)
+FROM (SELECT *, CASE WHEN part = 0 THEN CASE WHEN pk IS NOT NULL AND yea THEN 'confirmed' WHEN pk IS NOT NULL AND nay THEN 'rejected' END WHEN part <= 3 OR length(value) > 200 OR value = '' THEN 'refused' WHEN CASE part WHEN 4 THEN v4 ELSE v5 END IS NULL THEN 'set' WHEN CASE part WHEN 4 THEN v4 ELSE v5 END = value THEN 'unchanged' ELSE 'conflict' END AS event
+FROM (SELECT e.*, CASE WHEN part = 0 AND tm - w > 90 * 86400 THEN NULL ELSE v4 END AS v4, CASE WHEN part = 0 AND tm - w > 90 * 86400 THEN NULL ELSE v5 END AS v5, w, CASE WHEN part = 0 AND tm - pa > 7200 THEN NULL ELSE pk END AS pk, CASE WHEN part = 0 AND tm - pa > 7200 THEN NULL ELSE pv END AS pv, CASE WHEN part = 0 AND tm - pa > 7200 THEN NULL ELSE pa END AS pa FROM z JOIN e ON e.user_id = z.user_id AND e.n = z.n + 1)))"""
+#: The ranking of a session's records, and the fold down it: taken if it fits what is left.
+_WINDOW = f"""{_T}, w0 AS (SELECT conv_id AS s, id, tm, {_IMPORTANCE} AS imp, {_KIND} AS kind, CASE WHEN text IS NULL OR length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END::BIGINT AS tokens FROM t),
+w1 AS (SELECT *, coalesce(id = max(CASE WHEN kind = 'USER_QUERY' THEN id END) OVER (PARTITION BY s), false) AS must FROM w0 WHERE kind <> 'NOISE'),
+w2 AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY must DESC, imp >= 8 DESC, tm DESC, id DESC) AS k FROM w1),
+w3 AS (SELECT s, id, k, must AS taken, CASE WHEN must OR tokens <= 400 THEN 400 - tokens ELSE 400 END AS room, tokens <= 400 OR must AS t0 FROM w2 WHERE k = 1
+UNION ALL SELECT w2.s, w2.id, w2.k, w2.must, CASE WHEN w3.room > 0 AND w3.room >= w2.tokens THEN w3.room - w2.tokens ELSE w3.room END, w3.room > 0 AND w3.room >= w2.tokens FROM w3 JOIN w2 ON w2.s = w3.s AND w2.k = w3.k + 1),
+w4 AS (SELECT w3.s, w3.id, w2.must, min(room) OVER (PARTITION BY w3.s) AS room, row_number() OVER (PARTITION BY w3.s ORDER BY w2.tm DESC, w3.id DESC) AS n, count(*) OVER (PARTITION BY w3.s) AS kept FROM w3 JOIN w2 ON w2.s = w3.s AND w2.k = w3.k WHERE t0),
+w5 AS (SELECT *, count(*) OVER (PARTITION BY s) AS stay, (SELECT min(room) FROM w3 x WHERE x.s = w4.s) AS least FROM w4 WHERE n <= 4 OR must)"""
+
 ORACLES = {
+    "profile_fold": f"WITH RECURSIVE {_T}, {_EVENTS} SELECT user_id, id AS turn, event, key, value FROM z WHERE event IS NOT NULL",
+    "token_window": f"WITH RECURSIVE {_WINDOW} SELECT s AS session_id, id, 400 - least AS used_tokens, kept - stay AS dropped FROM w5",
     "importance_score": f"WITH {_T} SELECT id, {_IMPORTANCE} AS importance, {_KIND} AS kind, {_NOISY} AS noise FROM t",
     "bounded_history": "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "profile_candidates": _candidate_sql(),

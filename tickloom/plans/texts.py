@@ -144,14 +144,28 @@ _TITLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_re
 #: The bigram fingerprint: FNV-1a over two code units and the splitmix64 finaliser, in 128 bits, and a
 #: majority of each bit. Code units are code points here: the texts have none beyond 16 bits.
 _M = "18446744073709551615::UHUGEINT"
-_MIXED = f"""fu AS (SELECT doc_id, unnest(string_split(text, '')[1:-2]) AS a, unnest(string_split(text, '')[2:]) AS b FROM documents WHERE trim(text) <> ''),
-fg AS (SELECT doc_id, unicode(a)::UHUGEINT AS a, unicode(b)::UHUGEINT AS b, count(*) AS n FROM fu GROUP BY ALL), fd AS (SELECT DISTINCT a, b FROM fg),
+_MIXED = f"""fm AS (SELECT doc_id, unnest(string_split(text, '')[1:-2]) AS a, unnest(string_split(text, '')[2:]) AS b FROM documents WHERE trim(text) <> ''),
+fg AS (SELECT doc_id, unicode(a)::UHUGEINT AS a, unicode(b)::UHUGEINT AS b, count(*) AS n FROM fm GROUP BY ALL), fd AS (SELECT DISTINCT a, b FROM fg),
 f1 AS (SELECT a, b, (xor(((xor(14695981039346656037::UHUGEINT, a)) * 1099511628211::UHUGEINT) & {_M}, b) * 1099511628211::UHUGEINT) & {_M} AS h FROM fd),
 f2 AS (SELECT a, b, (xor(h, h >> 30) * 13787848793156543929::UHUGEINT) & {_M} AS h FROM f1), f3 AS (SELECT a, b, (xor(h, h >> 27) * 10723151780598845931::UHUGEINT) & {_M} AS h FROM f2), f4 AS (SELECT a, b, xor(h, h >> 31) AS h FROM f3)"""
 _BITS = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {k}) & 1 = 1 THEN n ELSE -n END) > 0 THEN {'-' if k == 63 else ''}{1 << k}::HUGEINT ELSE 0 END" for k in range(64))
 _PRINTS = f"{_MIXED}, fs AS (SELECT doc_id, {_BITS} AS fp FROM fg JOIN f4 USING (a, b) GROUP BY doc_id), fp AS (SELECT doc_id, coalesce(fp, 0)::BIGINT AS fp FROM documents LEFT JOIN fs USING (doc_id))"
 
 ORACLES = {
+    "chunk_documents": r"""WITH RECURSIVE c0 AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?。；！？]*[.!?。；！？]|[^.!?。；！？]+$'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL),
+c1 AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k, unnest(list_transform(s, lambda x: greatest(1, length(x) // 2))) AS cost FROM c0 WHERE len(s) > 0),
+c2 AS (SELECT doc_id, k, cost, sum(cost) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS upto, max(k) OVER (PARTITION BY doc_id) AS last FROM c1),
+c3 AS (SELECT a.doc_id, a.k, a.upto - a.cost AS before, a.last, coalesce(e.k, a.last) AS until, coalesce(e.upto, (SELECT max(upto) FROM c2 z WHERE z.doc_id = a.doc_id)) AS reached FROM c2 a ASOF LEFT JOIN c2 e ON e.doc_id = a.doc_id AND e.upto >= a.upto - a.cost + 400),
+c4 AS (SELECT c3.*, greatest(c3.k + 1, coalesce(b.k, 1)) AS next FROM c3 ASOF LEFT JOIN (SELECT doc_id, k, upto - cost AS before FROM c2) b ON b.doc_id = c3.doc_id AND b.before <= c3.reached - 80),
+c5 AS (SELECT doc_id, 1 AS no, k, until, reached - before AS tokens, next, last FROM c4 WHERE k = 1 UNION ALL SELECT c4.doc_id, c5.no + 1, c4.k, c4.until, c4.reached - c4.before, c4.next, c4.last FROM c5 JOIN c4 ON c4.doc_id = c5.doc_id AND c4.k = c5.next WHERE c5.until < c5.last)
+SELECT c5.doc_id, no::INT AS chunk_no, 'chunk-' || substr(sha256(c5.doc_id || '/' || no), 1, 16) AS chunk_id, array_to_string(s[c5.k:c5.until], '') AS content, tokens::INT AS tokens FROM c5 JOIN c0 ON c0.doc_id = c5.doc_id""",
+    "kb_retrieve": f"""WITH RECURSIVE {_VECTOR.replace("rank <= 20", "rank <= 30")}, {_BM25}, {_FUSED}, {_PRINTS},
+k0 AS (SELECT query_id, chunk_id, coalesce(fp, 0) AS fp, floor((final_score + CASE WHEN source = 'src1' THEN 0.30::DOUBLE WHEN lang = 'en' THEN 0.25::DOUBLE ELSE 0 END) * CASE WHEN d.doc_id IS NULL THEN 1.0 WHEN chunk_id % 500 <= 7 THEN 1.5 WHEN chunk_id % 500 <= 90 THEN 1.2 WHEN chunk_id % 500 <= 365 THEN 0.8 ELSE 0.3 END::DOUBLE * 1e9 + 0.5) / 1e9 AS score FROM fu LEFT JOIN documents d ON d.doc_id = chunk_id LEFT JOIN fp ON fp.doc_id = chunk_id),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS i FROM k0),
+k2 AS (SELECT a.query_id, a.i, b.i AS j, row_number() OVER (PARTITION BY a.query_id ORDER BY a.i, b.i) AS p FROM k1 a JOIN k1 b ON a.query_id = b.query_id AND a.i < b.i AND a.fp <> 0 AND b.fp <> 0 AND bit_count(xor(a.fp, b.fp)) <= 22),
+k3 AS (SELECT query_id, 0::BIGINT AS p, array_agg(score ORDER BY i) AS s FROM k1 GROUP BY query_id UNION ALL SELECT k3.query_id, k2.p, list_transform(s, lambda x, n: CASE WHEN n = CASE WHEN s[k2.i] > s[k2.j] THEN k2.j ELSE k2.i END THEN x - 0.5::DOUBLE ELSE x END) FROM k3 JOIN k2 ON k2.query_id = k3.query_id AND k2.p = k3.p + 1),
+k4 AS (SELECT query_id, arg_max(s, p) AS s FROM k3 GROUP BY query_id)
+SELECT query_id, chunk_id, floor(s[i] * 1e9 + 0.5) / 1e9 AS score, row_number() OVER (PARTITION BY query_id ORDER BY floor(s[i] * 1e9 + 0.5) / 1e9 DESC, chunk_id)::INT AS rank FROM k1 JOIN k4 USING (query_id) QUALIFY rank <= 30""",
     "simhash": f"WITH {_PRINTS} SELECT doc_id, fp FROM fp",
     "near_dup_pairs": f"WITH {_PRINTS}, fc AS (SELECT fp, min(doc_id) AS class_id, count(*) AS copies FROM fp GROUP BY fp), fl AS (SELECT a.fp, count(*) FILTER (WHERE b.fp <> 0 AND b.fp <> a.fp AND bit_count(xor(a.fp, b.fp)) <= 22 AND a.fp <> 0) AS links FROM fc a, fc b GROUP BY a.fp) SELECT doc_id, fp, class_id, copies, links FROM fp JOIN fc USING (fp) JOIN fl USING (fp)",
     "text_clean": f"WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents) SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM c",
