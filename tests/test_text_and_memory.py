@@ -275,6 +275,17 @@ def test_names_inside_words_at_every_registry_size(spark, monkeypatch):
         assert sorted(map(tuple, found.collect())) == [(1, "Haanth", "c1"), (1, "Haanth", "c7"), (2, "Big Corp", "c2"), (2, "Haanth", "c1"), (2, "Haanth", "c7"), (2, "g C", "c3")]
 
 
+def test_automaton_and_plain_search_agree(monkeypatch):
+    import sys
+
+    from tickloom.operators import search
+
+    needles, text = ["ab", "abc", "bc", "c d", "x"], "abc abd bc d"
+    fast = {n for _, n in search._automaton(needles).iter(text)}
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert {n for _, n in search._automaton(needles).iter(text)} == fast == {"ab", "abc", "bc", "c d"}
+
+
 def test_a_registry_of_many_names(spark):
     """Over 10,000 names, many of them inside others and inside words, against str.find."""
     rng = random.Random(9)

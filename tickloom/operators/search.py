@@ -17,9 +17,21 @@ from tickloom.session import workers_import
 BLOCK, CHARACTERS = 100_000, 1 << 24
 
 
-def _automaton(needles: list[str]):
-    import ahocorasick
+class _Plain:
+    """The same answers, string after string, where the automaton package is missing."""
+
+    def __init__(self, needles: list[str]):
+        self.needles = needles
+
+    def iter(self, text: str):
+        return ((0, n) for n in self.needles if n in text)
 
+
+def _automaton(needles: list[str]):
+    try:
+        import ahocorasick
+    except ImportError:
+        return _Plain(needles)
     found = ahocorasick.Automaton()
     for n in needles:
         found.add_word(n, n)
