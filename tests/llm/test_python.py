@@ -150,7 +150,8 @@ def test_binary_output(spark, tmp_path):
     assert binary_output.read(spark, folder).count() > 3
     ids, at = reference(WORDS, 2), 0
     want = []
-    for doc, t in sorted([(i, t) for i, t in enumerate(texts)] + [(-1, "n"), (2, "again")], key=lambda x: (x[0], x[1] or "")):
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    for doc, t in sorted([(i, t) for i, t in enumerate(texts)] + [(-1, "n"), (2, "again")], key=lambda x: (x[0], hashed[x[1]])):
         own = ids(t)
         want.append((None if doc < 0 else doc, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
         at += len(own)
@@ -160,6 +161,34 @@ def test_binary_output(spark, tmp_path):
     assert binary_output.write_and_read(docs(spark, []), WORDS).count() == 0
 
 
+def test_binary_output_of_a_crowded_id(spark, tmp_path, monkeypatch):
+    """Half of all rows without an id, and many with one: several ranges, in the same order as in one."""
+    monkeypatch.setattr(binary_output, "CROWDED", 20)
+    df = docs(spark, [f"own {k}" for k in range(100)], 5).unionByName(spark.createDataFrame([(None if k % 3 else 7, f"text {k}") for k in range(300)], "doc_id long, text string"))
+    folder, merged = str(tmp_path / "ids"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")  # so small ranges would be read as one
+    try:
+        binary_output.write(df, WORDS, folder, block=100)
+    finally:
+        spark.conf.unset(merged)
+    assert binary_output.read(spark, folder).where(F.array_contains(F.transform("doc_ids", lambda x: x.isNull()), True)).select("part").distinct().count() > 1
+    ids, at = reference(WORDS, 2), 0
+    got = binary_output.documents(spark, folder).orderBy("start").collect()
+    for (doc, t), r in zip(df.orderBy("doc_id", F.xxhash64("text"), "text").collect(), got, strict=True):
+        own = ids(t)
+        assert (r["doc_id"], r["start"], r["ids_crc32"]) == (doc, at, zlib.crc32(np.array(own, "<u4").tobytes()))
+        at += len(own)
+
+
+def test_packing_numbers_a_crowded_id(spark):
+    rows = [(7, f"text {k % 90}") for k in range(300)] + [(None, "n")] * 40 + [(1, "one")]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), BYTES).collect()
+    copies = defaultdict(list)
+    for r in found:
+        copies[r["doc_id"]].append(r["copy"])
+    assert {k: sorted(v) for k, v in copies.items()} == {7: list(range(300)), None: list(range(40)), 1: [0]}
+
+
 # Line dedup -------------------------------------------------------------------------------
 
 

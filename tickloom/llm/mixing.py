@@ -6,8 +6,9 @@ document the words before it; the source's exact budget cuts there. A budget of
 pass takes every document once per whole pass and the rest in key order.
 
 Null text has size 0 and is never taken. A null source is a source of its own, last in order.
-Rows without an id take their key from their text; repeated ids share one, but every row is a
-document of its own. A source without words gets target 0. An empty table gives an empty result.
+Nulls and repeats among ids are keyed by their text, too; rows that repeat both share a key, but
+every row is a document of its own. A source without words gets target 0. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ def size_of(text: Column) -> Column:
 
 
 def key_of(doc_id: Column, text: Column, seed: int) -> Column:
-    """BITS random bits from the id, or from the text where there is none."""
-    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    """BITS random bits from the id and the text, so that rows that repeat or lack an id spread, too."""
+    own = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(own.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(totals: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:

@@ -4,7 +4,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS key FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 r AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS k FROM s),
 c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps, coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, 1.5 * sum(source_size) OVER () AS total, sum(w) OVER () AS ws FROM r),

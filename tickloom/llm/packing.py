@@ -27,6 +27,8 @@ LENGTH = 2048
 END = 1
 #: Documents in a group, on average.
 GROUP = 4096
+#: Bits of a checksum that tell the part of rows of one id that are numbered together.
+PARTS = 12
 #: Columns of a piece as it is cut: _row is where its document was read, _crc the CRC-32 of all its ids.
 PIECE = ("doc_id", "_row", "_crc", "start", "length", "ids_crc32", "doc_tokens")
 KEPT = ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"]
@@ -97,9 +99,14 @@ def numbered(pieces: DataFrame) -> DataFrame:
     plain = [c for c in pieces.columns if c not in ("_row", "_crc")]
     if twice.isEmpty():
         return pieces.select(F.lit(0).cast("long").alias("copy"), *plain)
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_crc", "doc_tokens", "_row")) - 1
-    copies = heads.join(twice, same, "left_semi").select(F.col("_row").alias("_at"), place.cast("long").alias("copy"))
+    # An id may hold any share of the rows: they are numbered in parts by their checksum, and parts by running sums.
+    own = heads.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_part", F.shiftright("_crc", 32 - PARTS))
+    before = Window.partitionBy("doc_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.groupBy("doc_id", "_part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.select(F.col("doc_id").alias("_id"), F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("doc_id", "_part").orderBy("_crc", "doc_tokens", "_row")) - 1
+    rows = own.withColumn("_inside", inside).join(parts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_part") == F.col("_p")))
+    copies = rows.select(F.col("_row").alias("_at"), (F.col("_ahead") + F.col("_inside")).alias("copy"))
     return pieces.join(copies, F.col("_row") == F.col("_at"), "left").select(F.coalesce("copy", F.lit(0)).cast("long").alias("copy"), *plain)
 
 
