@@ -7,14 +7,14 @@ half-written file when a task or an executor is lost. A row is (part, block, n_i
 lengths, payload); part and block number the blocks in order. ``documents`` reads the files
 back, decodes and checks every block, and places each document in the whole stream.
 
-Null text is empty: the end id alone. Rows that repeat a doc_id are kept, ordered by text. Rows
-without a doc_id come first. An empty table gives files without blocks, and no rows.
+Null text is empty: the end id alone. Rows that repeat a doc_id are kept, ordered by a hash of their
+text and then by it; where one id has many rows, ranges part them by that hash. Rows without a doc_id
+come first. An empty table gives files without blocks, and no rows.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from .common import prepare, shared_dir
 
 END = 2
 BLOCK = 1 << 23
+#: Rows of one doc_id, or a thousandth of all if that is more, beyond which ranges part them.
+CROWDED = 1000
 FILE = "part int, block int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -78,7 +80,9 @@ def _blocks(path: str, end: int, vocabulary: int, most: int):
 def write(docs: DataFrame, path: str, folder: str, end: int = END, vocabulary: int = 49408, block: int = BLOCK) -> None:
     """Write the ids of docs(doc_id, text) into folder. vocabulary: ids are below it."""
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    most, rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    by = ["doc_id", F.xxhash64("text")] if (most or 0) > max(CROWDED, (rows or 0) // 1000) else ["doc_id"]
+    rows = docs.select("doc_id", "text").repartitionByRange(*by).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows.mapInArrow(_blocks(path, end, vocabulary, block), FILE).write.mode("overwrite").parquet(folder)
 
 
@@ -86,17 +90,17 @@ def _decoded(batches):
     for b in batches:
         part, block, docs, place, sizes, sums = [], [], [], [], [], []
         for r in b.to_pylist():
-            raw, at = idcoder.decode(r["payload"]).astype("<u4").tobytes(), 0
-            if len(raw) != 4 * sum(r["lengths"]) or len(raw) != 4 * r["n_ids"]:
+            ids, at = idcoder.decode(r["payload"]), 0
+            if len(ids) != sum(r["lengths"]) or len(ids) != r["n_ids"]:
                 raise ValueError("lengths of a block differ from its ids")
             for k, (doc, n) in enumerate(zip(r["doc_ids"], r["lengths"])):
                 part.append(r["part"])
                 block.append(r["block"])
                 docs.append(doc)
-                place.append(at // 4)
+                place.append(at)
                 sizes.append(n)
-                sums.append(zlib.crc32(raw[at : at + 4 * n]))
-                at += 4 * n
+                sums.append(idcoder.checksum(ids[at : at + n]))
+                at += n
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int32()), *[pa.array(x, pa.int64()) for x in (docs, place, sizes, sums)]], ["part", "block", "doc_id", "place", "n_tokens", "ids_crc32"])
 
 

@@ -25,6 +25,7 @@ which is LARGEST at most.
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -45,6 +46,15 @@ LANE_IDS, MOST_LANES = 256, 16384
 _LOW, _TOP = np.uint64((1 << 32) - 1), 1 << 48
 
 
+if sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian 32-bit numbers")
+
+
+def checksum(ids: np.ndarray) -> int:
+    """CRC-32 of contiguous 32-bit ids, as they stand."""
+    return zlib.crc32(memoryview(ids).cast("B")) if len(ids) else 0
+
+
 def lanes_for(n: int) -> int:
     return int(min(MOST_LANES, max(1, n // LANE_IDS)))
 
@@ -238,7 +248,7 @@ class Model:
         self.before, self.last = self.last, ids
         self.step += 1
         if self.step >= self.due:
-            self.due = 3 * self.step
+            self.due = 4 * self.step
             self._count()
 
 
@@ -284,13 +294,15 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     ids = np.asarray(ids)
     if len(ids) and not 0 <= ids.min() <= ids.max() < vocabulary:
         raise ValueError("an id is outside the vocabulary")
-    ids = ids.astype(np.int32, copy=False)
+    ids = np.ascontiguousarray(ids, np.int32)
     n, lanes = len(ids), lanes_for(len(ids))
     steps = -(-n // lanes)
-    padded = np.zeros(lanes * steps, np.int32)
-    padded[:n] = ids
-    table = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    crc = zlib.crc32(ids.astype("<u4").tobytes())
+    table = np.zeros((steps, lanes), np.int32)  # a lane is a column; the last ones may be filled in part or not
+    if n:
+        full = n // steps
+        table[:, :full] = ids[: full * steps].reshape(full, steps).T
+        table[: n - full * steps, full : full + 1] = ids[full * steps :, None]
+    crc = checksum(ids)
     sizes, words = np.zeros(0, np.int64), np.zeros(0, "<u2")
     if n:
         model, out, equal = Model(vocabulary, lanes), _Out(lanes), WHOLE // vocabulary
@@ -361,6 +373,6 @@ def decode(block: bytes) -> np.ndarray:
         model.learn(now, route)
         out[t] = now
     ids = np.ascontiguousarray(out.T).reshape(-1)[:n]
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    if checksum(ids) != crc:
         raise ValueError("checksum of a block of token ids differs")
     return ids
