@@ -192,7 +192,6 @@ class Model:
         self.guessed, self.sure = self.held >> 3, (self.held & (TRUST - 1)).astype(np.int16)
         self.kind = self.sure * np.int16(SEEN) + self.seen[self.last]
         self.two, self.one = self.share2[self.kind], self.share1[self.kind]
-        self.zero = WHOLE - self.two - self.one
 
     def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, width, route) of each lane's id; in order 0 an id that is new has the escape's."""
@@ -206,10 +205,11 @@ class Model:
         start += self.two
         route = np.ones(len(ids), np.int8)
         rest = np.flatnonzero(entry < 0)
-        known, zero = ids[rest], self.zero[rest]
+        known, ahead = ids[rest], self.two[rest] + self.one[rest]
         known[self.stop0[known] == 0] = self.escape
+        zero = WHOLE - ahead
         lo = zero * self.start0[known] >> ZERO
-        start[rest], width[rest] = self.two[rest] + self.one[rest] + lo, (zero * self.stop0[known] >> ZERO) - lo
+        start[rest], width[rest] = ahead + lo, (zero * self.stop0[known] >> ZERO) - lo
         route[rest] = 0
         two = np.flatnonzero(right)
         start[two], width[two], route[two] = 0, self.two[two], 2
@@ -229,8 +229,8 @@ class Model:
         else:
             entry, ids = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
         zero = np.flatnonzero(v >= self.one)
-        share = self.zero[zero]
-        t = ((((v[zero] - self.one[zero] + 1) << ZERO) - 1) / share).astype(np.int64)
+        one = self.one[zero]
+        t = ((((v[zero] - one + 1) << ZERO) - 1) / (WHOLE - self.two[zero] - one)).astype(np.int64)
         entry[zero], ids[zero] = -1, self.place0[t]
         right = v < 0
         two = np.flatnonzero(right)
@@ -262,8 +262,8 @@ class _Out:
     def put(self, lanes, start: np.ndarray, width: np.ndarray) -> None:
         """lanes: all (slice) or some (places)."""
         unit = self.span[lanes] >> np.uint64(SCALE)
-        self.low[lanes] += start.astype(np.uint64) * unit
-        self.span[lanes] = width.astype(np.uint64) * unit
+        self.low[lanes] += start.view(np.uint64) * unit
+        self.span[lanes] = width.view(np.uint64) * unit
         k = np.flatnonzero(self.span <= _LOW)
         while len(k):
             self.sent.append((k.astype(np.uint16), (self.low[k] >> np.uint64(32)).astype(np.int32)))
@@ -350,8 +350,8 @@ def decode(block: bytes) -> np.ndarray:
         return np.minimum((code[k].astype(np.float64) / unit.astype(np.float64)).astype(np.int64), WHOLE - 1), unit
 
     def take(k, start: np.ndarray, width: np.ndarray, unit: np.ndarray) -> None:
-        code[k] -= start.astype(np.uint64) * unit
-        span[k] = width.astype(np.uint64) * unit
+        code[k] -= start.view(np.uint64) * unit
+        span[k] = width.view(np.uint64) * unit
         more = np.flatnonzero(span <= _LOW)
         while len(more):
             code[more] = (code[more] << np.uint64(16)) | words[np.minimum(at[more], len(words) - 1)]
