@@ -78,5 +78,22 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 
+def _op13(rounds: int = 4) -> str:
+    """Plain Lloyd: every round assigns all parts anew and sums whole groups, each a table of its own."""
+    steps, lists = [], "[floor(1024 * x::DOUBLE)::BIGINT for x in embedding]"
+    steps.append(f"v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {lists} AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)")
+    steps.append("p AS MATERIALIZED (SELECT r, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS y FROM v, range(4) t(part))")
+    steps.append("b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, y AS c FROM p WHERE r <= 256)")
+    far = "list_sum([(q[1] - q[2]) * (q[1] - q[2]) for q in list_zip(y, c)])::BIGINT"
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, part, any_value(y) AS y, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT r, p.part, y, entry, {far} AS d FROM p JOIN b{k} b ON b.part = p.part) GROUP BY r, part)")
+        if k < rounds:
+            steps.append(f"m{k} AS MATERIALIZED (SELECT part, entry, list(z ORDER BY j) AS c FROM (SELECT part, entry, j, floor(sum(z)::DOUBLE / count(*))::BIGINT AS z FROM (SELECT part, entry, unnest(y) AS z, generate_subscripts(y, 1) AS j FROM a{k}) GROUP BY part, entry, j) GROUP BY part, entry)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)")
+    steps.append(f"s AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds})")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM v JOIN s USING (r), h"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_exact_dedup": OP2, "op3_line_dedup": OP3, "op4_url_filter": OP4, "op8_quality": OP8}
+    return {"op1_mixing": OP1, "op2_exact_dedup": OP2, "op3_line_dedup": OP3, "op4_url_filter": OP4, "op8_quality": OP8, "op13_vector_codes": _op13()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, exact_dedup, licenses, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from . import binary_output, exact_dedup, licenses, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +62,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_vector_codes(spark, sf_dir):
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_error(found.rows)
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_line_dedup, op4_url_filter, op5_packing, op6_licenses, op7_binary_output, op8_quality, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_line_dedup, op4_url_filter, op5_packing, op6_licenses, op7_binary_output, op8_quality, op9_simhash, op10_toxicity, op13_vector_codes)}
