@@ -95,5 +95,33 @@ def _op13(rounds: int = 4) -> str:
     return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM v JOIN s USING (r), h"
 
 
+_CRC = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+_MICRO = "floor(1000000 * ln({}))::BIGINT"
+# Letters are 1 to 3 characters: in order of their tries, with both neighbours, with the one before, alone.
+OP12 = rf"""
+WITH crc AS MATERIALIZED (SELECT {_CRC} AS t),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 5 = 0 AS held_out,
+  regexp_extract_all(lower(coalesce(text, '')), '\pL[\pL\pM]*') AS ws FROM documents, crc),
+w AS MATERIALIZED (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY r, word),
+ls AS MATERIALIZED (SELECT lang, {_MICRO.format("count(*) / (SELECT count(*) FROM d WHERE lang IS NOT NULL AND NOT held_out)")} AS prior, (SELECT count(DISTINCT lang) FROM d WHERE NOT held_out) AS langs FROM d WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, word, sum(n)::BIGINT AS n FROM w JOIN d USING (r) WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, word),
+l AS MATERIALIZED (SELECT word, i, ' ' || word || ' ' AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM (SELECT DISTINCT word FROM w))),
+g AS MATERIALIZED (SELECT word, i, size, CASE size WHEN 3 THEN substr(s, i, 3) WHEN 2 THEN substr(s, i, 2) ELSE substr(s, i + 1, 1) END AS token FROM l, (VALUES (1), (2), (3)) z(size)),
+k AS MATERIALIZED (SELECT lang, 0 AS size, word AS token, n FROM c UNION ALL SELECT lang, size, token, sum(n)::BIGINT FROM c JOIN g USING (word) GROUP BY lang, size, token),
+tot AS MATERIALIZED (SELECT lang, size, sum(n)::BIGINT AS total FROM k GROUP BY lang, size),
+known AS MATERIALIZED (SELECT lang, size, token, {_MICRO.format("2.0 * n")} AS gain FROM k JOIN tot USING (lang, size) JOIN ls USING (lang) WHERE n * 1048576 >= total * langs),
+fl AS MATERIALIZED (SELECT ls.lang, z.size, {_MICRO.format("0.5 / greatest(1, coalesce(total, 0))")} AS floor FROM ls, (VALUES (0), (1), (2), (3)) z(size) LEFT JOIN tot ON tot.lang = ls.lang AND tot.size = z.size),
+kw AS (SELECT DISTINCT size, token FROM known),
+u AS MATERIALIZED (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT token FROM kw WHERE size = 0)),
+b AS MATERIALIZED (SELECT word, i, arg_max(g.token, g.size) FILTER (WHERE kw.token IS NOT NULL) AS token, max(g.size) FILTER (WHERE kw.token IS NOT NULL) AS size FROM u JOIN g USING (word) LEFT JOIN kw ON kw.size = g.size AND kw.token = g.token GROUP BY word, i),
+sc AS MATERIALIZED (SELECT word, fl.lang, fl.floor + coalesce(gain, 0) AS s FROM (SELECT token AS word FROM kw WHERE size = 0) JOIN fl ON fl.size = 0 LEFT JOIN known ON known.size = 0 AND known.token = word AND known.lang = fl.lang
+  UNION ALL SELECT b.word, ls.lang, floor(sum(coalesce(fl.floor, 0) + coalesce(gain, 0))::DOUBLE / count(*))::BIGINT FROM b CROSS JOIN ls LEFT JOIN fl ON fl.size = b.size AND fl.lang = ls.lang LEFT JOIN known ON known.size = b.size AND known.token = b.token AND known.lang = ls.lang GROUP BY b.word, ls.lang),
+ds AS (SELECT r, lang, prior + sum(n * s)::BIGINT AS s FROM w JOIN sc USING (word) JOIN ls USING (lang) GROUP BY r, lang, prior),
+p AS (SELECT r, arg_min(lang, (-s, lang)) AS lang_pred, max(s) AS top FROM ds GROUP BY r),
+f AS (SELECT r, any_value(lang_pred) AS lang_pred, round(1.0 / sum(exp((s - top) / 1000000.0)), 6) AS score FROM ds JOIN p USING (r) GROUP BY r)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN f USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_exact_dedup": OP2, "op3_line_dedup": OP3, "op4_url_filter": OP4, "op8_quality": OP8, "op13_vector_codes": _op13()}
+    return {"op1_mixing": OP1, "op2_exact_dedup": OP2, "op3_line_dedup": OP3, "op4_url_filter": OP4, "op8_quality": OP8, "op12_language": OP12, "op13_vector_codes": _op13()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, binary_output, exact_dedup, licenses, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter, vector_codes
+from . import alignment, binary_output, exact_dedup, language, licenses, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op11_alignment(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark, sf_dir):
     found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     rows = vector_codes.with_label_error(found.rows)
@@ -73,4 +77,4 @@ def op13_vector_codes(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_line_dedup, op4_url_filter, op5_packing, op6_licenses, op7_binary_output, op8_quality, op9_simhash, op10_toxicity, op11_alignment, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_line_dedup, op4_url_filter, op5_packing, op6_licenses, op7_binary_output, op8_quality, op9_simhash, op10_toxicity, op11_alignment, op12_language, op13_vector_codes)}
