@@ -20,14 +20,25 @@ ODD = ["", " ", "  a", "a  b", "a \n b", "\n", " \n\n  x ", "don't  it's \x1c\x1
 
 
 def reference(path, end):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # as it comes: added tokens' spellings give their ids
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 CHARS = "abcABC  ..,,'\n\t\u00e9\u0301\u03a3 1\u00df\u0130-#"
 
 
+SPELT = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y <|endoftext|><|endoftext|>", "<|startoftext|> a", "a<|startoftext|>", "<|ENDOFTEXT|> a", "<|endoftext|", "É <|endoftext|> é", "<|endoftext|>  \n b", "a." * 500 + "<|endoftext|>"]
+
+
+def test_added_tokens_spelt_in_texts():
+    """In words, at ends and repeated, as the library's call gives them; here and there in a batch."""
+    for path, encode in ((BYTES, lambda ts: [np.frombuffer(tokens.Ranks(BYTES).encode(t), "<u4") for t in ts]), (WORDS, lambda ts: tokens.Words(WORDS).encode_all(pa.array(ts, pa.string())))):
+        want = reference(path, 0)
+        texts = [t for pair in zip(SPELT, ["plain words"] * len(SPELT)) for t in pair]
+        assert [x.tolist() for x in encode(texts)] == [want(t)[:-1] for t in texts]
+    assert reference(BYTES, 0)("a <|endoftext|> b") == [64, 220, 50256, 275, 0] and reference(WORDS, 0)("a <|endoftext|> b") == [320, 49407, 321, 0]
+
+
 def test_word_cache_equals_the_tokenizer():
     want, rng = reference(WORDS, 0), random.Random(0)
     texts = ODD + ["".join(rng.choice(CHARS) for _ in range(rng.randrange(60))) for _ in range(1500)] + [None]

@@ -10,6 +10,9 @@ encodes each once while its cache lasts. Texts of a batch are split and numbered
 Arrow, and only different words reach Python. Texts with unusual white space or with characters
 whose case or composition depends on their neighbours go through the tokenizer whole.
 
+Texts that hold the spelling of an added token (a special token of the file, say) are left to the
+library as a whole, whose default is to give that token's id for it.
+
 Vocabularies' places are parameters. Nulls are empty texts and have no ids.
 """
 
@@ -24,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
@@ -40,7 +44,7 @@ _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 _MARKS = "".join(c for c in map(chr, range(0x250)) if not c.isalnum())
 #: Fixed value: how byte-level files cut texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PROBE = "It's  a \n probe of 12,345 cafés… <|endoftext|> 中文\U0001f600.  "
+_PROBE = "It's  a \n probe of 12,345 cafés… <|end|> 中文\U0001f600.  "
 _loaded: dict[tuple[type, str], object] = {}
 
 
@@ -55,9 +59,12 @@ def _library(path: str):
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+def _added(library) -> list[str]:
+    """Spellings of added tokens, which the library finds in texts before anything else."""
+    return [t.content for t in library.get_added_tokens_decoder().values() if t.content]
 
 
 class Ranks:
@@ -76,11 +83,16 @@ class Ranks:
             raise ValueError(f"{path}: not a byte-level file whose ids are ranks of merges")
         ranks = {bytes(byte_of[c] for c in t): k for t, k in zip(own, at)}
         self.coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        if self.coder.encode_ordinary(_PROBE) != _library(path).encode(_PROBE, add_special_tokens=False).ids:
+        self.library = _library(path)
+        self.added = regex.compile("|".join(map(regex.escape, _added(self.library))) or "(?!)", regex.IGNORECASE)
+        if self.coder.encode_ordinary(_PROBE) != self.library.encode(_PROBE, add_special_tokens=False).ids:
             raise ValueError(f"{path}: texts are cut in another way")
 
     def encode(self, text: str | None) -> bytes:
-        return array("I", self.coder.encode_ordinary(text)).tobytes() if text else b""
+        if not text:
+            return b""
+        own = self.library.encode(text, add_special_tokens=False).ids if self.added.search(text) else self.coder.encode_ordinary(text)
+        return array("I", own).tobytes()
 
 
 def ranks(path: str) -> Ranks:
@@ -103,6 +115,7 @@ class Words:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = _library(path)
+        self.odd = "|".join([_ODD, *("(?i:" + regex.escape(t, literal_spaces=True) + ")" for t in _added(self.tokenizer))])
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -124,7 +137,7 @@ class Words:
         if not len(texts):
             return []
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD)
+        odd = pc.match_substring_regex(texts, self.odd)
         pieces = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
         coded = pieces.flatten().dictionary_encode()
         at = self._places(coded.dictionary)[coded.indices.to_numpy()]
