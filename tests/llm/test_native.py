@@ -208,6 +208,31 @@ def plain_base(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(full) - len(set(full)), len(rep), len(w) < 50 or 100 * len(rep) > 50 * len(w)
 
 
+def test_url_filter_compiles(spark, sf_dir):
+    """No plan is too long to be compiled, and equal answers come with nodes sent and with nodes copied."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    moved = spark.createDataFrame([(r["url"], f"https://x.net/{k % 3}") for k, r in enumerate(pages.where("url is not null").limit(40).collect())], "src string, dst string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        first = sorted(map(str, url_filter.judge(pages, redirects=moved).collect()))
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    old, url_filter.FEW = url_filter.FEW, 0
+    try:
+        assert sorted(map(str, url_filter.judge(pages, redirects=moved).collect())) == first
+    finally:
+        url_filter.FEW = old
+
+
+def test_hub_of_a_million_edges(spark):
+    """Edges of a hub are not sent to one task; the last ones may be joined by one, with the same classes."""
+    hub = spark.range(1, 1_000_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    more = spark.range(2_000_000, 2_000_500).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    for finish in (0, 10_000):
+        found = components(hub.unionByName(more), finish).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+        assert sorted((r["least"], r["n"]) for r in found.collect()) == [(0, 1_000_001), (2_000_000, 501)]
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows = [(i, t) for i, t, *_ in fixture(2)] + [(500, "a b c a b c <tag> #&|"), (501, "x\ny\nx\nx\n \n"), (502, "𝒳 é\u2003ü " * 30)]

@@ -12,10 +12,9 @@ segments. Everything after that is Spark's higher-order functions: array_interse
 arrays gives the cuts, sort_array with the cuts between the ends gives their places in either
 array, sequence, slice and transform make groups and links, aggregate sums them by document.
 
-Counts: different pairs of each document are added up over all documents. Sums over a document's
-links are sums over its segments, so pairs meet their counts once for a block's different
-segments, not once for each place in a text. Pairs that hold more than a ten-thousandth of these
-rows are sent to all tasks.
+Counts: different pairs of each document are added up over all documents. Pairs that hold more
+than a hundred-thousandth of these are sent to all tasks, where links meet them without a
+shuffle; links of rarer pairs are shuffled. Both ways meet in sums by document.
 
 Texts that are null or empty, or whose tokens' bytes are not those of the text (U+2581, which B
 reads as a space), have no tokens: zeros and an empty digest. Special tokens' spellings are
@@ -26,7 +25,9 @@ table gives an empty result. Other columns play no part, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, join_groups, let, prepare
+from .common import SMALL, cut, let, prepare, remove, shared_dir
 
-#: Bytes of texts in a block.
-BLOCK = 8 << 20
+#: Bytes of texts in a block; segments that are encoded together.
+BLOCK, TOGETHER = 4 << 20, 256
 #: White space as any of the tokenizers may see it.
 _WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2581}]"
 #: A space that is first or follows white space does not begin a segment.
@@ -73,21 +74,42 @@ class Both:
     def __init__(self, byte_file: str, piece_file: str):
         self.ranks, self.pieces = tokens.ranks(byte_file), Pieces(piece_file)
         coder = self.ranks.coder
-        self.bytes = [coder.decode_single_token_bytes(k) for k in range(coder.n_vocab)]
-        self.sizes = [np.array(list(map(len, b)), np.int64) for b in (self.bytes, self.pieces.bytes)]
-
-    def segments(self, texts: list[str]) -> tuple[dict[str, list], list[bool]]:
-        """Ids and ends of segments, flat and with offsets, and which of them both tokenizers spell."""
-        plain = self.ranks.coder.encode_ordinary
-        ids = [list(map(plain, texts)), self.pieces.encode(texts)]
-        good = [b"".join(map(self.pieces.bytes.__getitem__, b)) == s.encode() for s, b in zip(texts, ids[1])]
+        spelt = [[coder.decode_single_token_bytes(k) for k in range(coder.n_vocab)], self.pieces.bytes]
+        self.sizes = [np.array(list(map(len, b)), np.int64) for b in spelt]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of A and of B of segments that do not end in white space, one after the other."""
+        lots = ["".join(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)]
+        found = [map(self.ranks.coder.encode_ordinary, lots), self.pieces.encode(lots)]
+        return [np.fromiter(chain.from_iterable(x), np.int64) for x in found]
+
+    def segments(self, texts: list[str]) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Ids and ends of segments, flat and with bounds, and which of them both tokenizers spell.
+
+        Segments that end in white space or hold U+2581 are encoded alone, the others many at a time.
+        """
+        alone = np.fromiter((s[-1].isspace() or s[-1] == "\u2581" or "\u2581" in s for s in texts), bool, len(texts))
+        good = np.ones(len(texts), bool)
+        own = [texts[k] for k in np.flatnonzero(alone)]
+        good[alone] = ["\u2581" not in s for s in own]
+        rest = [texts[k] for k in np.flatnonzero(~alone)]
+        bytes_ = np.fromiter((len(s.encode()) for s in rest), np.int64, len(rest))
         out = {}
-        for name, some, sizes in zip("ab", ids, self.sizes):
-            bounds = np.concatenate([[0], np.cumsum(list(map(len, some)), dtype=np.int64)])
-            flat = np.fromiter((k for x in some for k in x), np.int64, bounds[-1])
-            ends = np.concatenate([[0], np.cumsum(sizes[flat])])
-            out[name] = (flat.astype(np.int32), bounds)
-            out[name + "e"] = ((ends[1:] - np.repeat(ends[bounds[:-1]], np.diff(bounds))).astype(np.int32), bounds)
+        singles = [list(map(self.ranks.coder.encode_ordinary, own)), self.pieces.encode(own) if own else []]
+        for name, flat, some, sizes in zip("ab", self._ids(rest), singles, self.sizes):
+            stops = np.searchsorted(np.cumsum(sizes[flat]), np.cumsum(bytes_)) + 1
+            if len(rest) and (stops[-1] != len(flat) or (np.cumsum(sizes[flat])[stops - 1] != np.cumsum(bytes_)).any()):
+                raise AssertionError("tokens do not spell the segments")
+            lengths = np.zeros(len(texts), np.int64)
+            lengths[~alone] = np.diff(stops, prepend=0)
+            lengths[alone] = list(map(len, some))
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            ids = np.zeros(bounds[-1], np.int64)
+            of = np.repeat(alone, lengths)
+            ids[~of], ids[of] = flat, np.fromiter(chain.from_iterable(some), np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+            out[name] = (ids.astype(np.int32), bounds)
+            out[name + "e"] = ((ends[1:] - np.repeat(ends[bounds[:-1]], lengths)).astype(np.int32), bounds)
         return out, good
 
 
@@ -136,8 +158,8 @@ def _blocks(byte_file: str, piece_file: str, size: int):
         coder, ids = _both(byte_file, piece_file), pa.concat_arrays(docs)
         words, at, bounds = cut_texts(pa.concat_arrays(texts))
         found, good = coder.segments([" " + w for w in words.to_pylist()])
-        if len(words) and not all(good):  # their documents have no tokens, and what only those hold no place
-            spoilt = np.concatenate([[0], np.cumsum(~np.array(good)[at])])
+        if not good.all():  # their documents have no tokens, and what only those hold no place
+            spoilt = np.concatenate([[0], np.cumsum(~good[at])])
             gone = spoilt[bounds[1:]] > spoilt[bounds[:-1]]
             used, at = np.unique(at[np.repeat(~gone, np.diff(bounds))], return_inverse=True)
             bounds = np.concatenate([[0], np.cumsum(np.where(gone, 0, np.diff(bounds)))])
@@ -176,23 +198,19 @@ def places(ends: Column, cuts: Column) -> Column:
     """How many of the ends, all rising, are not beyond each cut. Ends double and cuts come right
     after theirs, so that a cut's place in the sorted array, less the cuts before it, is that number."""
     merged = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda c: c * 2 + 1)))
-    marked = F.filter(F.transform(merged, lambda x, k: F.when(x % 2 == 1, k)), lambda k: k.isNotNull())
-    return F.transform(marked, lambda at, k: at - k)
+    marked = F.array_remove(F.transform(merged, lambda x, k: F.when(x % 2 == 1, k).otherwise(-1)), -1)
+    return F.when(F.size(ends) == F.size(cuts), F.sequence(F.lit(1), F.size(ends))).otherwise(F.transform(marked, lambda at, k: at - k))
 
 
-def groups(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
-    """array<struct<a, b>>: ids between cuts."""
+def groups(s: Column, cuts: Column) -> Column:
+    """array<struct<a, b>>: a segment's ids between its cuts."""
 
     def between(ids: Column, upto: Column, k: Column) -> Column:
         before = F.when(k == 0, 0).otherwise(F.get(upto, k - 1))
         return F.slice(ids, before + 1, F.get(upto, k) - before)
 
-    def cut_at(cuts: Column) -> Column:
-        both = F.struct(places(a_ends, cuts).alias("a"), places(b_ends, cuts).alias("b"))
-        made = lambda p: F.transform(F.sequence(F.lit(0), F.size(p["a"]) - 1), lambda k: F.struct(between(a, p["a"], k).alias("a"), between(b, p["b"], k).alias("b")))
-        return let(both, made)
-
-    return let(F.array_intersect(a_ends, b_ends), cut_at)
+    made = lambda p: F.transform(F.sequence(F.lit(0), F.size(p["a"]) - 1), lambda k: F.struct(between(s["a"], p["a"], k).alias("a"), between(s["b"], p["b"], k).alias("b")))
+    return let(F.struct(places(s["ae"], cuts).alias("a"), places(s["be"], cuts).alias("b")), made)
 
 
 def pair(a: Column, b: Column) -> Column:
@@ -209,8 +227,18 @@ def _links(found: Column) -> Column:
 
 
 def _facts(s: Column) -> Column:
-    body = lambda g: F.struct(F.size(s["a"]).alias("n_a"), F.size(s["b"]).alias("n_b"), F.size(g).alias("n_groups"), _text(g).alias("text"), _links(g).alias("links"))
-    return let(groups(s["a"], s["ae"], s["b"], s["be"]), body)
+    """A segment's numbers, its groups as text and its links. Where all ends are cuts, groups are pairs."""
+
+    def of(cuts: Column) -> Column:
+        each = (F.size(s["ae"]) == F.size(cuts)) & (F.size(s["be"]) == F.size(cuts))
+        pairs = F.struct(
+            F.array_join(F.zip_with(s["a"], s["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";").alias("text"),
+            F.zip_with(s["a"], s["b"], pair).alias("links"),
+        )
+        mixed = let(groups(s, cuts), lambda g: F.struct(_text(g).alias("text"), _links(g).alias("links")))
+        return let(F.when(each, pairs).otherwise(mixed), lambda x: F.struct(F.size(s["a"]).alias("n_a"), F.size(s["b"]).alias("n_b"), F.size(cuts).alias("n_groups"), x["text"].alias("text"), x["links"].alias("links")))
+
+    return let(F.array_intersect(s["ae"], s["be"]), of)
 
 
 def _sum(at: Column, value) -> Column:
@@ -222,10 +250,7 @@ def _document(facts: Column, d: Column) -> Column:
     return F.struct(
         d["doc_id"].alias("doc_id"),
         own.alias("at"),
-        _sum(own, lambda k: F.get(facts, k)["n_a"]).alias("n_a"),
-        _sum(own, lambda k: F.get(facts, k)["n_b"]).alias("n_b"),
-        _sum(own, lambda k: F.get(facts, k)["n_groups"]).alias("n_groups"),
-        _sum(own, lambda k: F.size(F.get(facts, k)["links"])).alias("n_links"),
+        *[_sum(own, lambda k, c=c: F.get(facts, k)[c]).alias(c) for c in ("n_a", "n_b", "n_groups")],
         F.when(F.size(own) == 0, "").otherwise(F.sha2(F.array_join(F.transform(own, lambda k: F.get(facts, k)["text"]), ";"), 256)).alias("groups_sha256"),
     )
 
@@ -233,35 +258,45 @@ def _document(facts: Column, d: Column) -> Column:
 def aligned(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs): documents as align has them; pairs(a, b, docs, best) with the number of
     documents that hold them linked, and whether no pair of that A id has more."""
+    spark = docs.sparkSession
     made = blocks(docs, byte_file, piece_file, size)
-    facts = F.transform("segments", _facts)
     # One value holds the segments' facts while documents are made of them.
-    row = let(facts, lambda f: F.struct(F.transform(f, lambda x: x["links"]).alias("links"), F.transform("docs", lambda d: _document(f, d)).alias("docs")))
-    held = cut(made.select("block", row.alias("r")).select("block", "r.links", "r.docs"))
-
-    of = lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["at"]), lambda k: F.get("links", k))))
-    each = held.select(F.explode(F.transform("docs", of)).alias("pairs")).select(F.explode("pairs").alias("pair"))
-    counts = each.groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))
+    row = let(F.transform("segments", _facts), lambda f: F.struct(F.transform(f, lambda x: x["links"]).alias("links"), F.transform("docs", lambda d: _document(f, d)).alias("docs")))
+    folder = f"{shared_dir(spark).rstrip('/')}/alignment-{uuid.uuid4().hex}"
+    made.select("block", row.alias("r")).select("block", "r.links", "r.docs").write.parquet(folder)
+    held = spark.read.parquet(folder)
+
+    all_of = lambda at: F.flatten(F.transform(at, lambda k: F.get("links", k)))
+    each = held.select(F.explode(F.transform("docs", lambda d: F.array_distinct(all_of(F.array_distinct(d["at"]))))).alias("pairs"))
+    counts = each.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))
     a = F.shiftright("pair", 32).cast("int")
     # An A id has no more partners than B has ids.
-    counts = counts.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy(a)))
-
-    places_ = held.select("block", F.posexplode("links").alias("segment", "links")).select("block", "segment", F.explode("links").alias("pair"))
-    places_ = cut(places_.groupBy("block", "segment", "pair").agg(F.count(F.lit(1)).alias("times")))
-    rows = places_.groupBy("pair").agg(F.count(F.lit(1)).alias("rows"))
-    counts = cut(counts.join(rows, "pair"))
-
-    met = join_groups(places_, counts, "pair", "rows")
-    met = met.groupBy("block", "segment").agg(F.sum(F.col("times") * F.col("docs")).alias("sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("best"))
-    sums = met.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("segment", "sum", "best"))).alias("sums"))  # a block's segments
-    # Every segment stands in a document and has a link: the k-th of sums is of the k-th segment.
-    done = held.select("block", "docs").join(sums, "block", "left")
-    total = lambda d, name: _sum(d["at"], lambda k: F.get(F.col("sums"), k)[name]).alias(name)
-    out = done.select(F.explode(F.transform("docs", lambda d: F.struct(d.dropFields("at").alias("d"), total(d, "sum"), total(d, "best")))).alias("x"))
-    out = out.select("x.d.doc_id", *[F.col(f"x.d.{c}").cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")], F.col("x.best").alias("n_best"), F.col("x.sum").alias("count_sum"), "x.d.groups_sha256")
+    counts = cut(counts.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy(a))))
+
+    # A document is told by its block and its place there.
+    own = held.select("block", F.posexplode(F.transform("docs", lambda d: all_of(d["at"]))).alias("place", "links"))
+    links = own.select("block", "place", F.explode("links").alias("pair"))
+    sums = cut(_met(links, counts).groupBy("block", "place").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum")))
+    facts = held.select("block", F.posexplode("docs").alias("place", "d")).select("block", "place", *[F.col("d")[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")])
+    zero = F.lit(0).cast("long")
+    out = cut(facts.join(sums, ["block", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", *[F.coalesce(c, zero).alias(c) for c in ("n_links", "n_best", "count_sum")], "groups_sha256"))
+    remove(spark, folder)
     return out, counts.select(a.alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b"), "docs", "best")
 
 
+def _met(links: DataFrame, counts: DataFrame, most: int = SMALL) -> DataFrame:
+    """links with their pairs' docs and best. Pairs that more than a share of 1 in ``most`` of all
+    documents' pairs are, so ``most`` at most, are sent to every task; the others' links, a small
+    part of all, meet them by a shuffle."""
+    total = counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    often = F.col("docs") > total // most
+    fast = links.join(F.broadcast(counts.where(often)), "pair")
+    if counts.where(~often).isEmpty():
+        return fast
+    slow = links.join(F.broadcast(counts.where(often).select("pair")), "pair", "left_anti").join(counts.where(~often), "pair")
+    return fast.unionByName(slow)
+
+
 def align(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; one row a document."""
     return aligned(docs, byte_file, piece_file, size)[0]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SMALL, aside, back, cut, join_groups, prepare
-from .components import components
+from .components import FINISH, components
 
 SHINGLE = 3
 SEED = 42
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     and the fingerprint that stands for the component, as components of repeated ids may share the first."""
     own = cut(fingerprints(docs))
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(links(distinct.select("fp"), radius), FINISH)
     placed = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
     least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")))
     ids = cut(join_groups(placed, least, "root", "fps").select("fp", "n", "component_id", "root"))
