@@ -52,7 +52,8 @@ def _similar(k: int):
     def unit(cells) -> tuple[np.ndarray, np.ndarray]:
         v = np.array([c["vector"] for c in cells], np.float64)
         norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.array([c["id"] for c in cells]), v / np.where(norm == 0, 1, norm)
+        ids = np.array([c["id"] for c in cells], dtype=object)
+        return ids, v / np.where(norm == 0, 1, norm)
 
     def run(batches):
         for pdf in batches:
@@ -76,11 +77,19 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame
     the driver. Null vectors and those of another length than the query's match nothing.
     """
     asked, tiles = _blocks(queries, "query_id", QUERIES, "asked"), _blocks(corpus, "chunk_id", TILE, "corpus")
-    width = max(1, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    numbers = asked.select("dim", "asked_no").join(tiles.select("dim", "corpus_no"), "dim").repartition(width, F.xxhash64("dim", "asked_no", "corpus_no"))
-    pairs = numbers.join(asked, ["dim", "asked_no"]).join(tiles, ["dim", "corpus_no"])
-    found = pairs.select("asked", "corpus").mapInPandas(_similar(k), "query_id long, chunk_id long, score double")
-    return top(found, k, "score")
+    return top(best_of_tiles(asked, tiles, "dim", k, dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["chunk_id"]), k, "score")
+
+
+def best_of_tiles(asked: DataFrame, tiles: DataFrame, key: str, k: int, query_type: str, chunk_type: str) -> DataFrame:
+    """query_id, chunk_id, score: the k best of each tile for each query of the blocks with the same key.
+
+    asked(key, asked_no, asked), tiles(key, corpus_no, corpus). Pairs are dealt by their numbers
+    before vectors meet them, so that one key's pairs are not one task's.
+    """
+    width = max(1, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbers = asked.select(key, "asked_no").join(tiles.select(key, "corpus_no"), key).repartition(width, F.xxhash64(key, "asked_no", "corpus_no"))
+    pairs = numbers.join(asked, [key, "asked_no"]).join(tiles, [key, "corpus_no"])
+    return pairs.select("asked", "corpus").mapInPandas(_similar(k), f"query_id {query_type}, chunk_id {chunk_type}, score double")
 
 
 def postings(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -102,17 +111,17 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, fusion: Fusion
     Repeated query terms add up; blank queries match nothing. Postings are cut to the queries'
     terms before anything is aggregated over terms; corpus sizes are two numbers.
     """
-    asked = _asked(queries)
+    asked = asked_terms(queries)
     lengths = corpus.where("chunk_id is not null and content is not null").select(F.size(terms(F.col("content"))).alias("dl"))
     n, words = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return _scored(asked, postings(corpus, asked.select("term").distinct()), n, words, k, fusion)
+    return scored(asked, postings(corpus, asked.select("term").distinct()), n, words, k, fusion)
 
 
-def _asked(queries: DataFrame) -> DataFrame:
+def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def _scored(asked: DataFrame, index: DataFrame, n: int, words: int, k: int, fusion: Fusion) -> DataFrame:
+def scored(asked: DataFrame, index: DataFrame, n: int, words: int, k: int, fusion: Fusion) -> DataFrame:
     mean = words / n if n else 1.0
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -137,7 +146,7 @@ def index_search(queries: DataFrame, path: str, k: int = 20, fusion: Fusion = Fu
     Reads the folders of the asked terms, and the number and length of all chunks from the table
     beside it. A chunk that was added again counts as it was added last.
     """
-    spark, asked = queries.sparkSession, _asked(queries)
+    spark, asked = queries.sparkSession, asked_terms(queries)
     folders = [r[0] for r in asked.select(shard(F.col("term"))).distinct().collect()]  # SHARDS at most
     chunks = spark.read.parquet(f"{path}-chunks")
     last = chunks.groupBy("chunk_id").agg(F.max("added").alias("added"), F.max_by("dl", "added").alias("dl"))
@@ -145,7 +154,7 @@ def index_search(queries: DataFrame, path: str, k: int = 20, fusion: Fusion = Fu
     index = spark.read.parquet(path).where(F.col("shard").isin(folders)).join(asked.select("term").distinct(), "term", "left_semi")
     if last.count() < chunks.count():
         index = index.join(last.select("chunk_id", "added"), ["chunk_id", "added"], "left_semi")
-    return _scored(asked, index.select("term", "chunk_id", "tf", "dl"), n, words, k, fusion)
+    return scored(asked, index.select("term", "chunk_id", "tf", "dl"), n, words, k, fusion)
 
 
 def _weighted(hits: DataFrame, weight: float, name: str) -> DataFrame:
@@ -227,7 +236,8 @@ def retrieve(vector: DataFrame, bm25: DataFrame, entries: DataFrame, as_of: Colu
         pdf["score"] = np.floor(score * 1e9 + 0.5) / 1e9
         return pdf[["query_id", "chunk_id", "score"]]
 
-    hits = hits.groupBy("query_id").applyInPandas(punish, "query_id long, chunk_id long, score double")
+    kind = dict(hits.dtypes)
+    hits = hits.groupBy("query_id").applyInPandas(punish, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, score double")
     return top(hits, k, "score")
 
 

@@ -69,7 +69,8 @@ def _tile_pairs(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _side(cells, names: tuple[str, ...]) -> list[np.ndarray]:
-    return [np.array([c[n] for c in cells], np.int64) for n in names]
+    """Columns of cells; ids may be of any type that has an order."""
+    return [np.array([c[n] for c in cells], np.int64 if n == "fp" else object) for n in names]
 
 
 def near_pairs(rows: DataFrame, most: int = NEAR) -> DataFrame:
@@ -91,7 +92,8 @@ def near_pairs(rows: DataFrame, most: int = NEAR) -> DataFrame:
                 keep = (x < y) if r.same else (x != y)
                 yield pd.DataFrame({"id_a": np.minimum(x, y)[keep], "id_b": np.maximum(x, y)[keep], "distance": far[i, j][keep].astype(np.int32)})
 
-    return _tile_pairs(rows.where("fp <> 0").select("id", "fp"), "id").mapInPandas(run, "id_a long, id_b long, distance int")
+    kind = dict(rows.dtypes)["id"]
+    return _tile_pairs(rows.where("fp <> 0").select("id", "fp"), "id").mapInPandas(run, f"id_a {kind}, id_b {kind}, distance int")
 
 
 def near_links(rows: DataFrame, most: int = NEAR) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import conversations, services, tables, texts, timeseries
+from tickloom.plans import conversations, indexes, services, tables, texts, timeseries
 
-_MODULES = (timeseries, texts, conversations, tables, services)
+_MODULES = (timeseries, texts, conversations, tables, services, indexes)
 
 
 def queries() -> dict:
