@@ -75,7 +75,7 @@ def test_segments_are_whole_texts():
     texts = ODD + ["".join(rng.choice(CHARS) for _ in range(rng.randrange(40))) for _ in range(3000)]
     words, at, bounds = alignment.cut_texts(pa.array([*texts, None], pa.string()))
     words = [" " + w for w in words.to_pylist()]
-    found, good = both.segments(words)
+    found, good = both.segments(pa.array(words))
     ids = {n: [found[n][0][i:j].tolist() for i, j in zip(found[n][1], found[n][1][1:])] for n in found}
     assert bounds[-1] == bounds[-2]  # null
     for t, lo, hi in zip(texts, bounds, bounds[1:]):

@@ -40,7 +40,9 @@ from . import tokens
 from .common import SMALL, cut, let, prepare, remove, shared_dir
 
 #: Bytes of texts in a block; segments that are encoded together.
-BLOCK, TOGETHER = 4 << 20, 256
+BLOCK, TOGETHER = 2 << 20, 256
+#: Ends among which a cut is looked up.
+FEW = 64
 #: White space as any of the tokenizers may see it.
 _WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2581}]"
 #: A space that is first or follows white space does not begin a segment.
@@ -83,34 +85,32 @@ class Both:
         found = [map(self.ranks.coder.encode_ordinary, lots), self.pieces.encode(lots)]
         return [np.fromiter(chain.from_iterable(x), np.int64) for x in found]
 
-    def segments(self, texts: list[str]) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Ids and ends of segments, flat and with bounds, and which of them both tokenizers spell.
-
-        Segments that end in white space or hold U+2581 are encoded alone, the others many at a time.
-        """
-        alone = np.fromiter((s[-1].isspace() or s[-1] == "\u2581" or "\u2581" in s for s in texts), bool, len(texts))
-        good = np.ones(len(texts), bool)
-        own = [texts[k] for k in np.flatnonzero(alone)]
-        good[alone] = ["\u2581" not in s for s in own]
-        rest = [texts[k] for k in np.flatnonzero(~alone)]
-        bytes_ = np.fromiter((len(s.encode()) for s in rest), np.int64, len(rest))
-        out = {}
+    def segments(self, texts: pa.Array) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Ids and ends of segments, flat and with bounds, and which of them both tokenizers spell, which
+        is all without U+2581. Those that end in white space or are not spelt are encoded alone, the
+        others many at a time."""
+        bad = pc.match_substring(texts, "\u2581")
+        alone = pc.or_(bad, pc.match_substring_regex(texts, _WHITE + "$")).to_numpy(zero_copy_only=False)
+        own, others = texts.filter(pa.array(alone)).to_pylist(), texts.filter(pa.array(~alone))
+        rest, bytes_ = others.to_pylist(), np.cumsum(pc.binary_length(others).to_numpy(), dtype=np.int64)
         singles = [list(map(self.ranks.coder.encode_ordinary, own)), self.pieces.encode(own) if own else []]
+        out = {}
         for name, flat, some, sizes in zip("ab", self._ids(rest), singles, self.sizes):
-            stops = np.searchsorted(np.cumsum(sizes[flat]), np.cumsum(bytes_)) + 1
-            if len(rest) and (stops[-1] != len(flat) or (np.cumsum(sizes[flat])[stops - 1] != np.cumsum(bytes_)).any()):
+            covered = np.cumsum(sizes[flat])
+            stops = np.searchsorted(covered, bytes_) + 1
+            if len(rest) and (stops[-1] != len(flat) or (covered[stops - 1] != bytes_).any()):
                 raise AssertionError("tokens do not spell the segments")
             lengths = np.zeros(len(texts), np.int64)
             lengths[~alone] = np.diff(stops, prepend=0)
             lengths[alone] = list(map(len, some))
             bounds = np.concatenate([[0], np.cumsum(lengths)])
-            ids = np.zeros(bounds[-1], np.int64)
+            ids = np.zeros(bounds[-1], np.int32)
             of = np.repeat(alone, lengths)
-            ids[~of], ids[of] = flat, np.fromiter(chain.from_iterable(some), np.int64)
+            ids[~of], ids[of] = flat, np.fromiter(chain.from_iterable(some), np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes[ids])])
-            out[name] = (ids.astype(np.int32), bounds)
+            out[name] = (ids, bounds)
             out[name + "e"] = ((ends[1:] - np.repeat(ends[bounds[:-1]], lengths)).astype(np.int32), bounds)
-        return out, good
+        return out, ~bad.to_numpy(zero_copy_only=False)
 
 
 _loaded: dict[tuple[str, str], Both] = {}
@@ -157,13 +157,14 @@ def _blocks(byte_file: str, piece_file: str, size: int):
     def block(number: int, docs: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
         coder, ids = _both(byte_file, piece_file), pa.concat_arrays(docs)
         words, at, bounds = cut_texts(pa.concat_arrays(texts))
-        found, good = coder.segments([" " + w for w in words.to_pylist()])
+        words = pc.binary_join_element_wise("", words, " ")
+        found, good = coder.segments(words)
         if not good.all():  # their documents have no tokens, and what only those hold no place
             spoilt = np.concatenate([[0], np.cumsum(~good[at])])
             gone = spoilt[bounds[1:]] > spoilt[bounds[:-1]]
             used, at = np.unique(at[np.repeat(~gone, np.diff(bounds))], return_inverse=True)
             bounds = np.concatenate([[0], np.cumsum(np.where(gone, 0, np.diff(bounds)))])
-            found, _ = coder.segments([" " + w for w in words.take(pa.array(used)).to_pylist()])
+            found, _ = coder.segments(words.take(pa.array(used)))
         segments = pa.StructArray.from_arrays([_lists(*found[n]) for n in ("a", "ae", "b", "be")], names=["a", "ae", "b", "be"])
         rows = pa.StructArray.from_arrays([ids, _lists(at, bounds)], names=["doc_id", "at"])
         one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(kind)
@@ -195,63 +196,87 @@ def blocks(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK)
 
 
 def places(ends: Column, cuts: Column) -> Column:
-    """How many of the ends, all rising, are not beyond each cut. Ends double and cuts come right
-    after theirs, so that a cut's place in the sorted array, less the cuts before it, is that number."""
+    """0, and how many of the ends, all rising, are not beyond each cut, which is one of them.
+
+    Of a few ends each cut is looked up. Of many, ends double and cuts come right after theirs, so
+    that a cut's place in the sorted array, less the cuts before it, is that number.
+    """
     merged = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda c: c * 2 + 1)))
     marked = F.array_remove(F.transform(merged, lambda x, k: F.when(x % 2 == 1, k).otherwise(-1)), -1)
-    return F.when(F.size(ends) == F.size(cuts), F.sequence(F.lit(1), F.size(ends))).otherwise(F.transform(marked, lambda at, k: at - k))
+    upto = F.sequence(F.lit(0), F.size(cuts))
+    return (
+        F.when(F.size(ends) == F.size(cuts), upto)
+        .when(F.size(ends) <= FEW, F.transform(upto, lambda k: F.when(k == 0, 0).otherwise(F.array_position(ends, F.get(cuts, k - 1)).cast("int"))))
+        .otherwise(F.concat(F.array(F.lit(0)), F.transform(marked, lambda at, k: at - k)))
+    )
 
 
-def groups(s: Column, cuts: Column) -> Column:
-    """array<struct<a, b>>: a segment's ids between its cuts."""
+def pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
 
-    def between(ids: Column, upto: Column, k: Column) -> Column:
-        before = F.when(k == 0, 0).otherwise(F.get(upto, k - 1))
-        return F.slice(ids, before + 1, F.get(upto, k) - before)
 
-    made = lambda p: F.transform(F.sequence(F.lit(0), F.size(p["a"]) - 1), lambda k: F.struct(between(s["a"], p["a"], k).alias("a"), between(s["b"], p["b"], k).alias("b")))
-    return let(F.struct(places(s["ae"], cuts).alias("a"), places(s["be"], cuts).alias("b")), made)
+def _spelt(x: Column, y: Column) -> Column:
+    return F.concat(x.cast("string"), F.lit("|"), y.cast("string"))
 
 
-def pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+def _many(g: Column) -> Column:
+    """A group of several ids: its text, and the links of each A id to each B id."""
+    side = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    links = F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: pair(x, y))))
+    return F.struct(F.concat(side(g["a"]), F.lit("|"), side(g["b"])).alias("text"), links.alias("links"))
 
 
-def _text(found: Column) -> Column:
-    side = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    return F.array_join(F.transform(found, lambda g: F.concat(side(g["a"]), F.lit("|"), side(g["b"]))), ";")
+def groups(s: Column, upto: Column) -> Column:
+    """array<struct<text, links>> of a segment's groups, which lie between these places of A and B."""
+
+    def between(k: Column) -> Column:
+        first, end = (lambda side: F.get(upto[side], k - 1)), (lambda side: F.get(upto[side], k))
+        single = (end("a") - first("a") == 1) & (end("b") - first("b") == 1)
+        ids = lambda side: F.slice(s[side], first(side) + 1, end(side) - first(side)).alias(side)
+        x, y = F.get(s["a"], first("a")), F.get(s["b"], first("b"))
+        return F.when(single, F.struct(_spelt(x, y).alias("text"), F.array(pair(x, y)).alias("links"))).otherwise(let(F.struct(ids("a"), ids("b")), _many))
 
+    return F.transform(F.sequence(F.lit(1), F.size(upto["a"]) - 1), between)
 
-def _links(found: Column) -> Column:
-    return F.flatten(F.transform(found, lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: pair(x, y))))))
 
+def facts(segments: Column) -> Column:
+    """Struct of arrays over segments: their numbers, their groups as text and their links.
 
-def _facts(s: Column) -> Column:
-    """A segment's numbers, its groups as text and its links. Where all ends are cuts, groups are pairs."""
+    Where all ends of a segment are cuts its groups are pairs of ids; mixed has the groups of others.
+    """
 
     def of(cuts: Column) -> Column:
-        each = (F.size(s["ae"]) == F.size(cuts)) & (F.size(s["be"]) == F.size(cuts))
-        pairs = F.struct(
-            F.array_join(F.zip_with(s["a"], s["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";").alias("text"),
-            F.zip_with(s["a"], s["b"], pair).alias("links"),
-        )
-        mixed = let(groups(s, cuts), lambda g: F.struct(_text(g).alias("text"), _links(g).alias("links")))
-        return let(F.when(each, pairs).otherwise(mixed), lambda x: F.struct(F.size(s["a"]).alias("n_a"), F.size(s["b"]).alias("n_b"), F.size(cuts).alias("n_groups"), x["text"].alias("text"), x["links"].alias("links")))
+        each = lambda s, k: (F.size(s["ae"]) == F.size(F.get(cuts, k))) & (F.size(s["be"]) == F.size(F.get(cuts, k)))
+        upto = lambda s, k: F.struct(places(s["ae"], F.get(cuts, k)).alias("a"), places(s["be"], F.get(cuts, k)).alias("b"))
+        mixed = F.transform(segments, lambda s, k: F.when(~each(s, k), let(upto(s, k), lambda p: groups(s, p))))
 
-    return let(F.array_intersect(s["ae"], s["be"]), of)
+        def told(found: Column) -> Column:
+            text = lambda s, k: F.when(F.get(found, k).isNull(), F.array_join(F.zip_with(s["a"], s["b"], _spelt), ";")).otherwise(F.array_join(F.get(found, k)["text"], ";"))
+            links = lambda s, k: F.when(F.get(found, k).isNull(), F.zip_with(s["a"], s["b"], pair)).otherwise(F.flatten(F.get(found, k)["links"]))
+            return F.struct(
+                F.transform(segments, lambda s: F.size(s["a"])).alias("n_a"),
+                F.transform(segments, lambda s: F.size(s["b"])).alias("n_b"),
+                F.transform(cuts, F.size).alias("n_groups"),
+                F.transform(segments, text).alias("texts"),
+                F.transform(segments, links).alias("links"),
+            )
 
+        return let(mixed, told)
 
-def _sum(at: Column, value) -> Column:
-    return F.aggregate(at, F.lit(0).cast("long"), lambda total, k: total + value(k))
+    return let(F.transform(segments, lambda s: F.array_intersect(s["ae"], s["be"])), of)
 
 
-def _document(facts: Column, d: Column) -> Column:
+def _sum(at: Column, values: Column) -> Column:
+    return F.aggregate(at, F.lit(0).cast("long"), lambda total, k: total + F.get(values, k))
+
+
+def _document(f: Column, d: Column) -> Column:
     own = d["at"]
     return F.struct(
         d["doc_id"].alias("doc_id"),
         own.alias("at"),
-        *[_sum(own, lambda k, c=c: F.get(facts, k)[c]).alias(c) for c in ("n_a", "n_b", "n_groups")],
-        F.when(F.size(own) == 0, "").otherwise(F.sha2(F.array_join(F.transform(own, lambda k: F.get(facts, k)["text"]), ";"), 256)).alias("groups_sha256"),
+        *[_sum(own, f[c]).alias(c) for c in ("n_a", "n_b", "n_groups")],
+        F.when(F.size(own) == 0, "").otherwise(F.sha2(F.array_join(F.transform(own, lambda k: F.get(f["texts"], k)), ";"), 256)).alias("groups_sha256"),
     )
 
 
@@ -261,7 +286,7 @@ def aligned(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK)
     spark = docs.sparkSession
     made = blocks(docs, byte_file, piece_file, size)
     # One value holds the segments' facts while documents are made of them.
-    row = let(F.transform("segments", _facts), lambda f: F.struct(F.transform(f, lambda x: x["links"]).alias("links"), F.transform("docs", lambda d: _document(f, d)).alias("docs")))
+    row = let(facts(F.col("segments")), lambda f: F.struct(f["links"].alias("links"), F.transform("docs", lambda d: _document(f, d)).alias("docs")))
     folder = f"{shared_dir(spark).rstrip('/')}/alignment-{uuid.uuid4().hex}"
     made.select("block", row.alias("r")).select("block", "r.links", "r.docs").write.parquet(folder)
     held = spark.read.parquet(folder)
@@ -276,25 +301,30 @@ def aligned(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK)
     # A document is told by its block and its place there.
     own = held.select("block", F.posexplode(F.transform("docs", lambda d: all_of(d["at"]))).alias("place", "links"))
     links = own.select("block", "place", F.explode("links").alias("pair"))
-    sums = cut(_met(links, counts).groupBy("block", "place").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("docs").alias("count_sum")))
-    facts = held.select("block", F.posexplode("docs").alias("place", "d")).select("block", "place", *[F.col("d")[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")])
+    sums = _met(links, counts)
+    told = held.select("block", F.posexplode("docs").alias("place", "d")).select("block", "place", *[F.col("d")[c].alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")])
     zero = F.lit(0).cast("long")
-    out = cut(facts.join(sums, ["block", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", *[F.coalesce(c, zero).alias(c) for c in ("n_links", "n_best", "count_sum")], "groups_sha256"))
+    out = cut(told.join(sums, ["block", "place"], "left").select("doc_id", "n_a", "n_b", "n_groups", *[F.coalesce(c, zero).alias(c) for c in ("n_links", "n_best", "count_sum")], "groups_sha256"))
     remove(spark, folder)
     return out, counts.select(a.alias("a"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b"), "docs", "best")
 
 
 def _met(links: DataFrame, counts: DataFrame, most: int = SMALL) -> DataFrame:
-    """links with their pairs' docs and best. Pairs that more than a share of 1 in ``most`` of all
-    documents' pairs are, so ``most`` at most, are sent to every task; the others' links, a small
-    part of all, meet them by a shuffle."""
+    """(block, place, n_links, n_best, count_sum) of links(block, place, pair).
+
+    Pairs with more than a share of 1 in ``most`` of all documents' pairs, so ``most`` at most, are
+    sent to every task, where their links are summed. Those of rarer pairs, a small part of all,
+    are counted by document and pair and meet the pairs by a shuffle.
+    """
     total = counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    often = F.col("docs") > total // most
-    fast = links.join(F.broadcast(counts.where(often)), "pair")
-    if counts.where(~often).isEmpty():
-        return fast
-    slow = links.join(F.broadcast(counts.where(often).select("pair")), "pair", "left_anti").join(counts.where(~often), "pair")
-    return fast.unionByName(slow)
+    often = counts.where(F.col("docs") > total // most)
+    told = links.join(F.broadcast(often), "pair", "left")
+    told = told.groupBy("block", "place", F.when(F.col("docs").isNull(), F.col("pair")).alias("rare"))
+    told = cut(told.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("best").cast("long")), F.lit(0)).alias("b"), F.coalesce(F.sum("docs"), F.lit(0)).alias("s")))
+    late = told.where("rare is not null").join(counts.withColumnRenamed("pair", "rare"), "rare")
+    late = late.select("block", "place", "n", (F.col("n") * F.col("best").cast("long")).alias("b"), (F.col("n") * F.col("docs")).alias("s"))
+    both = told.where("rare is null").select("block", "place", "n", "b", "s").unionByName(late)
+    return both.groupBy("block", "place").agg(F.sum("n").alias("n_links"), F.sum("b").alias("n_best"), F.sum("s").alias("count_sum"))
 
 
 def align(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK) -> DataFrame:

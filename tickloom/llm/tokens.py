@@ -83,16 +83,19 @@ class Ranks:
             raise ValueError(f"{path}: not a byte-level file whose ids are ranks of merges")
         ranks = {bytes(byte_of[c] for c in t): k for t, k in zip(own, at)}
         self.coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = _library(path)
-        self.added = regex.compile("|".join(map(regex.escape, _added(self.library))) or "(?!)", regex.IGNORECASE)
-        if self.coder.encode_ordinary(_PROBE) != self.library.encode(_PROBE, add_special_tokens=False).ids:
+        library = _library(path)
+        self.path, self.library = path, None  # loaded again for the first text that spells an added token
+        self.added = regex.compile("|".join(map(regex.escape, _added(library))) or "(?!)", regex.IGNORECASE)
+        if self.coder.encode_ordinary(_PROBE) != library.encode(_PROBE, add_special_tokens=False).ids:
             raise ValueError(f"{path}: texts are cut in another way")
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        own = self.library.encode(text, add_special_tokens=False).ids if self.added.search(text) else self.coder.encode_ordinary(text)
-        return array("I", own).tobytes()
+        if not self.added.search(text):
+            return array("I", self.coder.encode_ordinary(text)).tobytes()
+        self.library = self.library or _library(self.path)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def ranks(path: str) -> Ranks:
