@@ -268,7 +268,7 @@ def test_names_inside_words_at_every_registry_size(spark, monkeypatch):
 
     texts = spark.createDataFrame([(1, "At last Haanth. It"), (2, "preHaanthic, (Big Corp)"), (3, "corp"), (4, None), (5, "")], "id long, text string")
     names = spark.createDataFrame([("Haanth", "c1"), ("Big Corp", "c2"), ("g C", "c3"), ("absent", "c4"), (None, "c5"), ("", "c6"), ("Haanth", "c7")], "name string, code string")
-    for block, characters in ((10, 10**6), (2, 10**6), (10, 5)):
+    for block, characters in ((10, 10**6), (2, 10**6), (10, 5)):  # an automaton, and twice the join
         monkeypatch.setattr(search, "BLOCK", block)
         monkeypatch.setattr(search, "CHARACTERS", characters)
         found = relational.names_in_texts(texts, names)
@@ -286,6 +286,37 @@ def test_automaton_and_plain_search_agree(monkeypatch):
     assert {n for _, n in search._automaton(needles).iter(text)} == fast == {"ab", "abc", "bc", "c d"}
 
 
+def test_search_by_rarest_grams(spark, monkeypatch):
+    """The join against str.find: short and long strings, other alphabets, common grams that are spread,
+    repeated ids, texts cut into pieces, and a bitmap that is full."""
+    from tickloom.operators import search
+
+    rng = random.Random(10)
+    needles = ["a", "ab", "the", "the cat", "the cat sat on the mat and slept", "数据", "数据处理引擎", "\U0001f600", "zzzzz", " ", "nowhere at all", "", None]
+    needles += ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = [(k, "".join(rng.choice("abc the\n") for _ in range(rng.randrange(80)))) for k in range(150)]
+    texts += [(500, "xx the cat sat on the mat and slept"), (500, "大数据处理引擎 \U0001f600\U0001f600"), (501, None), (None, "the cat"), (502, ""), (503, "the cat" * 50)]
+    want = {(i, n) for i, t in texts for n in needles if n and t and n in t and i is not None}
+    df, own = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string")
+    for common, at_once in ((10**6, 1 << 22), (5, 16)):
+        monkeypatch.setattr(search, "COMMON", common)
+        monkeypatch.setattr(search, "AT_ONCE", at_once)
+        assert {tuple(r) for r in search.joined(df, own).collect()} == want
+    monkeypatch.setattr(search, "_bitmap", lambda grams: np.full(search.BITS // 8, 255, np.uint8))
+    assert {tuple(r) for r in search.joined(df, own).collect()} == want
+
+
+def test_search_for_300_000_names(spark):
+    """No name is collected: the join alone, each text against the names that were put into it."""
+    from tickloom.operators import search
+
+    names = spark.range(300_000).select(F.concat(F.lit("name"), F.sha1(F.col("id").cast("string"))).alias("needle"), "id")
+    put = lambda k: F.concat(F.lit("name"), F.sha1(k.cast("string")))
+    texts = spark.range(400).select("id", F.concat(F.lit("before "), put(F.col("id") * 700), F.lit(" between "), put(F.col("id") * 749), F.lit("x")).alias("text"))
+    found = search.contained(texts, names.select("needle")).join(names.withColumnRenamed("id", "of"), "needle").select("id", "of").collect()
+    assert sorted(map(tuple, found)) == sorted({(k, of) for k in range(400) for of in (700 * k, 749 * k)})
+
+
 def test_a_registry_of_many_names(spark):
     """Over 10,000 names, many of them inside others and inside words, against str.find."""
     rng = random.Random(9)

@@ -1,20 +1,42 @@
-"""Which of many strings stand in which of many texts, exactly and at any size.
+"""Which of many strings stand in which of many texts, exactly and at any size of either side.
 
-An automaton over a block of strings reads each text once, whatever number of strings the block
-has; more strings than a block are sought block after block. Neither side meets the other pair by
-pair, and no size changes what is found.
+Strings that are few by count (BLOCK) and by characters are sent to every task as an automaton,
+which reads each text once. More strings are sought by a join, with the same result:
+
+An inverted table of the strings' rarest grams: a gram is GRAM characters (of a shorter string, all
+of it), and every string is filed under the one of its grams that fewest of the strings hold. The
+texts give the grams that they hold of these; pairs that share one are verified by searching the
+text. A gram is a 64-bit hash, and which hashes are asked for goes to the tasks as one bitmap of
+fixed size, so that texts yield few rows before anything is shuffled. It only leaves out what no
+string asks for; where very many strings fill it, more rows are shuffled and the result is the same.
+
+Strings of the join stay in DataFrames, whatever their number; the driver holds the bitmap. Texts
+are read twice, to find candidates and to verify them. A gram that many texts hold is spread over SALTS
+parts, and the strings filed under it are copied to each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import workers_import
+from tickloom.session import cut, workers_import
 
-#: Strings of one automaton, and their characters: what a task holds besides a batch of texts.
+#: Strings of an automaton, and their characters: what a task holds besides a batch of texts.
 BLOCK, CHARACTERS = 100_000, 1 << 24
+#: Characters of a gram, and parts that texts of a common one are spread over.
+GRAM, SALTS = 5, 32
+#: Texts of a gram from which it is spread.
+COMMON = 1000
+#: Bits of the bitmap, of which Spark's functions make buckets of 2**15.
+BITS = 1 << 27
+#: Characters of texts that are cut into grams at once.
+AT_ONCE = 1 << 22
+_U = np.uint64
 
 
 class _Plain:
@@ -53,26 +75,103 @@ def _sought(shared):
     return run
 
 
+def hashes(points: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n of these code points."""
+    width = max(0, len(points) - n + 1)
+    h = np.full(width, n, _U)
+    for k in range(n):
+        h = (h ^ points[k : k + width].astype(_U)) * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(29)
+    return h
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(needle) → (needle, its different grams)."""
+    for b in batches:
+        own = [np.unique(hashes(p, min(len(p), GRAM))).view(np.int64) for p in map(_points, b.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["needle", "grams"])
+
+
+def _held(shared, sizes: list[int]):
+    """(id, of, text) → (id, of, gram) for the different grams of the text that the bitmap has."""
+
+    def of(points: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+        found = []
+        for n in sizes:
+            for k in range(0, max(0, len(points) - n + 1), AT_ONCE):
+                h = hashes(points[k : k + AT_ONCE + n - 1], n)
+                at = h & _U(BITS - 1)
+                found.append(np.unique(h[bitmap[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1 > 0]))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for b in batches:
+            own = [of(_points(t), bitmap) for t in b.column(2).to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(own)), list(map(len, own))))
+            flat = np.concatenate([np.zeros(0, _U), *own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(flat)], ["id", "of", "gram"])
+
+    return run
+
+
+def _bitmap(grams: DataFrame) -> np.ndarray:
+    """BITS bits, set where some gram of grams(gram) has its last bits; BITS / 8 bytes at the driver."""
+    bit = F.pmod("gram", F.lit(BITS).cast("long")) + 1  # these functions count from 1
+    rows = grams.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("b")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows:
+        at = (r["k"] - 1) * 4096
+        out[at : at + len(r["b"])] = np.frombuffer(r["b"], np.uint8)
+    return out
+
+
+def filed(needles: DataFrame) -> DataFrame:
+    """(gram, needle): each different needle under the gram of it that fewest needles hold."""
+    own = cut(needles.where("needle <> ''").select("needle").distinct())
+    cells = own.mapInArrow(_asked, "needle string, grams array<long>").select("needle", F.explode("grams").alias("gram"))
+    counts = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(counts, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("r")).select("r.gram", "needle")
+
+
 def contained(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(id, needle) for texts(id, text) and needles(needle): each different needle in each text.
 
-    Nulls, and needles without a character, are in no text. Needles are dealt to blocks by hash;
-    the driver holds one block at a time.
+    Nulls, and needles without a character, are in no text. Of rows that repeat an id each may hold
+    a needle.
     """
     spark = texts.sparkSession
     workers_import(spark)
     own = needles.where("needle <> ''").select("needle").distinct()
     n, characters = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK), -(-characters // CHARACTERS))
     rows = texts.select("id", "text")
     schema = f"id {dict(rows.dtypes)['id']}, needle string"
     if not n:
         return spark.createDataFrame([], schema)
-    found = None
-    for k in range(blocks):
-        some = [r["needle"] for r in own.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == k).collect()]
-        if not some:
-            continue
-        part = rows.mapInArrow(_sought(spark.sparkContext.broadcast(some)), schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    if n > BLOCK or characters > CHARACTERS:
+        return joined(rows, own)
+    some = [r["needle"] for r in own.collect()]  # BLOCK at most
+    return rows.mapInArrow(_sought(spark.sparkContext.broadcast(some)), schema).distinct()
+
+
+def joined(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """``contained`` by the needles' rarest grams, for any number of needles."""
+    spark = texts.sparkSession
+    workers_import(spark)
+    rows = texts.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("of"), "text")
+    kind = dict(rows.dtypes)["id"]
+    table = cut(filed(needles))
+    sizes = [r["n"] for r in table.select(F.least(F.char_length("needle"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # GRAM at most
+    shared = spark.sparkContext.broadcast(_bitmap(table))
+    held = cut(rows.mapInArrow(_held(shared, sizes), f"id {kind}, of long, gram long"))
+    common = cut(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("gram", F.lit(SALTS).alias("parts")))
+    copies = table.join(common, "gram", "left").select("gram", "needle", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    spread = held.join(common, "gram", "left").select("id", "of", "gram", F.pmod(F.xxhash64("id", "of"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    # Candidates of a text come together, so that it is fetched once, whatever it holds.
+    lists = spread.join(copies, ["gram", "part"]).groupBy("id", "of").agg(F.collect_set("needle").alias("needles"))
+    found = rows.join(lists, ["id", "of"]).select("id", F.explode(F.filter("needles", lambda n: F.contains(F.col("text"), n))).alias("needle"))
+    return found.distinct()
