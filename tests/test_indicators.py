@@ -30,9 +30,8 @@ GOLDEN = {
 def test_recurrences(spark):
     rows = [r for k in GOLDEN for r in made(*k, symbol=str(k))]
     bars = spark.createDataFrame(rows, SCHEMA)
-    arrays = I.series(bars)
-    macd = {r["symbol"]: r[1:] for r in I.macd(arrays).collect()}
-    rsi = {r["symbol"]: r[1:] for r in I.rsi(arrays).collect()}
+    macd = {r["symbol"]: r[1:] for r in I.macd(bars).collect()}
+    rsi = {r["symbol"]: r[1:] for r in I.rsi(bars).collect()}
     kdj = {r["symbol"]: r[1:] for r in I.kdj(bars).collect()}
     for k, (m, r, d) in GOLDEN.items():
         assert macd[str(k)] == m
@@ -40,6 +39,57 @@ def test_recurrences(spark):
         assert kdj[str(k)] == d
 
 
+def plain(closes, highs, lows):
+    """MACD (dif, dea, before), RSI by period and (k, d) by one loop over all bars."""
+    e12 = e26 = sum(closes[:26]) / 26
+    dif = dea = seed = before = 0.0
+    for k, c in enumerate(closes[:35] + closes[34:]):
+        before = dif
+        e12, e26 = (e12 * 11 + c * 2) / 13, (e26 * 25 + c * 2) / 27
+        dif = e12 - e26
+        seed += dif if 26 <= k <= 34 else 0
+        dea = seed / 9 if k == 34 else (dea * 8 + dif * 2) / 10 if k > 34 else dea
+    rsi, moves = [], [b - a for a, b in zip(closes, closes[1:])]
+    for p in I.RSI_PERIODS:
+        gain, loss = sum(max(x, 0.0) for x in moves[:p]) / p, sum(max(-x, 0.0) for x in moves[:p]) / p
+        for x in moves[p:]:
+            gain, loss = (gain * (p - 1) + max(x, 0.0)) / p, (loss * (p - 1) + max(-x, 0.0)) / p
+        rsi.append(100.0 if loss == 0 else 100 - 100 / (1 + gain / loss))
+    k = d = 50.0
+    for i, c in enumerate(closes):
+        hi, lo = max(highs[max(0, i - 8) : i + 1]), min(lows[max(0, i - 8) : i + 1])
+        k = (2 * k + (50.0 if hi == lo else (c - lo) / (hi - lo) * 100)) / 3
+        d = (2 * d + k) / 3
+    return (dif, dea, before), rsi, (k, d)
+
+
+def test_long_symbols_by_blocks(spark, monkeypatch):
+    """Blocks of 7 and of 64 bars on several levels, and lengths around their edges: the loop's values."""
+    import random
+
+    from tickloom.operators import scans
+
+    rng, rows, want = random.Random(3), [], {}
+    for n in (35, 36, 41, 42, 98, 99, 343 + 34, 3000):
+        price, own = 100.0, []
+        for i in range(n):
+            price = max(1.0, round(price + rng.uniform(-2, 2), 2))
+            own.append((str(n), i, price, price + 1, price - 1, price, 1))
+        rows += own
+        want[str(n)] = plain([r[5] for r in own], [r[3] for r in own], [r[4] for r in own])
+    bars = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for block in (7, 64, scans.BLOCK):
+        monkeypatch.setattr(scans.last_state, "__defaults__", (*scans.last_state.__defaults__[:-1], block))
+        out = I.macd(bars).join(I.rsi(bars), "symbol").join(I.kdj(bars), "symbol").collect()
+        for r in out:
+            (dif, dea, before), rsi, (k, d) = want[r["symbol"]]
+            close = lambda a, b: abs(a - b) <= 0.005 + 1e-9  # noqa: E731  rounded to two decimals
+            assert close(r["macd_dif"], dif) and close(r["macd_dea"], dea) and close(r["macd_bar"], 2 * (dif - dea))
+            assert all(close(r[f"rsi{p}"], x) for p, x in zip(I.RSI_PERIODS, rsi))
+            assert close(r["kdj_k"], k) and close(r["kdj_d"], d) and close(r["kdj_j"], 3 * k - 2 * d)
+            assert r["macd_count"] == int(r["symbol"]) - 34
+
+
 def test_short_series_have_no_values(spark):
     bars = spark.createDataFrame(made(5, 100, 1), SCHEMA)
     row = I.latest(bars).first().asDict()
@@ -74,6 +124,33 @@ def test_suppress_counts_from_what_stayed():
     assert M.suppress([], 10) == []
 
 
+def test_suppression_by_pointer_jumping(spark, monkeypatch):
+    """Against the loop: busy and quiet keys, equal times, gaps at the limit, null keys, short stretches."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, rows, at = random.Random(4), [], datetime(2024, 1, 1)
+    for key, gap in (("busy", 400), ("quiet", 9000), ("mixed", 1800), (None, 900)):
+        t = 0
+        for k in range(300):
+            t += rng.choice([0, 1, gap, 1800, 1801, rng.randrange(gap + 1), 200_000 if k % 60 == 59 else 0])
+            rows.append((key, "m" if k % 3 else None, at + timedelta(seconds=t), rng.randrange(10**6)))
+    rows += [rows[5], ("busy", "m", None, 1), ("one", "m", at, 7)]
+    want, by = set(), {}
+    for s, m, t, i in set(rows):
+        if t is not None:
+            by.setdefault((s, m), []).append((t, i))
+    for (s, m), own in by.items():
+        own.sort()
+        want |= {(s, m, *own[k]) for k in M.suppress([int((t - at).total_seconds() * 1e6) for t, _ in own], 1800 * 1_000_000)}
+    alerts = spark.createDataFrame(rows, "symbol string, message string, ts timestamp, id long").repartition(4)
+    for stretch in (M.STRETCH, 1):
+        monkeypatch.setattr(M, "STRETCH", stretch)
+        got = [tuple(r) for r in M.dedup_alerts(alerts).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert M.dedup_alerts(alerts.limit(0)).count() == 0
+
+
 def test_trading_time(spark):
     rows = [("2024-01-05 09:30:00", True), ("2024-01-05 11:30:59", True), ("2024-01-05 11:31:00", False), ("2024-01-05 15:00:00", True), ("2024-01-06 10:00:00", False)]
     df = spark.createDataFrame(rows, "t string, want boolean").select(M.trading_time(F.to_timestamp("t")).alias("got"), "want")

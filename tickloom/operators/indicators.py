@@ -1,9 +1,8 @@
 """Technical indicators over numbered bars (symbol, bar_idx, open, high, low, close, volume).
 
-Frame indicators are window functions. Recurrences (MACD, RSI, KDJ) fold the ordered closes of
-a symbol with the higher-order function ``aggregate``: one shuffle by symbol, no Python, linear in
-the bars. A series has a bar an hour at most, however many ticks there are, so that an array of
-bars for each symbol stays small.
+Frame indicators are window functions. Recurrences (MACD, RSI, KDJ) are affine maps, folded with the
+higher-order function ``aggregate`` block by block and composed (see scans): no Python, linear in
+the bars, and no array of a whole symbol, however long it is.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import cents, half_up, percent_change
+from tickloom.operators import scans
 
 MIN_BARS = 34
 FAST, SLOW, SIGNAL = 12, 26, 9
@@ -65,98 +65,153 @@ def volume_average(bars: DataFrame) -> DataFrame:
     return rows.where("bar_idx >= 9")
 
 
-def series(bars: DataFrame) -> DataFrame:
-    """One row per symbol: closes, highs and lows as arrays in bar order, and n."""
-    rows = F.array_sort(F.collect_list(F.struct("bar_idx", "close", "high", "low")))
-    grouped = bars.groupBy("symbol").agg(rows.alias("_b"))
-    return grouped.select("symbol", F.size("_b").alias("n"), F.col("_b.close").alias("closes"), F.col("_b.high").alias("highs"), F.col("_b.low").alias("lows"))
-
-
 def _ema(before: Column, close: Column, n: int) -> Column:
     return (before * F.lit(float(n - 1)) + close * 2) / F.lit(float(n + 1))
 
 
-def macd_state(closes: Column) -> Column:
-    """Struct step, e12, e26, seed, dif, dea, dif_before (of the bar before, rounded) after all bars.
+def _head(rows: DataFrame, n: int, *facts: str) -> DataFrame:
+    """symbol, n, and the facts of the first n rows by bar_idx, an array each."""
+    first = F.array_sort(F.collect_list(F.struct("bar_idx", *facts)))
+    own = rows.where(F.col("bar_idx") < n).groupBy("symbol").agg(first.alias("_b"))
+    return own.select("symbol", F.size("_b").alias("n"), *[F.col(f"_b.{f}").alias(f) for f in facts])
 
-    Both averages start from the mean of the first 26 closes and run over these again; bars 26 to
-    34 seed the signal line with the mean of their nine differences; bar 34 is then taken again
-    as the first bar of the main run, as in the source of these formulas.
-    """
+
+_MACD = ("e12", "e26", "dea", "before")
+
+
+def _macd_start(closes: Column) -> Column:
+    """The state after the first 35 closes: both averages start from the mean of the first 26 and run
+    over these again; bars 26 to 34 seed the signal line with the mean of their nine differences."""
     zero = F.lit(0.0)
-    head = F.aggregate(F.slice(closes, 1, SLOW), zero, lambda a, x: a + x) / SLOW
-    start = F.struct(F.lit(0).alias("step"), head.alias("e12"), head.alias("e26"), zero.alias("seed"), zero.alias("dif"), zero.alias("dea"), zero.alias("dif_before"))
-    last_seed = SLOW + SIGNAL - 1
+    mean = F.aggregate(F.slice(closes, 1, SLOW), zero, lambda a, x: a + x) / SLOW
+    begin = F.struct(F.lit(0).alias("step"), mean.alias("e12"), mean.alias("e26"), zero.alias("seed"), zero.alias("dif"))
 
     def fold(s: Column, close: Column) -> Column:
         e12, e26 = _ema(s["e12"], close, FAST), _ema(s["e26"], close, SLOW)
-        dif = e12 - e26
-        seeding = (s["step"] >= SLOW) & (s["step"] <= last_seed)
-        seed = F.when(seeding, s["seed"] + dif).otherwise(s["seed"])
-        dea = F.when(s["step"] == last_seed, seed / SIGNAL).when(s["step"] > last_seed, (s["dea"] * (SIGNAL - 1) + dif * 2) / (SIGNAL + 1)).otherwise(s["dea"])
-        return F.struct((s["step"] + 1).alias("step"), e12.alias("e12"), e26.alias("e26"), seed.alias("seed"), dif.alias("dif"), dea.alias("dea"), s["dif"].alias("dif_before"))
+        seed = F.when(s["step"] >= SLOW, s["seed"] + (e12 - e26)).otherwise(s["seed"])
+        return F.struct((s["step"] + 1).alias("step"), e12.alias("e12"), e26.alias("e26"), seed.alias("seed"), (e12 - e26).alias("dif"))
+
+    # Through an array of one, so that the fold is not repeated for each field.
+    done = F.transform(F.array(F.aggregate(closes, begin, fold)), lambda s: F.struct(F.lit(0).cast("long").alias("n"), s["e12"].alias("e12"), s["e26"].alias("e26"), (s["seed"] / SIGNAL).alias("dea"), s["dif"].alias("before")))
+    return F.element_at(done, 1)
 
-    steps = F.concat(F.slice(closes, 1, MIN_BARS + 1), F.slice(closes, MIN_BARS + 1, F.greatest(F.size(closes) - MIN_BARS, F.lit(0))))
-    return F.aggregate(steps, start, fold)
 
+def _macd_shift(s: Column, m: Column) -> Column:
+    """before is the difference one step back: of the state before the stretch, where that has one step."""
+    a, b, keep, weight = 1 - 2 / (FAST + 1), 1 - 2 / (SLOW + 1), (SIGNAL - 1) / (SIGNAL + 1), 2 / (SIGNAL + 1)
+    n = m["n"]
+    dea = scans.steps(keep, n) * s["dea"] + scans.carried(a, keep, weight, n) * s["e12"] - scans.carried(b, keep, weight, n) * s["e26"] + m["dea"]
+    before = scans.steps(a, n - 1) * s["e12"] - scans.steps(b, n - 1) * s["e26"] + m["before"]
+    return F.struct((s["n"] + n).alias("n"), (scans.steps(a, n) * s["e12"] + m["e12"]).alias("e12"), (scans.steps(b, n) * s["e26"] + m["e26"]).alias("e26"), dea.alias("dea"), before.alias("before"))
 
-def macd(symbols: DataFrame) -> DataFrame:
+
+def macd(bars: DataFrame) -> DataFrame:
     """symbol, macd_dif, macd_dea, macd_bar of the last bar, macd_count and macd_signal.
 
-    Null with fewer than 35 bars. The signal compares rounded values of two points at least:
-    the difference crosses today's signal line from below (golden) or above (death).
+    Null with fewer than 35 bars. The main run takes bar 34 again as its first one, as in the source
+    of these formulas. The signal compares rounded values of two points at least: the difference
+    crosses today's signal line from below (golden) or above (death).
     """
-    rows = symbols.select("symbol", "n", F.when(F.col("n") > MIN_BARS, macd_state(F.col("closes"))).alias("s"))
-    dif, dea, before = (half_up(F.col(f"s.{k}")) for k in ("dif", "dea", "dif_before"))
+
+    def step(s: Column, r: Column) -> Column:
+        e12, e26 = _ema(s["e12"], r["close"], FAST), _ema(s["e26"], r["close"], SLOW)
+        dea = (s["dea"] * (SIGNAL - 1) + (e12 - e26) * 2) / (SIGNAL + 1)
+        return F.struct((s["n"] + 1).alias("n"), e12.alias("e12"), e26.alias("e26"), dea.alias("dea"), (s["e12"] - s["e26"]).alias("before"))
+
+    head = _head(bars, MIN_BARS + 1, "close")
+    starts = head.where(F.col("n") > MIN_BARS).select("symbol", _macd_start(F.col("close")).alias("start"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in _MACD])
+    main = bars.where(F.col("bar_idx") >= MIN_BARS).select("symbol", (F.col("bar_idx") - MIN_BARS).alias("at"), "close")
+    rows = head.select("symbol").join(scans.last_state(main, zero, step, _macd_shift, starts=starts), "symbol", "left")
+    s = F.col("state")
+    dif, dea, before = half_up(s["e12"] - s["e26"]), half_up(s["dea"]), half_up(s["before"])
     signal = F.when((before < dea) & (dea <= dif), "golden_cross").when((before >= dea) & (dea > dif), "death_cross").otherwise("none")
     return rows.select(
         "symbol",
         dif.alias("macd_dif"),
         dea.alias("macd_dea"),
-        half_up((F.col("s.dif") - F.col("s.dea")) * 2).alias("macd_bar"),
-        F.when(F.col("s").isNotNull(), F.col("n") - MIN_BARS).alias("macd_count"),
-        F.when(F.col("n") > MIN_BARS + 1, signal).alias("macd_signal"),
+        half_up((s["e12"] - s["e26"] - s["dea"]) * 2).alias("macd_bar"),
+        s["n"].cast("int").alias("macd_count"),
+        F.when(s["n"] > 1, signal).alias("macd_signal"),
     )
 
 
-def rsi_of(closes: Column, period: int) -> Column:
-    """Wilder's index: null with period closes or fewer, 50 with one more."""
-    diffs = F.zip_with(F.slice(closes, 2, F.greatest(F.size(closes) - 1, F.lit(0))), F.slice(closes, 1, F.greatest(F.size(closes) - 1, F.lit(0))), lambda b, a: b - a)
-    up = lambda x: F.greatest(x, F.lit(0.0))
-    total = lambda f: F.aggregate(F.slice(diffs, 1, period), F.lit(0.0), lambda a, x: a + f(x)) / period
-    start = F.struct(total(up).alias("gain"), total(lambda x: up(-x)).alias("loss"), F.lit(50.0).alias("rsi"))
-
-    def fold(s: Column, d: Column) -> Column:
-        gain = (s["gain"] * (period - 1) + up(d)) / period
-        loss = (s["loss"] * (period - 1) + up(-d)) / period
-        ratio = F.when(loss == 0, F.lit(100.0)).otherwise(100 - F.lit(100.0) / (1 + gain / F.when(loss != 0, loss)))
-        return F.struct(gain.alias("gain"), loss.alias("loss"), ratio.alias("rsi"))
+def _up(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0))
 
-    rest = F.slice(diffs, period + 1, F.greatest(F.size(diffs) - period, F.lit(0)))
-    return F.when(F.size(closes) > period, half_up(F.aggregate(rest, start, fold)["rsi"]))
 
+def rsi(bars: DataFrame, periods=RSI_PERIODS) -> DataFrame:
+    """symbol and rsi<period>, Wilder's index: null with period closes or fewer, 50 with one more.
 
-def rsi(symbols: DataFrame, periods=RSI_PERIODS) -> DataFrame:
-    return symbols.select("symbol", *[rsi_of(F.col("closes"), p).alias(f"rsi{p}") for p in periods])
+    The first period changes are averaged; each later one moves the averages by a period's share.
+    """
+    w = Window.partitionBy("symbol").orderBy("bar_idx")
+    moves = bars.select("symbol", "bar_idx", (F.col("close") - F.lag("close").over(w)).alias("d"))
+
+    def step(s: Column, r: Column) -> Column:
+        out = []
+        for p in periods:
+            live = r["at"] > p  # the bars before it are in the start
+            for k, own in (("g", _up(r["d"])), ("l", _up(-r["d"]))):
+                out.append(F.when(live, (s[f"{k}{p}"] * (p - 1) + own) / p).otherwise(s[f"{k}{p}"]).alias(f"{k}{p}"))
+            out.append((s[f"n{p}"] + live.cast("long")).alias(f"n{p}"))
+        return F.struct(*out)
+
+    def shift(s: Column, m: Column) -> Column:
+        out = []
+        for p in periods:
+            keep = scans.steps((p - 1) / p, m[f"n{p}"])
+            out += [(keep * s[f"{k}{p}"] + m[f"{k}{p}"]).alias(f"{k}{p}") for k in "gl"]
+            out.append((s[f"n{p}"] + m[f"n{p}"]).alias(f"n{p}"))
+        return F.struct(*out)
+
+    def struct(of) -> Column:
+        return F.struct(*[of(k, p).alias(f"{k}{p}") for p in periods for k in ("g", "l", "n")])
+
+    none = lambda k: F.lit(0).cast("long") if k == "n" else F.lit(0.0)
+    # The first row's change is null.
+    head = _head(moves, max(periods) + 1, "d")
+    total = lambda f, p: F.aggregate(F.slice("d", 2, p), F.lit(0.0), lambda a, x: a + f(x)) / p
+    first = {"g": _up, "l": lambda x: _up(-x)}
+    starts = head.select("symbol", struct(lambda k, p: none(k) if k == "n" else F.when(F.col("n") > p, total(first[k], p))).alias("start"))
+    main = moves.where("bar_idx > 0").select("symbol", F.col("bar_idx").alias("at"), "d")
+    rows = scans.last_state(main, struct(lambda k, p: none(k)), step, shift, starts=starts)
+    s = F.col("state")
+
+    def of(p: int) -> Column:
+        gain, loss = s[f"g{p}"], s[f"l{p}"]
+        index = F.when(loss == 0, F.lit(100.0)).otherwise(100 - F.lit(100.0) / (1 + gain / F.when(loss != 0, loss)))
+        return F.when(gain.isNotNull(), half_up(F.when(s[f"n{p}"] == 0, F.lit(50.0)).otherwise(index)))
+
+    return rows.select("symbol", *[of(p).alias(f"rsi{p}") for p in periods])
 
 
 def kdj(bars: DataFrame, n: int = KDJ_BARS) -> DataFrame:
     """symbol, kdj_k, kdj_d, kdj_j after the last bar; null with fewer than n bars.
 
     Early bars use what there is. Highest and lowest come from a frame, the two smoothings
-    from a fold.
+    from a scan.
     """
     w = _back(n)
     high, low = F.max("high").over(w), F.min("low").over(w)
     raw = F.when(high == low, F.lit(50.0)).otherwise((F.col("close") - low) / F.when(high != low, high - low) * 100)
-    rows = bars.select("symbol", "bar_idx", raw.alias("rsv")).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("bar_idx", "rsv"))).alias("b"))
+    rows = bars.select("symbol", F.col("bar_idx").alias("at"), raw.alias("rsv"))
+    keep = 2 / 3
+
+    def struct(steps: Column, k: Column, d: Column) -> Column:
+        return F.struct(steps.cast("long").alias("n"), k.alias("k"), d.alias("d"))
+
+    def step(s: Column, r: Column) -> Column:
+        k = (s["k"] * 2 + r["rsv"]) / 3
+        return struct(s["n"] + 1, k, (s["d"] * 2 + k) / 3)
 
-    def fold(s: Column, x: Column) -> Column:
-        k = (s["k"] * 2 + x["rsv"]) / 3
-        return F.struct(k.alias("k"), ((s["d"] * 2 + k) / 3).alias("d"))
+    def shift(s: Column, m: Column) -> Column:
+        left = scans.steps(keep, m["n"])
+        return struct(s["n"] + m["n"], left * s["k"] + m["k"], left * s["d"] + scans.carried(keep, keep, 1 / 3, m["n"]) * s["k"] + m["d"])
 
-    state = F.aggregate("b", F.struct(F.lit(50.0).alias("k"), F.lit(50.0).alias("d")), fold)
-    rows = rows.select("symbol", F.when(F.size("b") >= n, state).alias("s"))
+    zero, fifty = F.lit(0.0), F.lit(50.0)
+    rows = scans.last_state(rows, struct(F.lit(0), zero, zero), step, shift, struct(F.lit(0), fifty, fifty))
+    rows = rows.select("symbol", F.when(F.col("state.n") >= n, F.col("state")).alias("s"))
     return rows.select("symbol", half_up(F.col("s.k")).alias("kdj_k"), half_up(F.col("s.d")).alias("kdj_d"), half_up(F.col("s.k") * 3 - F.col("s.d") * 2).alias("kdj_j"))
 
 
@@ -177,9 +232,8 @@ def latest(bars: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
 
     The bars are grouped by symbol once; all parts share that partitioning.
     """
-    arrays = series(bars)
     last = lambda rows, *cols: rows.groupBy("symbol").agg(*[F.max_by(c, "bar_idx").alias(c) for c in cols])
-    out = macd(arrays).join(rsi(arrays), "symbol").join(kdj(bars), "symbol", "left")
+    out = macd(bars).join(rsi(bars), "symbol").join(kdj(bars), "symbol", "left")
     out = out.join(last(bollinger(bars), "boll_upper", "boll_mid", "boll_lower"), "symbol", "left")
     out = out.join(last(volume_average(bars), "avg_volume5", "avg_volume10"), "symbol", "left")
     ends = bars.groupBy("symbol").agg(F.max_by("close", "bar_idx").alias("price"), F.max_by("volume", "bar_idx").alias("volume"), F.count(F.lit(1)).alias("bars"))

@@ -44,15 +44,15 @@ def last_n(spark, sf_dir):
 
 
 def macd(spark, sf_dir):
-    return I.macd(I.series(hourly(spark, sf_dir))).drop("macd_signal")
+    return I.macd(hourly(spark, sf_dir)).drop("macd_signal")
 
 
 def macd_signal(spark, sf_dir):
-    return I.macd(I.series(hourly(spark, sf_dir))).select("symbol", "macd_signal")
+    return I.macd(hourly(spark, sf_dir)).select("symbol", "macd_signal")
 
 
 def rsi(spark, sf_dir):
-    return I.rsi(I.series(hourly(spark, sf_dir)))
+    return I.rsi(hourly(spark, sf_dir))
 
 
 def kdj(spark, sf_dir):
@@ -62,7 +62,7 @@ def kdj(spark, sf_dir):
 def trend_momentum(spark, sf_dir):
     own = hourly(spark, sf_dir)
     ma = I.moving_average(own).groupBy("symbol").agg(F.max_by("ma5", "bar_idx").alias("ma5"), F.max_by("ma20", "bar_idx").alias("ma20"))
-    rows = ma.join(I.rsi(I.series(own)), "symbol").join(I.kdj(own), "symbol").withColumn("trend", I.trend_of(F.col("ma5"), F.col("ma20")))
+    rows = ma.join(I.rsi(own), "symbol").join(I.kdj(own), "symbol").withColumn("trend", I.trend_of(F.col("ma5"), F.col("ma20")))
     return rows.select("symbol", "trend", I.momentum_of(F.col("rsi6"), F.col("kdj_k"), F.col("trend")).alias("momentum"))
 
 
