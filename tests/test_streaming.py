@@ -31,9 +31,10 @@ def run(spark, tmp_path):
             while q.isActive and sum(seen.values()) < n and time.time() < end:
                 time.sleep(0.2)
                 seen |= {p["batchId"]: p["numInputRows"] for p in q.recentProgress}
-            if transform in (S.bar_stream, S.monitor_stream):  # closed by a batch after the last row
+            if transform in (S.bar_stream, S.monitor_stream, S.trace_stream, S.suppress_stream, S.profile_stream):  # closed by a batch after the last row
                 q.awaitTermination(60)
             assert q.exception() is None
+            go.checkpoint = str(tmp_path / "cp")
             return spark.table(name).collect()
         finally:
             q.stop()
@@ -47,6 +48,44 @@ def test_suppress(spark, run):
     assert sorted(r["id"] for r in run(df, S.suppress_stream)) == [0, 3, 4]
 
 
+def state(spark, run, name):
+    return spark.read.format("statestore").option("path", run.checkpoint).option("stateVarName", name).load()
+
+
+def test_suppression_state_ends_by_event_time(spark, run):
+    """Keys that were silent for the time and the watermark hold nothing; a late row does not revive them."""
+    rows = [("a", 0, 0), ("b", 60, 1), ("a", 120, 2), ("c", 20_000, 3), ("a", 1, 4), ("c", 20_100, 5), ("c", 40_000, 6), ("b", 40_001, 7)]
+    df = spark.createDataFrame([(s, "m", T0 + timedelta(seconds=at), k) for s, at, k in rows], "symbol string, message string, ts timestamp, id long")
+    got = run(df, S.suppress_stream, batches=4, by="id")
+    assert sorted(r["id"] for r in got) == [0, 1, 3, 6, 7]  # row 4 came after its time
+    held = {r["key"]["symbol"] for r in state(spark, run, "last").select("key").collect()}
+    assert held == {"b", "c"}  # a ended with the watermark past 1800 seconds
+
+
+def test_a_silent_utterance_renews_nothing(spark, run):
+    from tickloom.operators.memory import Profile
+
+    day, kind = 86_400.0, "user_id string, turn long, at double, text string, candidates array<struct<key: string, value: string>>"
+    rows = [("u", 0, 0.0, "x", [("risk", "稳健")]), ("u", 1, 60 * day, "nothing to say", []), ("u", 2, 89 * day, "y", [("risk", "激进")])]
+    rows += [("u", 3, 89 * day + Profile.PENDING_SECONDS + 1, "确认", []), ("u", 4, 91 * day, "z", [("risk", "激进")]), ("v", 5, 300 * day, "w", [])]
+    df = spark.createDataFrame([(u, t, 1e9 + at, x, c) for u, t, at, x, c in rows], kind)
+    got = [(r["turn"], r["event"]) for r in sorted(run(df, S.profile_stream, batches=6, by="turn"), key=lambda r: r["turn"])]
+    # The waiting change has ended at turn 3, the profile at turn 4, which sets it anew.
+    assert got == [(0, "set"), (2, "conflict"), (4, "set")]
+    assert state(spark, run, "pending").count() == 0
+
+
+def test_traces_of_closed_sessions(spark, run):
+    from tickloom.operators import ops
+
+    rows = [(f"r{k % 3}", k, T0 + timedelta(seconds=7 * k), "error" if k % 4 == 0 else "view") for k in range(30)]
+    rows += [("r9", 99, T0 + timedelta(hours=9), "view"), ("r9", 100, T0 + timedelta(hours=20), "view")]
+    df = spark.createDataFrame(rows, "request_id string, call_id long, ts timestamp, tool string")
+    got = {(r["request_id"], r["total_ms"], r["tool_calls"], r["errors"]) for r in run(df, S.trace_stream, batches=4)}
+    want = {tuple(r) for r in ops.trace_summary(df.where("request_id <> 'r9'")).collect()}
+    assert want <= got and len(got - want) <= 1
+
+
 def test_cache(spark, run):
     at = [0, 10, 29, 30, 45, 200]
     df = spark.createDataFrame([("k", T0 + timedelta(seconds=s), k) for k, s in enumerate(at)], "key string, ts timestamp, id long")
@@ -61,7 +100,7 @@ def test_history(spark, run):
 
 def test_profile(spark, run):
     kind = "user_id long, turn long, at double, text string, candidates array<struct<key: string, value: string>>"
-    df = spark.createDataFrame([(1, 0, 0.0, "x", [("risk", "稳健")]), (1, 1, 10.0, "y", [("risk", "激进")]), (1, 2, 20.0, "确认", [])], kind)
+    df = spark.createDataFrame([(1, 0, 1e9, "x", [("risk", "稳健")]), (1, 1, 1e9 + 10, "y", [("risk", "激进")]), (1, 2, 1e9 + 20, "确认", [])], kind)
     rows = run(df, S.profile_stream, batches=3, by="turn")
     assert [(r["turn"], r["event"]) for r in sorted(rows, key=lambda r: r["turn"])] == [(0, "set"), (1, "conflict"), (2, "confirmed")]
 

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the stateful operators.
 
-State lives in RocksDB, with a time to live where the batch forms have one. Streams that join or
-aggregate by time carry a watermark of one hour; later rows are dropped.
+State lives in RocksDB and goes by event time: each key has a timer at the end of its state's life,
+which fires when the watermark passes it. Streams carry a watermark of one hour; later rows are
+dropped, so none can meet state that its timer has removed, nor revive it.
 """
 
 from __future__ import annotations
@@ -26,123 +27,203 @@ def micros(ts) -> int:
     return int(pd.Timestamp(ts).value // 1000)
 
 
-class Suppress(StatefulProcessor):
-    """Emits an alert unless the last one emitted for its key is at most ``within`` seconds old."""
+class Expiring(StatefulProcessor):
+    """A processor whose key has one timer, at the end of the life of what it holds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def live_until(self, at_micros: int | None) -> None:
+        """Let the state end at this time; None: nothing is held."""
+        timers = [int(t) for t in self.handle.listTimers()]
+        wanted = [] if at_micros is None else [int(at_micros // 1000) + 1]
+        for t in timers:
+            if t not in wanted:
+                self.handle.deleteTimer(t)
+        for t in wanted:
+            if t not in timers:
+                self.handle.registerTimer(t)
+
+    def expire(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.expire()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Suppress(Expiring):
+    """Emits an alert unless the last one emitted for its key is at most ``within`` seconds old.
+
+    Beyond that the last one says nothing any more, and is forgotten."""
+
+    columns = ["symbol", "message", "ts", "id"]
 
     def __init__(self, within: int):
-        self.within = within
+        self.within = within * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(rows)).sort_values(["ts", "id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        last = before = self.last.get()[0] if self.last.exists() else None
         kept = []
         for k, ts in enumerate(own["ts"]):
             at = micros(ts)
-            if last is None or at - last > self.within * 1_000_000:
+            if last is None or at - last > self.within:
                 kept.append(k)
                 last = at
-        if last is not None:
+        if last != before:
             self.last.update((last,))
-        yield own.iloc[kept][["symbol", "message", "ts", "id"]]
+            self.live_until(last + self.within)
+        yield own.iloc[kept][self.columns]
 
-    def close(self) -> None:
-        pass
+    def expire(self) -> None:
+        self.last.clear()
 
 
-def suppress_stream(alerts: DataFrame, minutes: int = 30) -> DataFrame:
+def suppress_stream(alerts: DataFrame, minutes: int = 30, late: str = LATE) -> DataFrame:
     """alerts(symbol, message, ts, id) without repeats within minutes of a retained one."""
-    return alerts.groupBy("symbol", "message").transformWithStateInPandas(Suppress(minutes * 60), "symbol string, message string, ts timestamp, id long", "Append", "None")
+    own = alerts.withWatermark("ts", late).groupBy("symbol", "message")
+    return own.transformWithStateInPandas(Suppress(minutes * 60), "symbol string, message string, ts timestamp, id long", "Append", "EventTime")
 
 
-class Cache(StatefulProcessor):
+class Cache(Expiring):
     """Classifies requests of a key as hits or misses of a cache with a time to live."""
 
+    columns = ["key", "id", "hit"]
+
     def __init__(self, ttl: int):
-        self.ttl = ttl
+        self.ttl = ttl * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.born = handle.getValueState("born", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         own = pd.concat(list(rows)).sort_values(["ts", "id"])
-        born = self.born.get()[0] if self.born.exists() else None
+        born = before = self.born.get()[0] if self.born.exists() else None
         hits = []
         for ts in own["ts"]:
             at = micros(ts)
-            hit = born is not None and at - born < self.ttl * 1_000_000
+            hit = born is not None and at - born < self.ttl
             hits.append(hit)
             born = born if hit else at
-        self.born.update((born,))
+        if born != before:
+            self.born.update((born,))
+            self.live_until(born + self.ttl)
         own["hit"] = hits
-        yield own[["key", "id", "hit"]]
+        yield own[self.columns]
+
+    def expire(self) -> None:
+        self.born.clear()
 
-    def close(self) -> None:
-        pass
 
+def cache_stream(requests: DataFrame, ttl_seconds: int, late: str = LATE) -> DataFrame:
+    own = requests.withWatermark("ts", late).groupBy("key")
+    return own.transformWithStateInPandas(Cache(ttl_seconds), "key string, id long, hit boolean", "Append", "EventTime")
 
-def cache_stream(requests: DataFrame, ttl_seconds: int) -> DataFrame:
-    return requests.groupBy("key").transformWithStateInPandas(Cache(ttl_seconds), "key string, id long, hit boolean", "Append", "None")
 
+class History(Expiring):
+    """Keeps the newest ``most`` records of a session until ttl after its last one, and emits its size."""
 
-class History(StatefulProcessor):
-    """Keeps the newest ``most`` records of a session for ttl_ms and emits its size."""
+    columns = ["session_id", "size", "newest"]
 
-    def __init__(self, most: int, ttl_ms: int):
-        self.most, self.ttl_ms = most, ttl_ms
+    def __init__(self, most: int, ttl: int):
+        self.most, self.ttl = most, ttl * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = handle.getListState("ids", "id long", ttlDurationMs=self.ttl_ms)
+        super().init(handle)
+        self.ids = handle.getListState("ids", "at long, id long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "id"])["id"].tolist()
-        ids = [int(x[0]) for x in self.ids.get()] if self.ids.exists() else []
-        ids = (ids + [int(x) for x in new])[-self.most :]
-        self.ids.put([(x,) for x in ids])
-        yield pd.DataFrame({"session_id": [key[0]], "size": [len(ids)], "newest": [ids[-1]]})
+        own = pd.concat(list(rows))
+        new = [(micros(ts), int(k)) for ts, k in zip(own["ts"], own["id"])]
+        held = [(int(x[0]), int(x[1])) for x in self.ids.get()] if self.ids.exists() else []
+        held = sorted(held + new)[-self.most :]
+        self.ids.put(held)
+        self.live_until(held[-1][0] + self.ttl)
+        yield pd.DataFrame({"session_id": [key[0]], "size": [len(held)], "newest": [held[-1][1]]})
 
-    def close(self) -> None:
-        pass
+    def expire(self) -> None:
+        self.ids.clear()
+
+
+def history_stream(records: DataFrame, most: int = 200, ttl_days: int = 7, late: str = LATE) -> DataFrame:
+    """records(session_id, ts, id) → session_id, size, newest after each batch; sessions are of any type."""
+    own = records.withWatermark("ts", late).groupBy("session_id")
+    schema = f"session_id {dict(records.dtypes)['session_id']}, size int, newest long"
+    return own.transformWithStateInPandas(History(most, ttl_days * 86_400), schema, "Update", "EventTime")
 
 
-def history_stream(records: DataFrame, most: int = 200, ttl_days: int = 7) -> DataFrame:
-    """records(session_id, ts, id) → session_id, size, newest after each batch."""
-    return records.groupBy("session_id").transformWithStateInPandas(History(most, ttl_days * 86_400_000), "session_id long, size int, newest long", "Update", "ProcessingTime")
+class ProfileState(Expiring):
+    """The profile state machine: one map, when it was last written, and one waiting change per user.
 
+    Only what changed is written, so an utterance that states nothing renews nothing."""
 
-class ProfileState(StatefulProcessor):
-    """The profile state machine: one map and one waiting change per user, each with its time to live."""
+    columns = ["user_id", "turn", "event", "key", "value"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.profile = handle.getMapState("profile", "key string", "value string")
+        self.written = handle.getValueState("written", "at double")
+        self.pending = handle.getValueState("pending", "key string, value string, at double")
+
+    def _load(self):
         from tickloom.operators.memory import Profile
 
-        self.profile = handle.getMapState("profile", "key string", "value string", ttlDurationMs=Profile.PROFILE_SECONDS * 1000)
-        self.pending = handle.getValueState("pending", "key string, value string, at double", ttlDurationMs=Profile.PENDING_SECONDS * 1000)
+        written = self.written.get()[0] if self.written.exists() else None
+        return Profile({k[0]: v[0] for k, v in self.profile.iterator()}, tuple(self.pending.get()) if self.pending.exists() else None, written)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        from tickloom.operators.memory import Profile
+    def _keep(self, own, before) -> None:
+        for k in before.values.keys() - own.values.keys():
+            self.profile.removeKey((k,))
+        for k, v in own.values.items():
+            if before.values.get(k) != v:
+                self.profile.updateValue((k,), (v,))
+        if own.written != before.written:
+            self.written.update((own.written,)) if own.written is not None else self.written.clear()
+        if own.pending != before.pending:
+            self.pending.update(own.pending) if own.pending else self.pending.clear()
+        ends = [own.written + own.PROFILE_SECONDS] if own.written is not None else []
+        ends += [own.pending[2] + own.PENDING_SECONDS] if own.pending else []
+        self.live_until(int(min(ends) * 1_000_000) if ends else None)
 
-        own = Profile({k[0]: v[0] for k, v in self.profile.iterator()}, tuple(self.pending.get()) if self.pending.exists() else None)
-        out = []
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        own, before, out = self._load(), self._load(), []
         for r in pd.concat(list(rows)).sort_values(["at", "turn"]).itertuples():
             found = [(c["key"], c["value"]) for c in r.candidates]
             out += [(r.user_id, r.turn, *e) for e in own.hear(r.text or "", found, r.at)]
-        for k, v in own.values.items():
-            self.profile.updateValue((k,), (v,))
-        if own.pending:
-            self.pending.update(own.pending)
-        else:
-            self.pending.clear()
-        yield pd.DataFrame(out, columns=["user_id", "turn", "event", "key", "value"])
-
-    def close(self) -> None:
-        pass
-
-
-def profile_stream(utterances: DataFrame) -> DataFrame:
-    return utterances.groupBy("user_id").transformWithStateInPandas(ProfileState(), "user_id long, turn long, event string, key string, value string", "Append", "ProcessingTime")
+        self._keep(own, before)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The profile, the waiting change, or both, whichever has ended by now."""
+        own, before = self._load(), self._load()
+        own.forget(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        self._keep(own, before)
+        return iter(())
+
+
+def profile_stream(utterances: DataFrame, late: str = LATE) -> DataFrame:
+    """utterances(user_id, turn, at seconds, text, candidates) → user_id, turn, event, key, value."""
+    kind = dict(utterances.dtypes)
+    own = utterances.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", late).groupBy("user_id")
+    return own.transformWithStateInPandas(ProfileState(), f"user_id {kind['user_id']}, turn {kind['turn']}, event string, key string, value string", "Append", "EventTime")
+
+
+def trace_stream(calls: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
+    """Closed traces of a stream of calls(request_id, call_id, ts, tool): as ``ops.trace_summary``, with its
+    start, once nothing has come for gap and the watermark has passed that."""
+    rows = calls.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "request_id")
+    span = (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("total_ms")
+    rows = rows.agg(span, F.count(F.lit(1)).alias("tool_calls"), F.count_if(F.col("tool") == "error").alias("errors"))
+    return rows.select("request_id", F.col("session_window.start").alias("started"), "total_ms", "tool_calls", "errors")
 
 
 def bar_stream(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
