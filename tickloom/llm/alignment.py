@@ -40,7 +40,8 @@ from . import tokens
 from .common import SMALL, cut, let, prepare, remove, shared_dir
 
 #: Bytes of texts in a block; segments that are encoded together.
-BLOCK, TOGETHER = 2 << 20, 256
+BLOCK, TOGETHER = 1 << 20, 256
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 #: Ends among which a cut is looked up.
 FEW = 64
 #: White space as any of the tokenizers may see it.
@@ -283,6 +284,17 @@ def _document(f: Column, d: Column) -> Column:
 def aligned(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs): documents as align has them; pairs(a, b, docs, best) with the number of
     documents that hold them linked, and whether no pair of that A id has more."""
+    spark = docs.sparkSession
+    # A row is a block of some megabytes: Spark's reader would hold thousands of them at once.
+    before = spark.conf.get(_READ, None)
+    spark.conf.set(_READ, "4")
+    try:
+        return _aligned(docs, byte_file, piece_file, size)
+    finally:
+        spark.conf.unset(_READ) if before is None else spark.conf.set(_READ, before)
+
+
+def _aligned(docs: DataFrame, byte_file: str, piece_file: str, size: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     made = blocks(docs, byte_file, piece_file, size)
     # One value holds the segments' facts while documents are made of them.

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, binary_output, exact_dedup, language, licenses, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter, vector_codes
+from tickloom import session
 
+from . import alignment, binary_output, exact_dedup, language, licenses, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter, vector_codes
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = session.table
 
 
 def tokenizer(name: str) -> str:
