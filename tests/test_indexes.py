@@ -122,6 +122,38 @@ def test_impacts_bound_every_posting(spark):
         assert not any(t >= a and d <= b for a, b in kept for t, d in kept if (a, b) != (t, d))
 
 
+def test_sampled_bits_recall_on_all_rows(spark):
+    """Of all pairs within 22 bits at least 0.9, each once and none wrong; crowded buckets give the same."""
+    from tickloom.operators import text_prep as P
+    from tickloom.plans import texts
+
+    own = texts.simhash(spark, "/root/testdata/sf0.1").where("doc_id < 1000").select(F.col("doc_id").alias("id"), "fp").cache()
+    exact = {(min(r["id_a"], r["id_b"]), max(r["id_a"], r["id_b"])): r["distance"] for r in P.near_pairs(own).collect()}
+    classes = own.groupBy("fp").agg(F.min("id").alias("id")).where("fp <> 0")
+    fps = {r["id"]: r["fp"] for r in classes.collect()}
+    want = {tuple(sorted((fps[a], fps[b]))): d for (a, b), d in exact.items() if a in fps and b in fps}
+    found = [tuple(r) for r in P.near_candidates(classes).collect()]
+    assert len(found) == len({f[:2] for f in found})
+    assert all(want[a, b] == d for a, b, d in found)
+    assert len(found) >= 0.9 * len(want) and len(want) > 100
+    assert sorted(found) == sorted(tuple(r) for r in P.near_candidates(classes, chunk=40).collect())
+    links = {r["id"]: r["links"] for r in P.sampled_links(own).collect()}
+    assert len(links) == own.count() and sum(links[k] for k in fps) == 2 * len(found)
+
+
+def test_chance_of_a_shared_table():
+    from tickloom.operators import text_prep as P
+
+    rng, sampled = random.Random(5), P.sampled_bits(P.TABLES, P.SAMPLED)
+    for distance in (10, 22):
+        hits = 0
+        for _ in range(2000):
+            apart = set(rng.sample(range(64), distance))
+            hits += any(not apart & set(bits) for bits in sampled)
+        assert abs(hits / 2000 - P.chance(distance)) < 0.05
+    assert P.chance(22) > 0.7 and P.chance(16) > 0.95 and P.chance(0) == 1.0
+
+
 def test_chunk_ids_of_any_type(spark):
     """Chunks' string ids through retrieval, fusion, penalty and near pairs."""
     texts = [("c-a", "alpha beta gamma"), ("c-b", "alpha beta gamma"), ("c-c", "delta")]

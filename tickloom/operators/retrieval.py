@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import half_up
 from tickloom.functions.text import recency, terms
 from tickloom.operators import text_prep
+from tickloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -92,14 +93,19 @@ def best_of_tiles(asked: DataFrame, tiles: DataFrame, key: str, k: int, query_ty
     return pairs.select("asked", "corpus").mapInPandas(_similar(k), f"query_id {query_type}, chunk_id {chunk_type}, score double")
 
 
-def postings(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
+#: A term that no text has: its postings are one a chunk.
+EVERY = ""
+
+
+def postings(corpus: DataFrame, only: DataFrame | None = None, every: bool = False) -> DataFrame:
     """term, chunk_id, tf, dl for corpus(chunk_id, content): an index to be written by term.
 
-    only(term): other terms go before anything is shuffled or counted.
+    only(term): other terms go before anything is shuffled or counted. every: EVERY is in each chunk,
+    so that lengths come from the same reading of the texts.
     """
     own = terms(F.col("content"))
     rows = corpus.where("chunk_id is not null and content is not null").select("chunk_id", own.alias("_t"))
-    rows = rows.select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    rows = rows.select("chunk_id", F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit(EVERY)), "_t") if every else F.col("_t")).alias("term"))
     if only is not None:
         rows = rows.join(only, "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
@@ -108,13 +114,15 @@ def postings(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, fusion: Fusion = Fusion()) -> DataFrame:
     """query_id, chunk_id, score (to 6 decimals), rank for queries(query_id, text).
 
-    Repeated query terms add up; blank queries match nothing. Postings are cut to the queries'
-    terms before anything is aggregated over terms; corpus sizes are two numbers.
+    Repeated query terms add up; blank queries match nothing. Texts are cut into terms once:
+    postings are cut to the queries' terms before anything is aggregated over terms, with one row
+    a chunk for its length. ``word_index`` searches a stored index by bounds instead.
     """
     asked = asked_terms(queries)
-    lengths = corpus.where("chunk_id is not null and content is not null").select(F.size(terms(F.col("content"))).alias("dl"))
-    n, words = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return scored(asked, postings(corpus, asked.select("term").distinct()), n, words, k, fusion)
+    wanted = asked.select("term").union(queries.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
+    rows = cut(postings(corpus, wanted, every=True))
+    n, words = rows.where(F.col("term") == EVERY).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return scored(asked, rows.where(F.col("term") != EVERY), n, words, k, fusion)
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:

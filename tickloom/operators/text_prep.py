@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import cut
+
 #: Fingerprints at most so many bits apart are near duplicates.
 NEAR = 22
 _END = re.compile("(?<=[。；！？.!?])")
@@ -73,6 +75,80 @@ def _side(cells, names: tuple[str, ...]) -> list[np.ndarray]:
     return [np.array([c[n] for c in cells], np.int64 if n == "fp" else object) for n in names]
 
 
+#: Tables of a sampling index, and bits of the fingerprint that make a table's key.
+TABLES, SAMPLED = 72, 8
+#: Rows of a bucket beyond which its tiles are dealt as pairs of their own.
+FULL = 512
+
+
+def sampled_bits(tables: int, bits: int, seed: int = 7) -> list[list[int]]:
+    """For each table the bits that it samples, by a fixed sequence."""
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(64, bits, replace=False).tolist()) for _ in range(tables)]
+
+
+def chance(distance: int, tables: int = TABLES, bits: int = SAMPLED) -> float:
+    """The chance that fingerprints so many bits apart agree on all bits of some table."""
+    one = np.prod([(64 - distance - k) / (64 - k) for k in range(bits)]) if distance <= 64 - bits else 0.0
+    return float(1 - (1 - one) ** tables)
+
+
+def near_candidates(rows: DataFrame, most: int = NEAR, tables: int = TABLES, bits: int = SAMPLED, chunk: int = FULL, counted: bool = False) -> DataFrame:
+    """fp_a < fp_b, distance of rows(fp): pairs of different fingerprints at most most bits apart that
+    agree on all bits that some table samples; found by no more than one table each.
+
+    A multi-table index of sampled bits: of pairs at 22 bits, the farthest, tables find a share of
+    ``chance(22)``, of nearer ones more. Buckets are cut into tiles, and each pair of a bucket's tiles
+    is a row dealt to some task, so that a crowded bucket is not one task's work. What is found
+    is verified there; a pair is given by the first table that its fingerprints agree in, so
+    that none comes twice and nothing has to be made distinct. counted: fp and n, how many pairs it
+    is in, instead of the pairs, whose number grows with the square of dense groups.
+    ``near_links`` is the exact way.
+    """
+    spark = rows.sparkSession
+    sampled = sampled_bits(tables, bits)
+    masks = np.array([sum(1 << b for b in own) for own in sampled], _U)
+    own = rows.where("fp <> 0").select("fp").distinct()
+    keys = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(int(np.int64(masks[t].view(np.int64))))).alias("key")) for t in range(tables)])
+    cells = own.select("fp", F.explode(keys).alias("k")).select("k.table", "k.key", "fp")
+    sizes = cut(cells.groupBy("table", "key").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    dealt = cells.join(sizes.select("table", "key", "tiles"), ["table", "key"]).withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles"))
+    tiles = cut(dealt.groupBy("table", "key", "tile").agg(F.collect_list("fp").alias("fps")))
+    numbers = sizes.select("table", "key", "tiles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("i"))
+    numbers = numbers.select("table", "key", "i", F.explode(F.sequence("i", F.col("tiles") - 1)).alias("j"))
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    numbers = numbers.repartition(width, F.xxhash64("table", "key", "i", "j"))
+    left, right = (tiles.select("table", "key", F.col("tile").alias(k), F.col("fps").alias(name)) for k, name in (("i", "left"), ("j", "right")))
+    pairs = numbers.join(left, ["table", "key", "i"]).join(right, ["table", "key", "j"]).select("table", (F.col("i") == F.col("j")).alias("same"), "left", "right")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                a, b = (np.array(x, np.int64).view(_U) for x in (r.left, r.right))
+                apart = a[:, None] ^ b[None, :]
+                i, j = np.nonzero(np.bitwise_count(apart) <= most)
+                if r.same:
+                    i, j = i[i < j], j[i < j]
+                x = apart[i, j]
+                first = ((x[:, None] & masks[None, : r.table]) != 0).all(axis=1) if r.table else np.ones(len(x), bool)
+                if counted:
+                    ends = np.concatenate([np.bincount(i[first], minlength=len(a)), np.bincount(j[first], minlength=len(b))])
+                    yield pd.DataFrame({"fp": np.concatenate([a, b]).view(np.int64), "n": ends})[ends > 0]
+                    continue
+                p, q = a[i[first]].view(np.int64), b[j[first]].view(np.int64)
+                yield pd.DataFrame({"fp_a": np.minimum(p, q), "fp_b": np.maximum(p, q), "distance": np.bitwise_count(x[first]).astype(np.int32)})
+
+    return pairs.mapInPandas(run, "fp long, n long" if counted else "fp_a long, fp_b long, distance int")
+
+
+def sampled_links(rows: DataFrame, most: int = NEAR, tables: int = TABLES, bits: int = SAMPLED) -> DataFrame:
+    """``near_links`` by the sampling index: the same columns, with links that it finds."""
+    classes = rows.groupBy("fp").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    ends = near_candidates(classes.select("fp"), most, tables, bits, counted=True).groupBy("fp").agg(F.sum("n").alias("links"))
+    classes = classes.join(ends, "fp", "left").select(F.col("fp").alias("_fp"), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.select("id", "fp").join(classes, F.col("fp").eqNullSafe(F.col("_fp"))).drop("_fp")
+
+
 def near_pairs(rows: DataFrame, most: int = NEAR) -> DataFrame:
     """id_a < id_b, distance for rows(id, fp) at most most bits apart; zero never matches.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import retrieval as R
 from tickloom.operators import text_prep as P
-from tickloom.operators import vector_index, word_index
+from tickloom.operators import search, vector_index, word_index
 from tickloom.plans import texts
 from tickloom.session import scratch, table, workers_import
 
@@ -89,10 +89,25 @@ def bm25_deleted(spark, sf_dir):
     return word_index.search(_asked(spark, sf_dir), folder)
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted)}
+def near_dup_sampled(spark, sf_dir):
+    """Each document with its class of equal fingerprints and the near ones that the sampling index finds."""
+    rows = P.sampled_links(texts.simhash(spark, sf_dir).select(F.col("doc_id").alias("id"), "fp"))
+    return rows.select(F.col("id").alias("doc_id"), "fp", "class_id", "copies", "links")
+
+
+def strings_by_grams(spark, sf_dir):
+    """Which documents hold the first two words of which, by their rarest grams."""
+    workers_import(spark)
+    d = table(spark, sf_dir, "documents")
+    first = F.regexp_extract("text", r"^(\S+ \S+)", 1)
+    return search.joined(d.select(F.col("doc_id").alias("id"), "text"), d.select(first.alias("needle")))
+
+
+QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted, near_dup_sampled, strings_by_grams)}
 
 _COUNTS = ", ".join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE" for c in LETTERS)
 ORACLES = {
+    "strings_by_grams": r"WITH n AS (SELECT DISTINCT regexp_extract(text, '^(\S+ \S+)', 1) AS needle FROM documents) SELECT doc_id AS id, needle FROM documents JOIN n ON needle <> '' AND contains(text, needle)",
     "bm25_segments": texts.ORACLES["bm25_topk"],
     "bm25_pruned": texts.ORACLES["bm25_topk"],
     "bm25_deleted": texts.ORACLES["bm25_topk"].replace("FROM documents WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0"),

@@ -39,8 +39,20 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='tickloom-')}/files"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores, where its files make a quarter as many partitions or fewer: work on
+    long texts would wait for a few tasks, and so little data is soon shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
+#: Tables of long texts.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def cut(df: DataFrame) -> DataFrame:
