@@ -18,6 +18,7 @@ import uuid
 from tickloom.llm import exact_dedup, mixing, packing, quality, simhash
 from tickloom.llm.common import remove, shared_dir
 from tickloom.llm.queries import tokenizer
+from tickloom.session import spread, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -61,13 +62,13 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The rows of the last stage. Each stage's files go when the next one's are written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = spread(spark.read.parquet(path))
             if before:
                 remove(spark, before)
             before = path
