@@ -188,22 +188,29 @@ def rerank(hits: DataFrame, scorer: Column | None = None, k: int = 5) -> DataFra
     return top(by, k if k > 0 else 5, "final_score", rank="final_rank")
 
 
+#: Answers of a service that does not have what is asked for, and never will.
+GONE = (404, 501)
+
+
 def rerank_with(hits: DataFrame, scorer: Callable[[str, list[str], int], list[tuple[int, float]]], k: int = 5) -> DataFrame:
     """query_id, chunk_id, final_score, final_rank of hits(query_id, query, chunk_id, content, final_score)
     by an external function: (query, texts, n) to (place, score) of the n best.
 
-    Where it raises, names nothing, or the query is blank, the fused order stands.
+    Where it raises, names nothing, or the query is blank, the fused order stands. An error whose
+    ``status`` is one of GONE switches it off: this task does not ask again.
     """
-    n = k if k > 0 else 5
+    n, off = (k if k > 0 else 5), []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["final_score", "chunk_id"], ascending=[False, True]).reset_index(drop=True)
         try:
             query = pdf["query"].iloc[0]
-            found = scorer(query, pdf["content"].tolist(), n) if query and query.strip() else []
+            found = scorer(query, pdf["content"].tolist(), n) if query and query.strip() and not off else []
             found = sorted(((p, s) for p, s in found if 0 <= p < len(pdf)), key=lambda x: -x[1])
-        except Exception:  # whatever the function raises, its answer is missing
+        except Exception as e:  # whatever the function raises, its answer is missing
             found = []
+            if getattr(e, "status", None) in GONE:
+                off.append(True)
         if found:
             pdf = pdf.iloc[[p for p, _ in found]].assign(final_score=[float(s) for _, s in found])
         pdf = pdf.head(n)

@@ -14,7 +14,7 @@ from tickloom.functions import text as X
 from tickloom.operators import monitor, ops
 from tickloom.operators import relational as J
 from tickloom.operators import retrieval as R
-from tickloom.plans import conversations, texts
+from tickloom.plans import conversations, indexes, texts
 from tickloom.session import scratch, table, workers_import
 from tickloom.sources import files, market, pages, sinks
 
@@ -37,20 +37,22 @@ def doc_scan(spark, sf_dir):
 
 
 def manifest_scan(spark, sf_dir):
-    """Knowledge entries as JSON arrays, one a language, read as manifests."""
+    """Knowledge entries as JSON arrays of 500 documents, read as manifests."""
     folder = scratch(spark)
     d = _documents(spark, sf_dir)
-    entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit(" "), "source").alias("stockCode"), F.col("lang").alias("stockName"), F.substring("text", 1, 40).alias("content"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("news").alias("category"), F.lit("2024-01-02T03:04:05Z").alias("createdAt"))
-    d.groupBy("lang").agg(F.to_json(F.collect_list(entry)).alias("value")).repartition("lang").write.partitionBy("lang").text(folder)
+    entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit(" "), "source").alias("stockCode"), F.col("lang").alias("stockName"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("news").alias("category"), F.lit("2024-01-02T03:04:05Z").alias("createdAt"))
+    part = F.floor(F.col("doc_id") / 500).alias("part")
+    d.groupBy(part).agg(F.to_json(F.collect_list(entry)).alias("value")).write.partitionBy("part").text(folder)
     return files.manifest(spark, folder).select("id", "stock_code", "stock_name", F.length("content").alias("chars"), "category", F.unix_timestamp("created_at").alias("created"))
 
 
 def vector_store_scan(spark, sf_dir):
-    """Embeddings as stored vectors in JSON, one file a label."""
+    """Embeddings as stored vectors in JSON, a file for 500 of them."""
     folder = scratch(spark)
     e = table(spark, sf_dir, "embeddings")
     entry = F.struct(F.col("vec_id").cast("string").alias("id"), F.struct(F.col("embedding").alias("vector")).alias("embedding"), F.struct(F.concat(F.lit("t"), "vec_id").alias("text"), F.struct(F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata")).alias("metadata")).alias("embedded"))
-    e.groupBy("label").agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("value")).repartition("label").write.partitionBy("label").text(folder)
+    part = F.floor(F.col("vec_id") / 500).alias("part")
+    e.groupBy(part).agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("value")).write.partitionBy("part").text(folder)
     r = files.vector_store(spark, folder)
     return r.select("chunk_id", F.size("vector").alias("dims"), F.floor(F.element_at("vector", 1) * 1000 + 0.5).cast("long").alias("first"), "content", F.col("metadata")["label"].alias("label"))
 
@@ -59,7 +61,7 @@ def cases_scan(spark, sf_dir):
     """Labelled documents as JSON lines, read as evaluation cases and counted."""
     folder = scratch(spark)
     own = table(spark, sf_dir, "labels").join(_documents(spark, sf_dir), "doc_id")
-    own.select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 20).alias("question"), F.array("lang", "source").alias("toolObservations"), F.col("quality").cast("string").alias("expected"), F.col("lang").alias("category")).write.json(folder)
+    own.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.array("lang", "source").alias("toolObservations"), F.col("quality").cast("string").alias("expected"), F.col("lang").alias("category")).write.json(folder)
     c = files.cases(spark, folder)
     return c.groupBy("category", "expected").agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("toolObservations")).alias("observations"))
 
@@ -69,7 +71,7 @@ def csv_scan(spark, sf_dir):
     workers_import(spark)
     folder = scratch(spark)
     k = F.col("doc_id") % 10
-    body = F.concat(F.lit('"'), F.replace(F.substring(F.regexp_replace("text", "\\s+", " "), 1, 60), F.lit('"'), F.lit('""')), F.lit('"'))
+    body = F.concat(F.lit('"'), F.replace(F.regexp_replace("text", "\\s+", " "), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.when(k == 0, "  ").when(k == 1, "# note").when(k == 2, "a,b").otherwise(F.concat_ws(",", "source", "lang", F.lit("c"), body))
     rows = _documents(spark, sf_dir).select(F.col("source").alias("part"), "doc_id", line.alias("value"))
     rows = rows.unionByName(rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("doc_id"), F.lit("code,name,category,content").alias("value")))
@@ -176,7 +178,7 @@ def sink_rounds(spark, sf_dir):
 def _knowledge(spark, sf_dir):
     d = _documents(spark, sf_dir)
     code = F.when(F.col("doc_id") % 4 == 0, R.GENERAL).otherwise(F.col("source"))
-    return d.select(F.col("doc_id").alias("chunk_id"), code.alias("stock_code"), F.col("lang").alias("stock_name"), F.substring("text", 1, 30).alias("content"), F.lit("k").alias("category"), F.col("source"), X.token_count(F.col("text")).alias("token_count"))
+    return d.select(F.col("doc_id").alias("chunk_id"), code.alias("stock_code"), F.col("lang").alias("stock_name"), F.col("text").alias("content"), F.lit("k").alias("category"), F.col("source"), X.token_count(F.col("text")).alias("token_count"))
 
 
 def _split_hits(spark, sf_dir):
@@ -206,11 +208,48 @@ def rules_left(spark, sf_dir):
 def advice_blocks(spark, sf_dir):
     """Texts that a model might have written from each question, cut into numbered suggestions."""
     b = table(spark, sf_dir, "benchmark")
-    first = F.regexp_extract("text", r"^\S+", 0)
+    first = F.trim(F.regexp_replace("text", "\\s+", " "))
     text = F.concat(F.lit("前言\n建议1: "), first, F.lit("\n【规范依据】"), F.col("item_id").cast("string"), F.lit("\n【原文片段】"), first, F.lit("\n建议 2："), first, F.lit("\n【引用ID】REF-"), (F.col("item_id") % 7).cast("string"))
     return J.suggestions(b.select(F.col("item_id").alias("id"), text.alias("text"))).select("id", "no", "basis", "evidence", "ref_id")
 
 
+def by_length(query: str, found: list[str], n: int) -> list[tuple[int, float]]:
+    """Stands for a reranking model: scores by the texts' lengths, and names a place that is not there."""
+    scores = sorted(((k, float(len(t or "") % 97)) for k, t in enumerate(found)), key=lambda x: (-x[1], x[0]))
+    return [(len(found) + 3, 1e9), *scores[:n]]
+
+
+def rerank_external(spark, sf_dir):
+    """The fused hits in the order of an external function of query and texts."""
+    workers_import(spark)
+    hits = R.fuse(texts._vector_hits(spark, sf_dir, 20), texts._bm25_hits(spark, sf_dir)).select("query_id", "chunk_id", "final_score")
+    asked = _asked(spark, sf_dir).withColumnRenamed("text", "query").unionByName(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.lit("any").alias("query")))
+    asked = asked.groupBy("query_id").agg(F.max("query").alias("query"))
+    content = _documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return R.rerank_with(hits.join(asked, "query_id").join(content, "chunk_id", "left"), by_length)
+
+
+def quotes_tool(spark, sf_dir):
+    """Quotes through the tool, parts of even keys from one provider and of odd ones from the other."""
+    p = table(spark, sf_dir, "part")
+    num = F.col("p_retailprice").cast("string")
+    line = F.concat(F.lit('var q="'), F.concat_ws(",", "p_name", num, F.lit("800.0"), num, num, num, F.lit("0"), F.lit("0"), (F.col("p_size") * 1000).cast("string"), F.lit("1")), F.lit('";'))
+    json = F.concat(F.lit('{"data":{"f57":"'), F.col("p_partkey"), F.lit('","f58":"'), F.col("p_name"), F.lit('","f43":'), num, F.lit(',"f47":'), F.col("p_size"), F.lit("}}"))
+    return tools.get_quotes(p.select(F.col("p_partkey").alias("code"), F.when(F.col("p_partkey") % 2 == 0, line).otherwise(json).alias("response"))).select("code", "name", "price", "volume")
+
+
+def ingest_manifest(spark, sf_dir):
+    """Documents as files, some of a format that is refused, through ingest: cut, embedded, indexed; its manifest."""
+    workers_import(spark)
+    folder = scratch(spark)
+    d = _documents(spark, sf_dir).select(F.concat_ws("-", "source", F.col("doc_id") % 8).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(f"{folder}/in")
+    _documents(spark, sf_dir).select("source", "lang").distinct().repartition(1).write.csv(f"{folder}/in/part=other")
+    found = tools.ingest_files(spark, f"{folder}/in", f"{folder}/kb", indexes.letter_shares)
+    own = found.withColumn("part", F.regexp_extract("path", "part=([^/]*)", 1)).where(F.col("format").isin("txt", "csv"))
+    return own.groupBy("part", "format", "status").agg(F.count_distinct("doc_id").alias("files"), F.sum("bytes").alias("bytes"), (F.min("chunks") > 0).alias("cut"))
+
+
 # Caches, retries, polls -------------------------------------------------------------------
 
 
@@ -241,7 +280,7 @@ def context_cache(spark, sf_dir):
 def extract_targets(spark, sf_dir):
     """Which name each turn of a conversation states, asked again after half an hour at the earliest."""
     workers_import(spark)
-    t = conversations._turns(spark, sf_dir).select("id", F.col("at").alias("ts"), F.concat(F.col("role"), F.lit(" "), F.substring("text", 1, 2)).alias("text"))
+    t = conversations._turns(spark, sf_dir).select("id", F.col("at").alias("ts"), F.concat(F.col("role"), F.lit(" "), "text").alias("text"))
     names = spark.createDataFrame([("assistant", "c1"), ("user", "c2"), ("sys", "c3"), ("system", "c4")], "name string, code string")
     return tools.extract(t, names)
 
@@ -266,11 +305,11 @@ def watched_cycles(spark, sf_dir):
     return monitor.cycles(e, watchlist=watch, most=2)
 
 
-QUERIES = {f.__name__: f for f in (doc_scan, manifest_scan, vector_store_scan, cases_scan, csv_scan, json_bar_decode, statement_decode, sector_page, financial_tables, code_forms, signal_wording, text_nfkc, bm25_indexed, sink_rounds, knowledge_context, retriever_rows, rules_left, advice_blocks, tier_replay, tier_stats, context_cache, extract_targets, retry_summary, checked_rounds, watched_cycles)}
+QUERIES = {f.__name__: f for f in (doc_scan, manifest_scan, vector_store_scan, cases_scan, csv_scan, json_bar_decode, statement_decode, sector_page, financial_tables, code_forms, signal_wording, text_nfkc, bm25_indexed, sink_rounds, knowledge_context, retriever_rows, rules_left, advice_blocks, rerank_external, quotes_tool, ingest_manifest, tier_replay, tier_stats, context_cache, extract_targets, retry_summary, checked_rounds, watched_cycles)}
 
 _NFC = texts.ORACLES["text_clean"]
 _SIX = "lpad((l_partkey % 900000)::VARCHAR, 6, '0')"
-_KNOWN = "k AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'GENERAL' ELSE source END AS code, lang, substr(text, 1, 30) AS content, source, CASE WHEN text IS NULL OR length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END AS tokens FROM documents)"
+_KNOWN = "k AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'GENERAL' ELSE source END AS code, lang, text AS content, source, CASE WHEN text IS NULL OR length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END AS tokens FROM documents)"
 _PLACED = "row_number() OVER (PARTITION BY query_id, chunk_id % 4 = 0 ORDER BY score DESC, chunk_id)"
 _TIERS = """a AS (SELECT user_id % 4 AS shard, event_type || '/' || (user_id % 3) AS key, event_id AS id, epoch_us(ts) AS t, CASE WHEN event_type = 'error' THEN 86400 ELSE 20000 END * 1000000::BIGINT AS ttl FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY shard, key ORDER BY t, id) AS k FROM a),
@@ -290,10 +329,10 @@ def _worded(words: dict[str, str], picks: tuple[str, ...], other: str) -> str:
 
 ORACLES = {
     "doc_scan": "SELECT source || '-' || (doc_id % 8) AS part, sum(length(coalesce(text, '')) + 1)::BIGINT AS chars, sum(len(string_split(coalesce(text, ''), chr(10))))::BIGINT AS lines, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY 1",
-    "manifest_scan": "SELECT doc_id::VARCHAR AS id, trim(source) AS stock_code, lang AS stock_name, length(trim(substr(text, 1, 40), ' '))::INT AS chars, CASE WHEN doc_id % 3 = 0 THEN 'general' ELSE 'news' END AS category, epoch(TIMESTAMP '2024-01-02 03:04:05')::BIGINT AS created FROM documents",
+    "manifest_scan": "SELECT doc_id::VARCHAR AS id, trim(source) AS stock_code, lang AS stock_name, length(trim(coalesce(text, ''), ' '))::INT AS chars, CASE WHEN doc_id % 3 = 0 THEN 'general' ELSE 'news' END AS category, epoch(TIMESTAMP '2024-01-02 03:04:05')::BIGINT AS created FROM documents",
     "vector_store_scan": "SELECT vec_id::VARCHAR AS chunk_id, len(embedding)::INT AS dims, floor(embedding[1]::DOUBLE * 1000 + 0.5)::BIGINT AS first, 't' || vec_id AS content, label::VARCHAR AS label FROM embeddings",
     "cases_scan": "SELECT lang AS category, quality::VARCHAR AS expected, count(*) AS cases, count(*) * 2 AS observations FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2",
-    "csv_scan": r"""WITH l AS (SELECT source AS part, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1 AS line_no, CASE WHEN doc_id % 10 < 2 THEN 'skipped' WHEN doc_id % 10 = 2 THEN 'short' WHEN trim(source) = '' OR trim(substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 60)) = '' THEN 'missing' ELSE 'ok' END AS status FROM documents) SELECT part, status, count(*) AS lines, sum(line_no)::BIGINT AS places FROM l GROUP BY 1, 2""",
+    "csv_scan": r"""WITH l AS (SELECT source AS part, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1 AS line_no, CASE WHEN doc_id % 10 < 2 THEN 'skipped' WHEN doc_id % 10 = 2 THEN 'short' WHEN trim(source) = '' OR trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 'missing' ELSE 'ok' END AS status FROM documents) SELECT part, status, count(*) AS lines, sum(line_no)::BIGINT AS places FROM l GROUP BY 1, 2""",
     "json_bar_decode": "SELECT o_orderkey AS symbol, k::INT AS bar_idx, strftime(o_orderdate, '%Y-%m-%d') AS date, o_totalprice AS open, CASE WHEN k = 0 THEN o_totalprice ELSE 0.0 END AS close, o_orderkey % 100 AS volume FROM orders, (VALUES (0), (1)) v(k) WHERE o_orderkey % 13 <> 0",
     "statement_decode": "SELECT s_suppkey AS code, '2023' AS year, s_acctbal AS revenue, 0.0::DOUBLE AS profit, 0.0::DOUBLE AS roe FROM supplier WHERE s_suppkey % 5 <> 0",
     "sector_page": "SELECT n_nationkey::INT AS pos, n_nationkey::VARCHAR AS code, n_name AS name, n_nationkey * 1.5::DOUBLE AS price, CASE WHEN n_nationkey % 2 = 1 THEN 0.5 END::DOUBLE AS change FROM nation WHERE n_nationkey BETWEEN 5 AND 9",
@@ -312,11 +351,14 @@ e AS (SELECT query_id, '【参考知识】' || chr(10) || string_agg('[引用' |
 SELECT coalesce(r.query_id, e.query_id) AS query_id, coalesce(r.part, '') || coalesce(e.part, '') AS context FROM r FULL JOIN e ON r.query_id = e.query_id""",
     "retriever_rows": f"WITH {texts._BM25}, {_KNOWN} SELECT query_id, 'REF-' || rank AS ref_id, chunk_id, source, tokens::INT AS token_count, score AS final_score, '[REF-' || rank || ']' || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'source: ' || source || chr(10) || 'text: ' || content AS text FROM bh JOIN k ON doc_id = chunk_id WHERE rank <= 5",
     "rules_left": "SELECT doc_id AS chunk_id, lang AS stock_name FROM documents WHERE doc_id % 4 = 0 AND doc_id % 6 <> 0",
-    "advice_blocks": r"WITH f AS (SELECT item_id, regexp_extract(text, '^\S+') AS w FROM benchmark) SELECT item_id AS id, 1::INT AS no, item_id::VARCHAR AS basis, w AS evidence, '' AS ref_id FROM f UNION ALL SELECT item_id, 2, '', '', 'REF-' || (item_id % 7) FROM f",
+    "advice_blocks": r"WITH f AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS w FROM benchmark) SELECT item_id AS id, 1::INT AS no, item_id::VARCHAR AS basis, w AS evidence, '' AS ref_id FROM f UNION ALL SELECT item_id, 2, '', '', 'REF-' || (item_id % 7) FROM f",
+    "rerank_external": f"WITH {texts._VECTOR}, {texts._BM25}, {texts._FUSED}, rr AS (SELECT query_id, chunk_id, (length(coalesce(text, '')) % 97)::DOUBLE AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY length(coalesce(text, '')) % 97 DESC, final_score DESC, chunk_id)::INT AS final_rank FROM fu LEFT JOIN documents ON doc_id = chunk_id) SELECT query_id, chunk_id, final_score, final_rank FROM rr WHERE final_rank <= 5",
+    "quotes_tool": "SELECT p_partkey AS code, p_name AS name, floor(p_retailprice * 100 + 0.5) / 100 AS price, CASE WHEN p_partkey % 2 = 0 THEN p_size * 10 ELSE p_size END::BIGINT AS volume FROM part",
+    "ingest_manifest": "SELECT source || '-' || (doc_id % 8) AS part, 'txt' AS format, 'ok' AS status, 1::BIGINT AS files, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, true AS cut FROM documents GROUP BY 1 UNION ALL SELECT 'other', 'csv', 'unsupported', 1, sum(strlen(source) + strlen(lang) + 2)::BIGINT, false FROM (SELECT DISTINCT source, lang FROM documents)",
     "tier_replay": f"WITH RECURSIVE {_TIERS} SELECT shard, id, tier FROM r",
     "tier_stats": f"WITH RECURSIVE {_TIERS} SELECT shard, count(*) FILTER (WHERE tier = 'L1') AS hits, count(*) FILTER (WHERE tier <> 'L1') AS misses, floor(count(*) FILTER (WHERE tier = 'L1') / count(*) * 10000 + 0.5) / 10000 AS rate, 0::BIGINT AS evictions, count(DISTINCT key) AS size FROM r GROUP BY shard",
     "context_cache": "WITH RECURSIVE " + _replayed("a AS (SELECT (user_id % 20) || '/' || event_type AS key, event_id AS id, epoch_us(ts) AS t, CASE event_type WHEN 'view' THEN 72 WHEN 'click' THEN 24 ELSE 1 END * 3600000000 AS ttl FROM (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('view', 'click', 'error') THEN event_type ELSE 'quote' END AS event_type FROM events) WHERE event_type <> 'error')") + " SELECT id, hit FROM r UNION ALL SELECT event_id, false FROM events WHERE event_type = 'error'",
-    "extract_targets": "WITH RECURSIVE " + _replayed("a AS (SELECT trim(role || ' ' || substr(text, 1, 2)) AS key, conv_id * 1000 + turn AS id, epoch_us(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 % 864000 + turn * 60)) AS t, 1800000000 AS ttl FROM conversations WHERE text IS NOT NULL)") + ", c AS (SELECT id, hit, CASE WHEN contains(key, 'assistant') THEN 'assistant' WHEN contains(key, 'system') THEN 'system' WHEN contains(key, 'user') THEN 'user' END AS name FROM r) SELECT id, name, CASE name WHEN 'assistant' THEN 'c1' WHEN 'system' THEN 'c4' WHEN 'user' THEN 'c2' END AS code, NOT hit AS asked FROM c UNION ALL SELECT conv_id * 1000 + turn, NULL, NULL, false FROM conversations WHERE text IS NULL",
+    "extract_targets": "WITH RECURSIVE " + _replayed("a AS (SELECT trim(role || ' ' || text) AS key, conv_id * 1000 + turn AS id, epoch_us(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 % 864000 + turn * 60)) AS t, 1800000000 AS ttl FROM conversations WHERE text IS NOT NULL)") + ", c AS (SELECT id, hit, CASE WHEN contains(key, 'assistant') THEN 'assistant' WHEN contains(key, 'system') THEN 'system' WHEN contains(key, 'user') THEN 'user' WHEN contains(key, 'sys') THEN 'sys' END AS name FROM r) SELECT id, name, CASE name WHEN 'assistant' THEN 'c1' WHEN 'system' THEN 'c4' WHEN 'user' THEN 'c2' WHEN 'sys' THEN 'c3' END AS code, NOT hit AS asked FROM c UNION ALL SELECT conv_id * 1000 + turn, NULL, NULL, false FROM conversations WHERE text IS NULL",
     "retry_summary": "WITH a AS (SELECT l_orderkey AS call_id, l_linenumber AS n, l_returnflag = 'R' AS ok, CASE WHEN l_linenumber > 1 THEN l_quantity::BIGINT * 100 ELSE 0 END AS w FROM lineitem WHERE l_linenumber <= 3), f AS (SELECT call_id, min(n) FILTER (WHERE ok) AS hit FROM a GROUP BY 1) SELECT call_id, count(*) AS tries, sum(w)::BIGINT AS waited_ms, bool_or(ok) AS succeeded, NOT bool_or(ok) AS gave_up FROM a JOIN f USING (call_id) WHERE hit IS NULL OR n <= hit GROUP BY call_id",
     "checked_rounds": "WITH r AS (SELECT conv_id, turn + 1 AS round, length(text) % 3 AS m, role FROM conversations WHERE turn + 1 <= 2), f AS (SELECT conv_id, min(round) FILTER (WHERE m = 0) AS hit, max(round) AS last, min_by(m, round) AS m, min_by(role, round) AS role FROM r GROUP BY 1) SELECT conv_id AS answer_id, coalesce(hit, last) AS rounds, hit IS NOT NULL AS passed, CASE m WHEN 1 THEN '请修正以下问题后重新回答：' || role || '；b' WHEN 2 THEN '请修正以下问题后重新回答：' END AS instructions FROM f",
     "watched_cycles": "WITH w AS (SELECT event_type FROM events GROUP BY 1 ORDER BY min(event_id) LIMIT 2) SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS cycle, event_type AS symbol, arg_max(value, struct_pack(t := ts, e := event_id)) AS price, count(*) AS ticks FROM events SEMI JOIN w USING (event_type) WHERE isodow(ts) < 6 AND (hour(ts) * 60 + minute(ts) BETWEEN 570 AND 690 OR hour(ts) * 60 + minute(ts) BETWEEN 780 AND 900) GROUP BY 1, 2",

@@ -144,13 +144,13 @@ def ingest_files(spark: SparkSession, path: str, folder: str, embed: Callable[[l
     """Read documents, cut them, embed the chunks, add both to what folder holds, and return the manifest.
 
     folder gets chunks with their vectors, a text index, and the manifest: doc_id, name, bytes,
-    format, chunks, path, source, status. A file of another format, and one without text, is
+    format, chunks, path, source, status. A doc_id is 128 bits of its path's hash. A file of another format, and one without text, is
     refused, which its status says, and leaves nothing else behind.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.element_at(F.split(name, "\\."), -1))
-    rows = raw.select(F.substring(F.sha2("path", 256), 1, 8).alias("doc_id"), "path", name.alias("name"), F.col("length").alias("bytes"), kind.alias("format"), "content")
+    rows = raw.select(F.substring(F.sha2("path", 256), 1, 32).alias("doc_id"), "path", name.alias("name"), F.col("length").alias("bytes"), kind.alias("format"), "content")
     able = rows.where(F.col("format").isin(*files.SUPPORTED))
     texts = able.select("doc_id", clean(files.texts("path", "content")).alias("text")).where("text <> ''")
     chunks = retrieval.embedded(text_prep.chunk_documents(texts, size, overlap), embed)
