@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom import tools
+from tickloom.functions import labels
 from tickloom.operators import retrieval as R
 from tickloom.operators import text_prep as P
 from tickloom.operators import search, vector_index, word_index
-from tickloom.plans import texts
+from tickloom.plans import texts, timeseries
 from tickloom.session import scratch, table, workers_import
 
 #: Letters whose shares in a text stand for a model's embedding.
@@ -103,10 +105,19 @@ def strings_by_grams(spark, sf_dir):
     return search.joined(d.select(F.col("doc_id").alias("id"), "text"), d.select(first.alias("needle")))
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted, near_dup_sampled, strings_by_grams)}
+def indicator_tool(spark, sf_dir):
+    """The indicator tool over hourly bars: values and their wording."""
+    found = tools.get_indicators(timeseries.hourly(spark, sf_dir))
+    return found.select("symbol", "macd_dif", "rsi6", "kdj_k", "macd_text", "rsi_text")
+
+
+QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted, near_dup_sampled, strings_by_grams, indicator_tool)}
 
 _COUNTS = ", ".join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE" for c in LETTERS)
+_MACD_TEXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.MACD.items())
 ORACLES = {
+    "indicator_tool": f"""SELECT symbol, macd_dif, rsi6, kdj_k, CASE macd_signal {_MACD_TEXT} ELSE '无明确信号' END AS macd_text, CASE WHEN rsi6 IS NULL THEN '无数据' WHEN rsi6 > 70 THEN '超买区' WHEN rsi6 < 30 THEN '超卖区' ELSE '正常区间' END AS rsi_text
+FROM ({timeseries.ORACLES["macd"]}) JOIN ({timeseries.ORACLES["macd_signal"]}) USING (symbol) JOIN ({timeseries.ORACLES["rsi"]}) USING (symbol) JOIN ({timeseries.ORACLES["kdj"]}) USING (symbol)""",
     "strings_by_grams": r"WITH n AS (SELECT DISTINCT regexp_extract(text, '^(\S+ \S+)', 1) AS needle FROM documents) SELECT doc_id AS id, needle FROM documents JOIN n ON needle <> '' AND contains(text, needle)",
     "bm25_segments": texts.ORACLES["bm25_topk"],
     "bm25_pruned": texts.ORACLES["bm25_topk"],
