@@ -9,7 +9,9 @@ back, decodes and checks every block, and places each document in the whole stre
 
 Null text is empty: the end id alone. Rows that repeat a doc_id are kept, ordered by a hash of their
 text and then by it; where one id has many rows, ranges part them by that hash. Rows without a doc_id
-come first. An empty table gives files without blocks, and no rows.
+come first. A long text is one document of a block, which then
+ends with it. Other columns play no part, whatever their names. An empty table gives files without
+blocks, and no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ extents cover together is what all maximal runs cover, without comparing all pai
 
 Fewer words than MIN_WORDS never make a run. Null and empty texts have no lines. Rows without a
 doc_id come before others. Rows that repeat a doc_id and a text count as one place; rows that
-repeat a doc_id with another text are told apart. An empty table gives an empty result.
+repeat a doc_id with another text are told apart. Long texts are read whole, line by
+line. Other columns are kept as they are by ``dedup`` and play no part, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

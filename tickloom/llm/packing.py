@@ -7,8 +7,9 @@ room in a logarithmic number of steps. Groups are independent tasks of bounded s
 
 Null text is an empty document: its end id alone. Every row is a document of its own, so rows
 that repeat a doc_id are packed again; ``copy`` tells them apart: 0, or the place among them by
-ids and, of equal ones, by where they were read. A null doc_id is carried along. An empty table
-gives an empty result.
+ids and, of equal ones, by where they were read. A null doc_id is carried along. Long texts
+are encoded whole and cut into as many pieces as they need. Other columns play no part, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
