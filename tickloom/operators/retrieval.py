@@ -97,13 +97,13 @@ def best_of_tiles(asked: DataFrame, tiles: DataFrame, key: str, k: int, query_ty
 EVERY = ""
 
 
-def postings(corpus: DataFrame, only: DataFrame | None = None, every: bool = False) -> DataFrame:
+def postings(corpus: DataFrame, only: DataFrame | None = None, every: bool = False, cut_by: Callable[[Column], Column] = terms) -> DataFrame:
     """term, chunk_id, tf, dl for corpus(chunk_id, content): an index to be written by term.
 
     only(term): other terms go before anything is shuffled or counted. every: EVERY is in each chunk,
-    so that lengths come from the same reading of the texts.
+    so that lengths come from the same reading of the texts. cut_by: terms of a text's column.
     """
-    own = terms(F.col("content"))
+    own = cut_by(F.col("content"))
     rows = corpus.where("chunk_id is not null and content is not null").select("chunk_id", own.alias("_t"))
     rows = rows.select("chunk_id", F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit(EVERY)), "_t") if every else F.col("_t")).alias("term"))
     if only is not None:
@@ -111,22 +111,23 @@ def postings(corpus: DataFrame, only: DataFrame | None = None, every: bool = Fal
     return rows.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, fusion: Fusion = Fusion()) -> DataFrame:
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, fusion: Fusion = Fusion(), cut_by: Callable[[Column], Column] = terms) -> DataFrame:
     """query_id, chunk_id, score (to 6 decimals), rank for queries(query_id, text).
 
     Repeated query terms add up; blank queries match nothing. Texts are cut into terms once:
     postings are cut to the queries' terms before anything is aggregated over terms, with one row
-    a chunk for its length. ``word_index`` searches a stored index by bounds instead.
+    a chunk for its length. ``word_index`` searches a stored index by bounds instead. cut_by: how texts
+    become terms, ``segment.cutter`` for words of unspaced text.
     """
-    asked = asked_terms(queries)
+    asked = cut(asked_terms(queries, cut_by))
     wanted = asked.select("term").union(queries.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
-    rows = cut(postings(corpus, wanted, every=True))
+    rows = cut(postings(corpus, wanted, True, cut_by))
     n, words = rows.where(F.col("term") == EVERY).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return scored(asked, rows.where(F.col("term") != EVERY), n, words, k, fusion)
 
 
-def asked_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+def asked_terms(queries: DataFrame, cut_by: Callable[[Column], Column] = terms) -> DataFrame:
+    return queries.select("query_id", F.explode(cut_by(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def scored(asked: DataFrame, index: DataFrame, n: int, words: int, k: int, fusion: Fusion) -> DataFrame:

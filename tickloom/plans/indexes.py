@@ -8,7 +8,7 @@ from tickloom import tools
 from tickloom.functions import labels
 from tickloom.operators import retrieval as R
 from tickloom.operators import text_prep as P
-from tickloom.operators import search, vector_index, word_index
+from tickloom.operators import search, segment, vector_index, word_index
 from tickloom.plans import texts, timeseries
 from tickloom.session import scratch, table, workers_import
 
@@ -105,13 +105,33 @@ def strings_by_grams(spark, sf_dir):
     return search.joined(d.select(F.col("doc_id").alias("id"), "text"), d.select(first.alias("needle")))
 
 
+def _ideographs(column):
+    """Letters as ideographs, so that words are runs without a cut of their own."""
+    small = "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(F.lower(column), small, "".join(chr(0x4E00 + 37 * k) for k in range(len(small))))
+
+
+def segmented_terms(spark, sf_dir):
+    """Every document's letters as ideographs, cut into words by the cheapest path through a lattice of strings
+    that the corpus holds often."""
+    d = table(spark, sf_dir, "documents").select("doc_id", _ideographs(F.col("text")).alias("text"))
+    own = d.select("doc_id", segment.cutter(d, segment.learn(d))("text").alias("terms"))
+    return own.select("doc_id", F.size("terms").alias("n_terms"), F.md5(F.array_join("terms", " ").cast("binary")).alias("digest"))
+
+
+def bm25_words(spark, sf_dir):
+    """BM25 over the terms of a lexicon that was counted over the documents; spaced texts have the same as ever."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return R.bm25_topk(_asked(spark, sf_dir), d, cut_by=segment.cutter(d, segment.learn(d, "content")))
+
+
 def indicator_tool(spark, sf_dir):
     """The indicator tool over hourly bars: values and their wording."""
     found = tools.get_indicators(timeseries.hourly(spark, sf_dir))
     return found.select("symbol", "macd_dif", "rsi6", "kdj_k", "macd_text", "rsi_text")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted, near_dup_sampled, strings_by_grams, indicator_tool)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted, near_dup_sampled, strings_by_grams, segmented_terms, bm25_words, indicator_tool)}
 
 _COUNTS = ", ".join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE" for c in LETTERS)
 _MACD_TEXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.MACD.items())
@@ -119,6 +139,7 @@ ORACLES = {
     "indicator_tool": f"""SELECT symbol, macd_dif, rsi6, kdj_k, CASE macd_signal {_MACD_TEXT} ELSE '无明确信号' END AS macd_text, CASE WHEN rsi6 IS NULL THEN '无数据' WHEN rsi6 > 70 THEN '超买区' WHEN rsi6 < 30 THEN '超卖区' ELSE '正常区间' END AS rsi_text
 FROM ({timeseries.ORACLES["macd"]}) JOIN ({timeseries.ORACLES["macd_signal"]}) USING (symbol) JOIN ({timeseries.ORACLES["rsi"]}) USING (symbol) JOIN ({timeseries.ORACLES["kdj"]}) USING (symbol)""",
     "strings_by_grams": r"WITH n AS (SELECT DISTINCT regexp_extract(text, '^(\S+ \S+)', 1) AS needle FROM documents) SELECT doc_id AS id, needle FROM documents JOIN n ON needle <> '' AND contains(text, needle)",
+    "bm25_words": texts.ORACLES["bm25_topk"],
     "bm25_segments": texts.ORACLES["bm25_topk"],
     "bm25_pruned": texts.ORACLES["bm25_topk"],
     "bm25_deleted": texts.ORACLES["bm25_topk"].replace("FROM documents WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0"),
