@@ -531,3 +531,44 @@ def test_toxicity_edges(spark):
     rows = toxicity.toxicity(texts.unionByName(texts), odd).collect()
     assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.toxicity(docs(spark, []), odd).count() == 0
+
+
+def plain_every(text, lo, hi, t):
+    n, found = len(t.words), []
+    for a in range(lo, hi):
+        if text[a] in t.counts:
+            for size in sorted({t.need, n, n + n // 4, n + n // 2}):
+                inside = Counter(w for w in text[a : min(hi, a + size)] if w in t.counts)
+                if sum(min(c, inside[w]) for w, c in t.counts.items()) >= t.need:
+                    found.append((a, min(hi, a + size)))
+    return found
+
+
+def test_sliding_windows_of_licenses():
+    rng = random.Random(12)
+    for _ in range(40):
+        template = [rng.choice("abcdefg") for _ in range(rng.randrange(2, 12))]
+        t = licenses.prepared({"L": [" ".join(template)]}).templates[0]
+        text = [rng.choice("abcdefghij") for _ in range(rng.randrange(0, 60))]
+        lo = rng.randrange(0, max(1, len(text) // 3))
+        assert licenses.every(text, lo, len(text), t) == plain_every(text, lo, len(text), t)
+
+
+def test_altered_full_texts_of_licenses(spark, tmp_path):
+    """Whole licenses of hundreds and of thousands of words, a tenth of their words changed, amid prose that
+    shares their common words, and twice in one text; half of one is not enough."""
+    rng = random.Random(13)
+    common = "the of and to in that for any or this software license is not by you may with a be as".split()
+    full = {}
+    for k, n in enumerate((450, 1500, 5000)):
+        own = [f"term{k}x{j}" for j in range(n // 3)]
+        full[f"L{k}"] = [rng.choice(own) if rng.random() < 0.4 else rng.choice(common) for _ in range(n)]
+        (tmp_path / f"L{k}.txt").write_text(" ".join(full[f"L{k}"]))
+    altered = lambda ws: [w if rng.random() > 0.1 else f"changed{rng.randrange(99)}" for w in ws]
+    prose = lambda n: [rng.choice(common) if rng.random() < 0.5 else f"prose{rng.randrange(500)}" for _ in range(n)]
+    texts = [prose(300) + altered(full["L0"]) + prose(200), prose(50) + altered(full["L1"]), altered(full["L2"]) + prose(3000), altered(full["L0"]) + prose(900) + altered(full["L1"]) + altered(full["L0"]), prose(100) + full["L1"][:750] + prose(100), prose(2000)]
+    found = licenses.licenses(docs(spark, [" ".join(t) for t in texts]), licenses.full_texts(str(tmp_path))).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in found) == [(0, "L0"), (1, "L1"), (2, "L2"), (3, "L0"), (3, "L1")]
+    assert all(r["coverage"] >= 0.85 for r in found)
+    first = next(r for r in found if r["doc_id"] == 0)
+    assert abs(first["first_word"] - 300) < 30 and abs(first["last_word"] - 750) < 30

@@ -12,7 +12,12 @@ longer than two templates. The best window counts, the first of equals. Where su
 a word more often than the template and is not aligned whole, as of statements close together, in
 which no word is unique, windows of one template's length and of a quarter more are aligned, too,
 from every place where a statement can start by a rare word's place; if none of them matches,
-windows of four lengths from each of the template's words on.
+windows of four lengths from each of the template's words on. A template of LONG words or more that
+is aligned as wanted is not looked for more closely: whole license texts have words of their own
+in any part, and repeat many others.
+
+Templates are a parameter: TEMPLATES has notices and short licenses, ``full_texts`` reads a folder of
+whole ones.
 
 Licenses share wording. A template matches only with one of the words, if it has any, that no
 other license of the pack has; and of licenses whose matches overlap those with most words
@@ -35,6 +40,8 @@ from pyspark.sql import DataFrame
 from .common import prepare
 
 COVERAGE = 0.8
+#: Words of a template from which a window that matches is not narrowed.
+LONG = 400
 MARKS = ".,;:!?\"'()[]{}<>*"
 
 #: Customary wordings of license statements and of the terms of short licenses.
@@ -75,6 +82,14 @@ TEMPLATES = {
 }
 
 
+def full_texts(folder: str) -> dict[str, list[str]]:
+    """Whole licenses as templates: one of each file, named as the file without an ending .txt. They are
+    read by the driver and go to the tasks with the scan."""
+    from pathlib import Path
+
+    return {f.name.removesuffix(".txt"): [f.read_text("utf-8", "replace")] for f in sorted(Path(folder).iterdir()) if f.is_file()}
+
+
 def words(text: str) -> list[str]:
     return [w.strip(MARKS) for w in text.lower().split()]
 
@@ -156,16 +171,27 @@ def prepared(templates: dict[str, list[str]] | None = None, coverage: float = CO
 
 
 def every(text: list[str], lo: int, hi: int, t: Template) -> list[tuple[int, int]]:
-    """Windows of 0.8 to 1.5 templates' lengths from each of the template's words on that hold enough of them."""
+    """Windows of 0.8 to 1.5 templates' lengths from each of the template's words on that hold enough of them.
+
+    Words that count are kept as a window of each length slides on."""
     n, found = len(t.words), []
-    for a in range(lo, hi):
-        if text[a] in t.counts:
-            for size in sorted({t.need, n, n + n // 4, n + n // 2}):
-                b = min(hi, a + size)
-                inside = Counter(w for w in text[a:b] if w in t.counts)
-                if sum(min(c, inside[w]) for w, c in t.counts.items()) >= t.need:
-                    found.append((a, b))
-    return found
+    for size in sorted({t.need, n, n + n // 4, n + n // 2}):
+        inside: Counter = Counter()
+        held, end = 0, lo
+        for a in range(lo, hi):
+            while end < min(hi, a + size):
+                w = text[end]
+                if w in t.counts:
+                    inside[w] += 1
+                    held += inside[w] <= t.counts[w]
+                end += 1
+            w = text[a]
+            if w in t.counts:
+                if held >= t.need:
+                    found.append((a, size, end))
+                held -= inside[w] <= t.counts[w]
+                inside[w] -= 1
+    return [(a, end) for a, _, end in sorted(found)]
 
 
 def _most(text: list[str], windows: list[tuple[int, int]], t: Template) -> tuple[int, int, int] | None:
@@ -203,7 +229,7 @@ def best(text: list[str], places: dict[str, list[int]], t: Template) -> tuple[in
         inside = Counter(w for w in text[lo:hi] if w in t.counts)
         repeats = any(inside[w] > n for w, n in t.counts.items())
         here = _most(text, [(lo, hi)], t)
-        if repeats and (here is None or here[0] < len(t.words)):
+        if repeats and (here is None or here[0] < len(t.words) < LONG):
             here = max(filter(None, (here, _most(text, narrow(places_of[bisect_left(places_of, lo) : bisect_left(places_of, hi)], lo, hi, t.words, rare), t))), key=lambda x: x[0], default=None)
             here = here or _most(text, every(text, lo, hi, t), t)
         if here and (found is None or here[0] > found[0]):
