@@ -90,3 +90,15 @@ def test_query_over_whole_texts(spark, sf_dir):
     for r in rows:
         own = lexicon.terms(r["text"])
         assert got[r["doc_id"]] == (len(own), hashlib.md5(" ".join(own).encode()).hexdigest())
+
+
+def test_tokens_by_a_file(spark, sf_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["tokens"] for r in indexes.token_count_model(spark, sf_dir).collect()}
+    assert got == {k: len(own.encode(t or "", add_special_tokens=False).ids) for k, t in texts.items()}
+    df = spark.createDataFrame([(None,), ("",), ("a b",)], "t string")
+    assert [r["n"] for r in df.select(X.tokens_by(indexes.file_tokens("word_bpe_49k.json"))("t").alias("n")).collect()] == [0, 0, 2]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -75,6 +76,19 @@ def token_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 2))).cast("int")
 
 
+def tokens_by(load: Callable[[], Callable[[list[str]], list[int]]]) -> Callable[[Column], Column]:
+    """Token counts by a tokenizer of the caller's: load() gives, once a worker's batch stream, a function
+    from texts to their numbers of tokens. Null texts have none."""
+
+    @F.pandas_udf(T.IntegerType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = load()
+        for texts in batches:
+            yield pd.Series(count([t or "" for t in texts]), dtype="int32")
+
+    return run
+
+
 def recency(created: Column, as_of: Column) -> Column:
     """Weight by age in whole days of 24 hours."""
     days = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(created)) / 86400)

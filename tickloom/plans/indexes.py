@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom import tools
 from tickloom.functions import labels
+from tickloom.functions import text as X
 from tickloom.operators import retrieval as R
 from tickloom.operators import text_prep as P
 from tickloom.operators import search, segment, vector_index, word_index
@@ -125,13 +126,37 @@ def bm25_words(spark, sf_dir):
     return R.bm25_topk(_asked(spark, sf_dir), d, cut_by=segment.cutter(d, segment.learn(d, "content")))
 
 
+def file_tokens(name: str):
+    """Counts by a public tokenizer's file; special tokens' spellings in texts are text."""
+
+    def load():
+        import os
+
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        own = Tokenizer.from_file(public_tokenizers.path(name))
+        own.encode_special_tokens = True
+        return lambda batch: [len(e.ids) for e in own.encode_batch_fast(batch, add_special_tokens=False)]
+
+    return load
+
+
+def token_count_model(spark, sf_dir):
+    """Tokens of every document by a model's tokenizer in place of the rule."""
+    workers_import(spark)
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.tokens_by(file_tokens("byte_bpe_50k.json"))("text").alias("tokens"))
+
+
 def indicator_tool(spark, sf_dir):
     """The indicator tool over hourly bars: values and their wording."""
     found = tools.get_indicators(timeseries.hourly(spark, sf_dir))
     return found.select("symbol", "macd_dif", "rsi6", "kdj_k", "macd_text", "rsi_text")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted, near_dup_sampled, strings_by_grams, segmented_terms, bm25_words, indicator_tool)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, vector_index_all, chunk_search, bm25_segments, bm25_pruned, bm25_deleted, near_dup_sampled, strings_by_grams, segmented_terms, bm25_words, token_count_model, indicator_tool)}
 
 _COUNTS = ", ".join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE" for c in LETTERS)
 _MACD_TEXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.MACD.items())
