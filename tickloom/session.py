@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -36,7 +38,14 @@ def scratch(spark: SparkSession) -> str:
         return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='tickloom-')}/files"
+    return f"file://{temporary()}/files"
+
+
+def temporary() -> str:
+    """A folder of this process, on this machine, which goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:
