@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import temporary
+
 #: Runs of ASCII white space, as a Java pattern; the only word separators used here.
 BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\f\r"
@@ -39,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='tickloom-')}"
+        path = f"file://{temporary()}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
