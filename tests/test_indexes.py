@@ -167,3 +167,32 @@ def test_chunk_ids_of_any_type(spark):
 
     pairs = text_prep.near_pairs(entries.select(F.col("chunk_id").alias("id"), text_prep.simhash("content").alias("fp")))
     assert ("c-a", "c-b", 0) in {tuple(r) for r in pairs.collect()}
+
+
+class Gone(Exception):
+    status = 404
+
+
+def test_a_service_that_is_gone_is_not_asked_again(spark, tmp_path):
+    """After 404 the fused order stands without another call; other errors are tried anew for each query."""
+    asked, kind = str(tmp_path / "asked"), "query_id long, query string, chunk_id string, content string, final_score double"
+    rows = [(q, "q", f"c{k}", f"text {k}", float(k)) for q in range(6) for k in range(4)]
+    hits = spark.createDataFrame(rows, kind).coalesce(1)
+
+    def scorer_of(error, name):
+        def scorer(query, texts, n):
+            with open(f"{asked}-{name}", "a") as f:
+                f.write("x")
+            raise error
+
+        return scorer
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for error, name, calls in ((Gone(), "gone", 1), (OSError(), "other", 6)):
+            got = R.rerank_with(hits, scorer_of(error, name), 2).collect()
+            assert sorted((r["query_id"], r["chunk_id"], r["final_rank"]) for r in got) == sorted((q, c, k) for q in range(6) for c, k in (("c3", 1), ("c2", 2)))
+            assert len(open(f"{asked}-{name}").read()) == calls
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
