@@ -572,3 +572,23 @@ def test_altered_full_texts_of_licenses(spark, tmp_path):
     assert all(r["coverage"] >= 0.85 for r in found)
     first = next(r for r in found if r["doc_id"] == 0)
     assert abs(first["first_word"] - 300) < 30 and abs(first["last_word"] - 750) < 30
+
+
+@pytest.mark.parametrize("run", ["line_dedup", "licenses", "binary_output"])
+def test_clashing_columns(spark, tmp_path, run):
+    """Helper columns' names in the input change no row."""
+    plain = docs(spark, [*ODD, *made(30, seed=4), None, "MIT License\n" * 60])
+    names = ("own", "at", "print", "extents", "first", "last", "key", "new", "run", "spans", "license", "coverage", "part", "block", "n_ids", "payload", "doc_ids", "start", "n_tokens")
+    clashing = plain.withColumns({c: F.lit("own") for c in names})
+
+    def rows(df, name):
+        if run == "binary_output":
+            binary_output.write(df, WORDS, f"{tmp_path}/{name}")
+            return sorted(map(str, binary_output.documents(spark, f"{tmp_path}/{name}").collect()))
+        if run == "licenses":
+            return sorted(map(str, licenses.licenses(df).collect()))
+        return sorted(map(str, line_dedup.dedup(df).select("doc_id", "text").collect()))
+
+    assert rows(clashing, "a") == rows(plain, "b")
+    if run == "line_dedup":
+        assert line_dedup.dedup(clashing).columns == clashing.columns
