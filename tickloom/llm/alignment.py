@@ -37,10 +37,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import SMALL, cut, let, prepare, remove, shared_dir
+from .common import SMALL, cut, prepare, remove, shared_dir
 
 #: Bytes of texts in a block; segments that are encoded together.
-BLOCK, TOGETHER = 1 << 20, 256
+BLOCK, TOGETHER = 2 << 20, 256
 _READ = "spark.sql.parquet.columnarReaderBatchSize"
 #: Ends among which a cut is looked up.
 FEW = 64
@@ -196,6 +196,12 @@ def blocks(docs: DataFrame, byte_file: str, piece_file: str, size: int = BLOCK)
     return docs.select("doc_id", "text").mapInArrow(_blocks(byte_file, piece_file, size), ROW)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once and, unlike ``common.let``, neither it nor the result copied:
+    an aggregate of nothing that begins with value and finishes with body."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
+
+
 def places(ends: Column, cuts: Column) -> Column:
     """0, and how many of the ends, all rising, are not beyond each cut, which is one of them.
 
