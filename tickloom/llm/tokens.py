@@ -27,7 +27,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
@@ -63,8 +62,11 @@ def _library(path: str):
 
 
 def _added(library) -> list[str]:
-    """Spellings of added tokens, which the library finds in texts before anything else."""
-    return [t.content for t in library.get_added_tokens_decoder().values() if t.content]
+    """Spellings of added tokens, which the library finds in texts, as they are, before anything else."""
+    found = [t for t in library.get_added_tokens_decoder().values() if t.content]
+    if any(t.normalized for t in found):
+        raise ValueError("an added token is sought in normalised text")
+    return [t.content for t in found]
 
 
 class Ranks:
@@ -85,14 +87,14 @@ class Ranks:
         self.coder = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         library = _library(path)
         self.path, self.library = path, None  # loaded again for the first text that spells an added token
-        self.added = regex.compile("|".join(map(regex.escape, _added(library))) or "(?!)", regex.IGNORECASE)
+        self.added = _added(library)
         if self.coder.encode_ordinary(_PROBE) != library.encode(_PROBE, add_special_tokens=False).ids:
             raise ValueError(f"{path}: texts are cut in another way")
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.added.search(text):
+        if not any(t in text for t in self.added):
             return array("I", self.coder.encode_ordinary(text)).tobytes()
         self.library = self.library or _library(self.path)
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -118,7 +120,7 @@ class Words:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = _library(path)
-        self.odd = "|".join([_ODD, *("(?i:" + regex.escape(t, literal_spaces=True) + ")" for t in _added(self.tokenizer))])
+        self.added = _added(self.tokenizer)
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -140,8 +142,10 @@ class Words:
         if not len(texts):
             return []
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, self.odd)
-        pieces = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        odd, low = pc.match_substring_regex(texts, _ODD), pc.utf8_lower(texts)
+        for t in self.added:  # words are learned in small letters, where any case would spell it
+            odd = pc.or_(odd, pc.match_substring(low, t.lower()))
+        pieces = pc.ascii_split_whitespace(pc.if_else(odd, "", low))
         coded = pieces.flatten().dictionary_encode()
         at = self._places(coded.dictionary)[coded.indices.to_numpy()]
         ids, ends = self._gather(at)
