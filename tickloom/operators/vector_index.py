@@ -29,7 +29,9 @@ from tickloom.session import workers_import
 from tickloom.sources.sinks import exists, remove
 
 #: Rows that centroids are fitted on, lists at most, and rounds of the fit.
-SAMPLE, LISTS, ROUNDS = 65_536, 4096, 10
+SAMPLE, LISTS, ROUNDS = 32_768, 4096, 10
+#: Similarities that the driver holds at once.
+AT_ONCE = 1 << 22
 #: What calibration asks for, of how many rows' how many neighbours.
 TARGET, JUDGES, NEIGHBOURS = 0.95, 500, 20
 #: Tasks that write one list.
@@ -41,12 +43,22 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norm == 0, 1, norm)
 
 
+def _parts(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose similarities to so many columns are AT_ONCE, about."""
+    step = max(1, AT_ONCE // max(1, columns))
+    return (slice(k, k + step) for k in range(0, rows, step))
+
+
+def closest(own: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return np.concatenate([(own[p] @ found.T).argmax(axis=1) for p in _parts(len(own), len(found))])
+
+
 def centroids(vectors: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centroids by cosine; they start evenly spread over the rows, and empty ones keep their place."""
     own = unit(np.asarray(vectors, np.float64))
     found = own[np.linspace(0, len(own) - 1, min(lists, len(own))).astype(int)].copy()
     for _ in range(rounds):
-        at = (own @ found.T).argmax(axis=1)
+        at = closest(own, found)
         sums = np.zeros_like(found)
         np.add.at(sums, at, own)
         some = np.linalg.norm(sums, axis=1) > 0
@@ -85,13 +97,16 @@ class Lists:
 def probes_for(vectors: np.ndarray, found: np.ndarray, target: float = TARGET) -> int:
     """The least number of nearest lists that hold target of the rows' nearest neighbours, on average."""
     own = unit(np.asarray(vectors, np.float64))
-    at = (own @ found.T).argmax(axis=1)
+    at = closest(own, found)
     judges = own[np.linspace(0, len(own) - 1, min(JUDGES, len(own))).astype(int)]
-    order = np.argsort(-(judges @ found.T), axis=1, kind="stable")
-    place = np.argsort(order, axis=1)  # place of each list for each judge
-    near = np.argsort(-(judges @ own.T), axis=1, kind="stable")[:, :NEIGHBOURS]
-    needed = np.take_along_axis(place, at[near], axis=1).ravel()
-    return int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+    needed = []
+    for p in _parts(len(judges), max(len(own), len(found))):
+        place = np.argsort(np.argsort(-(judges[p] @ found.T), axis=1, kind="stable"), axis=1)  # of each list for each judge
+        score = judges[p] @ own.T
+        near = np.argpartition(-score, min(NEIGHBOURS, score.shape[1]) - 1, axis=1)[:, :NEIGHBOURS]
+        needed.append(np.take_along_axis(place, at[near], axis=1).ravel())
+    needed = np.sort(np.concatenate(needed))
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
 
 
 def _filed(shared, n: int | None, name: str):
@@ -121,14 +136,17 @@ def fit(corpus: DataFrame, lists: int | None = None, sample: int = SAMPLE) -> Da
     own = corpus.where("vector is not null and chunk_id is not null")
     n = own.count()
     wanted = min(lists or max(1, round(n**0.5)), LISTS)
-    some = own.orderBy(F.xxhash64("chunk_id"), "chunk_id").select(F.col("vector").cast("array<double>").alias("vector")).limit(sample).collect()
+    some = own.orderBy(F.xxhash64("chunk_id"), "chunk_id").select(F.col("vector").cast("array<double>").alias("vector")).limit(sample).toArrow()["vector"]
     by: dict[int, list] = {}
-    for r in some:
-        by.setdefault(len(r["vector"]), []).append(r["vector"])
+    for v in some.chunks:
+        flat, ends = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+        for a, b in zip(ends, ends[1:]):
+            by.setdefault(int(b - a), []).append(flat[a:b])
     rows, number = [], 0
     for dim, vectors in sorted(by.items()):
-        found = centroids(np.array(vectors), max(1, round(wanted * len(vectors) / len(some))))
-        probes = probes_for(np.array(vectors), found)
+        own = np.array(vectors)
+        found = centroids(own, max(1, round(wanted * len(own) / len(some))))
+        probes = probes_for(own, found)
         for c in found:
             rows.append((dim, number, c.tolist(), probes))
             number += 1
