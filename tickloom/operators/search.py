@@ -4,14 +4,14 @@ Strings that are few by count (BLOCK) and by characters are sent to every task a
 which reads each text once. More strings are sought by a join, with the same result:
 
 An inverted table of the strings' rarest grams: a gram is GRAM characters (of a shorter string, all
-of it), and every string is filed under the one of its grams that fewest of the strings hold. The
-texts give the grams that they hold of these; pairs that share one are verified by searching the
+of it), and every string is filed under the one of its grams that fewest texts hold, by a count
+over all texts that each task adds up before it is shuffled. The texts give the grams that they hold of these; pairs that share one are verified by searching the
 text. A gram is a 64-bit hash, and which hashes are asked for goes to the tasks as one bitmap of
 fixed size, so that texts yield few rows before anything is shuffled. It only leaves out what no
 string asks for; where very many strings fill it, more rows are shuffled and the result is the same.
 
 Strings of the join stay in DataFrames, whatever their number; the driver holds the bitmap. Texts
-are read twice, to find candidates and to verify them. A gram that many texts hold is spread over SALTS
+are read three times, to count grams, to find candidates and to verify them. A gram that many texts hold is spread over SALTS
 parts, and the strings filed under it are copied to each.
 """
 
@@ -34,8 +34,8 @@ GRAM, SALTS = 5, 32
 COMMON = 1000
 #: Bits of the bitmap, of which Spark's functions make buckets of 2**15.
 BITS = 1 << 27
-#: Characters of texts that are cut into grams at once.
-AT_ONCE = 1 << 22
+#: Characters of texts that are cut into grams at once, and grams that a task counts before it passes them on.
+AT_ONCE, COUNTED = 1 << 22, 1 << 20
 _U = np.uint64
 
 
@@ -96,22 +96,46 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["needle", "grams"])
 
 
+def _asked_of(points: np.ndarray, sizes: list[int], bitmap: np.ndarray) -> np.ndarray:
+    """The different grams of a text that the bitmap has."""
+    found = [np.zeros(0, _U)]
+    for n in sizes:
+        for k in range(0, max(0, len(points) - n + 1), AT_ONCE):
+            h = hashes(points[k : k + AT_ONCE + n - 1], n)
+            at = h & _U(BITS - 1)
+            found.append(np.unique(h[bitmap[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1 > 0]))
+    return np.unique(np.concatenate(found))
+
+
+def _counted(shared, sizes: list[int]):
+    """(id, of, text) → (gram, n): texts that hold a gram, added up over a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts = np.zeros(0, _U), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], ["gram", "n"])
+
+        for b in batches:
+            own = np.concatenate([np.zeros(0, _U), *(_asked_of(_points(t), sizes, shared.value) for t in b.column(2).to_pylist())])
+            fresh, times = np.unique(own, return_counts=True)
+            both, at = np.unique(np.concatenate([grams, fresh]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
+            grams = both
+            if len(grams) > COUNTED:
+                yield rows()
+                grams, counts = np.zeros(0, _U), np.zeros(0, np.int64)
+        yield rows()
+
+    return run
+
+
 def _held(shared, sizes: list[int]):
     """(id, of, text) → (id, of, gram) for the different grams of the text that the bitmap has."""
 
-    def of(points: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-        found = []
-        for n in sizes:
-            for k in range(0, max(0, len(points) - n + 1), AT_ONCE):
-                h = hashes(points[k : k + AT_ONCE + n - 1], n)
-                at = h & _U(BITS - 1)
-                found.append(np.unique(h[bitmap[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1 > 0]))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
         for b in batches:
-            own = [of(_points(t), bitmap) for t in b.column(2).to_pylist()]
+            own = [_asked_of(_points(t), sizes, shared.value) for t in b.column(2).to_pylist()]
             rows = pa.array(np.repeat(np.arange(len(own)), list(map(len, own))))
             flat = np.concatenate([np.zeros(0, _U), *own]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(flat)], ["id", "of", "gram"])
@@ -130,12 +154,17 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return out
 
 
-def filed(needles: DataFrame) -> DataFrame:
-    """(gram, needle): each different needle under the gram of it that fewest needles hold."""
+def filed(needles: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """((gram, needle): each different needle under the gram of it that fewest of rows(id, of, text)
+    hold, if any does; the lengths of grams). A needle with a gram that no text holds is in none."""
+    spark = needles.sparkSession
     own = cut(needles.where("needle <> ''").select("needle").distinct())
-    cells = own.mapInArrow(_asked, "needle string, grams array<long>").select("needle", F.explode("grams").alias("gram"))
-    counts = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return cells.join(counts, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("r")).select("r.gram", "needle")
+    sizes = [r["n"] for r in own.select(F.least(F.char_length("needle"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # GRAM at most
+    cells = cut(own.mapInArrow(_asked, "needle string, grams array<long>").select("needle", F.explode("grams").alias("gram")))
+    shared = spark.sparkContext.broadcast(_bitmap(cells))
+    counts = rows.mapInArrow(_counted(shared, sizes), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    best = cells.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("gram"))).alias("r"))
+    return best.where("r.n > 0").select("r.gram", "needle"), sizes
 
 
 def contained(texts: DataFrame, needles: DataFrame) -> DataFrame:
@@ -164,8 +193,8 @@ def joined(texts: DataFrame, needles: DataFrame) -> DataFrame:
     workers_import(spark)
     rows = texts.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("of"), "text")
     kind = dict(rows.dtypes)["id"]
-    table = cut(filed(needles))
-    sizes = [r["n"] for r in table.select(F.least(F.char_length("needle"), F.lit(GRAM)).alias("n")).distinct().orderBy("n").collect()]  # GRAM at most
+    table, sizes = filed(needles, rows)
+    table = cut(table)
     shared = spark.sparkContext.broadcast(_bitmap(table))
     held = cut(rows.mapInArrow(_held(shared, sizes), f"id {kind}, of long, gram long"))
     common = cut(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("gram", F.lit(SALTS).alias("parts")))
