@@ -9,9 +9,9 @@ from tickloom.functions import labels
 from tickloom.functions import text as X
 from tickloom.operators import retrieval as R
 from tickloom.operators import text_prep as P
-from tickloom.operators import search, segment, vector_index, word_index
+from tickloom.operators import search, segment, vector_boxes, vector_index, word_index
 from tickloom.plans import texts, timeseries
-from tickloom.session import scratch, table, workers_import
+from tickloom.session import cut, scratch, table, workers_import
 
 #: Letters whose shares in a text stand for a model's embedding.
 LETTERS = "aeinrstu"
@@ -50,9 +50,9 @@ def chunk_search(spark, sf_dir):
     20th document's first chunk."""
     workers_import(spark)
     chunks = P.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    own = R.embedded(chunks.select("doc_id", "chunk_no", "chunk_id", "content"), letter_shares)
+    own = cut(R.embedded(chunks.select("doc_id", "chunk_no", "chunk_id", "content"), letter_shares).drop("content"))
     asked = own.where("doc_id % 20 = 0 and chunk_no = 1").select(F.col("chunk_id").alias("query_id"), "vector")
-    return R.vector_topk(asked, own.select("chunk_id", "vector"), 5)
+    return vector_boxes.topk(asked, own.select("chunk_id", "vector"), 5)
 
 
 def _halves(spark, sf_dir):
