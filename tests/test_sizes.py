@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickloom.operators import retrieval as R
+from tickloom.operators import text_prep as P
 from tickloom.operators import vector_boxes
 from tickloom.session import BATCH_BYTES, workers_import
 
@@ -45,3 +46,31 @@ def test_batches_are_bounded_by_bytes(spark):
 
     own = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
     assert max(r["n"] for r in own.mapInArrow(sizes, "n long").collect()) < 2 * BATCH_BYTES
+
+
+def _prints(n):
+    rng = np.random.default_rng(11)
+    return (rng.integers(0, 2**12, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def test_links_come_without_an_object_for_each_print(spark):
+    """Workers that compare tiles get arrays; each pair of tiles is one pass over whole rows."""
+    fps = np.unique(_prints(700))
+    far = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :])
+    n, m = P._links(fps.view(np.uint64), fps[:333].view(np.uint64), 22)
+    assert n.tolist() == (far[:, :333] <= 22).sum(axis=1).tolist() and m.tolist() == (far[:, :333] <= 22).sum(axis=0).tolist()
+    got = {r["id"]: r["links"] for r in P.near_links(spark.createDataFrame(list(enumerate(fps.tolist())), "id long, fp long")).collect()}
+    assert [got[k] for k in range(len(fps))] == [int((row <= 22).sum() - 1) if f else 0 for f, row in zip(fps, np.where(fps == 0, 64, far))]
+
+
+def test_sampled_links_do_not_compare_a_pair_in_every_table(spark, monkeypatch):
+    """Where buckets hold more pairs than there are, tiles of all are compared instead, with the same links."""
+    fps = np.unique(_prints(300))
+    own = spark.createDataFrame(list(enumerate(fps.tolist())), "id long, fp long")
+    pairs, calls, whole = P.near_candidates(own.select("fp")).collect(), [], P._tile_pairs
+    monkeypatch.setattr(P, "_tile_pairs", lambda *a: calls.append(a) or whole(*a))
+    got = {r["fp"]: r["links"] for r in P.sampled_links(own, bits=2, tables=40).collect()}
+    want = P.near_candidates(own.select("fp"), bits=2, tables=40).collect()
+    assert len(calls) == 1 and all(got[f] == sum(f in (r["fp_a"], r["fp_b"]) for r in want) for f in got)
+    got = {r["fp"]: r["links"] for r in P.sampled_links(own).collect()}
+    assert all(got[f] == sum(f in (r["fp_a"], r["fp_b"]) for r in pairs) for f in got)
