@@ -74,3 +74,30 @@ def test_sampled_links_do_not_compare_a_pair_in_every_table(spark, monkeypatch):
     assert len(calls) == 1 and all(got[f] == sum(f in (r["fp_a"], r["fp_b"]) for r in want) for f in got)
     got = {r["fp"]: r["links"] for r in P.sampled_links(own).collect()}
     assert all(got[f] == sum(f in (r["fp_a"], r["fp_b"]) for r in pairs) for f in got)
+
+
+def test_bm25_shuffles_hits_of_tasks_not_of_chunks(spark, monkeypatch):
+    """Each task hands on k hits of a query at most, however many chunks it scores; ids that repeat are one chunk."""
+    rng = np.random.default_rng(5)
+    words = np.array("a b c d e f g h i j k l m n o p".split())
+    docs = [(f"d{i:03d}", " ".join(words[rng.integers(0, 16, rng.integers(0, 12))])) for i in range(600)]
+    corpus = spark.createDataFrame([*docs, ("none", None)], "chunk_id string, content string").repartition(3)
+    asked = spark.createDataFrame([(1, "a b b z"), (2, "C d"), (3, "zz"), (4, None)], "query_id long, text string")
+    passed, whole = [], R.top
+
+    def counted(rows, *rest, **more):
+        passed.append(rows.count())
+        return whole(rows, *rest, **more)
+
+    monkeypatch.setattr(R, "top", counted)
+    monkeypatch.setattr(R, "SCORES", 20)
+    monkeypatch.setattr(R, "HITS", 30)
+    got = _rows(R.bm25_topk(asked, corpus, 7))
+    assert passed[-1] <= 3 * 2 * 7
+    monkeypatch.setattr(R, "ASKED", 0)
+    assert got == _rows(R.bm25_topk(asked, corpus, 7)) and passed[-1] > 500
+    monkeypatch.undo()
+    twice = corpus.unionByName(corpus.where("chunk_id < 'd300'"))
+    again = _rows(R.bm25_topk(asked, twice, 7))
+    monkeypatch.setattr(R, "ASKED", 0)
+    assert again == _rows(R.bm25_topk(asked, twice, 7))
