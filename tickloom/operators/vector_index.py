@@ -34,6 +34,8 @@ SAMPLE, LISTS, ROUNDS = 32_768, 4096, 10
 AT_ONCE = 1 << 22
 #: What calibration asks for, of how many rows' how many neighbours.
 TARGET, JUDGES, NEIGHBOURS = 0.95, 500, 20
+#: Copies of vectors that a task hands on at once.
+ROWS = 1 << 13
 #: Tasks that write one list.
 WRITERS = 8
 
@@ -112,8 +114,11 @@ def probes_for(vectors: np.ndarray, found: np.ndarray, target: float = TARGET) -
 def _filed(shared, n: int | None, name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lists = shared.value.nearest(pdf["vector"].tolist(), n) if len(pdf) else []
-            yield pdf.assign(list=pd.Series(lists, index=pdf.index, dtype=object)).explode("list").astype({"list": "int32"})[["list", name, "vector"]]
+            # A row comes once a list, with its vector: so few at a time that all lists' copies are ROWS.
+            step = max(1, ROWS // (n or max(shared.value.probes.values(), default=1)))
+            for part in (pdf.iloc[a : a + step] for a in range(0, len(pdf), step)):
+                lists = shared.value.nearest(part["vector"].tolist(), n)
+                yield part.assign(list=pd.Series(lists, index=part.index, dtype=object)).explode("list").astype({"list": "int32"})[["list", name, "vector"]]
 
     return run
 
