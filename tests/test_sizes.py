@@ -1,12 +1,14 @@
 """What a step holds and does as tables grow: fails with the steps as they were before."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import retrieval as R
 from tickloom.operators import text_prep as P
 from tickloom.operators import vector_boxes
 from tickloom.session import BATCH_BYTES, workers_import
+from tickloom.sources import files
 
 
 def _rows(frame):
@@ -101,3 +103,32 @@ def test_bm25_shuffles_hits_of_tasks_not_of_chunks(spark, monkeypatch):
     again = _rows(R.bm25_topk(asked, twice, 7))
     monkeypatch.setattr(R, "ASKED", 0)
     assert again == _rows(R.bm25_topk(asked, twice, 7))
+
+
+def test_chunks_of_a_stream_are_those_of_whole_texts(spark):
+    """Sentences pass a worker in small batches, whatever the text's length; chunks are those of chunks()."""
+    rng = np.random.default_rng(9)
+    texts = ["", " . ", None, *("".join("ab c"[rng.integers(0, 4)] * rng.integers(0, 40) + ".!? 。x"[rng.integers(0, 6)] for _ in range(rng.integers(1, 60))) for _ in range(40)), "long one. " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for size, overlap in ((40, 0.2), (10, 0.0), (30, 0.9), (1, 1.5), (400, 0.2)):
+        got = {}
+        for r in P.chunk_documents(docs, size, overlap).orderBy("doc_id", "chunk_no").collect():
+            got.setdefault(r["doc_id"], []).append((r["content"], r["tokens"]))
+            assert r["chunk_no"] == len(got[r["doc_id"]])
+        assert got == {k: c for k, t in enumerate(texts) if (c := P.chunks(t, size, overlap))}
+    plan = P.chunk_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_text_files_pass_no_worker(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes("﻿é\r\n\U0001f600".encode())
+    (tmp_path / "b.TXT").write_bytes(b"x")
+    assert sorted(r["text"] for r in files.documents(spark, str(tmp_path)).collect()) == ["x", "﻿é\r\n\U0001f600"]
+    seen, whole = [], files._texts
+    monkeypatch.setattr(files, "_texts", lambda path, raw: seen.append(raw) or whole(path, raw))
+    own = spark.createDataFrame([("x.txt", b"ab"), ("z.docx", b"cd")], "path string, raw binary")
+    own.select(files.texts("path", "raw"))
+    assert [r[0] for r in own.select(seen[0]).collect()] == [None, b"cd"]
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xfa")
+    with pytest.raises(Exception):
+        files.documents(spark, str(tmp_path)).collect()

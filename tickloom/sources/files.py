@@ -8,7 +8,7 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +68,15 @@ def document_text(path: str, raw: bytes) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def texts(paths: pd.Series, raw: pd.Series) -> pd.Series:
-    return pd.Series([document_text(p, r) for p, r in zip(paths, raw)])
+def _texts(paths: pd.Series, raw: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else document_text(p, r) for p, r in zip(paths, raw)], dtype=object)
+
+
+def texts(path: str, raw: str) -> Column:
+    """Texts of files: of txt by Spark, which fails on what is not UTF-8, so that no worker holds a whole
+    file several times; of docx, pdf and any other format by document_text."""
+    plain = F.lower(F.element_at(F.split(path, "\\."), -1)) == "txt"
+    return F.when(plain, F.decode(raw, "UTF-8")).otherwise(_texts(F.col(path), F.when(~plain, F.col(raw))))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
