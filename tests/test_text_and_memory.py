@@ -306,6 +306,22 @@ def test_search_by_rarest_grams(spark, monkeypatch):
     assert {tuple(r) for r in search.joined(df, own).collect()} == want
 
 
+def test_search_makes_no_candidates_of_common_grams(spark, monkeypatch):
+    """Texts that hold all runs of 5 characters of the strings, and no string but one: nothing else is shuffled."""
+    from tickloom.operators import search
+
+    seen = []
+    monkeypatch.setattr(search, "_short", lambda rows, needles, sizes, own=search._short: seen.append(own(rows, needles, sizes)) or seen[-1])
+    needles = ["".join("abcdefghij"[(k + j) % 10] for j in range(6 + k)) for k in range(10)]
+    grams = {n[k : k + 5] for n in needles for k in range(len(n) - 4)}
+    df = spark.createDataFrame([(k, " ".join(sorted(grams)) + (needles[0] if k == 7 else "")) for k in range(50)], "id long, text string")
+    got = search.joined(df, spark.createDataFrame([(n,) for n in needles], "needle string"))
+    assert [tuple(r) for r in got.collect()] == [(7, needles[0])]
+    whole, begun = (search._bitmap(spark.createDataFrame([(n,) for n in needles], "needle string").mapInArrow(search._marks, "whole boolean, gram long").where(c)) for c in ("whole", "not whole"))
+    text = " ".join(sorted(grams))
+    assert seen and not any(len(at) for at, _ in search._candidates(search._points(text), len(text), sorted(set(map(len, needles))), whole, begun))
+
+
 def test_search_for_300_000_names(spark):
     """No name is collected: the join alone, each text against the names that were put into it."""
     from tickloom.operators import search

@@ -3,16 +3,22 @@
 Strings that are few by count (BLOCK) and by characters are sent to every task as an automaton,
 which reads each text once. More strings are sought by a join, with the same result:
 
-An inverted table of the strings' rarest grams: a gram is GRAM characters (of a shorter string, all
-of it), and every string is filed under the one of its grams that fewest texts hold, by a count
-over all texts that each task adds up before it is shuffled. The texts give the grams that they hold of these; pairs that share one are verified by searching the
-text. A gram is a 64-bit hash, and which hashes are asked for goes to the tasks as one bitmap of
-fixed size, so that texts yield few rows before anything is shuffled. It only leaves out what no
-string asks for; where very many strings fill it, more rows are shuffled and the result is the same.
-
-Strings of the join stay in DataFrames, whatever their number; the driver holds the bitmap. Texts
-are read three times, to count grams, to find candidates and to verify them. A gram that many texts hold is spread over SALTS
-parts, and the strings filed under it are copied to each.
+Strings of GRAM characters at most, by a trie of hashes: from every place of a text a hash grows by a
+character at a time and goes on while some string begins so; where it may be a string's, the characters
+themselves are a candidate, and one shuffle by them finds which candidates are strings. What begins and
+what ends a string goes to the tasks as two bitmaps of fixed size, of which the second is asked PROBES
+times, so that few candidates are none; where very many strings fill them, more rows are shuffled and
+the result is the same. What is shuffled grows with the result, and a text is read once.
+
+Longer strings, by an inverted table of their rarest grams: a gram is GRAM characters, and every string
+is filed under the one of its grams that fewest texts hold, by a count over all texts that each task
+adds up before it is shuffled. The texts give the grams that they hold of these; pairs that share one
+are verified by searching the text. A gram is a 64-bit hash, and which hashes are asked for goes to the
+tasks as a bitmap, too. Texts are read three times, to count grams, to find candidates and to verify
+them. A gram that many texts hold is spread over SALTS parts, and the strings filed under it are copied
+to each.
+
+Strings of the join stay in DataFrames, whatever their number; the driver holds the bitmaps.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ from tickloom.session import cut, workers_import
 #: Strings of an automaton, and their characters: what a task holds besides a batch of texts.
 BLOCK, CHARACTERS = 100_000, 1 << 24
 #: Characters of a gram, and parts that texts of a common one are spread over.
-GRAM, SALTS = 5, 32
+GRAM, SALTS = 32, 32
+#: Characters after which a place goes on only if a string begins so, and bits that a whole string sets.
+STEPS, PROBES = (2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 28), 4
 #: Texts of a gram from which it is spread.
 COMMON = 1000
 #: Bits of the bitmap, of which Spark's functions make buckets of 2**15.
 BITS = 1 << 27
 #: Characters of texts that are cut into grams at once, and grams that a task counts before it passes them on.
-AT_ONCE, COUNTED = 1 << 22, 1 << 20
+AT_ONCE, COUNTED = 1 << 20, 1 << 20
 _U = np.uint64
 
 
@@ -75,13 +83,22 @@ def _sought(shared):
     return run
 
 
+def _longer(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one code point longer."""
+    h = (h ^ points) * _U(0x9E3779B97F4A7C15)
+    return h ^ (h >> _U(29))
+
+
 def hashes(points: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n of these code points."""
+    """Hashes of all runs of n of these code points: of two halves, of which an odd run's overlap."""
     width = max(0, len(points) - n + 1)
-    h = np.full(width, n, _U)
-    for k in range(n):
-        h = (h ^ points[k : k + width].astype(_U)) * _U(0x9E3779B97F4A7C15)
-        h ^= h >> _U(29)
+    if not width:
+        return np.zeros(0, _U)
+    h, m = _longer(np.full(len(points), n, _U), points.astype(_U)), 1
+    while m < n:
+        step = min(m, n - m)
+        h = _longer(h[: len(h) - step] * _U(0xC2B2AE3D27D4EB4F), h[step:])
+        m += step
     return h
 
 
@@ -143,6 +160,76 @@ def _held(shared, sizes: list[int]):
     return run
 
 
+def _begun(n: int, h: np.ndarray) -> np.ndarray:
+    """What stands in the bitmap of beginnings for hashes of n characters."""
+    return (h + _U(n)) * _U(0xC2B2AE3D27D4EB4F) >> _U(31)
+
+
+def _probed(h: np.ndarray, k: int) -> np.ndarray:
+    """What a whole string's hash sets as its k-th bit."""
+    return (h ^ h >> _U(32)) * _U(0xD6E8FEB86659FD93 + 2 * k) >> _U(23)
+
+
+def _bit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & _U(BITS - 1)
+    return bitmap[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1 > 0
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(needle) → (whole, gram): the bits that needles set among whole ones and among beginnings."""
+    for b in batches:
+        own, whole, begun = b.column(0).to_pylist(), [], []
+        points, size = _points("".join(own)).astype(_U), np.array(list(map(len, own)), np.int64)
+        first, h = np.cumsum(size) - size, np.full(len(own), GRAM, _U)
+        for n in range(1, max(size, default=0) + 1):
+            first, h, size = first[size >= n], h[size >= n], size[size >= n]
+            h = _longer(h, points[first + (n - 1)])
+            whole += [_probed(h[size == n], k) for k in range(PROBES)]
+            if n in STEPS:
+                begun.append(_begun(n, h[size > n]))
+        whole = np.concatenate([np.zeros(0, _U), *whole])
+        both = np.concatenate([whole, *begun]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)) < len(whole)), pa.array(both)], ["whole", "gram"])
+
+
+def _candidates(points: np.ndarray, starts: int, sizes: list[int], whole: np.ndarray, begun: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Places below starts at which n characters may be a string, and n."""
+    at, h = np.arange(starts), np.full(starts, GRAM, _U)
+    for n in range(1, sizes[-1] + 1):
+        here = np.searchsorted(at, len(points) - n, "right")
+        at, h = at[:here], h[:here]
+        h = _longer(h, points[at + (n - 1)].astype(_U))
+        if n in sizes:
+            hits = np.flatnonzero(_bit(whole, _probed(h, 0)))
+            for k in range(1, PROBES):
+                hits = hits[_bit(whole, _probed(h[hits], k))]
+            yield at[hits], n
+        if n in STEPS:
+            on = _bit(begun, _begun(n, h))
+            at, h = at[on], h[on]
+
+
+def _spelt(shared, sizes: list[int]):
+    """(id, text) → (id, needle) for the different candidates of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, begun = shared.value
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            all_, ends = "".join(texts), np.cumsum(list(map(len, texts)))
+            found: set[tuple[int, str]] = set()
+            for k in range(0, len(all_), AT_ONCE):
+                points = _points(all_[k : k + AT_ONCE + GRAM])
+                for at, n in _candidates(points, min(AT_ONCE, len(points)), sizes, whole, begun):
+                    of = np.searchsorted(ends, at + k, "right")
+                    own = at + (k + n) <= ends[of]  # not over the end of its text
+                    found.update(zip(of[own].tolist(), [all_[x : x + n] for x in (at[own] + k).tolist()]))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string())], ["id", "needle"])
+
+    return run
+
+
 def _bitmap(grams: DataFrame) -> np.ndarray:
     """BITS bits, set where some gram of grams(gram) has its last bits; BITS / 8 bytes at the driver."""
     bit = F.pmod("gram", F.lit(BITS).cast("long")) + 1  # these functions count from 1
@@ -188,10 +275,38 @@ def contained(texts: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def joined(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """``contained`` by the needles' rarest grams, for any number of needles."""
+    """``contained`` by hashes of whole needles and by the longer ones' rarest grams, for any number of needles."""
     spark = texts.sparkSession
     workers_import(spark)
-    rows = texts.where("id is not null and text is not null").select("id", F.xxhash64("text").alias("of"), "text")
+    rows = texts.where("id is not null and text is not null").select("id", "text")
+    own = cut(needles.where("needle <> ''").select("needle").distinct())
+    long = F.char_length("needle") > GRAM
+    # Lengths up to GRAM, and whether there are longer ones.
+    sizes = sorted(r["n"] for r in own.select(F.least(F.char_length("needle"), F.lit(GRAM + 1)).alias("n")).distinct().collect())
+    short, found = [n for n in sizes if n <= GRAM], []
+    if short:
+        found.append(_short(rows, own.where(~long), short))
+    if sizes and sizes[-1] > GRAM:
+        found.append(_long(rows, own.where(long)))
+    if not found:
+        return spark.createDataFrame([], f"id {dict(rows.dtypes)['id']}, needle string")
+    out = found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+    # A row gives a needle once; only rows that repeat an id can give it again.
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return out if again.isEmpty() else out.distinct()
+
+
+def _short(rows: DataFrame, needles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, needle) for needles of these lengths, which differ."""
+    marks = needles.mapInArrow(_marks, "whole boolean, gram long")
+    shared = rows.sparkSession.sparkContext.broadcast((_bitmap(marks.where("whole")), _bitmap(marks.where("not whole"))))
+    return rows.mapInArrow(_spelt(shared, sizes), f"id {dict(rows.dtypes)['id']}, needle string").join(needles, "needle", "left_semi").select("id", "needle")
+
+
+def _long(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """(id, needle) for needles of GRAM characters and more, by the rarest gram of each."""
+    spark = rows.sparkSession
+    rows = rows.select("id", F.xxhash64("text").alias("of"), "text")
     kind = dict(rows.dtypes)["id"]
     table, sizes = filed(needles, rows)
     table = cut(table)
