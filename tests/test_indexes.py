@@ -112,6 +112,27 @@ def test_segments_deletes_and_merges(spark, corpus):
     assert word_index.manifest(spark, folder).version == -1
 
 
+def test_deletes_of_one_segment_are_merged_away_without_a_shuffle_of_postings(spark, corpus, monkeypatch):
+    """Blocks keep their buckets; what is left and how it is bounded is as if it had been written at once."""
+    folder, fresh = scratch(spark), scratch(spark)
+    gone = F.crc32(F.col("chunk_id").cast("binary")) % 7 == 0
+    word_index.add(corpus, folder)
+    word_index.delete(corpus.where(gone), folder)
+    shuffled = []
+    monkeypatch.setattr(word_index, "_together", lambda rows, n: shuffled.append(n) or rows)
+    word_index.merge(spark, folder)
+    monkeypatch.undo()
+    word_index.add(corpus.where(~gone), fresh)
+    one, other = word_index.manifest(spark, folder).segments[0], word_index.manifest(spark, fresh).segments[0]
+    assert not shuffled and one[2:4] == other[2:4] and one[2] == corpus.where(~gone).count()
+    told = lambda at, name: sorted((r["term"] or "", r["p"]) for r in spark.read.parquet(f"{at}/{name}/blocks").select("term", F.explode("postings").alias("p")).collect())
+    assert told(folder, one[0]) == told(fresh, other[0])
+    blocks = spark.read.parquet(f"{folder}/{one[0]}/blocks")
+    assert blocks.where(F.size("postings") != F.col("size")).isEmpty() and blocks.groupBy("term", "bucket").count().where("count > 1").isEmpty()
+    queries = asked(spark, "the w390 w7", "w1 w2 w3 w380")
+    assert rows(word_index.search(queries, folder, 10)) == rows(R.bm25_topk(queries, corpus.where(~gone), 10))
+
+
 def test_impacts_bound_every_posting(spark):
     rng = random.Random(8)
     cells = [(k, [(rng.randrange(1, 9), rng.randrange(1, 50)) for _ in range(rng.randrange(1, 40))]) for k in range(50)]

@@ -1,9 +1,10 @@
 """A stored BM25 index: segments of postings in blocks, searched by MaxScore, merged and deleted from.
 
-A segment files its chunks in buckets by a hash of their id; the postings of a term in a bucket are
-one row, a block, with the impacts of its postings: the pairs of term frequency and chunk length
+A segment files its chunks in buckets by a hash of their id, and its texts are shuffled once, by their
+bucket. The postings of a term in a bucket are one row, a block, and the block without a term has the
+bucket's chunks. A block comes with the impacts of its postings: the pairs of term frequency and chunk length
 that no other posting of the block beats in both. They bound the block's scores for whatever mean
-length the whole index comes to have. Rows are sorted by term, so that a search reads little else.
+length the whole index comes to have.
 
 A search gives the rows of ``retrieval.bm25_topk`` over all chunks that the index holds:
 
@@ -24,19 +25,25 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import half_up
 from tickloom.functions.text import terms
-from tickloom.operators.retrieval import Fusion, asked_terms, scored, top
-from tickloom.session import cut
+from tickloom.operators.retrieval import ASKED, Fusion, asked_terms, scored, top
+from tickloom.session import cut, workers_import
 from tickloom.sources.sinks import exists, remove
 
 #: Chunks of a bucket, on average, and so postings of a block.
 BUCKET = 128
+#: Chunks that a task makes blocks of, on average, where there are many.
+TOGETHER = 8192
 #: Postings, as a multiple of k, up to which a query's threshold is taken from more terms than k chunks need.
 START = 50
 #: What sums and rounding to 6 decimals may differ by.
@@ -45,7 +52,7 @@ MARGIN = 1e-5
 
 @dataclass(frozen=True)
 class Manifest:
-    """segments: (name, number, chunks, words); deleted: names of lists of ids."""
+    """segments: (name, number, chunks, words, buckets); deleted: names of lists of ids."""
 
     version: int
     segments: tuple = ()
@@ -85,15 +92,92 @@ def impacts(postings: Column) -> Column:
     return F.aggregate(rising, none, lambda s, p: F.when(better(s, p), F.struct(p["dl"].cast("int").alias("least"), F.concat(s["kept"], one(p)).alias("kept"))).otherwise(s))["kept"]
 
 
-def _write_segment(postings: DataFrame, chunks: DataFrame, path: str, name: str, per: int) -> tuple[int, int]:
-    """postings(term, chunk_id, tf, dl), chunks(chunk_id, dl) → (chunks, words)."""
-    n, words = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, -(-n // per)))).cast("int").alias("bucket")
-    rows = postings.groupBy("term", bucket).agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("postings"))
-    rows = rows.select("term", "bucket", F.size("postings").alias("size"), impacts(F.col("postings")).alias("impacts"), "postings")
-    rows.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.parquet(f"{path}/{name}/blocks")
-    chunks.select("chunk_id", "dl", bucket).write.parquet(f"{path}/{name}/chunks")
-    return n, words
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their bucket, the first column, with each bucket's in one batch."""
+    held: list[pa.RecordBatch] = []
+    for b in filter(lambda b: b.num_rows, batches):
+        held.append(b)
+        if b.column(0)[-1] != held[0].column(0)[0]:
+            all_ = pa.concat_batches(held)
+            last = int(np.searchsorted(all_.column(0).to_numpy(), all_.column(0)[-1].as_py()))
+            yield all_.slice(0, last)
+            held = [all_.slice(last)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _counted(b: pa.RecordBatch) -> tuple:
+    """(bucket, chunk_id, terms) → the terms, and by posting the row, the term's number, tf and dl; a chunk
+    itself is a posting of the number after the last."""
+    lists = b.column(2)
+    dl, n = pc.list_value_length(lists).to_numpy(), b.num_rows
+    coded = lists.flatten().dictionary_encode()
+    rows = np.arange(n)
+    held = np.concatenate([coded.indices.to_numpy().astype(np.int64) * n + np.repeat(rows, dl), len(coded.dictionary) * n + rows])
+    cells, tf = np.unique(held, return_counts=True)
+    row, code = cells % n, cells // n
+    return coded.dictionary, row, code, np.where(code == len(coded.dictionary), 0, tf), dl[row]
+
+
+def _posted(b: pa.RecordBatch) -> tuple:
+    """(bucket, chunk_id, term, tf, dl) → as ``_counted``."""
+    coded = b.column(2).dictionary_encode()
+    code = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy().astype(np.int64)
+    return coded.dictionary, np.arange(b.num_rows), code, b.column(3).to_numpy(), b.column(4).to_numpy()
+
+
+def _built(read: Callable[[pa.RecordBatch], tuple]):
+    """Rows by bucket → the blocks of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole(batches):
+            names, row, code, tf, dl = read(b)
+            buckets = b.column(0).to_numpy()
+            order = np.lexsort((row, code, buckets[row]))
+            row, code, tf, dl = row[order], code[order], tf[order].astype(np.int32), dl[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (buckets[row[1:]] != buckets[row[:-1]])]))
+            bounds = np.append(first, len(row)).astype(np.int32)
+            of = np.repeat(np.arange(len(first)), np.diff(bounds))
+            # From the highest frequency, each posting that is shorter than all before it in its block.
+            fall = np.lexsort((dl, -tf, of))
+            low = dl[fall].astype(np.int64) - (of[fall].astype(np.int64) << 32)
+            best = fall[np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])]
+            upto = np.searchsorted(of[best], np.arange(len(first) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(tf[best]), pa.array(dl[best])], names=["tf", "dl"])
+            cells = pa.StructArray.from_arrays([b.column(1).take(pa.array(row)), pa.array(tf), pa.array(dl)], names=["chunk_id", "tf", "dl"])
+            number = code[first]
+            terms_ = names.take(pa.array(number, mask=number == len(names)))
+            yield pa.RecordBatch.from_arrays(
+                [terms_, pa.array(buckets[row[first]]), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(upto), pairs), pa.ListArray.from_arrays(pa.array(bounds), cells)],
+                ["term", "bucket", "size", "impacts", "postings"],
+            )
+
+    return run
+
+
+def _buckets(n: int, per: int) -> int:
+    return max(1, -(-n // per))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _together(rows: DataFrame, n: int) -> DataFrame:
+    """rows(bucket, ..) of n chunks, each bucket's in one task."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TOGETHER), "bucket")
+
+
+def _write_segment(rows: DataFrame, read, path: str, name: str) -> None:
+    """Blocks of rows(bucket, chunk_id, ..), each bucket's in one task, as ``read`` takes them."""
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    schema = f"term string, bucket int, size int, impacts array<struct<tf: int, dl: int>>, postings array<struct<chunk_id: {kind}, tf: int, dl: int>>"
+    rows.sortWithinPartitions("bucket").mapInArrow(_built(read), schema).write.parquet(f"{path}/{name}/blocks")
+
+
+def _size(spark: SparkSession, path: str, name: str) -> tuple[int, int]:
+    """(chunks, words) of a segment."""
+    return tuple(_chunks(spark, path, [(name, 0)]).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first())
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -108,7 +192,8 @@ def _blocks(spark: SparkSession, path: str, segments) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, path: str, segments) -> DataFrame:
-    return _union([spark.read.parquet(f"{path}/{name}/chunks").withColumn("segment", F.lit(number)) for name, number, *_ in segments])
+    rows = _blocks(spark, path, segments).where("term is null").select("bucket", "segment", F.explode("postings").alias("p"))
+    return rows.select("p.chunk_id", "p.dl", "bucket", "segment")
 
 
 def _deleted(spark: SparkSession, path: str, names) -> DataFrame:
@@ -128,17 +213,19 @@ def add(corpus: DataFrame, path: str, bucket: int = BUCKET) -> None:
     """A new segment of corpus(chunk_id, content); of a chunk that is there already this one counts,
     and of rows that repeat an id the first by content. bucket: chunks of a bucket."""
     spark, now = corpus.sparkSession, manifest(corpus.sparkSession, path)
-    own = corpus.where("chunk_id is not null and content is not null").groupBy("chunk_id").agg(F.min("content").alias("content"))
-    # Texts are cut into terms once: lengths and postings come from the same rows.
-    cells = cut(own.select("chunk_id", terms(F.col("content")).alias("terms")).select("chunk_id", F.size("terms").alias("dl"), "terms"))
+    workers_import(spark)
+    own = corpus.where("chunk_id is not null and content is not null")
+    buckets = _buckets(own.select("chunk_id").distinct().count(), bucket)
     number, name = now.version + 1, f"segment-{uuid.uuid4().hex}"
-    postings = cells.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    n, words = _write_segment(postings, cells.select("chunk_id", "dl"), path, name, bucket)
+    rows = _together(own.select(_bucket(buckets), "chunk_id", "content"), buckets * bucket)
+    rows = rows.groupBy("bucket", "chunk_id").agg(F.min("content").alias("content"))
+    _write_segment(rows.select("bucket", "chunk_id", terms(F.col("content")).alias("terms")), _counted, path, name)
+    n, words = _size(spark, path, name)
     deleted = now.deleted
     if now.segments:
-        before = _chunks(spark, path, now.segments).select("chunk_id").join(cells.select("chunk_id"), "chunk_id", "left_semi")
+        before = _chunks(spark, path, now.segments).select("chunk_id").join(_chunks(spark, path, [(name, number)]).select("chunk_id"), "chunk_id", "left_semi")
         deleted = _also_deleted(before, path, now.version, deleted)
-    _publish(spark, path, number, (*now.segments, (name, number, n, words)), deleted)
+    _publish(spark, path, number, (*now.segments, (name, number, n, words, buckets)), deleted)
 
 
 def _also_deleted(ids: DataFrame, path: str, upto: int, deleted: tuple) -> tuple:
@@ -165,16 +252,32 @@ def merge(spark: SparkSession, path: str, bucket: int = BUCKET) -> None:
     now = manifest(spark, path)
     if len(now.segments) + len(now.deleted) < 2:
         return
+    workers_import(spark)
     gone = cut(_deleted(spark, path, now.deleted)) if now.deleted else None
-    rows = _blocks(spark, path, now.segments).select("term", "segment", F.explode("postings").alias("p")).select("term", "segment", "p.*")
-    chunks = _live(_chunks(spark, path, now.segments), gone).select("chunk_id", "dl")
-    name = f"segment-{uuid.uuid4().hex}"
-    n, words = _write_segment(_live(rows, gone).select("term", "chunk_id", "tf", "dl"), chunks, path, name, bucket)
-    _publish(spark, path, now.version + 1, ((name, now.version + 1, n, words),), ())
+    n = _live(_chunks(spark, path, now.segments), gone).count()
+    buckets, name = _buckets(n, bucket), f"segment-{uuid.uuid4().hex}"
+    if len(now.segments) == 1 and 2 * buckets > now.segments[0][4] >= buckets:
+        _, number, *_, buckets = now.segments[0]
+        _thinned(_blocks(spark, path, now.segments), gone.where(F.col("upto") >= number), buckets).write.parquet(f"{path}/{name}/blocks")
+    else:
+        rows = _blocks(spark, path, now.segments).select("term", "segment", F.explode("postings").alias("p")).select("term", "segment", "p.*")
+        rows = _live(rows, gone).select(_bucket(buckets), "chunk_id", "term", "tf", "dl")
+        _write_segment(_together(rows, n), _posted, path, name)
+    n, words = _size(spark, path, name)
+    _publish(spark, path, now.version + 1, ((name, now.version + 1, n, words, buckets),), ())
     for old in (*(s[0] for s in now.segments), *now.deleted):
         remove(spark, f"{path}/{old}")
 
 
+def _thinned(blocks: DataFrame, dead: DataFrame, buckets: int) -> DataFrame:
+    """blocks without chunks of dead(chunk_id), in the buckets that they have: no posting is shuffled."""
+    rows = blocks.join(dead.groupBy(_bucket(buckets)).agg(F.collect_list("chunk_id").alias("dead")), "bucket", "left")
+    left = F.when(F.col("dead").isNull(), F.col("postings")).otherwise(F.filter("postings", lambda p: ~F.array_contains("dead", p["chunk_id"])))
+    rows = rows.select("term", "bucket", "size", "impacts", F.explode(F.array(left)).alias("left")).where(F.size("left") > 0)  # so that left is computed once
+    kept = F.when(F.size("left") == F.col("size"), F.col("impacts")).otherwise(impacts(F.col("left")))
+    return rows.select("term", "bucket", F.size("left").alias("size"), kept.alias("impacts"), F.col("left").alias("postings"))
+
+
 def clear(spark: SparkSession, path: str) -> None:
     remove(spark, path)
 
@@ -218,7 +321,10 @@ def plan(queries: DataFrame, path: str, k: int = 20, fusion: Fusion = Fusion())
     asked = cut(asked_terms(queries))
     blocks = _blocks(spark, path, now.segments).join(asked.select("term").distinct(), "term", "left_semi")
     top_weight = F.array_max(F.transform("impacts", lambda i: _weight(i["tf"], i["dl"], mean, fusion)))
-    heads = cut(blocks.select("term", "segment", "bucket", "size", top_weight.alias("w")))  # without postings
+    blocks = blocks.withColumn("w", top_weight)
+    heads = cut(blocks.select("term", "segment", "bucket", "size", "w"))  # without postings
+    # Few asked terms go to the blocks, so that no posting is shuffled.
+    near = F.broadcast if asked.count() <= ASKED else lambda d: d
     facts = heads.groupBy("term").agg(F.sum("size").alias("df"), F.max("w").alias("most"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(facts, "term").withColumn("idf", idf).withColumn("ub", F.col("qtf") * F.col("idf") * F.col("most"))
@@ -228,22 +334,22 @@ def plan(queries: DataFrame, path: str, k: int = 20, fusion: Fusion = Fusion())
     weights = cut(weights.select("*", ((F.coalesce(F.sum("df").over(before), F.lit(0)) < k) | (F.sum("df").over(by("df", "term")) <= START * k)).alias("early"), F.sum(F.floor(F.col("ub") * 1e9) + 1).over(all_).alias("most_all"), F.sum(F.floor(F.col("ub") * 1e9) + 1).over(by("ub", "term")).alias("upto")))
 
     key = ["term", "segment", "bucket"]
-    first = weights.where("early").select("query_id", "term", "qtf", "idf").join(heads.select(*key), "term")
-    partial = _summed(first.join(blocks.select(*key, "postings"), key), mean, fusion)
+    first = blocks.join(near(weights.where("early").select("query_id", "term", "qtf", "idf")), "term")
+    partial = _summed(first, mean, fusion)
     kth = partial.withColumn("_r", F.row_number().over(by(F.desc("s")))).where(F.col("_r") == k).select("query_id", (F.col("s") - int(MARGIN * 1e9)).alias("floor"))
     weights = cut(weights.join(kth, "query_id", "left").select("*", F.coalesce("floor", F.lit(0)).alias("need"), (F.col("upto") > F.coalesce("floor", F.lit(0))).alias("essential")).drop("floor"))
 
     # A block of an essential term is read if a chunk in it can reach the threshold with all other terms.
     bound = F.floor(F.col("qtf") * F.col("idf") * F.col("w") * 1e9) + 1 + F.col("most_all") - (F.floor(F.col("ub") * 1e9) + 1)
-    essential = weights.where("essential").join(heads, "term").where(bound >= F.col("need")).select("query_id", *key, "qtf", "idf")
+    essential = blocks.join(near(weights.where("essential")), "term").where(bound >= F.col("need")).select("query_id", *key, "qtf", "idf", "postings")
     rest = weights.where("not essential").groupBy("query_id").agg(F.max("upto").alias("rest"))
     needs = weights.select("query_id", "need").distinct().join(rest, "query_id", "left").select("query_id", "need", F.coalesce("rest", F.lit(0)).alias("rest"))
-    found = _summed(essential.join(blocks.select(*key, "postings"), key), mean, fusion)
+    found = _summed(essential, mean, fusion)
     found = cut(found.join(needs, "query_id").where(F.col("s") + F.col("rest") >= F.col("need")).select("query_id", "chunk_id", "segment", "bucket", "s"))
 
     spots = found.select("query_id", "segment", "bucket").distinct()
-    other = weights.where("not essential").select("query_id", "term", "qtf", "idf").join(spots, "query_id").join(heads.select(*key), key).select("query_id", *key, "qtf", "idf")
-    more = _summed(other.join(blocks.select(*key, "postings"), key), mean, fusion).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    other = blocks.join(near(weights.where("not essential").select("query_id", "term", "qtf", "idf")), "term").join(spots, ["query_id", "segment", "bucket"]).select("query_id", *key, "qtf", "idf", "postings")
+    more = _summed(other, mean, fusion).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     scores = found.select("query_id", "chunk_id", "s").unionByName(more.select("query_id", "chunk_id", "s")).groupBy("query_id", "chunk_id").agg((F.sum("s") / 1e9).alias("score"))
     return Plan(blocks, first, essential, other, scores)
 
