@@ -59,6 +59,26 @@ def test_best_path_is_the_cheapest_of_all(spark):
     assert lexicon.terms("Ab1 数据,x") == ["ab1", *lexicon.best("数据"), "x"] and lexicon.terms(None) == []
 
 
+def test_many_runs_at_once_are_as_one_by_one(monkeypatch):
+    """Counts and cheapest paths of runs that are decoded together, in lots of any size, and of longer ones."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [*made(rng, 200), *("".join(rng.choice("数据处一龥") for _ in range(rng.randrange(40))) + "Éa1" for _ in range(100)), None, "", "数" * 500]
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert S._plain().findall(every) == [m[0] for m in S._TERM.finditer(every)]
+    want = counted(texts)
+    lexicon = S.Lexicon({w: n for w, n in want.items() if len(w) == 1 and w != "龥" or n >= 3}, sum(n for w, n in want.items() if len(w) == 1))
+    for at_once in (7, 1 << 18):
+        monkeypatch.setattr(S, "AT_ONCE", at_once)
+        got = Counter()
+        for b in S._counted(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])])):
+            got.update({r["word"]: r["n"] for r in b.to_pylist()})
+        assert got == want
+        for own in (lexicon, S.Lexicon({}, 0)):
+            assert S.Decoder(own).terms(texts) == [own.terms(t) for t in texts]
+
+
 def test_terms_of_spaced_texts_are_as_ever(spark):
     texts = ["It's 12,5 Éa", "ßx_y", "áb", ""]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
