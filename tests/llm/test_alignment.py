@@ -90,6 +90,18 @@ def test_segments_are_whole_texts():
                 assert [e for k in own for e in ids[name][k][-1:]] == [len(words[k].encode()) for k in own]
 
 
+def test_places_of_cuts():
+    """Of each segment, as many as there are cuts and one; against sets of ends."""
+    both = alignment.Both(A_FILE, B_FILE)
+    words = pa.array([" alpha", " zwölfmalzwölf", " 😀", " ", " überall", " x" * 50])
+    found, _ = both.segments(words)
+    upto = alignment.cut_places(found)
+    lists = lambda x: [x[0][i:j].tolist() for i, j in zip(x[1], x[1][1:])]
+    for ae, be, ua, ub in zip(*map(lists, (found["ae"], found["be"], upto["a"], upto["b"])), strict=True):
+        cuts = sorted(set(ae) & set(be))
+        assert ua == [0, *(ae.index(c) + 1 for c in cuts)] and ub == [0, *(be.index(c) + 1 for c in cuts)]
+
+
 def test_alignment(spark):
     rng = random.Random(5)
     texts = ODD + [None, None] + [" ".join(rng.choice(["alpha", "beta,", "Gammas", "überall", "naïve\nx", "\U0001f600", "Ωmega"]) for _ in range(rng.randrange(60))) for _ in range(60)]
