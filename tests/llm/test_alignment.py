@@ -126,6 +126,24 @@ def test_pairs(spark):
     assert all(r["best"] == (r["docs"] == max(n for (a, _), n in docs.items() if a == r["a"])) for r in found)
 
 
+def test_blocks(spark):
+    """A block has each different stretch between cuts once, however many segments and documents hold it."""
+    plain, texts = Plain(), [*ODD, None, "one two one two one", "one, two; one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for size in (1, 100, alignment.BLOCK):
+        rows, seen = alignment.blocks(df, A_FILE, B_FILE, size).collect(), 0
+        assert len({r["block"] for r in rows}) == len(rows)
+        for r in rows:
+            ids = lambda n: [tuple(r[n][i:j]) for i, j in zip(r["u" + n], r["u" + n][1:])]  # noqa: E731, B023
+            own = list(zip(ids("a"), ids("b"), strict=True))
+            want = [[(tuple(a), tuple(b)) for a, b in plain.groups(texts[d["doc_id"]] or "")] for d in r["docs"]]
+            assert len(own) == len(set(own)) and set(own) == {g for w in want for g in w}
+            assert [[own[k] for k in d["at"]] for d in r["docs"]] == want
+            assert [{own[k]: n for k, n in zip(d["different"], d["times"], strict=True)} for d in r["docs"]] == list(map(Counter, want))
+            seen += len(want)
+        assert seen == len(texts)
+
+
 def test_query(spark, sf_dir):
     """All documents of the smallest tables."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
