@@ -183,6 +183,34 @@ def test_ingest_files(spark, tmp_path):
     assert retrieval.index_search(q, f"{folder}/index").count() == 3 and spark.read.parquet(f"{folder}/manifest").count() == 5
 
 
+def test_txt_files_are_streamed_by_lines(spark, tmp_path):
+    """Chunks are those of the whole cleaned text, whatever parts a file is read in; no txt file is read as one value."""
+    from tickloom.functions.text import clean
+    from tickloom.operators import text_prep
+
+    odd = "\ufeff  One. Two\r\nthree!\r\n \t \r\n\r\n four\x00\x0b\u3000 \u3000five\rsix\u2028 seven？ ﬁne e\u0301.\n\n\nlast \u0085 line"
+    bodies = {"odd a+b%20é.txt": odd, "long.TXT": "\n".join(f"Line {k} of it{'.' * (k % 3 == 0)}{chr(10) * (k % 5)}" for k in range(900)), "none.txt": "\n \n", "marks.txt": "...\n!\n?a\r", "bom.txt": "\ufeff\n", "one.txt": "word " * 700, "txt": "\nno suffix\n\n"}
+    (tmp_path / "in").mkdir()
+    for name, body in bodies.items():
+        (tmp_path / "in" / name).write_bytes(body.encode())
+    rows = spark.createDataFrame(list(bodies.items()), "doc_id string, text string")
+    want = text_prep.chunk_documents(rows.select("doc_id", clean(F.col("text")).alias("text")).where("text <> ''"), 40)
+    small = {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.sources.binaryFile.maxLength": "1000"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        assert files.lines(spark, str(tmp_path / "in")).rdd.getNumPartitions() > len(bodies)
+        got = tools.ingest_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), _lengths, size=40).select("name", "chunks", "status").collect()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    told = lambda df, name: sorted((r[name], r["chunk_no"], r["content"], r["tokens"]) for r in df.collect())
+    chunks = spark.read.parquet(str(tmp_path / "out" / "chunks")).join(spark.read.parquet(str(tmp_path / "out" / "manifest")).select("doc_id", "name"), "doc_id")
+    assert told(chunks, "name") == told(want, "doc_id") and chunks.where("name = 'long.TXT'").count() > 50
+    assert {r["name"]: r["chunks"] for r in got} == {n: sum(c[0] == n for c in told(want, "doc_id")) for n in bodies}
+    assert {r["name"] for r in got if r["status"] == "empty"} == {"none.txt"}
+
+
 def test_retries_and_rounds(spark):
     tries = [(1, 1, False, None), (1, 2, True, 900), (1, 3, True, 1000), (2, 1, False, None), (2, 2, False, 800), (2, 3, None, 900), (2, 4, True, 1), (3, 1, True, None)]
     got = {r["call_id"]: tuple(r)[1:] for r in ops.retry_summary(spark.createDataFrame(tries, "call_id long, attempt_no int, ok boolean, wait_ms long")).collect()}

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import cut
+
 SUPPORTED = ("txt", "docx", "pdf")
 
 MANIFEST = "id string, stockCode string, stockName string, content string, category string, source string, tags string, createdAt string"
@@ -79,6 +81,32 @@ def texts(path: str, raw: str) -> Column:
     return F.when(plain, F.decode(raw, "UTF-8")).otherwise(_texts(F.col(path), F.when(~plain, F.col(raw))))
 
 
+#: Names of txt files, and of those that a library reads as a whole.
+PLAIN, PACKED = "{*.,}[tT][xX][tT]", "{*.,}{[dD][oO][cC][xX],[pP][dD][fF]}"
+_BOM = "\ufeff"
+#: Files with such a mark up to which every task gets their names.
+MARKED = 100_000
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, part, k, line of txt files below path, lines as their LF cut them; part and k order those of a
+    file. What is not UTF-8 is an error.
+
+    Files are read in as many parts as their size asks for, so that no task holds one. Spark drops a mark of
+    the byte order from a file's start; where a file has three bytes more than its lines, it is put back (a file of nothing else has no lines).
+    """
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", PLAIN).option("lineSep", "\n").text(path)
+    where = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    raw = read.select(where.alias("path"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("k"), F.col("value").cast("binary").alias("_raw"))
+    first = F.min(F.when(F.col("part") == 0, F.col("k"))).alias("_k")
+    sizes = raw.groupBy("path").agg(F.max("_size").alias("_size"), F.sum(F.octet_length("_raw") + F.lit(1)).alias("_read"), first)
+    marked = cut(sizes.where(F.col("_size") - F.col("_read") >= 2).select(F.col("path").alias("_path"), "_k"))
+    line = F.decode("_raw", "UTF-8")
+    near = F.broadcast if marked.count() <= MARKED else lambda d: d  # so that no line is shuffled for them
+    rows = raw.join(near(marked), (F.col("path") == F.col("_path")) & (F.col("k") == F.col("_k")), "left")
+    return rows.select("path", "part", "k", F.when(F.col("_k").isNull(), line).otherwise(F.concat(F.lit(_BOM), line)).alias("line"))
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, text of txt, docx and pdf files; any other format is an error when read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -30,8 +30,13 @@ def write_index(corpus: DataFrame, path: str, add: bool = False) -> None:
     added = spark.read.parquet(beside).agg(F.max("added")).first()[0] + 1 if add and exists(spark, beside) else 0
     mode = "append" if add else "overwrite"
     lengths = corpus.where("chunk_id is not null and content is not null").select("chunk_id", F.size(terms(F.col("content"))).alias("dl"), F.lit(added).alias("added"))
-    rows = retrieval.postings(corpus).select("term", "chunk_id", "tf", "dl", F.lit(added).alias("added"), retrieval.shard(F.col("term")).alias("shard"))
-    rows.repartition("shard").write.mode(mode).partitionBy("shard").parquet(path)
+    # Counted where a chunk is, so that postings are shuffled once; rows that repeat an id meet there.
+    key = ["term", "chunk_id", "added", "shard"]
+    rows = retrieval.counted(corpus).select("term", "chunk_id", "tf", "dl", F.lit(added).alias("added"), retrieval.shard(F.col("term")).alias("shard"))
+    rows = rows.repartition("shard")
+    if not corpus.where("chunk_id is not null and content is not null").groupBy("chunk_id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy(*key).agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    rows.select("term", "chunk_id", "tf", "dl", "added", "shard").write.mode(mode).partitionBy("shard").parquet(path)
     lengths.write.mode(mode).parquet(beside)
 
 

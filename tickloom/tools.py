@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import labels
 from tickloom.functions.codes import normalize_code
-from tickloom.functions.text import clean, token_count
+from tickloom.functions.text import clean, clean_lines, token_count
 from tickloom.operators import indicators as I
 from tickloom.operators import ops, relational, retrieval, text_prep
 from tickloom.sources import files, market, pages, sinks
@@ -140,6 +140,10 @@ def ingest(docs: DataFrame, size: int = 400, overlap: float = 0.20) -> tuple[Dat
     return chunks, cleaned.where("text = ''").select("doc_id", token_count(F.col("text")).alias("tokens"))
 
 
+#: Files up to which every task gets their ids.
+FILES = 100_000
+
+
 def ingest_files(spark: SparkSession, path: str, folder: str, embed: Callable[[list[str]], list[list[float]]], source: str = "", size: int = 400, overlap: float = 0.20) -> DataFrame:
     """Read documents, cut them, embed the chunks, add both to what folder holds, and return the manifest.
 
@@ -147,18 +151,24 @@ def ingest_files(spark: SparkSession, path: str, folder: str, embed: Callable[[l
     format, chunks, path, source, status. A doc_id is 128 bits of its path's hash. A file of another format, and one without text, is
     refused, which its status says, and leaves nothing else behind.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    own_id = F.substring(F.sha2("path", 256), 1, 32).alias("doc_id")
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.element_at(F.split(name, "\\."), -1))
-    rows = raw.select(F.substring(F.sha2("path", 256), 1, 32).alias("doc_id"), "path", name.alias("name"), F.col("length").alias("bytes"), kind.alias("format"), "content")
-    able = rows.where(F.col("format").isin(*files.SUPPORTED))
-    texts = able.select("doc_id", clean(files.texts("path", "content")).alias("text")).where("text <> ''")
-    chunks = retrieval.embedded(text_prep.chunk_documents(texts, size, overlap), embed)
+    rows = raw.load(path).select(own_id, "path", name.alias("name"), F.col("length").alias("bytes"), kind.alias("format"))
+    # Lines of txt files are cleaned where they are read and meet in order; no file of this kind is held.
+    read = files.lines(spark, path).select(own_id, "part", "k", F.posexplode(F.split(clean_lines(F.regexp_replace("line", "\\r\\z", "")), "\n")).alias("sub", "line"))
+    packed = raw.option("pathGlobFilter", files.PACKED).load(path)
+    texts = packed.select(own_id, clean(files.texts("path", "content")).alias("text")).where("text <> ''")
+    chunks = text_prep.chunk_lines(read, ("part", "k", "sub"), size, overlap).unionByName(text_prep.chunk_documents(texts, size, overlap))
+    chunks = retrieval.embedded(chunks, embed)
     sinks.append(chunks.withColumn("source", F.lit(source)), f"{folder}/chunks")
-    stored = spark.read.parquet(f"{folder}/chunks").join(rows.select("doc_id"), "doc_id", "left_semi")
+    # Ids of files that every task can hold go to the chunks, so that no text is shuffled to find them.
+    near = F.broadcast if rows.count() <= FILES else lambda d: d
+    stored = spark.read.parquet(f"{folder}/chunks").join(near(rows.select("doc_id")), "doc_id", "left_semi")
     sinks.write_index(stored.select("chunk_id", "content"), f"{folder}/index", add=True)
     counts = stored.groupBy("doc_id").agg(F.count_distinct("chunk_id").alias("chunks"))
     status = F.when(~F.col("format").isin(*files.SUPPORTED), "unsupported").when(F.col("chunks").isNull(), "empty").otherwise("ok")
-    manifest = rows.drop("content").join(counts, "doc_id", "left").select("doc_id", "name", "bytes", "format", F.coalesce("chunks", F.lit(0)).alias("chunks"), "path", F.lit(source).alias("source"), status.alias("status"))
+    manifest = rows.join(counts, "doc_id", "left").select("doc_id", "name", "bytes", "format", F.coalesce("chunks", F.lit(0)).alias("chunks"), "path", F.lit(source).alias("source"), status.alias("status"))
     sinks.append(manifest, f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest").join(rows.select("doc_id"), "doc_id", "left_semi")
