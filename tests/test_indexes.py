@@ -133,6 +133,40 @@ def test_deletes_of_one_segment_are_merged_away_without_a_shuffle_of_postings(sp
     assert rows(word_index.search(queries, folder, 10)) == rows(R.bm25_topk(queries, corpus.where(~gone), 10))
 
 
+def test_merges_shuffle_blocks_and_searches_give_k_hits_a_task(spark, corpus, monkeypatch):
+    """Blocks of like segments go whole, those of a small one are split; ids that are gone stay out; scores are summed
+    where a bucket's blocks meet, with the rows of a search whose terms are too many for that."""
+    number = F.crc32(F.col("chunk_id").cast("binary"))
+    again = corpus.where(number % 10 == 0).withColumn("content", F.concat("content", F.lit(" w310 w7")))
+    left = corpus.where(number % 10 != 0).unionByName(again)
+    queries = asked(spark, "the w390 w7", "the the w399", "w1 w2 w3 w380", "the", "nowhere", "W350 w350 the w0")
+    folder, passed = scratch(spark), []
+    for part in (corpus.where(number % 2 == 0), corpus.where(number % 2 == 1), again):
+        word_index.add(part, folder, bucket=64)
+    before = word_index.manifest(spark, folder)
+    assert before.deleted and len({s[4] for s in before.segments}) > 1
+    blocks = [spark.read.parquet(f"{folder}/{s[0]}/blocks").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first() for s in before.segments]
+    together = word_index._together
+    monkeypatch.setattr(word_index, "_together", lambda rows, n: passed.append(rows.count()) or together(rows, n))
+    word_index.merge(spark, folder, bucket=64)
+    split = blocks[2]["size"] + again.count()  # a block of the list of chunks has as size their number
+    assert passed == [blocks[0]["n"] + blocks[1]["n"] + split] and passed[0] < 0.7 * sum(b["size"] for b in blocks)
+    now = word_index.manifest(spark, folder).segments
+    assert len(now) == 1 and now[0][2] == left.count()
+    held = spark.read.parquet(f"{folder}/{now[0][0]}/blocks")
+    assert held.groupBy("term", "bucket").count().where("count > 1").isEmpty() and held.where(F.size("postings") != F.col("size")).isEmpty()
+    for k in (1, 10):
+        want = rows(R.bm25_topk(queries, left, k))
+        monkeypatch.setattr(word_index, "ASKED", R.ASKED)
+        given = word_index.plan(queries, folder, k).scores
+        assert given.count() <= k * queries.count() * given.rdd.getNumPartitions() and rows(word_index.search(queries, folder, k)) == want
+        monkeypatch.setattr(word_index, "SCORES", 700)  # few queries at once
+        assert rows(word_index.search(queries, folder, k)) == want
+        monkeypatch.setattr(word_index, "SCORES", R.SCORES)
+        monkeypatch.setattr(word_index, "ASKED", 0)
+        assert rows(word_index.search(queries, folder, k)) == want
+
+
 def test_impacts_bound_every_posting(spark):
     rng = random.Random(8)
     cells = [(k, [(rng.randrange(1, 9), rng.randrange(1, 50)) for _ in range(rng.randrange(1, 40))]) for k in range(50)]

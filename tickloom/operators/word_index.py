@@ -33,15 +33,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as _arrow_type
 
 from tickloom.functions.numeric import half_up
 from tickloom.functions.text import terms
-from tickloom.operators.retrieval import ASKED, Fusion, asked_terms, scored, top
+from tickloom.operators.retrieval import ASKED, SCORES, Best, Fusion, asked_terms, id_values, scored, top
 from tickloom.session import cut, workers_import
 from tickloom.sources.sinks import exists, remove
 
-#: Chunks of a bucket, on average, and so postings of a block.
-BUCKET = 128
+#: Chunks of a bucket, on average, and so postings of a block. With 128, a block had 1.8 postings, and rows cost more than these.
+BUCKET = 1024
 #: Chunks that a task makes blocks of, on average, where there are many.
 TOGETHER = 8192
 #: Postings, as a multiple of k, up to which a query's threshold is taken from more terms than k chunks need.
@@ -107,8 +108,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(b: pa.RecordBatch) -> tuple:
-    """(bucket, chunk_id, terms) → the terms, and by posting the row, the term's number, tf and dl; a chunk
-    itself is a posting of the number after the last."""
+    """(bucket, chunk_id, terms) → buckets and ids of rows, the terms, and by posting the row, the term's number, tf
+    and dl; a chunk itself is a posting of the number after the last."""
     lists = b.column(2)
     dl, n = pc.list_value_length(lists).to_numpy(), b.num_rows
     coded = lists.flatten().dictionary_encode()
@@ -116,14 +117,27 @@ def _counted(b: pa.RecordBatch) -> tuple:
     held = np.concatenate([coded.indices.to_numpy().astype(np.int64) * n + np.repeat(rows, dl), len(coded.dictionary) * n + rows])
     cells, tf = np.unique(held, return_counts=True)
     row, code = cells % n, cells // n
-    return coded.dictionary, row, code, np.where(code == len(coded.dictionary), 0, tf), dl[row]
+    return b.column(0).to_numpy(), b.column(1), coded.dictionary, row, code, np.where(code == len(coded.dictionary), 0, tf), dl[row]
 
 
 def _posted(b: pa.RecordBatch) -> tuple:
-    """(bucket, chunk_id, term, tf, dl) → as ``_counted``."""
-    coded = b.column(2).dictionary_encode()
+    """(bucket, segment, dead, term, ids, tf, dl) of parts of blocks → as ``_counted``, a row a posting; rows with dead are
+    of ids that are gone from that segment and below."""
+    coded = b.column(3).dictionary_encode()
     code = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy().astype(np.int64)
-    return coded.dictionary, np.arange(b.num_rows), code, b.column(3).to_numpy(), b.column(4).to_numpy()
+    sizes = pc.list_value_length(b.column(4)).to_numpy()
+    ids = b.column(4).flatten()
+    rows = np.repeat(np.arange(b.num_rows), sizes)
+    dead = b.column(2).to_numpy(zero_copy_only=False)[rows]
+    left = ~dead
+    if dead.any():
+        segment, own = b.column(1).to_numpy()[rows], ids.dictionary_encode()
+        chunk, upto = own.indices.to_numpy(), np.full(len(own.dictionary), -1)
+        upto[chunk[dead]] = segment[dead]
+        left &= segment > upto[chunk]
+        ids = ids.filter(pa.array(left))
+    rows = rows[left]
+    return b.column(0).to_numpy()[rows], ids, coded.dictionary, np.arange(len(rows)), code[rows], b.column(5).flatten().to_numpy()[left], b.column(6).flatten().to_numpy()[left]
 
 
 def _built(read: Callable[[pa.RecordBatch], tuple]):
@@ -131,8 +145,9 @@ def _built(read: Callable[[pa.RecordBatch], tuple]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole(batches):
-            names, row, code, tf, dl = read(b)
-            buckets = b.column(0).to_numpy()
+            buckets, ids, names, row, code, tf, dl = read(b)
+            if not len(row):
+                continue
             order = np.lexsort((row, code, buckets[row]))
             row, code, tf, dl = row[order], code[order], tf[order].astype(np.int32), dl[order].astype(np.int32)
             first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (buckets[row[1:]] != buckets[row[:-1]])]))
@@ -144,7 +159,7 @@ def _built(read: Callable[[pa.RecordBatch], tuple]):
             best = fall[np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])]
             upto = np.searchsorted(of[best], np.arange(len(first) + 1)).astype(np.int32)
             pairs = pa.StructArray.from_arrays([pa.array(tf[best]), pa.array(dl[best])], names=["tf", "dl"])
-            cells = pa.StructArray.from_arrays([b.column(1).take(pa.array(row)), pa.array(tf), pa.array(dl)], names=["chunk_id", "tf", "dl"])
+            cells = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(tf), pa.array(dl)], names=["chunk_id", "tf", "dl"])
             number = code[first]
             terms_ = names.take(pa.array(number, mask=number == len(names)))
             yield pa.RecordBatch.from_arrays(
@@ -156,11 +171,16 @@ def _built(read: Callable[[pa.RecordBatch], tuple]):
 
 
 def _buckets(n: int, per: int) -> int:
-    return max(1, -(-n // per))
+    """A power of two, so that buckets of a larger segment lie in those of a smaller one."""
+    return 1 << (max(1, -(-n // per)) - 1).bit_length()
+
+
+def _bucket_of(ids: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int").alias("bucket")
+    return _bucket_of(F.col("chunk_id"), buckets)
 
 
 def _together(rows: DataFrame, n: int) -> DataFrame:
@@ -168,9 +188,8 @@ def _together(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TOGETHER), "bucket")
 
 
-def _write_segment(rows: DataFrame, read, path: str, name: str) -> None:
-    """Blocks of rows(bucket, chunk_id, ..), each bucket's in one task, as ``read`` takes them."""
-    kind = rows.schema["chunk_id"].dataType.simpleString()
+def _write_segment(rows: DataFrame, read, path: str, name: str, kind: str) -> None:
+    """Blocks of rows(bucket, ..), each bucket's in one task, as ``read`` takes them; kind: the type of ids."""
     schema = f"term string, bucket int, size int, impacts array<struct<tf: int, dl: int>>, postings array<struct<chunk_id: {kind}, tf: int, dl: int>>"
     rows.sortWithinPartitions("bucket").mapInArrow(_built(read), schema).write.parquet(f"{path}/{name}/blocks")
 
@@ -219,7 +238,7 @@ def add(corpus: DataFrame, path: str, bucket: int = BUCKET) -> None:
     number, name = now.version + 1, f"segment-{uuid.uuid4().hex}"
     rows = _together(own.select(_bucket(buckets), "chunk_id", "content"), buckets * bucket)
     rows = rows.groupBy("bucket", "chunk_id").agg(F.min("content").alias("content"))
-    _write_segment(rows.select("bucket", "chunk_id", terms(F.col("content")).alias("terms")), _counted, path, name)
+    _write_segment(rows.select("bucket", "chunk_id", terms(F.col("content")).alias("terms")), _counted, path, name, rows.schema["chunk_id"].dataType.simpleString())
     n, words = _size(spark, path, name)
     deleted = now.deleted
     if now.segments:
@@ -260,9 +279,23 @@ def merge(spark: SparkSession, path: str, bucket: int = BUCKET) -> None:
         _, number, *_, buckets = now.segments[0]
         _thinned(_blocks(spark, path, now.segments), gone.where(F.col("upto") >= number), buckets).write.parquet(f"{path}/{name}/blocks")
     else:
-        rows = _blocks(spark, path, now.segments).select("term", "segment", F.explode("postings").alias("p")).select("term", "segment", "p.*")
-        rows = _live(rows, gone).select(_bucket(buckets), "chunk_id", "term", "tf", "dl")
-        _write_segment(_together(rows, n), _posted, path, name)
+        # Buckets may be twice as large, where blocks of more chunks then go as they are.
+        whole = lambda m: sum(s[2] for s in now.segments if s[4] % m == 0)
+        if buckets > 1 and whole(buckets // 2) > whole(buckets):
+            buckets //= 2
+        frames, arrays = [], [F.col(f"p.{c}").alias(a) for c, a in (("chunk_id", "ids"), ("tf", "tf"), ("dl", "dl"))]
+        for s in now.segments:
+            own = _blocks(spark, path, [s])
+            if s[4] % buckets == 0:
+                own = own.select(F.pmod("bucket", F.lit(buckets)).alias("bucket"), "segment", "term", F.col("postings").alias("p"))
+            else:
+                own = own.select("segment", "term", F.explode("postings").alias("one")).select(_bucket_of(F.col("one.chunk_id"), buckets), "segment", "term", F.array("one").alias("p"))
+            frames.append(own.select("bucket", "segment", F.lit(False).alias("dead"), "term", *arrays))
+        if gone is not None:
+            zero = F.array(F.lit(0))
+            frames.append(gone.select(_bucket(buckets), F.col("upto").alias("segment"), F.lit(True).alias("dead"), F.lit(None).cast("string").alias("term"), F.array("chunk_id").alias("ids"), zero.alias("tf"), zero.alias("dl")))
+        kind = _blocks(spark, path, now.segments[:1]).schema["postings"].dataType.elementType["chunk_id"].dataType.simpleString()
+        _write_segment(_together(_union(frames), n), _posted, path, name, kind)
     n, words = _size(spark, path, name)
     _publish(spark, path, now.version + 1, ((name, now.version + 1, n, words, buckets),), ())
     for old in (*(s[0] for s in now.segments), *now.deleted):
@@ -313,6 +346,82 @@ def _summed(blocks: DataFrame, mean: float, f: Fusion) -> DataFrame:
     return rows.groupBy("query_id", "chunk_id", "segment", "bucket").agg(F.sum("s").alias("s"))
 
 
+def _by_bucket(blocks: DataFrame, weights: DataFrame, mean: float, k: int, f: Fusion, n: int) -> DataFrame:
+    """Steps 2 and 3 where every task gets all weights: the asked blocks of a bucket meet, scores are summed there, and
+    each task's k best of a query are shuffled. What a task has found so far raises its thresholds."""
+    told = weights.select("query_id", "term", "qtf", "idf", "ub", "most_all", "need", "rest", "essential").orderBy("term", "query_id").toArrow()
+    col = lambda name: told[name].to_numpy()
+    terms_ = told["term"].combine_chunks().dictionary_encode()  # in the order of terms
+    names = told["query_id"].combine_chunks().dictionary_encode()
+    query, no = names.indices.to_numpy().astype(np.int64), terms_.indices.to_numpy()
+    needs, rests = np.zeros(max(1, len(names.dictionary))), np.zeros(max(1, len(names.dictionary)))
+    needs[query], rests[query] = col("need"), col("rest")
+    others = 1 + col("most_all") - (np.floor(col("ub") * 1e9) + 1)
+    shared = blocks.sparkSession.sparkContext.broadcast((names.dictionary, query, col("qtf") * col("idf"), others, col("essential").astype(bool), needs, rests, np.searchsorted(no, np.arange(len(terms_.dictionary) + 1))))
+    spark = blocks.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(list(zip(terms_.dictionary.to_pylist(), range(len(terms_.dictionary)))), "term string, no int"))
+    spot = F.shiftleft(F.col("segment").cast("long"), 32) + F.col("bucket")
+    rows = blocks.join(wanted, "term").select(spot.alias("bucket"), "no", "w", F.col("postings.chunk_id").alias("id"), F.col("postings.tf").alias("tf"), F.col("postings.dl").alias("dl"))
+    rows = _together(rows, n).sortWithinPartitions("bucket")
+    ids_of = dict(rows.dtypes)["id"].removeprefix("array<")[:-1]
+    kind = _arrow_type(rows.schema["id"].dataType.elementType)
+
+    def spread(starts, sizes):
+        return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+    def run(batches):
+        queries, query, factor, others, essential, needs, rests, first = shared.value
+        best = Best(k, len(needs))
+        for b in _whole(batches):
+            own, w = b.column(1).to_numpy(), b.column(2).to_numpy()
+            sizes = pc.list_value_length(b.column(3)).to_numpy().astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            ids = b.column(3).flatten().dictionary_encode()
+            chunk, count = ids.indices.to_numpy().astype(np.int64), max(1, len(ids.dictionary))
+            tf, dl = (b.column(c).flatten().to_numpy().astype(np.float64) for c in (4, 5))
+            weight = tf / (tf + f.k1 * (1 - f.b + f.b * dl / float(mean or 1.0)))
+            asked = first[own + 1] - first[own]
+            pair, block = spread(first[own], asked), np.repeat(np.arange(b.num_rows), asked)
+            order = np.argsort(query[pair], kind="stable")
+            pair, block = pair[order], block[order]
+            q = query[pair]
+            need = np.maximum(needs, np.floor((best.least - MARGIN) * 1e9))
+            comes = essential[pair] & (np.floor(factor[pair] * w[block] * 1e9) + others[pair] >= need[q])
+            values, buckets = id_values(ids.dictionary), np.unique(b.column(0).to_numpy(), return_inverse=True)[1]
+            of_chunk = np.zeros(count, np.int64)
+            of_chunk[chunk] = np.repeat(buckets, sizes)
+
+            def summed(some, a, width):
+                at = spread(starts[block[some]], sizes[block[some]])
+                cell = np.repeat((q[some] - a) * count, sizes[block[some]]) + chunk[at]
+                return cell, np.bincount(cell, np.floor(np.repeat(factor[pair[some]], sizes[block[some]]) * weight[at] * 1e9 + 0.5), width * count)
+
+            # Queries at once: as many as cells and postings allow.
+            load = np.cumsum(np.bincount(q, sizes[block], len(needs))) // SCORES
+            group = np.cumsum(np.concatenate([[0], np.diff(load) > 0])) + np.arange(len(needs)) // max(1, SCORES // count) * len(needs)
+            edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])), len(needs))
+            for a, z in zip(edges[:-1], edges[1:]):
+                here = np.arange(*np.searchsorted(q, [a, z]))
+                if not len(some := here[comes[here]]):
+                    continue
+                cell, s = summed(some, a, z - a)
+                there = np.zeros(len(s), bool)
+                there[cell] = True
+                there &= (s.reshape(z - a, count) + rests[a:z, None] >= need[a:z, None]).ravel()
+                i, j = np.nonzero(there.reshape(z - a, count))
+                held = np.zeros((z - a, buckets.max() + 1), bool)
+                held[i, of_chunk[j]] = True
+                more = here[~essential[pair[here]]]
+                if len(more := more[held[q[more] - a, buckets[block[more]]]]):
+                    s += summed(more, a, z - a)[1]
+                score = np.floor(s.reshape(z - a, count)[i, j] / 1e9 * 1e6 + 0.5) / 1e6
+                some = score >= best.least[i + a]
+                best.add(values[j[some]], i[some] + a, score[some])
+        yield from best.batches(queries, kind)
+
+    return rows.mapInArrow(run, f"query_id {dict(weights.dtypes)['query_id']}, chunk_id {ids_of}, score double")
+
+
 def plan(queries: DataFrame, path: str, k: int = 20, fusion: Fusion = Fusion()) -> Plan:
     """The search of an index without deleted chunks."""
     spark, now = queries.sparkSession, manifest(queries.sparkSession, path)
@@ -345,10 +454,15 @@ def plan(queries: DataFrame, path: str, k: int = 20, fusion: Fusion = Fusion())
     rest = weights.where("not essential").groupBy("query_id").agg(F.max("upto").alias("rest"))
     needs = weights.select("query_id", "need").distinct().join(rest, "query_id", "left").select("query_id", "need", F.coalesce("rest", F.lit(0)).alias("rest"))
     found = _summed(essential, mean, fusion)
-    found = cut(found.join(needs, "query_id").where(F.col("s") + F.col("rest") >= F.col("need")).select("query_id", "chunk_id", "segment", "bucket", "s"))
+    found = found.join(needs, "query_id").where(F.col("s") + F.col("rest") >= F.col("need")).select("query_id", "chunk_id", "segment", "bucket", "s")
+    few = asked.count() <= ASKED
+    if not few:
+        found = cut(found)
 
     spots = found.select("query_id", "segment", "bucket").distinct()
     other = blocks.join(near(weights.where("not essential").select("query_id", "term", "qtf", "idf")), "term").join(spots, ["query_id", "segment", "bucket"]).select("query_id", *key, "qtf", "idf", "postings")
+    if few:
+        return Plan(blocks, first, essential, other, _by_bucket(_blocks(spark, path, now.segments).withColumn("w", top_weight), weights.join(needs.select("query_id", "rest"), "query_id"), mean, k, fusion, n))
     more = _summed(other, mean, fusion).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     scores = found.select("query_id", "chunk_id", "s").unionByName(more.select("query_id", "chunk_id", "s")).groupBy("query_id", "chunk_id").agg((F.sum("s") / 1e9).alias("score"))
     return Plan(blocks, first, essential, other, scores)
